@@ -1,5 +1,26 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+OP1_SUBSTRING_DEDUP = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT row_id, doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
+  FROM (SELECT row_id, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM cut WHERE doc_id IS NOT NULL)
+), firsts AS (
+  SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win
+), covered AS (
+  SELECT DISTINCT row_id, i + j AS k
+  FROM (SELECT row_id, i, unnest(range(0, 13)) AS j FROM windows JOIN firsts USING (win) WHERE first_doc < doc_id)
+), each AS (
+  SELECT row_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM cut
+), kept AS (
+  SELECT e.row_id, count(c.k) AS n_removed, string_agg(e.word, ' ' ORDER BY e.k) FILTER (WHERE c.k IS NULL) AS kept
+  FROM each e LEFT JOIN covered c ON e.row_id = c.row_id AND e.k = c.k GROUP BY e.row_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (row_id)
+"""
+
 OP10_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
@@ -30,4 +51,4 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * sta
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_MIXING}
+    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op10_mixing": OP10_MIXING}
