@@ -21,6 +21,31 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
 FROM cut LEFT JOIN kept USING (row_id)
 """
 
+OP9_NGRAM_JOIN = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM cut WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM cut
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), component AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+), degree AS (
+  SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM cut LEFT JOIN sizes USING (doc_id) JOIN component USING (doc_id) LEFT JOIN degree USING (doc_id)
+"""
+
 OP10_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
@@ -51,4 +76,4 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * sta
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op10_mixing": OP10_MIXING}
+    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING}

@@ -15,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Instead, every ASCII byte that is not a letter.
+_NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _KEEP = np.array([0] + [(1 << (8 * n)) - 1 for n in range(1, 8)] + [2**64 - 1], dtype=U64)
@@ -66,13 +68,13 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def cut(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of every text; lower: with A-Z as a-z."""
+def cut(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """The words of every text; lower: with A-Z as a-z; letters: cut at every ASCII byte but letters."""
     data, at = raw(texts)
     n = len(data)
     own = np.zeros(n + 8, np.uint8)
     own[:n] = _LOWER[data] if lower else data
-    solid = ~_SPACE[data]
+    solid = ~(_NO_LETTER if letters else _SPACE)[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edge = at[at < n]
@@ -150,3 +152,49 @@ def pack_sorted(a: np.ndarray) -> bytes:
 
 def unpack_sorted(b: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(b, n), dtype=U64)
+
+
+class Vocabulary:
+    """The distinct words of a block and, for each word of the block, its number among them."""
+
+    def __init__(self, words: Words):
+        hashed = hash_words(words)
+        self.hash, first, self.of = np.unique(hashed, return_index=True, return_inverse=True)
+        self.start, self.stop = words.start[first], words.stop[first]
+        self._data = words.data
+
+    def text(self, some: np.ndarray, before: str = "", after: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Code points of some distinct words, each between the marks given, and the place in some of each code point."""
+        size = self.stop[some] - self.start[some]
+        ends = np.cumsum(size + 1)
+        at = np.arange(int(ends[-1]) if len(ends) else 0)
+        which = np.repeat(np.arange(len(some)), size + 1)
+        inside = at - (ends - size - 1)[which]
+        data = np.full(len(at), 10, np.uint8)
+        own = inside < size[which]
+        data[own] = self._data[self.start[some][which[own]] + inside[own]]
+        text = data.tobytes().decode("utf-8", "replace")
+        if before or after:
+            text = before + text[:-1].replace("\n", after + "\n" + before) + after + "\n" if text else text
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        breaks = points == 10
+        return points, np.cumsum(breaks) - breaks
+
+
+def char_ngrams(points: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n consecutive code points of one word, and that word's place."""
+    m = len(points) - n + 1
+    if m <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    out = points[:m].astype(U64) + U64(n << 32)
+    for j in range(1, n):
+        out *= U64(0xD1B54A32D192ED03)
+        out += points[j : j + m]
+    fits = (word[:m] == word[n - 1 :]) & (points[n - 1 :] != 10)
+    return mix(out[fits]), word[:m][fits]
+
+
+def doc_sums(values: np.ndarray, words: Words) -> np.ndarray:
+    """Sums over each text of a value for each of its words."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[words.first[1:]] - total[words.first[:-1]]
