@@ -277,15 +277,16 @@ def _verify(group: pa.Table) -> pa.Table:
 def boundary(sets: DataFrame) -> int:
     """The largest light size: the one of least estimated cost.
 
-    A light set costs its 2-subsets; a set that heavy ones may link to costs a
-    posting and the mean scan of a list for each shingle of its prefix. Sizes
+    A light set costs a row for each 2-subset. A set that heavy ones may link
+    to costs a row for each shingle of its prefix and its part in scanning that
+    list, whose d sets lie in about d / BLOCK_SETS blocks that are paired. Sizes
     are summed in classes a quarter of a power of two wide, so that a few
     hundred rows at most reach the driver.
     """
     one = F.size("prefix") - 1
     by_size = sets.groupBy(F.floor(4 * F.log2("n")).alias("c")).agg(F.sum(one).alias("postings"), F.sum(one * (one + 1) / 2).alias("subsets"), F.max("n").alias("top")).orderBy("c").collect()
     lists = sets.select(F.explode(F.slice("prefix", 1, one)).alias("t")).groupBy("t").agg(F.count("*").alias("d")).agg((F.sum(F.col("d") * F.col("d")) / F.sum("d")).alias("scan")).first()
-    scan, best = float(lists["scan"] or 1), (float("inf"), 0)
+    scan, best = float(lists["scan"] or 1) / (2 * BLOCK_SETS**2), (float("inf"), 0)
     for limit in [0, *[r["top"] for r in by_size]]:
         light = sum(r["subsets"] for r in by_size if r["top"] <= limit)
         heavy = sum(r["postings"] for r in by_size if 4 * r["top"] >= 3 * limit) * (1 + scan) if limit < max((r["top"] for r in by_size), default=0) else 0
