@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folds, mixing, ngram_join, quotes, substring_dedup, toxicity
+from . import folds, language, mixing, ngram_join, quotes, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(folds.remainder("doc_id", 3) != 1))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", (folds.remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.filter(folds.remainder("doc_id", 5) != 0))

@@ -34,7 +34,10 @@ from . import folds, tokens
 
 #: Labelled rows of each class that the model is fitted on, about.
 SAMPLE = 2500
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 14, 16, 12, 64, 0.03
+BUCKETS, DIM, EPOCHS, BATCH, RATE, SCALE = 1 << 17, 8, 6, 64, 0.02, 30.0
+INIT, EPS = 1e-3, 1e-3
+#: Words without any n-gram that are averaged in, so that a few words alone say little.
+PSEUDO = 20
 NGRAMS = (3, 4, 5)
 BLOCK_BYTES = 8 << 20
 
@@ -76,9 +79,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(some):
                     size = edges[some + 1] - edges[some]
                     at = np.repeat(edges[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    total = np.bincount(bucket[at], np.repeat(times * each[some] / len(own), size), BUCKETS)
+                    total = np.bincount(bucket[at], np.repeat(times * each[some] / (len(own) + PSEUDO), size), BUCKETS)
                 full = np.flatnonzero(total)
-                ids.append(full.astype(np.uint16).tobytes())
+                ids.append(full.astype(np.uint32).tobytes())
                 shares.append(total[full].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "buckets", "shares"])
 
@@ -86,37 +89,37 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(bags: list, counts: dict, seed: int = 7) -> Model:
     """bags: rows (label, buckets, shares); counts: labelled rows of each class in the whole table."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2))
+    model = Model(rng.normal(0, INIT, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2))
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     labels = np.array([r["label"] for r in bags], dtype=np.int64)
     here = np.bincount(labels, minlength=2)[:2]
     if not (n0 and n1 and here.all()):
         share = np.clip(n1 / (n0 + n1), 1e-6, 1 - 1e-6) if n0 + n1 else 1e-6
         return Model(np.zeros_like(model.vectors), np.zeros_like(model.weights), np.array([0.0, np.log(share / (1 - share))]))
-    state = [np.zeros_like(x, dtype=np.float32) for p in (model.vectors, model.weights, model.bias) for x in (p, p)]
-    step, scale = 0, np.float32(20.0)
+    held = [(np.frombuffer(r["buckets"], np.uint32).astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in bags]
+    moments = [(np.zeros_like(p, dtype=np.float32), np.zeros_like(p, dtype=np.float32)) for p in (model.vectors, model.weights, model.bias)]
+    step = 0
     for epoch in range(EPOCHS):
         rate, order = RATE * (1 - epoch / EPOCHS), rng.permutation(len(bags))
         for low in range(0, len(bags), BATCH):
             some = order[low : low + BATCH]
-            x = np.zeros((len(some), BUCKETS), np.float32)
-            for i, j in enumerate(some):
-                x[i, np.frombuffer(bags[j]["buckets"], np.uint16)] = np.frombuffer(bags[j]["shares"], np.float32)
-            x *= scale
-            h = x @ model.vectors
+            columns, place = np.unique(np.concatenate([held[j][0] for j in some]), return_inverse=True)
+            x = np.zeros((len(some), len(columns)), np.float32)
+            x[np.repeat(np.arange(len(some)), [len(held[j][0]) for j in some]), place] = np.concatenate([held[j][1] for j in some]) * np.float32(SCALE)
+            vectors = model.vectors[columns]
+            h = x @ vectors
             logits = h @ model.weights + model.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(some)), labels[some]] -= 1
-            p /= len(some)
-            grads = (x.T @ (p @ model.weights.T), h.T @ p, p.sum(0))
+            p = (p / len(some)).astype(np.float32)
             step += 1
-            for k, (param, g) in enumerate(zip((model.vectors, model.weights, model.bias), grads, strict=True)):
-                m, v = state[2 * k], state[2 * k + 1]
-                m += (g - m) * 0.1
-                v += (g * g - v) * 0.01
-                param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model.vectors *= scale
+            grads = ((columns, x.T @ (p @ model.weights.T)), (slice(None), h.T @ p), (slice(None), p.sum(0)))
+            for param, (m, v), (at, g) in zip((model.vectors, model.weights, model.bias), moments, grads, strict=True):
+                m[at] = now = 0.9 * m[at] + 0.1 * g
+                v[at] = spread = 0.99 * v[at] + 0.01 * g * g
+                param[at] -= rate * (now / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + EPS)
+    model.vectors *= np.float32(SCALE)
     model.bias = model.bias + np.log([n0 / here[0], n1 / here[1]])
     return model
 
@@ -151,7 +154,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 word, bucket = subwords(vocabulary)
                 n = len(vocabulary.hash)
                 of_word = np.bincount(word, of_bucket[bucket], n) / np.maximum(1, np.bincount(word, minlength=n))
-                odds = tokens.doc_sums(of_word[vocabulary.of], words) / np.maximum(1, words.count) + bias
+                odds = tokens.doc_sums(of_word[vocabulary.of], words) / (words.count + PSEUDO) + bias
                 p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, out_col])
 
