@@ -21,6 +21,7 @@ named like the output, which is replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +34,14 @@ from pyspark.sql import types as T
 from . import folds, tokens
 
 #: Labelled rows of each class that the model is fitted on, about.
-SAMPLE = 2500
-BUCKETS, DIM, EPOCHS, BATCH, RATE, SCALE = 1 << 17, 8, 6, 64, 0.02, 30.0
-INIT, EPS = 1e-3, 1e-3
+SAMPLE = 2000
+BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 17, 8, 600, 64, 0.02, 30.0
+INIT, EPS = 1e-3, 3e-3
 #: Words without any n-gram that are averaged in, so that a few words alone say little.
 PSEUDO = 20
 NGRAMS = (3, 4, 5)
+#: Shares travel as half-precision numbers times this.
+_HALF = 1024.0
 BLOCK_BYTES = 8 << 20
 
 
@@ -82,37 +85,42 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total = np.bincount(bucket[at], np.repeat(times * each[some] / (len(own) + PSEUDO), size), BUCKETS)
                 full = np.flatnonzero(total)
                 ids.append(full.astype(np.uint32).tobytes())
-                shares.append(total[full].astype(np.float32).tobytes())
+                shares.append((total[full] * _HALF).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "buckets", "shares"])
 
 
 def fit(bags: list, counts: dict, seed: int = 7) -> Model:
-    """bags: rows (label, buckets, shares); counts: labelled rows of each class in the whole table."""
+    """bags: (label, buckets, shares) of each text; counts: labelled rows of each class in the whole table."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, INIT, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2))
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    labels = np.array([r["label"] for r in bags], dtype=np.int64)
+    labels = np.array([label for label, _, _ in bags], dtype=np.int64)
     here = np.bincount(labels, minlength=2)[:2]
     if not (n0 and n1 and here.all()):
         share = np.clip(n1 / (n0 + n1), 1e-6, 1 - 1e-6) if n0 + n1 else 1e-6
         return Model(np.zeros_like(model.vectors), np.zeros_like(model.weights), np.array([0.0, np.log(share / (1 - share))]))
-    held = [(np.frombuffer(r["buckets"], np.uint32).astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in bags]
+    held = [(np.frombuffer(b, np.uint32), np.frombuffer(s, np.float16)) for _, b, s in bags]
     moments = [(np.zeros_like(p, dtype=np.float32), np.zeros_like(p, dtype=np.float32)) for p in (model.vectors, model.weights, model.bias)]
+    order, batches = rng.permutation(len(bags)), []
+    for low in range(0, len(bags), BATCH):
+        some = order[low : low + BATCH]
+        columns, place = np.unique(np.concatenate([held[j][0] for j in some]), return_inverse=True)
+        row = np.repeat(np.arange(len(some), dtype=np.uint8), [len(held[j][0]) for j in some])
+        batches.append((labels[some], columns, place.astype(np.int32), row, np.concatenate([held[j][1] for j in some])))
+    even = (len(bags) / (2 * here)).astype(np.float32)
     step = 0
-    for epoch in range(EPOCHS):
-        rate, order = RATE * (1 - epoch / EPOCHS), rng.permutation(len(bags))
-        for low in range(0, len(bags), BATCH):
-            some = order[low : low + BATCH]
-            columns, place = np.unique(np.concatenate([held[j][0] for j in some]), return_inverse=True)
-            x = np.zeros((len(some), len(columns)), np.float32)
-            x[np.repeat(np.arange(len(some)), [len(held[j][0]) for j in some]), place] = np.concatenate([held[j][1] for j in some]) * np.float32(SCALE)
+    while step < STEPS:
+        rate = RATE * (1 - step / STEPS)
+        for truth, columns, place, row, shares in [batches[i] for i in rng.permutation(len(batches))]:
+            x = np.zeros((len(truth), len(columns)), np.float32)
+            x[row, place] = shares.astype(np.float32) * np.float32(SCALE / _HALF)
             vectors = model.vectors[columns]
             h = x @ vectors
             logits = h @ model.weights + model.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), labels[some]] -= 1
-            p = (p / len(some)).astype(np.float32)
+            p[np.arange(len(truth)), truth] -= 1
+            p = (p * even[truth][:, None] / len(truth)).astype(np.float32)
             step += 1
             grads = ((columns, x.T @ (p @ model.weights.T)), (slice(None), h.T @ p), (slice(None), p.sum(0)))
             for param, (m, v), (at, g) in zip((model.vectors, model.weights, model.bias), moments, grads, strict=True):
@@ -120,7 +128,7 @@ def fit(bags: list, counts: dict, seed: int = 7) -> Model:
                 v[at] = spread = 0.99 * v[at] + 0.01 * g * g
                 param[at] -= rate * (now / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + EPS)
     model.vectors *= np.float32(SCALE)
-    model.bias = model.bias + np.log([n0 / here[0], n1 / here[1]])
+    model.bias = model.bias + np.log([n0, n1])
     return model
 
 
@@ -130,14 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     some, counts = folds.about(labels, "label", "doc_id", sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(some, "doc_id").select("doc_id", "label", "text")
-    bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").collect()
-    return fit(sorted(bags, key=_order), counts)
+    bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
+    views = [(label, b.as_buffer(), s.as_buffer()) for label, b, s in zip(bags.column("label").to_pylist(), bags.column("buckets"), bags.column("shares"), strict=True)]
+    return fit(sorted(views, key=_order), counts)
 
 
-def _order(row) -> tuple:
+def _order(bag: tuple) -> tuple:
     """An order of the sample that doesn't depend on how it was dealt out."""
-    mixed = int.from_bytes((row["shares"][:8] + b"\0" * 8)[:8], "little") * 0x9E3779B97F4A7C15 % 2**64
-    return mixed, row["label"], row["buckets"], row["shares"]
+    label, buckets, shares = bag
+    return zlib.crc32(buckets), zlib.crc32(shares), label
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
