@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     some, counts = folds.about(labels, "label", "doc_id", sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(some, "doc_id").select("doc_id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")  # some has about 2 * sample rows, whatever the tables' sizes
     bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
     views = [(label, b.as_buffer(), s.as_buffer()) for label, b, s in zip(bags.column("label").to_pylist(), bags.column("buckets"), bags.column("shares"), strict=True)]
     return fit(sorted(views, key=_order), counts)
