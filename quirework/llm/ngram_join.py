@@ -51,7 +51,7 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Documents of one block of text that share a shingle, from which it isn't sent to its bucket for each.
 HOT_DOCS = 64
 #: Sets in a block, about.
-BLOCK_SETS = 128
+BLOCK_SETS = 384
 SET = "key long, n int, m int, toks binary, prefix array<long>"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("base", pa.int64()), *((x, pa.binary()) for x in ("h", "key", "x", "y", "ids"))])
 _SHORT = 0x8BB84B93962EACC9
