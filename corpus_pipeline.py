@@ -1,29 +1,78 @@
-"""A corpus pipeline: stages from raw documents to a weighted mix."""
+"""A corpus pipeline: from raw documents to a weighted mix without toxic, near-duplicate, contaminated or personal text.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents, whatever these are.
+
+* toxicity drops documents that the classifier rejects (probability of label 1
+  of 0.5 or more). It is fitted on the labelled documents among docs.
+* near-duplicates keeps one document of each group of linked ones: the row of
+  the smallest id, or of rows that share it the first by text. Rows with a null
+  id belong to no group and stay.
+* decontamination drops documents that contain a benchmark item.
+* pii replaces personal data in the texts by its kind in brackets.
+* mixing tells how often each document is taken to meet its source's target.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirework.llm import decontamination, mixing, ngram_join, pii, toxicity
+from quirework.llm.store import Scratch
+
+_SCORE, _KEEP = "__toxicity", "__component"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, model, out_col=_SCORE).filter(F.col(_SCORE) < 0.5).drop(_SCORE)
 
-from quirework.llm import mixing
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.join(docs.select("doc_id", "text"))
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(_KEEP)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(_KEEP), "left_anti")
+    shared = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select(F.col("doc_id").alias(_KEEP))
+    if shared.isEmpty():
+        return kept
+    # Rows that share an id: of equal sets only one may stay, which the id alone can't tell.
+    several = kept.join(shared, F.col("doc_id") == F.col(_KEEP), "left_semi")
+    single = kept.join(shared, F.col("doc_id") == F.col(_KEEP), "left_anti")
+    return single.union(several.dropDuplicates(["doc_id", "text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.find(docs, redacted=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents until each source has its share of words."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact),
+    ("mixing", mix_sources),
+]
 
-#: The toxicity stage is a trained model, which SQL can't express.
+#: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each written as Parquet and read again by the next."""
-    from quirework.llm.store import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
