@@ -15,7 +15,8 @@ five-word shingles. Steps:
    boundary is the one of least estimated cost, from the numbers of subsets,
    postings and list entries of each size.
 4. Sets are grouped in blocks of near neighbours (by the leading document of
-   most of their lists), large neighbourhoods split by hash. Blocks that share
+   most of their lists; small neighbourhoods join a far larger one that they
+   share a list with), and large neighbourhoods are split by hash. Blocks that share
    a subset or a list are paired and all pairs across them verified exactly
    by products of incidence matrices. A block pair returns stars, not pairs.
 5. Stars are joined to components in Spark.
@@ -52,6 +53,8 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 HOT_DOCS = 64
 #: Sets in a block, about.
 BLOCK_SETS = 384
+#: A neighbourhood this many times as large as one it shares a list with takes that in, so that it isn't paired with each of many small ones.
+ABSORBS = 4
 SET = "key long, n int, m int, toks binary, prefix array<long>"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("base", pa.int64()), *((x, pa.binary()) for x in ("h", "key", "x", "y", "ids"))])
 _SHORT = 0x8BB84B93962EACC9
@@ -305,6 +308,12 @@ def _links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     shared = postings.groupBy("space", "sig").agg(F.min("key").alias("leader"), F.count("*").alias("d")).filter("d > 1").select("space", "sig", "leader")
     postings = scratch.write(postings.join(shared, ["space", "sig"]), "shared")
     votes = postings.groupBy("key", "leader").count().groupBy("key").agg(F.max(F.struct("count", -F.col("leader"))).getField("col2").alias("l")).select("key", (-F.col("l")).alias("leader"))
+    votes = scratch.write(votes, "votes")
+    around = votes.groupBy("leader").agg(F.count("*").alias("n"))
+    met = postings.select("space", "sig", "key").join(votes, "key").select("space", "sig", "leader").distinct().join(around, "leader")
+    largest = met.groupBy("space", "sig").agg(F.max(F.struct("n", "leader")).alias("large"))
+    drawn = met.join(largest, ["space", "sig"]).groupBy("leader", "n").agg(F.max("large").alias("large")).filter(F.col("large.n") >= ABSORBS * F.col("n"))
+    votes = votes.join(drawn.select("leader", F.col("large.leader").alias("other")), "leader", "left").select("key", F.coalesce("other", "leader").alias("leader"))
     sizes = votes.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
     block = F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts")))
     blocks = scratch.write(votes.join(sizes, "leader").select("key", block.alias("block")), "blocks")

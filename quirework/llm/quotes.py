@@ -114,8 +114,9 @@ def conversations(
         met = up.join(above, ["conv_id", "root_turn"], "left")
         met = met.select("conv_id", "turn", F.coalesce("higher", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         up = scratch.write(met, f"up{i + 1}")
-    links = links.join(up, ["conv_id", "turn"], "left")
-    out = parsed.select("conv_id", "turn", "role", "text").join(links, ["conv_id", "turn"], "left")
+    links = links.join(up, ["conv_id", "turn"], "left").withColumnsRenamed({"conv_id": "c", "turn": "t"})
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
+    out = parsed.select("conv_id", "turn", "role", "text").join(links, same, "left")
     out = out.select(
         "conv_id", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "turn", "parent_turn", "role", "text",
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
