@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-_MARKS = r"^((?:[ \t]{0,3}>)*)[ \t]?"
+_MARKS = r"^((?:[ \t]{0,3}>)*+)[ \t]?"  # possessive: matched by a loop, however long
 _SAID = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$"
 
 
@@ -65,7 +65,7 @@ def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         return F.struct(part[0]["level"].alias("level"), F.transform(part, lambda x: x["body"]).alias("lines"))
 
     own = F.filter("lines", lambda x: x["level"] == 0)
-    text = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
+    text = F.btrim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), F.lit(" \t\n\r\x0b\x0c"))
     return named.select("conv_id", "turn", "role", F.transform("starts", passage).alias("passages"), text.alias("text"))
 
 
