@@ -42,7 +42,7 @@ PSEUDO = 20
 NGRAMS = (3, 4, 5)
 #: Shares travel as half-precision numbers times this.
 _HALF = 1024.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass
@@ -66,7 +66,7 @@ def subwords(vocabulary: tokens.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in tokens.slices(batch, "text", BLOCK_BYTES // 4):
+        for part in tokens.slices(batch, "text", BLOCK_BYTES):
             words = tokens.cut(part.column("text"), lower=True)
             vocabulary = tokens.Vocabulary(words)
             word, bucket = subwords(vocabulary)
@@ -107,7 +107,8 @@ def fit(bags: list, counts: dict, seed: int = 7) -> Model:
         columns, place = np.unique(np.concatenate([held[j][0] for j in some]), return_inverse=True)
         row = np.repeat(np.arange(len(some), dtype=np.uint8), [len(held[j][0]) for j in some])
         batches.append((labels[some], columns, place.astype(np.int32), row, np.concatenate([held[j][1] for j in some])))
-    even = (len(bags) / (2 * here)).astype(np.float32)
+    del held
+    even = (len(labels) / (2 * here)).astype(np.float32)
     step = 0
     while step < STEPS:
         rate = RATE * (1 - step / STEPS)
@@ -140,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")  # some has about 2 * sample rows, whatever the tables' sizes
     bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
     views = [(label, b.as_buffer(), s.as_buffer()) for label, b, s in zip(bags.column("label").to_pylist(), bags.column("buckets"), bags.column("shares"), strict=True)]
-    return fit(sorted(views, key=_order), counts)
+    model = fit(sorted(views, key=_order), counts)
+    del views, bags
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _order(bag: tuple) -> tuple:
