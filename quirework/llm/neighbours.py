@@ -13,7 +13,8 @@ requests for the vectors of neighbours, their delivery, and the proposals. As
 the method has it, of the nodes that list one, at most REVERSE take part in a
 round, chosen anew by hash each time.
 
-A query keeps a beam of the best nodes seen. A round expands its best unexpanded
+A query keeps a beam of the best nodes seen, at first its own node and the best
+of 2 * ENTRIES entries that all queries share. A round expands its best unexpanded
 ones: their neighbour lists come from the bundles that hold them, and the
 bundles of the neighbours score these. Scores that are returned are computed
 again from the original vectors in double precision.
@@ -45,6 +46,8 @@ K, REVERSE, PROPOSE = 32, 24, 8
 CELL, PARTITIONS, ROUNDS = 256, 4, 3
 BUNDLE = 2048
 BEAM, EXPAND, SEARCH_ROUNDS = 128, 24, 5
+#: Entries of the search: so many of the longest vectors, and so many that their hash picks.
+ENTRIES = 64
 NODES = "bundle int, n int, ids binary, vecs binary, nbrs binary, sims binary"
 MESSAGE = "dest int, kind int, n int, a binary, b binary, x binary"
 WANT, LISTS, GIVEN, OFFER = 0, 1, 2, 3
@@ -63,10 +66,12 @@ def bundle_of(ids: np.ndarray, bundles: int, salt: int = 0) -> np.ndarray:
 
 def _send(kind: int, dest: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None) -> list[tuple]:
     """One packed message for each destination."""
+    if not len(dest):
+        return []
     order = np.argsort(dest, kind="stable")
     dest, a, b = dest[order], a[order], b[order]
     x = x[order] if x is not None else None
-    start = np.flatnonzero(np.r_[len(dest) > 0, dest[1:] != dest[:-1]])
+    start = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]])
     out = []
     for low, high in zip(start, np.r_[start[1:], len(dest)], strict=True):
         out.append((int(dest[low]), kind, int(high - low), a[low:high].tobytes(), b[low:high].tobytes(), x[low:high].tobytes() if x is not None else b""))
@@ -304,16 +309,21 @@ BEAMS = "bundle int, n int, ids binary, vecs binary, beam binary, sims binary, d
 _BEAMS = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "beam", "sims", "done"))])
 
 
-def _start(d: int):
-    """Beams of the queries of a bundle: each starts at its own node and at the first nodes of a hash."""
+def _start(d: int, entry_ids: np.ndarray, entry_vecs: np.ndarray):
+    """Beams of the queries of a bundle: each starts at its own node and the nearest of the entries."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("node").to_numpy()
         vecs = np.frombuffer(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes(), np.float32).reshape(len(ids), d)
         beam = np.full((len(ids), BEAM), -1, np.int64)
-        beam[:, 0] = ids
         sims = np.full((len(ids), BEAM), -np.inf, np.float32)
-        sims[:, 0] = np.inf
+        most = min(BEAM - 1, len(entry_ids))
+        near = vecs @ entry_vecs.T
+        near[ids[:, None] == entry_ids[None, :]] = -np.inf
+        best = np.argsort(-near, 1, kind="stable")[:, :most]
+        sims[:, 1 : most + 1] = np.take_along_axis(near, best, 1)
+        beam[:, 1 : most + 1] = np.where(np.isfinite(sims[:, 1 : most + 1]), entry_ids[best], -1)
+        beam[:, 0], sims[:, 0] = ids, np.inf
         done = np.zeros((len(ids), BEAM), bool)
         return _table([(int(group.column("bundle")[0].as_py()), len(ids), ids.tobytes(), vecs.tobytes(), beam.tobytes(), sims.tobytes(), done.tobytes())], _BEAMS)
 
@@ -448,7 +458,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     nodes = scratch.write(one.select("node", F.concat(level, F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sq") / F.lit(max(top, 1e-300)))).cast("float"))).alias("v")), "unit")
     graph, bundles = build(nodes, d + 1, count, scratch)
     asked = queries.groupBy("node").agg(F.first("v").alias("v")).select("node", F.concat(F.transform("v", lambda x: (x * F.lit(scale)).cast("float")), F.array(F.lit(0.0).cast("float"))).alias("v"))
-    beams = scratch.write(asked.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_start(d + 1), BEAMS), "beams0")
+    longest, spread = one.orderBy(F.desc("sq"), "node").limit(ENTRIES), one.orderBy("node").limit(ENTRIES)
+    entries = longest.union(spread).select("node").distinct().join(nodes, "node").orderBy("node").collect()
+    entry_ids, entry_vecs = np.array([r["node"] for r in entries], np.int64), np.array([r["v"] for r in entries], np.float32).reshape(-1, d + 1)
+    beams = scratch.write(asked.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_start(d + 1, entry_ids, entry_vecs), BEAMS), "beams0")
     for i in range(SEARCH_ROUNDS):
         wanted = beams.mapInArrow(_expand(bundles), MESSAGE)
         passed = graph.groupBy("bundle").cogroup(wanted.groupBy("dest")).applyInArrow(_lists(bundles, d + 1), MESSAGE)
