@@ -2,8 +2,8 @@
 
 Texts are compared as lower-case letters and digits with single spaces between.
 A document is contaminated by an item if some window of w characters of the
-item occurs in it with at most e edits, w and e by the item's length (80 and 5;
-items under 80 characters: 40 and 2; under 40: 24 and 1).
+item occurs in it with at most e edits, w and e by the item's length (60 and 3;
+items under 60 characters: 40 and 2; under 40: 24 and 1).
 
 A window with e edits shares at least w - q + 1 - q * e of its q-grams, and
 their diagonals (place in the document less place in the item) differ by e at
@@ -36,7 +36,7 @@ from . import tokens
 
 Q = 8
 #: (shortest item, window, edits)
-CLASSES = ((80, 80, 5), (40, 40, 2), (24, 24, 1))
+CLASSES = ((60, 60, 3), (40, 40, 2), (24, 24, 1))
 BLOCK_BYTES, SLICE_BYTES = 1 << 20, 3 << 20
 _TABLE_BITS = 22
 _STEP = tokens.U64(0xD1B54A32D192ED03)

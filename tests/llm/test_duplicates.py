@@ -168,7 +168,8 @@ def test_decontamination_finds_edited_passages(spark):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) + "\n" + "".join(own) + "\t" + "".join(rng.choice(letters) for _ in range(rng.randint(0, 90)))
         rows.append((i, text))
         p, t = plain(ITEM), plain(text)
-        if any(within(p[a : a + 80], t, 5) for a in range(len(p) - 79)):
+        _, window, edits = decontamination.CLASSES[0]
+        if any(within(p[a : a + window], t, edits) for a in range(len(p) - window + 1)):
             want.add((i, 1))
     rows += [(100, "so: EXACTLY  forty five\ncharacters long   this one, yes"), (101, None), (102, ""), (103, "w" * 300_000), (104, "quick brown fox jumps over the lazy dog")]
     bench = spark.createDataFrame([(1, ITEM, "x"), (2, SHORT, "x"), (3, None, None), (4, "too short", None)], BENCH)
