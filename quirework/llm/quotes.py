@@ -16,7 +16,8 @@ hot conversation is dealt out by hash.
 
 Defined results: a null text is empty and has no passages. A null conversation
 or turn links with nothing; such a message is its own root. Rows that share
-conversation and turn share links. A quote found nowhere earlier is counted but
+conversation and turn share links; a passage that they quote in the same place
+counts once. A quote found nowhere earlier is counted but
 not linked. An empty table gives an empty result. Columns other than the named
 ones are ignored.
 """
@@ -82,13 +83,13 @@ def _hashes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link(parsed: DataFrame) -> DataFrame:
-    """One row (conv_id, turn, passage, level, origin) for each quoted passage; origin is null where it isn't found in an earlier turn."""
+    """One row (conv_id, turn, passage, level, whole, origin) for each quoted passage, whole being its hash; origin is null where it isn't found in an earlier turn."""
     quotes, originals = _hashes(parsed)
-    tried = quotes.select("conv_id", "turn", "passage", "level", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("by"), F.col("whole").alias("hash"))), F.transform("lines", lambda x: F.struct(F.lit(1).alias("by"), x.alias("hash"))))).alias("t"))
-    tried = tried.select("conv_id", "turn", "passage", "level", "t.by", "t.hash")
+    tried = quotes.select("conv_id", "turn", "passage", "level", "whole", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("by"), F.col("whole").alias("hash"))), F.transform("lines", lambda x: F.struct(F.lit(1).alias("by"), x.alias("hash"))))).alias("t"))
+    tried = tried.select("conv_id", "turn", "passage", "level", "whole", "t.by", "t.hash")
     met = tried.join(originals, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     best = F.coalesce(F.max(F.when(F.col("by") == 0, F.col("origin"))), F.max(F.when(F.col("by") == 1, F.col("origin"))))
-    return met.groupBy("conv_id", "turn", "passage", "level").agg(best.alias("origin"))
+    return met.groupBy("conv_id", "turn", "passage", "level", "whole").agg(best.alias("origin"))
 
 
 def conversations(

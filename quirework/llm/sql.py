@@ -21,6 +21,59 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
 FROM cut LEFT JOIN kept USING (row_id)
 """
 
+OP3_QUOTE_LINKING = r"""
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS m, conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS raw FROM conversations
+), cut AS (
+  SELECT m, unnest(raw) AS line, generate_subscripts(raw, 1) AS i FROM messages
+), leveled AS (
+  SELECT m, i, length(regexp_replace(regexp_extract(line, '^((?:[ \t]{0,3}>)*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]{0,3}>)*)[ \t]?', '') AS body FROM cut
+), looked AS (
+  SELECT *, coalesce(lead(level) OVER (PARTITION BY m ORDER BY i), 0) AS next_level FROM leveled
+), kept AS (
+  SELECT m, i, level, body FROM looked
+  WHERE NOT (level = 0 AND next_level > 0 AND regexp_matches(body, '(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$'))
+), marked AS (
+  SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY m ORDER BY i) THEN 0 ELSE 1 END AS starts FROM kept
+), numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY m ORDER BY i) AS passage, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS plain FROM marked
+), passages AS (
+  SELECT m, passage, level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS whole FROM numbered GROUP BY m, passage, level
+), own AS (
+  SELECT m, string_agg(body, chr(10) ORDER BY i) AS text FROM numbered WHERE level = 0 GROUP BY m
+), said AS (
+  SELECT m, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said FROM own
+  UNION ALL SELECT m, whole FROM passages WHERE level = 0
+  UNION ALL SELECT m, plain FROM numbered WHERE level = 0
+), originals AS (
+  SELECT conv_id, said, min(turn) AS origin FROM said JOIN messages USING (m) WHERE said <> '' GROUP BY conv_id, said
+), quoted AS (
+  SELECT *, row_number() OVER (PARTITION BY m ORDER BY passage) AS place FROM passages WHERE level > 0 AND whole <> ''
+), tried AS (
+  SELECT m, place, level, whole, 0 AS line, whole AS said FROM quoted
+  UNION ALL
+  SELECT n.m, p.place, n.level, p.whole, 1, n.plain FROM numbered n JOIN quoted p ON p.m = n.m AND p.passage = n.passage WHERE n.plain <> ''
+), met AS (
+  SELECT t.place, t.level, t.whole, t.line, q.conv_id, q.turn, CASE WHEN o.origin < q.turn THEN o.origin END AS origin
+  FROM tried t JOIN messages q ON q.m = t.m LEFT JOIN originals o ON o.conv_id = q.conv_id AND o.said = t.said
+), linked AS (
+  SELECT conv_id, turn, place, level, whole, coalesce(max(origin) FILTER (WHERE line = 0), max(origin) FILTER (WHERE line = 1)) AS origin FROM met GROUP BY conv_id, turn, place, level, whole
+), links AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(origin) AS n_linked, -(min(CASE WHEN origin IS NOT NULL THEN {'level': level, 'minus': -origin} END)).minus AS parent_turn FROM linked GROUP BY conv_id, turn
+), up AS (
+  SELECT conv_id, turn, parent_turn AS root_turn, CAST(1 AS BIGINT) AS depth FROM links WHERE parent_turn IS NOT NULL
+  UNION ALL
+  SELECT up.conv_id, up.turn, l.parent_turn, up.depth + 1 FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.root_turn WHERE l.parent_turn IS NOT NULL
+), roots AS (
+  SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn
+)
+SELECT q.conv_id, coalesce(r.root_turn, q.turn) AS root_turn, coalesce(r.depth, 0) AS depth, q.turn, l.parent_turn, q.role, trim(coalesce(own.text, ''), E' \t\n\r\x0b\x0c') AS text,
+  coalesce(l.n_quotes, 0) AS n_quotes, coalesce(l.n_linked, 0) AS n_linked
+FROM messages q LEFT JOIN own ON own.m = q.m
+LEFT JOIN links l ON l.conv_id IS NOT DISTINCT FROM q.conv_id AND l.turn IS NOT DISTINCT FROM q.turn
+LEFT JOIN roots r ON r.conv_id = q.conv_id AND r.turn = q.turn
+"""
+
 OP9_NGRAM_JOIN = r"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -76,4 +129,4 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * sta
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING}
+    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op3_quote_linking": OP3_QUOTE_LINKING, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING}

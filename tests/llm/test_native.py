@@ -1,9 +1,12 @@
 """Source mixing and quotation linking."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import mixing, quotes
+from quirework.llm import mixing, quotes, sql
 
 DOCS = "doc_id long, text string, source string, size string"
 
@@ -83,6 +86,35 @@ def test_quotes_are_linked_and_removed(spark):
     assert [r["turn"] for r in out if r["conv_id"] == 1] == [0, 1, 3, 2, 4]
 
 
+def test_random_conversations_equal_sql(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for conv in range(40):
+        said = []
+        for turn in range(rng.randint(1, 9)):
+            lines = []
+            for _ in range(rng.randint(0, 4)):
+                if said and rng.random() < 0.6:
+                    part = rng.choice(said).split("\n")
+                    marks = rng.choice([">", "> ", ">> ", "> > ", " >\t"])
+                    lines += [rng.choice(["a wrote:", "Am Montag schrieb b :"])] * (rng.random() < 0.3) + [marks + x.upper() for x in part[: rng.randint(1, len(part))]]
+                else:
+                    lines.append(" ".join(rng.choice(["yes", "no", "Maybe", "é"]) for _ in range(rng.randint(0, 3))))
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            said.append(text)
+            rows.append((conv % 30 if rng.random() < 0.97 else None, turn, rng.choice("ab"), text if rng.random() < 0.95 else None))
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    found = con.sql(sql.OP3_QUOTE_LINKING)
+    got = quotes.conversations(spark.read.parquet(path)).select(*found.columns).collect()
+    want = found.fetchall()
+    a, b = sorted(map(str, map(tuple, got))), sorted(map(str, want))
+    assert [x for x in zip(a, b) if x[0] != x[1]][:3] == [] and len(a) == len(b)
+    assert sum(r["n_linked"] for r in got) > 50 and max(r["depth"] for r in got) > 1
+
+
 def test_a_long_chain_and_a_hot_conversation(spark):
     rows = [(1, t, "a", f"> line {t - 1}\nline {t}" if t else "line 0", "x") for t in range(70)]
     rows += [(2, t, "a", "same first turn" if t % 2 else "> same first turn\nyes", "x") for t in range(1, 2001)]
