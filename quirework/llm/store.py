@@ -7,6 +7,7 @@ share; lost executors therefore lose nothing of it.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -46,6 +47,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quirework-{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        """Results may be read until the program ends; then the folder goes, if Spark is still there."""
+        if self.spark.sparkContext._jsc is not None:
+            self.drop("")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
