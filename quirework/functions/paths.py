@@ -20,6 +20,13 @@ def rectangle(r: Column) -> Column:
     return F.array(command("MoveTo", r["x"], r["y"]), command("LineTo", right(r), r["y"]), command("LineTo", right(r), top(r)), command("LineTo", r["x"], top(r)), command("ClosePath", zero, zero))
 
 
+def new_rectangle(r: Column) -> Column:
+    """A new rectangle element's content: its outline, a light blue fill and a dark blue line of width 1."""
+    colour = lambda *v: F.struct(*[F.lit(float(x)).alias(k) for k, x in zip("rgba", v, strict=True)])
+    fill, stroke = F.struct(colour(0.8, 0.8, 0.9, 1).alias("color")), F.struct(colour(0.2, 0.2, 0.6, 1).alias("color"), F.lit(1.0).alias("width"))
+    return F.struct(rectangle(r).alias("commands"), F.lit("NonZero").alias("fill_rule"), fill.alias("fill"), stroke.alias("stroke"))
+
+
 def replay(path: Column) -> Column:
     """The path as drawn: a first line without a start is a move; the state after each command is kept."""
     return F.transform(path, lambda c, i: F.struct(F.when((i == 0) & (c["type"] == "LineTo"), F.lit("MoveTo")).otherwise(c["type"]).alias("type"), c["x"].alias("x"), c["y"].alias("y")))

@@ -72,3 +72,20 @@ def latest_positions(log: DataFrame) -> DataFrame:
     """Of each element, where its last move left it, and how many moves there were."""
     moves = log.filter("op = 'move'")
     return moves.groupBy("doc_id", "element_id").agg(F.max_by("x", "seq").alias("x"), F.max_by("y", "seq").alias("y"), F.count("*").alias("moves"))
+
+
+def mark_modified(rows: DataFrame, changed: Column) -> DataFrame:
+    """Sets modified, and modification_date to now, where changed; the rest keep theirs (none: not modified, no date)."""
+    old = F.col("modified") if "modified" in rows.columns else F.lit(False)
+    date = F.col("modification_date") if "modification_date" in rows.columns else F.lit(None).cast("timestamp")
+    return rows.withColumns({"modified": old | changed, "modification_date": F.when(changed, F.current_timestamp()).otherwise(date)})
+
+
+def add_tabs(tabs: DataFrame, new: DataFrame) -> DataFrame:
+    """new: doc_id, id, name. Tabs start without pages; documents aren't marked as modified."""
+    return tabs.unionByName(new.withColumn("page_indices", F.array().cast("array<bigint>")), allowMissingColumns=True)
+
+
+def remove_tabs(tabs: DataFrame, gone: DataFrame) -> DataFrame:
+    """gone: id. Ids that aren't there do nothing."""
+    return tabs.join(gone.select("id"), "id", "left_anti")

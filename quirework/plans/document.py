@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..functions.geometry import page_at, rect
+from ..functions.geometry import image_size, page_at, rect
 from ..operators import edits, history, layout
 from ..sources import adapters, images
 from .registry import query
@@ -338,3 +338,56 @@ def doc_image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = F.expr("substring(unhex(repeat('80C0FF', 32)), 1, cast(ceil((p_partkey % 7 + 1) * 3 / 4) * 8 as int))")
     rows = adapters.table(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 != 0, F.concat(head, pixels)).otherwise(F.unhex(F.lit("00FF"))).alias("content"))
     return images.decode(rows).select("p_partkey", "width", "height", F.length("png").alias("png_bytes"))
+
+
+@query("""
+SELECT element_id, kind = 'text' AS is_text, kind = 'image' AS is_image, kind = 'vector' AS is_vector, kind = 'table' AS is_table, kind = 'media' AS is_media, kind = 'group' AS is_group, 'element' AS object_type,
+  CASE WHEN element_id % 9 = 0 THEN 'None' ELSE 'SingleElement' END = 'None' AS selection_empty FROM doc_element
+""")
+def doc_kind_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selection = F.when(F.col("element_id") % 9 == 0, "None").otherwise("SingleElement")
+    return adapters.elements(spark, sf_dir).select("element_id", *[(F.col("kind") == k).alias(f"is_{k}") for k in adapters.KINDS], F.lit("element").alias("object_type"), (selection == "None").alias("selection_empty"))
+
+
+@query("SELECT doc_id, count(*) FILTER (WHERE op IN ('move', 'insert', 'text')) AS edits, count(*) FILTER (WHERE op IN ('move', 'insert', 'text')) > 50 AS modified FROM command_log GROUP BY doc_id")
+def doc_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with over fifty edits are marked; the date of the mark is left out here, as it is now."""
+    edited = adapters.commands(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(F.col("op").isin("move", "insert", "text"), 1)).alias("edits"))
+    return edits.mark_modified(edited, F.col("edits") > 50).select("doc_id", "edits", "modified")
+
+
+@query("""
+SELECT * FROM (SELECT n_nationkey AS id, CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS name, 3 AS pages FROM nation UNION ALL SELECT 1000 + r_regionkey, CAST(r_regionkey AS BIGINT), r_name, 0 FROM region) WHERE id % 4 <> 1
+""")
+def doc_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets a new empty tab; then every fourth tab is removed."""
+    nation = adapters.table(spark, sf_dir, "nation")
+    tabs = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_name").alias("name"), F.array(*[F.lit(i).cast("long") for i in range(3)]).alias("page_indices"))
+    region = adapters.table(spark, sf_dir, "region")
+    tabs = edits.add_tabs(tabs, region.select((1000 + F.col("r_regionkey")).cast("long").alias("id"), F.col("r_regionkey").cast("long").alias("doc_id"), F.col("r_name").alias("name")))
+    gone = spark.range(3000).filter("id % 4 = 1")
+    return edits.remove_tabs(tabs, gone).select(F.col("id").cast("int").alias("id"), "doc_id", "name", F.size("page_indices").alias("pages"))
+
+
+@query("""
+SELECT doc_id, seq, x, y, x + 50 AS x1, y + 40 AS y1, CAST(trunc(y / 792.0) AS BIGINT) AS page_idx, 5 AS commands, 0.8::DOUBLE AS fill_red, 0.9::DOUBLE AS fill_blue, 0.2::DOUBLE AS stroke_red, 1.0::DOUBLE AS stroke_width
+FROM command_log WHERE op = 'insert'
+""")
+def doc_new_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new rectangle's path is in absolute coordinates; its page is the one its corner falls on."""
+    rows = adapters.commands(spark, sf_dir).filter("op = 'insert'").withColumn("v", paths.new_rectangle(rect(F.col("x"), F.col("y"), F.lit(50), F.lit(40))))
+    b = paths.bounds(F.col("v.commands"))
+    return rows.select(
+        "doc_id", "seq", b["x0"].alias("x"), b["y0"].alias("y"), b["x1"].alias("x1"), b["y1"].alias("y1"), page_at(F.col("y")).alias("page_idx"), F.size("v.commands").alias("commands"),
+        F.col("v.fill.color.r").alias("fill_red"), F.col("v.fill.color.b").alias("fill_blue"), F.col("v.stroke.color.r").alias("stroke_red"), F.col("v.stroke.width").alias("stroke_width"),
+    )
+
+
+@query("""
+WITH size AS (SELECT p_partkey, CAST(p_size * 20 AS DOUBLE) AS w, CAST(p_partkey % 400 AS DOUBLE) AS h, p_partkey % 900 AS py FROM part WHERE p_size > 0)
+SELECT p_partkey, least(300.0::DOUBLE, w) AS width, least(300.0::DOUBLE, w) * h / w AS height, CAST(trunc(py / 792.0) AS BIGINT) AS page_idx FROM size
+""")
+def doc_new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = image_size((F.col("p_size") * 20).cast("double"), (k % 400).cast("double"))
+    return adapters.table(spark, sf_dir, "part").filter("p_size > 0").select("p_partkey", s["width"].alias("width"), s["height"].alias("height"), page_at((k % 900).cast("double")).alias("page_idx"))
