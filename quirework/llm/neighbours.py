@@ -43,9 +43,9 @@ from . import tokens
 from .store import Scratch
 
 K, REVERSE, PROPOSE = 32, 24, 8
-CELL, PARTITIONS, ROUNDS = 256, 4, 3
+CELL, PARTITIONS, ROUNDS = 1024, 8, 3
 BUNDLE = 2048
-BEAM, EXPAND, SEARCH_ROUNDS = 128, 24, 5
+BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 7
 #: Entries of the search: so many of the longest vectors, and so many that their hash picks.
 ENTRIES = 64
 NODES = "bundle int, n int, ids binary, vecs binary, nbrs binary, sims binary"
