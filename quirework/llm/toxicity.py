@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import folds, tokens
 
 #: Labelled rows of each class that the model is fitted on, about.
-SAMPLE = 2000
+SAMPLE = 1500
 BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 17, 8, 600, 64, 0.02, 30.0
 INIT, EPS = 1e-3, 3e-3
 #: Words without any n-gram that are averaged in, so that a few words alone say little.
@@ -108,6 +108,8 @@ def fit(bags: list, counts: dict, seed: int = 7) -> Model:
         row = np.repeat(np.arange(len(some), dtype=np.uint8), [len(held[j][0]) for j in some])
         batches.append((labels[some], columns, place.astype(np.int32), row, np.concatenate([held[j][1] for j in some])))
     del held
+    bags.clear()
+    pa.default_memory_pool().release_unused()
     even = (len(labels) / (2 * here)).astype(np.float32)
     step = 0
     while step < STEPS:
@@ -139,12 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     some, counts = folds.about(labels, "label", "doc_id", sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")  # some has about 2 * sample rows, whatever the tables' sizes
-    bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
+    return fit(_collected(rows.select("label", "text")), counts)
+
+
+def _collected(rows: DataFrame) -> list[tuple]:
+    """(label, buckets, shares) of the sample's texts. The list alone keeps them in memory; fit empties it."""
+    bags = rows.mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
     views = [(label, b.as_buffer(), s.as_buffer()) for label, b, s in zip(bags.column("label").to_pylist(), bags.column("buckets"), bags.column("shares"), strict=True)]
-    model = fit(sorted(views, key=_order), counts)
-    del views, bags
-    pa.default_memory_pool().release_unused()
-    return model
+    return sorted(views, key=_order)
 
 
 def _order(bag: tuple) -> tuple:
