@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Determinants below this count as singular.
 SINGULAR = 1e-10
 #: The page height that point-to-page assumes, in points.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .geometry import right, top
 
-COMMAND = "struct<type:string,x:double,y:double>"
+# Fill and line of a new rectangle.
+FILL, LINE, LINE_WIDTH = (0.8, 0.8, 0.9, 1), (0.2, 0.2, 0.6, 1), 1.0
 
 
 def command(kind: str, x: Column, y: Column) -> Column:
@@ -22,8 +23,8 @@ def rectangle(r: Column) -> Column:
 
 def new_rectangle(r: Column) -> Column:
     """A new rectangle element's content: its outline, a light blue fill and a dark blue line of width 1."""
-    colour = lambda *v: F.struct(*[F.lit(float(x)).alias(k) for k, x in zip("rgba", v, strict=True)])
-    fill, stroke = F.struct(colour(0.8, 0.8, 0.9, 1).alias("color")), F.struct(colour(0.2, 0.2, 0.6, 1).alias("color"), F.lit(1.0).alias("width"))
+    colour = lambda v: F.struct(*[F.lit(float(x)).alias(k) for k, x in zip("rgba", v, strict=True)])
+    fill, stroke = F.struct(colour(FILL).alias("color")), F.struct(colour(LINE).alias("color"), F.lit(LINE_WIDTH).alias("width"))
     return F.struct(rectangle(r).alias("commands"), F.lit("NonZero").alias("fill_rule"), fill.alias("fill"), stroke.alias("stroke"))
 
 

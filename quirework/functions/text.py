@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 SHOWN_CHARS = 1000
 DEFAULT_TEXT, DEFAULT_FONT = "Double-click to edit", "Arial"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 
+# Fixed values.
 #: Largest difference of zoom for which a rendered page is used again.
 ZOOM_TOLERANCE = 0.001
 TABLE_X, TABLE_Y, ROW_HEIGHT, COL_WIDTH = 100.0, 100.0, 30.0, 100.0
