@@ -48,7 +48,7 @@ from .store import Scratch
 
 PIECE = "bucket int, kind int, n int, base long, h binary, key binary, x binary, y binary, ids binary"
 ENTRY, HOT, REPLY, PROFILE = 0, 1, 2, 3
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 #: Documents of one block of text that share a shingle, from which it isn't sent to its bucket for each.
 HOT_DOCS = 64
 #: Sets in a block, about.
