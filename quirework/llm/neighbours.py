@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node, so a very common vector costs nothing; of its rows
-the k + 1 smallest ids are kept, as no more can be among anyone's k nearest. A
-coordinate sqrt(M * M - |v| * |v|), M the largest norm, makes the inner product
-of nodes order them as their distance does.
+the k + 1 smallest ids are kept, as no more can be among anyone's k nearest. The
+graph, too, is by inner product, so that where norms differ, lists lead to the
+long vectors that are the answers; a long vector may be on very many lists.
 
 Nodes are dealt out in bundles by a hash of their key. A graph of each node's
 nearest nodes starts from a few random partitions into cells of bounded size.
@@ -11,12 +11,14 @@ Then NN-descent: every node joins its neighbours and those that list it, pair by
 pair, and proposes each to the other. A round is three Spark joins by bundle:
 requests for the vectors of neighbours, their delivery, and the proposals. As
 the method has it, of the nodes that list one, at most REVERSE take part in a
-round, chosen anew by hash each time.
+round, chosen anew by hash each time. Rounds go on until one changes hardly any
+list (SETTLED).
 
 A query keeps a beam of the best nodes seen, at first its own node and the best
 of 2 * ENTRIES entries that all queries share. A round expands its best unexpanded
 ones: their neighbour lists come from the bundles that hold them, and the
-bundles of the neighbours score these. Scores that are returned are computed
+bundles of the neighbours score these. The search ends when no beam holds an
+unexpanded node; beams are wider the more nodes there are. Scores that are returned are computed
 again from the original vectors in double precision.
 
 Messages travel as packed arrays. Nothing is gathered per node or query beyond
@@ -32,6 +34,7 @@ vector are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +46,18 @@ from . import tokens
 from .store import Scratch
 
 K, REVERSE, PROPOSE = 32, 24, 8
-CELL, PARTITIONS, ROUNDS = 1024, 8, 3
+CELL, PARTITIONS = 1024, 8
+#: NN-descent ends with a round that changes no more than this share of all list entries.
+SETTLED = 0.01
 BUNDLE = 2048
-BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 7
+#: The beam at up to BEAM_NODES nodes, beyond which it grows with their square root; a quarter of it is expanded in a round.
+BEAM, BEAM_NODES = 160, 1 << 15
 #: Entries of the search: so many of the longest vectors, and so many that their hash picks.
 ENTRIES = 64
-NODES = "bundle int, n int, ids binary, vecs binary, nbrs binary, sims binary"
+NODES = "bundle int, n int, ids binary, vecs binary, nbrs binary, sims binary, changed long"
 MESSAGE = "dest int, kind int, n int, a binary, b binary, x binary"
 WANT, LISTS, GIVEN, OFFER = 0, 1, 2, 3
-_NODES = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "nbrs", "sims"))])
+_NODES = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "nbrs", "sims")), ("changed", pa.int64())])
 _MESSAGE = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("a", "b", "x"))])
 
 
@@ -87,10 +93,10 @@ def _received(group: pa.Table, kind: int, width: int = 0, dtype: type = np.float
 
 
 class Bundle:
-    """Nodes of a bundle, sorted by key: vectors, neighbours (their own key where there is none) and similarities."""
+    """Nodes of a bundle, sorted by key: vectors, neighbours (their own key where there is none) and similarities; and how many neighbours are new."""
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, sims: np.ndarray):
-        self.ids, self.vecs, self.nbrs, self.sims = ids, vecs, nbrs, sims
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, changed: int = 0):
+        self.ids, self.vecs, self.nbrs, self.sims, self.changed = ids, vecs, nbrs, sims, changed
 
     @staticmethod
     def read(table: pa.Table) -> Bundle | None:
@@ -101,7 +107,7 @@ class Bundle:
         return Bundle(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float16).reshape(n, -1), np.frombuffer(r["nbrs"], np.int64).reshape(n, K), np.frombuffer(r["sims"], np.float32).reshape(n, K))
 
     def row(self, bundle: int) -> tuple:
-        return bundle, len(self.ids), self.ids.tobytes(), self.vecs.tobytes(), self.nbrs.tobytes(), self.sims.tobytes()
+        return bundle, len(self.ids), self.ids.tobytes(), self.vecs.tobytes(), self.nbrs.tobytes(), self.sims.tobytes(), self.changed
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ids, ids)
@@ -110,21 +116,22 @@ class Bundle:
         """With the best K of the neighbours so far and those offered: b to a, both keys."""
         own = self.nbrs != self.ids[:, None]
         a = np.concatenate([self.places(a), np.repeat(np.arange(len(self.ids)), own.sum(1))])
+        fresh = np.arange(len(a)) < len(b)
         b, sims = np.concatenate([b, self.nbrs[own]]), np.concatenate([sims, self.sims[own]])
         keep = b != self.ids[a]
-        a, b, sims = a[keep], b[keep], sims[keep]
-        order = np.lexsort((b, a))
-        a, b, sims = a[order], b[order], sims[order]
+        a, b, sims, fresh = a[keep], b[keep], sims[keep], fresh[keep]
+        order = np.lexsort((fresh, b, a))
+        a, b, sims, fresh = a[order], b[order], sims[order], fresh[order]
         new = np.r_[np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b, sims = a[new], b[new], sims[new]
+        a, b, sims, fresh = a[new], b[new], sims[new], fresh[new]
         order = np.lexsort((b, -sims, a))
-        a, b, sims = a[order], b[order], sims[order]
+        a, b, sims, fresh = a[order], b[order], sims[order], fresh[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         best = rank < K
         nbrs = np.repeat(self.ids[:, None], K, 1)
         out = np.full(nbrs.shape, -np.inf, np.float32)
         nbrs[a[best], rank[best]], out[a[best], rank[best]] = b[best], sims[best]
-        return Bundle(self.ids, self.vecs, nbrs, out)
+        return Bundle(self.ids, self.vecs, nbrs, out, int(fresh[best].sum()))
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Place of each node and key of its neighbour, for all neighbours."""
@@ -273,26 +280,38 @@ def _propose(bundles: int, d: int):
     return run
 
 
+def partitions_for(count: int) -> int:
+    """Starting partitions: two more for each doubling of the nodes, as cells hold a smaller share of them."""
+    return PARTITIONS + 2 * max(0, (count // BEAM_NODES).bit_length() - 1)
+
+
+def beam_for(count: int, k: int) -> int:
+    return max(math.ceil(BEAM * max(1.0, count / BEAM_NODES) ** 0.5), 4 * k)
+
+
 def build(vectors: DataFrame, d: int, count: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """vectors: node, v (d floats, of equal norm). Returns the graph by bundle, and the number of bundles."""
+    """vectors: node, v (d floats). Returns the graph by bundle, and the number of bundles."""
     bundles = 1 << max(0, (count // BUNDLE)).bit_length()
     packed = vectors.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_pack(d), NODES)
     nodes = scratch.write(packed, "nodes")
     bits = max(0, (count // CELL)).bit_length()
     offers = None
-    for p in range(PARTITIONS):
+    for p in range(partitions_for(count)):
         dealt = nodes.mapInArrow(_cells(d, bits, p), "node long, side long, v binary")
         sizes = dealt.groupBy("side").agg(F.ceil(F.count("*") / CELL).alias("parts"))
         dealt = dealt.join(sizes, "side").withColumn("part", F.pmod(F.xxhash64(F.lit(p), "node"), "parts")).withColumn("bundle", F.pmod(F.xxhash64("side", "part"), F.lit(bundles)))
         near = dealt.select("bundle", "side", "part", "node", "v").groupBy("bundle").applyInArrow(_near_in_cells(bundles), MESSAGE)
         offers = near if offers is None else offers.union(near)
     graph = scratch.write(nodes.groupBy("bundle").cogroup(offers.groupBy("dest")).applyInArrow(_take_offers, NODES), "graph0")
-    for i in range(ROUNDS):
+    i, changed = 0, K * count
+    while changed > SETTLED * K * count:
         asked = graph.mapInArrow(_ask(bundles, i), MESSAGE)
         given = graph.groupBy("bundle").cogroup(asked.groupBy("dest")).applyInArrow(_deliver(bundles, i, d), MESSAGE)
         offers = given.groupBy("dest").applyInArrow(_propose(bundles, d), MESSAGE)
         graph = scratch.write(graph.groupBy("bundle").cogroup(offers.groupBy("dest")).applyInArrow(_take_offers, NODES), f"graph{i + 1}")
         scratch.drop(f"graph{i}")
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
+        i += 1
     return graph, bundles
 
 
@@ -305,40 +324,40 @@ def _with_bundle(bundles: int):
     return run
 
 
-BEAMS = "bundle int, n int, ids binary, vecs binary, beam binary, sims binary, done binary"
-_BEAMS = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "beam", "sims", "done"))])
+BEAMS = "bundle int, n int, ids binary, vecs binary, beam binary, sims binary, done binary, waiting long"
+_BEAMS = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "beam", "sims", "done")), ("waiting", pa.int64())])
 
 
-def _start(d: int, entry_ids: np.ndarray, entry_vecs: np.ndarray):
+def _start(d: int, width: int, entry_ids: np.ndarray, entry_vecs: np.ndarray):
     """Beams of the queries of a bundle: each starts at its own node and the nearest of the entries."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("node").to_numpy()
         vecs = np.frombuffer(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes(), np.float32).reshape(len(ids), d)
-        beam = np.full((len(ids), BEAM), -1, np.int64)
-        sims = np.full((len(ids), BEAM), -np.inf, np.float32)
-        most = min(BEAM - 1, len(entry_ids))
+        beam = np.full((len(ids), width), -1, np.int64)
+        sims = np.full((len(ids), width), -np.inf, np.float32)
+        most = min(width - 1, len(entry_ids))
         near = vecs @ entry_vecs.T
         near[ids[:, None] == entry_ids[None, :]] = -np.inf
         best = np.argsort(-near, 1, kind="stable")[:, :most]
         sims[:, 1 : most + 1] = np.take_along_axis(near, best, 1)
         beam[:, 1 : most + 1] = np.where(np.isfinite(sims[:, 1 : most + 1]), entry_ids[best], -1)
         beam[:, 0], sims[:, 0] = ids, np.inf
-        done = np.zeros((len(ids), BEAM), bool)
-        return _table([(int(group.column("bundle")[0].as_py()), len(ids), ids.tobytes(), vecs.tobytes(), beam.tobytes(), sims.tobytes(), done.tobytes())], _BEAMS)
+        done = np.zeros((len(ids), width), bool)
+        return _table([(int(group.column("bundle")[0].as_py()), len(ids), ids.tobytes(), vecs.tobytes(), beam.tobytes(), sims.tobytes(), done.tobytes(), len(ids))], _BEAMS)
 
     return run
 
 
 def _read_beams(r: dict) -> tuple:
     n = r["n"]
-    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(n, -1), np.frombuffer(r["beam"], np.int64).reshape(n, BEAM), np.frombuffer(r["sims"], np.float32).reshape(n, BEAM), np.frombuffer(r["done"], bool).reshape(n, BEAM)
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(n, -1), np.frombuffer(r["beam"], np.int64).reshape(n, -1), np.frombuffer(r["sims"], np.float32).reshape(n, -1), np.frombuffer(r["done"], bool).reshape(n, -1)
 
 
 def _open(beam: np.ndarray, sims: np.ndarray, done: np.ndarray) -> np.ndarray:
     """The best unexpanded places of each beam (beams are sorted)."""
     ready = ~done & (beam != -1) | np.isposinf(sims)
-    return ready & (np.cumsum(ready, 1) <= EXPAND)
+    return ready & (np.cumsum(ready, 1) <= max(1, beam.shape[1] // 4))
 
 
 def _expand(bundles: int):
@@ -418,10 +437,10 @@ def _advance(beams: pa.Table, messages: pa.Table) -> pa.Table:
     order = order[np.lexsort((alln[order], -allv[order], allq[order]))]
     allq, alln, allv, alld = allq[order], alln[order], allv[order], alld[order]
     rank = np.arange(len(allq)) - np.searchsorted(allq, allq)
-    keep = rank < BEAM
+    keep = rank < beam.shape[1]
     new, new_sims, new_done = np.full(beam.shape, -1, np.int64), np.full(beam.shape, -np.inf, np.float32), np.zeros(beam.shape, bool)
     new[allq[keep], rank[keep]], new_sims[allq[keep], rank[keep]], new_done[allq[keep], rank[keep]] = alln[keep], allv[keep], alld[keep]
-    return _table([(r["bundle"], r["n"], r["ids"], r["vecs"], new.tobytes(), new_sims.tobytes(), new_done.tobytes())], _BEAMS)
+    return _table([(r["bundle"], r["n"], r["ids"], r["vecs"], new.tobytes(), new_sims.tobytes(), new_done.tobytes(), int(_open(new, new_sims, new_done).any(1).sum()))], _BEAMS)
 
 
 def _found(most: int):
@@ -455,18 +474,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     top, count = most["m"] or 0.0, most["n"]
     scale = 1.0 / max(top, 1e-300) ** 0.5
     level = F.transform("v", lambda x: (x * F.lit(scale)).cast("float"))
-    nodes = scratch.write(one.select("node", F.concat(level, F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sq") / F.lit(max(top, 1e-300)))).cast("float"))).alias("v")), "unit")
-    graph, bundles = build(nodes, d + 1, count, scratch)
-    asked = queries.groupBy("node").agg(F.first("v").alias("v")).select("node", F.concat(F.transform("v", lambda x: (x * F.lit(scale)).cast("float")), F.array(F.lit(0.0).cast("float"))).alias("v"))
+    nodes = scratch.write(one.select("node", level.alias("v")), "unit")
+    graph, bundles = build(nodes, d, count, scratch)
+    asked = queries.groupBy("node").agg(F.first("v").alias("v")).select("node", level.alias("v"))
     longest, spread = one.orderBy(F.desc("sq"), "node").limit(ENTRIES), one.orderBy("node").limit(ENTRIES)
     entries = longest.union(spread).select("node").distinct().join(nodes, "node").orderBy("node").collect()
-    entry_ids, entry_vecs = np.array([r["node"] for r in entries], np.int64), np.array([r["v"] for r in entries], np.float32).reshape(-1, d + 1)
-    beams = scratch.write(asked.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_start(d + 1, entry_ids, entry_vecs), BEAMS), "beams0")
-    for i in range(SEARCH_ROUNDS):
+    entry_ids, entry_vecs = np.array([r["node"] for r in entries], np.int64), np.array([r["v"] for r in entries], np.float32).reshape(-1, d)
+    beams = scratch.write(asked.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_start(d, beam_for(count, k), entry_ids, entry_vecs), BEAMS), "beams0")
+    i, waiting = 0, 1
+    while waiting:
         wanted = beams.mapInArrow(_expand(bundles), MESSAGE)
-        passed = graph.groupBy("bundle").cogroup(wanted.groupBy("dest")).applyInArrow(_lists(bundles, d + 1), MESSAGE)
-        rated = graph.groupBy("bundle").cogroup(passed.groupBy("dest")).applyInArrow(_rate(bundles, d + 1), MESSAGE)
+        passed = graph.groupBy("bundle").cogroup(wanted.groupBy("dest")).applyInArrow(_lists(bundles, d), MESSAGE)
+        rated = graph.groupBy("bundle").cogroup(passed.groupBy("dest")).applyInArrow(_rate(bundles, d), MESSAGE)
         beams = scratch.write(beams.groupBy("bundle").cogroup(rated.groupBy("dest")).applyInArrow(_advance, BEAMS), f"beams{i + 1}")
+        scratch.drop(f"beams{i}")
+        waiting = beams.agg(F.sum("waiting")).first()[0] or 0
+        i += 1
     pairs = beams.mapInArrow(_found(2 * k), "query_node long, node long").distinct()
     candidates = pairs.join(members.select("node", "v", F.col("vec_id").alias("other")), "node").select("query_node", "other", F.col("v").alias("w"))
     both = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"), "v").join(candidates, "query_node").filter("query_id <> other")

@@ -182,6 +182,21 @@ def test_neighbours(spark, norms):
         assert [i for i, _ in got[5000]] == [40, *range(5001, 5020)]
 
 
+def test_neighbours_of_very_unequal_norms(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 64))
+    x *= np.exp(rng.normal(0, 0.3, (8000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(c)) for c in v], "r", "l") for i, v in enumerate(x)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    sims = x[::20] @ x.T
+    sims[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+    best = np.argpartition(-sims, 20, 1)[:, :20]
+    hits = sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best))
+    assert hits >= 0.9 * 20 * 400
+
+
 def test_few_or_no_neighbours(spark):
     few = spark.createDataFrame([(i, [1.0, float(i)], "r", "l") for i in range(21)], VECTORS)
     out = neighbours.search(few, F.col("vec_id") % 20 == 0).collect()
