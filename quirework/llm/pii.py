@@ -77,8 +77,8 @@ class _Fold(dict):
 
 _FOLD = _Fold({i: i for i in range(128)})
 _UNSEEN = re.compile(f"[{INVISIBLE}]")
-_AT = re.compile(r"\s*(?:\(\s*(?:at|@|arroba|ät)\s*\)|\[\s*(?:at|@|arroba|ät)\s*\]|\{\s*(?:at|@|arroba|ät)\s*\}|<\s*(?:at|@|arroba|ät)\s*>)\s*", re.I)
-_DOT = re.compile(r"\s*(?:\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.|punkt|point|punto)\s*>)\s*", re.I)
+_AT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:at|@|arroba|ät)\s*\)|\[\s*(?:at|@|arroba|ät)\s*\]|\{\s*(?:at|@|arroba|ät)\s*\}|<\s*(?:at|@|arroba|ät)\s*>)\s*", re.I)
+_DOT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.|punkt|point|punto)\s*>)\s*", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:dot|punkt|point|punto)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:at|arroba)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -86,8 +86,6 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS})(?![
 _ONE_WORD = re.compile(_WORDS, re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+(?=[0-9])", re.I)
 _MISREAD = re.compile(r"(?<=[0-9])(?:[Oo]|[Il|])(?=[0-9])")
-#: What a text must hold for a rewrite of it to matter, beside characters that are not ASCII.
-_HINT = re.compile(rf"[(\[{{<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[)\]}}>]|(?<=[A-Za-z0-9])[\s_](?:dot|punkt|point|punto)[\s_]|(?<![^\W_])(?:{_WORDS})[\s,-]{{1,3}}(?:{_WORDS})(?![^\W_])|(?<=[0-9])[OoIl|](?=[0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -187,12 +185,9 @@ def deobfuscate(text: str) -> Rewritten:
 
 def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only show once the text is deobfuscated, in code points of the text itself."""
-    if text.isascii():
-        if not _HINT.search(text):
-            return []
-    elif text.translate(_FOLD) == text and not _UNSEEN.search(text) and not _HINT.search(text):
-        return []
     clear = deobfuscate(text)
+    if clear.text == text:
+        return []
     found = []
     for s, kind, e in detect(clear.text):
         source = int(clear.start[s]), kind, int(clear.end[e - 1])

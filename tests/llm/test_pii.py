@@ -59,6 +59,23 @@ def test_disguises(text, kind, hidden):
     assert hidden not in pii.redact(text, full)
 
 
+@pytest.mark.parametrize("text, kind, hidden", [
+    ("call plus 49 151 2345 6789 now", 3, "plus 49 151 2345 6789"),
+    ("bob at example  dot\ncom", 0, "bob at example  dot\ncom"),
+    ("+49 151 two 345 six 789", 3, "+49 151 two 345 six 789"),
+    ("card 4111 one 111 1111 1111", 2, "4111 one 111 1111 1111"),
+    ("bob (at)  example (dot) (dot) com bob [at] a [dot] com", 0, "bob [at] a [dot] com"),
+])
+def test_disguises_without_another_hint(text, kind, hidden):
+    base, full = pii.spans(text)
+    place = text.index(hidden), kind, text.index(hidden) + len(hidden)
+    assert place not in base and place in full
+
+
+def test_long_runs_of_spaces_take_linear_time():
+    assert pii.spans("a" + " " * 300_000 + "b" + " (at" * 1000 + "\n" * 300_000) == ([], [])
+
+
 @pytest.mark.parametrize("text", [
     "look at the 42.144.35.254 at x dot", "see us at example.com", "one two three and four", "at home. The dot is at the end dot", "un un deux trois", "почта и Ελληνικά κείμενα", "",
     "we met at noon. Dot said so", "rows at 10.20 and 30.40", "the (at) sign", "seven eight nine times",
