@@ -246,34 +246,45 @@ class Contexts:
         return before, np.where(end >= first, known[end], 0)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice, the words that are frequent in it: their uses, and the documents of each pair of them (a pair of one: of that word)."""
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The uses of every word of each slice."""
     for batch in batches:
         for part in tokens.slices(batch, "text", SLICE_BYTES):
-            words = tokens.cut(part.column("text"), lower=True)
-            vocabulary = tokens.Vocabulary(words)
+            vocabulary = tokens.Vocabulary(tokens.cut(part.column("text"), lower=True))
             uses = np.bincount(vocabulary.of, minlength=len(vocabulary.hash))
-            top = np.sort(np.argsort(-uses, kind="stable")[: TOP_WORDS * 3 // 2])
-            number = np.full(len(uses), -1)
-            number[top] = np.arange(len(top))
-            own = number[vocabulary.of]
-            held = np.zeros((part.num_rows, len(top)), np.float32)
-            held[words.doc[own >= 0], own[own >= 0]] = 1
-            both = (held.T @ held).astype(np.int64)
-            a, b = np.nonzero(np.triu(both))
-            h = vocabulary.hash[top].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h[a], h[b], both[a, b], np.where(a == b, uses[top][a], 0))], ["a", "b", "docs", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array(vocabulary.hash.view(np.int64)), pa.array(uses.astype(np.int64))], ["a", "uses"])
+
+
+def _together(top: np.ndarray):
+    """Of each slice, the documents of each pair of the words of top, sorted hashes (a pair of one: of that word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch, "text", SLICE_BYTES):
+                words = tokens.cut(part.column("text"), lower=True)
+                vocabulary = tokens.Vocabulary(words)
+                at = np.minimum(np.searchsorted(top, vocabulary.hash), len(top) - 1)
+                own = np.where(top[at] == vocabulary.hash, at, -1)[vocabulary.of]
+                held = np.zeros((part.num_rows, len(top)), np.float32)
+                held[words.doc[own >= 0], own[own >= 0]] = 1
+                both = (held.T @ held).astype(np.int64)
+                a, b = np.nonzero(np.triu(both))
+                h = top.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], h[b], both[a, b])], ["a", "b", "docs"])
+
+    return run
 
 
 def learn_contexts(docs: DataFrame) -> Contexts:
     """Classes of the most frequent words of docs (text)."""
-    pairs = docs.select("text").mapInArrow(_frequent, "a long, b long, docs long, uses long").groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
-    top = pairs.filter("a = b").orderBy(F.desc("uses"), "a").limit(TOP_WORDS).select("a", "docs").collect()
+    uses = docs.select("text").mapInArrow(_uses, "a long, uses long").groupBy("a").agg(F.sum("uses").alias("uses"))
+    top = uses.orderBy(F.desc("uses"), "a").limit(TOP_WORDS).collect()
     n = docs.count()
     rank = {r["a"]: i for i, r in enumerate(top)}
     if not rank:
         return Contexts(np.zeros(0, U64), np.zeros(0, np.int64))
-    some = pairs.filter(F.col("a").isin(list(rank)) & F.col("b").isin(list(rank))).collect()
+    hashes = np.array([r["a"] for r in top], np.int64).view(U64)
+    some = docs.select("text").mapInArrow(_together(np.sort(hashes)), "a long, b long, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs")).collect()
     share = np.zeros((len(rank), len(rank)))
     for r in some:
         i, j = rank[r["a"]], rank[r["b"]]
@@ -287,7 +298,6 @@ def learn_contexts(docs: DataFrame) -> Contexts:
             leaders.append(i)
             best = len(leaders) - 1
         classes[i] = best + 1
-    hashes = np.array([r["a"] for r in top], np.int64).view(U64)
     order = np.argsort(hashes)
     return Contexts(hashes[order], classes[order])
 

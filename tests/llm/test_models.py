@@ -116,6 +116,18 @@ def test_language_model(spark, corpus):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def test_frequent_words_are_counted_over_all_slices(spark):
+    rows = [(i, " ".join(f"w{i}x{j} " * 3 for j in range(100)) + " shared" * 2, None, "", "") for i in range(4)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        contexts = language_model.learn_contexts(spark.createDataFrame(rows, DOCS))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    words = language_model.tokens.cut(language_model.pa.array(["shared"]), lower=True)
+    assert language_model.tokens.Vocabulary(words).hash[0] in contexts.hashes
+
+
 def test_spelling_is_a_distribution():
     rng = np.random.default_rng(2)
     words = [bytes(rng.choice(list(b"abcd"), rng.integers(0, 9))) for _ in range(400)]
