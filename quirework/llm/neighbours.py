@@ -5,37 +5,49 @@ the k + 1 smallest ids are kept, as no more can be among anyone's k nearest. The
 graph, too, is by inner product, so that where norms differ, lists lead to the
 long vectors that are the answers; a long vector may be on very many lists.
 
-Nodes are dealt out in bundles by a hash of their key. A graph of each node's
-nearest nodes starts from a few random partitions into cells of bounded size.
-Then NN-descent: every node joins its neighbours and those that list it, pair by
-pair, and proposes each to the other. A round is three Spark joins by bundle:
-requests for the vectors of neighbours, their delivery, and the proposals. As
-the method has it, of the nodes that list one, at most REVERSE take part in a
-round, chosen anew by hash each time. Rounds go on until one changes hardly any
-list (SETTLED).
-
-A query keeps a beam of the best nodes seen, at first its own node and the best
-of 2 * ENTRIES entries that all queries share. A round expands its best unexpanded
-ones: their neighbour lists come from the bundles that hold them, and the
-bundles of the neighbours score these. The search ends when no beam holds an
-unexpanded node; beams are wider the more nodes there are. Scores that are returned are computed
-again from the original vectors in double precision.
-
-Messages travel as packed arrays. Nothing is gathered per node or query beyond
-the bounded beam and lists.
-
-Defined results: vectors that are null, zero, of another length than most, or
-that hold a null or non-finite component take no part, as queries or otherwise.
-Rows that share an id are separate candidates; a query never returns its own id.
-Ties go to the smaller id. With fewer candidates than asked for, all that are
-found are returned. Empty tables give empty results. Columns other than id and
-vector are ignored.
+Nodes are dealt out in bundles by a hash of their key. All work is done in
+supersteps: a table of rows, each for one bundle, is grouped by bundle; a
+bundle gets its graph and its messages, and returns its graph and new messages.
+A superstep is one exchange. Messages are packed arrays; a bundle sends another
+a vector once, however many of its nodes asked for it.
+
+The graph starts from a few random partitions into cells of CELL nodes, a small
+multiple of K. In a round of NN-descent
+
+1. every node tells its neighbours that it lists them (LISTED);
+2. a node's candidates are its neighbours and a sample of REVERSE of those that
+   list it; if any is new to the list that it was on, their vectors are asked
+   for (WANT);
+3. these are given (GIVEN), with the least similarity that their lists hold;
+4. candidates are joined pair by pair, if one of the pair is new, and each is
+   offered the best of the others, if better than what its list has (OFFER);
+   lists take the best K.
+
+Rounds go on until one changes hardly any entry (SETTLED).
+
+A query keeps a beam of the best nodes seen, at first its own neighbours and the
+best of 2 * ENTRIES entries that all queries share. A round expands its best
+unexpanded ones: the bundles that hold these pass the query on to the bundles of
+their neighbours, which score them. The search ends when no beam holds an
+unexpanded node. Scores that are returned are computed again from the original
+vectors in double precision.
+
+Nothing is gathered per node or query beyond the bounded beam and lists.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite
+component take no part, as queries or otherwise. Where lengths differ, the
+shorter of two vectors is read as if it went on with zeros. Rows that repeat
+both an id and a vector are one candidate, rows that share an id only are
+separate ones; a query never returns its own id. Queries that share an id are
+answered each. Ties go to the smaller id. With fewer candidates than asked for,
+all that are found are returned. Empty tables give empty results. Columns other
+than id and vector are ignored. Scores beyond a double are infinite.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,354 +57,441 @@ from pyspark.sql import functions as F
 from . import tokens
 from .store import Scratch
 
-K, REVERSE, PROPOSE = 32, 24, 8
-CELL, PARTITIONS = 1024, 8
+K, REVERSE, PROPOSE = 40, 32, 8
+CELL, PARTITIONS = 128, 4
 #: NN-descent ends with a round that changes no more than this share of all list entries.
 SETTLED = 0.01
-BUNDLE = 2048
-#: The beam at up to BEAM_NODES nodes, beyond which it grows with their square root; a quarter of it is expanded in a round.
+#: Nodes of a bundle, about, at up to BUNDLE_NUMBERS / BUNDLE components; fewer for longer vectors.
+BUNDLE, BUNDLE_NUMBERS = 4096, 1 << 19
+#: The beam at up to BEAM_NODES nodes, beyond which it grows with their square root; half of it is expanded in a round.
 BEAM, BEAM_NODES = 160, 1 << 15
 #: Entries of the search: so many of the longest vectors, and so many that their hash picks.
 ENTRIES = 64
-NODES = "bundle int, n int, ids binary, vecs binary, nbrs binary, sims binary, changed long"
-MESSAGE = "dest int, kind int, n int, a binary, b binary, x binary"
-WANT, LISTS, GIVEN, OFFER = 0, 1, 2, 3
-_NODES = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "nbrs", "sims")), ("changed", pa.int64())])
-_MESSAGE = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("a", "b", "x"))])
+#: Lists joined at once.
+LISTS_AT_ONCE = 256
+GRAPH, CELLS, OFFER, LISTED, WANT, GIVEN, JOIN, QUERY, BEAMS, ASK, PASS = range(11)
+PARTS = ("a", "b", "c", "d", "e", "f")
+ROW = "bundle int, kind int, source int, n int, " + ", ".join(f"{p} binary" for p in PARTS) + ", count long"
+_ARROW = pa.schema([(c, pa.int32()) for c in ("bundle", "kind", "source", "n")] + [(p, pa.binary()) for p in PARTS] + [("count", pa.int64())])
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(schema, columns, strict=True)}, schema=schema)
+def bundle_of(ids: np.ndarray, bundles: int) -> np.ndarray:
+    return (tokens.mix(ids.view(tokens.U64).copy()) & tokens.U64(bundles - 1)).astype(np.int64)
 
 
-def bundle_of(ids: np.ndarray, bundles: int, salt: int = 0) -> np.ndarray:
-    return (tokens.mix(ids.view(tokens.U64) + tokens.U64(salt)) & tokens.U64(bundles - 1)).astype(np.int64)
+def _row(bundle: int, kind: int, *parts: np.ndarray, source: int = 0, count: int = 0) -> tuple:
+    packed = [np.ascontiguousarray(p).tobytes() for p in parts]
+    return int(bundle), kind, int(source), len(parts[0]) if parts else 0, *packed, *[b""] * (len(PARTS) - len(parts)), int(count)
 
 
-def _send(kind: int, dest: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None) -> list[tuple]:
-    """One packed message for each destination."""
+def _send(kind: int, dest: np.ndarray, *parts: np.ndarray, source: int = 0) -> list[tuple]:
+    """One message for each destination, of the rows of parts that go there."""
     if not len(dest):
         return []
     order = np.argsort(dest, kind="stable")
-    dest, a, b = dest[order], a[order], b[order]
-    x = x[order] if x is not None else None
+    dest, parts = dest[order], [p[order] for p in parts]
     start = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]])
-    out = []
-    for low, high in zip(start, np.r_[start[1:], len(dest)], strict=True):
-        out.append((int(dest[low]), kind, int(high - low), a[low:high].tobytes(), b[low:high].tobytes(), x[low:high].tobytes() if x is not None else b""))
+    return [_row(dest[low], kind, *(p[low:high] for p in parts), source=source) for low, high in zip(start, np.r_[start[1:], len(dest)], strict=True)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_ARROW)
+    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_ARROW, columns, strict=True)}, schema=_ARROW)
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, which are the first of their kind."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    changed = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        changed |= k[1:] != k[:-1]
+    return np.r_[True, changed]
+
+
+def _rank(group: np.ndarray) -> np.ndarray:
+    """Place of each row in its group; rows are sorted by group."""
+    return np.arange(len(group)) - np.searchsorted(group, group)
+
+
+def _at_most(most: int, by: np.ndarray, *group: np.ndarray) -> np.ndarray:
+    """Which rows are among the first most of their group in the order of by."""
+    order = np.lexsort((by, *group))
+    start = np.flatnonzero(_first_of(*(g[order] for g in group)))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    out = np.zeros(len(order), bool)
+    out[order[rank < most]] = True
     return out
 
 
-def _received(group: pa.Table, kind: int, width: int = 0, dtype: type = np.float16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and x of all messages of a kind."""
-    rows = [r for r in group.to_pylist() if r["kind"] == kind]
-    joined = [b"".join(r[c] for r in rows) for c in ("a", "b", "x")]
-    x = np.frombuffer(joined[2], dtype)
-    return np.frombuffer(joined[0], np.int64), np.frombuffer(joined[1], np.int64), x.reshape(-1, width) if width else x
+class Inbox:
+    """The rows of one bundle."""
 
+    def __init__(self, table: pa.Table):
+        rows = table.to_pylist()
+        self.bundle = rows[0]["bundle"]
+        self.rows = {kind: [r for r in rows if r["kind"] == kind] for kind in {r["kind"] for r in rows}}
 
-class Bundle:
-    """Nodes of a bundle, sorted by key: vectors, neighbours (their own key where there is none) and similarities; and how many neighbours are new."""
+    def of(self, kind: int, part: str, dtype: type, width: int = 0) -> np.ndarray:
+        out = np.frombuffer(b"".join(r[part] for r in self.rows.get(kind, ())), dtype)
+        return out.reshape(-1, width) if width else out
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, changed: int = 0):
-        self.ids, self.vecs, self.nbrs, self.sims, self.changed = ids, vecs, nbrs, sims, changed
+    def kept(self, *kinds: int) -> list[tuple]:
+        return [tuple(r[f] for f in _ARROW.names) for k in kinds for r in self.rows.get(k, ())]
 
-    @staticmethod
-    def read(table: pa.Table) -> Bundle | None:
-        if not table.num_rows:
+    def graph(self, d: int) -> Graph | None:
+        if GRAPH not in self.rows:
             return None
-        (r,) = table.to_pylist()
-        n = r["n"]
-        return Bundle(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float16).reshape(n, -1), np.frombuffer(r["nbrs"], np.int64).reshape(n, K), np.frombuffer(r["sims"], np.float32).reshape(n, K))
+        return Graph(self.of(GRAPH, "a", np.int64), self.of(GRAPH, "b", np.float16, d), self.of(GRAPH, "c", np.float32), self.of(GRAPH, "d", np.int64, K), self.of(GRAPH, "e", np.float32, K), self.of(GRAPH, "f", bool, K))
+
+
+class Graph:
+    """The nodes of a bundle, sorted by key: directions and norms; neighbours, nearest first (their own key where there is none), with similarities and whether they are new."""
 
-    def row(self, bundle: int) -> tuple:
-        return bundle, len(self.ids), self.ids.tobytes(), self.vecs.tobytes(), self.nbrs.tobytes(), self.sims.tobytes(), self.changed
+    def __init__(self, ids: np.ndarray, dirs: np.ndarray, norms: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray):
+        self.ids, self.dirs, self.norms, self.nbrs, self.sims, self.fresh = ids, dirs, norms, nbrs, sims, fresh
+
+    @staticmethod
+    def empty(ids: np.ndarray, dirs: np.ndarray, norms: np.ndarray) -> Graph:
+        return Graph(ids, dirs, norms, np.repeat(ids[:, None], K, 1), np.full((len(ids), K), -np.inf, np.float32), np.zeros((len(ids), K), bool))
+
+    def row(self, bundle: int, changed: int = 0) -> tuple:
+        return _row(bundle, GRAPH, self.ids, self.dirs, self.norms, self.nbrs, self.sims, self.fresh, count=changed)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ids, ids)
 
-    def offered(self, a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> Bundle:
-        """With the best K of the neighbours so far and those offered: b to a, both keys."""
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each node, key of its neighbour and whether that is new, for all neighbours."""
         own = self.nbrs != self.ids[:, None]
-        a = np.concatenate([self.places(a), np.repeat(np.arange(len(self.ids)), own.sum(1))])
-        fresh = np.arange(len(a)) < len(b)
-        b, sims = np.concatenate([b, self.nbrs[own]]), np.concatenate([sims, self.sims[own]])
+        return np.repeat(np.arange(len(self.ids)), own.sum(1)), self.nbrs[own], self.fresh[own]
+
+    def offered(self, to: np.ndarray, offered: np.ndarray, sims: np.ndarray) -> tuple[Graph, int]:
+        """With the best K of the neighbours so far and those offered; and how many of these are new."""
+        place, near, old = self.edges()
+        n = len(near)
+        a, b = np.concatenate([place, self.places(to)]), np.concatenate([near, offered])
+        x = np.concatenate([self.sims[self.nbrs != self.ids[:, None]], sims])
+        fresh, come = np.concatenate([old, np.ones(len(to), bool)]), np.arange(len(a)) >= n
         keep = b != self.ids[a]
-        a, b, sims, fresh = a[keep], b[keep], sims[keep], fresh[keep]
-        order = np.lexsort((fresh, b, a))
-        a, b, sims, fresh = a[order], b[order], sims[order], fresh[order]
-        new = np.r_[np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b, sims, fresh = a[new], b[new], sims[new], fresh[new]
-        order = np.lexsort((b, -sims, a))
-        a, b, sims, fresh = a[order], b[order], sims[order], fresh[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        a, b, x, fresh, come = a[keep], b[keep], x[keep], fresh[keep], come[keep]
+        order = np.lexsort((come, b, a))
+        order = order[_first_of(a[order], b[order])]
+        order = order[np.lexsort((b[order], -x[order], a[order]))]
+        a, b, x, fresh, come = a[order], b[order], x[order], fresh[order], come[order]
+        rank = _rank(a)
         best = rank < K
-        nbrs = np.repeat(self.ids[:, None], K, 1)
-        out = np.full(nbrs.shape, -np.inf, np.float32)
-        nbrs[a[best], rank[best]], out[a[best], rank[best]] = b[best], sims[best]
-        return Bundle(self.ids, self.vecs, nbrs, out, int(fresh[best].sum()))
+        out = Graph.empty(self.ids, self.dirs, self.norms)
+        at = a[best], rank[best]
+        out.nbrs[at], out.sims[at], out.fresh[at] = b[best], x[best], fresh[best]
+        return out, int(come[best].sum())
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each node and key of its neighbour, for all neighbours."""
-        own = self.nbrs != self.ids[:, None]
-        return np.repeat(np.arange(len(self.ids)), own.sum(1)), self.nbrs[own]
 
+def superstep(table: DataFrame, work: Callable[[Inbox], list[tuple]]) -> DataFrame:
+    return table.groupBy("bundle").applyInArrow(lambda rows: _table(work(Inbox(rows))), ROW)
 
-def _pack(d: int):
-    def pack(group: pa.Table) -> pa.Table:
-        ids = group.column("node").to_numpy()
-        order = np.argsort(ids)
-        vecs = np.frombuffer(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes(), np.float32).reshape(len(ids), d)
-        ids = ids[order]
-        empty = Bundle(ids, vecs[order].astype(np.float16), np.repeat(ids[:, None], K, 1), np.full((len(ids), K), -np.inf, np.float32))
-        return _table([empty.row(int(group.column("bundle")[0].as_py()))], _NODES)
 
-    return pack
+def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and norms."""
+    top = np.abs(vectors).max(1, keepdims=True)
+    scaled = vectors / top
+    norms = np.sqrt((scaled * scaled).sum(1, keepdims=True))
+    return scaled / norms, (top * norms)[:, 0]
 
 
-def _cells(d: int, bits: int, p: int):
-    """Sends each node to the cell of one random partition: the side of each of some hyperplanes."""
+def _packed(bundles: int, d: int, largest: float):
+    """Nodes (node, v) as pieces of graphs without edges, one for each bundle and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(1000 + p).normal(size=(d, max(bits, 1)))
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, vecs = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float16).reshape(r["n"], -1)
-                side = (vecs.astype(np.float32) @ planes > 0) @ (1 << np.arange(max(bits, 1))) if bits else np.zeros(len(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side.astype(np.int64)), pa.array([v.tobytes() for v in vecs], pa.binary())], ["node", "side", "v"])
+            ids = batch.column("node").to_numpy()
+            vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d)
+            dirs, norms = _directions(vectors / largest)
+            yield from _table(_send(GRAPH, bundle_of(ids, bundles), ids, dirs.astype(np.float16), norms.astype(np.float32))).to_batches()
+
+    return run
+
+
+def _scatter(bundles: int, d: int, bits: int):
+    """Packs a bundle's nodes, and sends each to a cell of every partition: the side of each of some random hyperplanes.
+
+    Where several of the bundle's nodes meet in a cell it is large, as bundles
+    are random samples, and is dealt out over several bundles.
+    """
+
+    def run(inbox: Inbox) -> list[tuple]:
+        ids = inbox.of(GRAPH, "a", np.int64)
+        order = np.argsort(ids)
+        graph = Graph.empty(ids[order], inbox.of(GRAPH, "b", np.float16, d)[order], inbox.of(GRAPH, "c", np.float32)[order])
+        out = [graph.row(inbox.bundle)]
+        for p in range(PARTITIONS):
+            planes = np.random.default_rng(1000 + p).normal(size=(d, max(bits, 1))).astype(np.float32)
+            side = ((graph.dirs.astype(np.float32) @ planes > 0) @ (1 << np.arange(max(bits, 1)))).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+            _, of, size = np.unique(side, return_inverse=True, return_counts=True)
+            shares = np.where(size > 1, -(-size * bundles // BUNDLE), 1)[of]
+            share = (tokens.mix(graph.ids.view(tokens.U64) + tokens.U64(p)) % shares.astype(tokens.U64)).astype(np.int64)
+            cell = tokens.mix((side * PARTITIONS + p).view(tokens.U64) ^ (share.view(tokens.U64) << tokens.U64(48))).view(np.int64)
+            out += _send(CELLS, bundle_of(cell, bundles), graph.ids, graph.dirs, graph.norms, cell)
+        return out
 
     return run
 
 
-def _near_in_cells(bundles: int):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("side", "ascending"), ("part", "ascending")])
-        ids, side, part = (group.column(c).to_numpy() for c in ("node", "side", "part"))
-        vecs = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-        start = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (part[1:] != part[:-1])])
-        a, b, x = [], [], []
+def _join_cells(bundles: int, d: int):
+    """Offers each node the best of its cells; a cell of more than CELL nodes is cut in parts, in the order of a hash."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        out = inbox.kept(GRAPH)
+        ids, dirs, norms, cell = inbox.of(CELLS, "a", np.int64), inbox.of(CELLS, "b", np.float16, d), inbox.of(CELLS, "c", np.float32), inbox.of(CELLS, "d", np.int64)
+        order = np.lexsort((tokens.mix(ids.view(tokens.U64).copy()), cell))
+        ids, dirs, norms, cell = ids[order], dirs[order], norms[order], cell[order]
+        start = np.flatnonzero(_first_of(cell) | (_rank(cell) % CELL == 0))
+        to, offered, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for low, high in zip(start, np.r_[start[1:], len(ids)], strict=True):
             n = min(K, high - low - 1)
             if n < 1:
                 continue
-            s = vecs[low:high] @ vecs[low:high].T
-            np.fill_diagonal(s, -np.inf)
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            a.append(np.repeat(ids[low:high], n))
-            b.append(ids[low:high][best].ravel())
-            x.append(np.take_along_axis(s, best, 1).ravel())
-        if not a:
-            return _table([], _MESSAGE)
-        a, b, x = np.concatenate(a), np.concatenate(b), np.concatenate(x).astype(np.float32)
-        return _table(_send(OFFER, bundle_of(a, bundles), a, b, x), _MESSAGE)
+            own = dirs[low:high].astype(np.float32)
+            x = own @ own.T * norms[low:high]
+            np.fill_diagonal(x, -np.inf)
+            best = np.argpartition(-x, n - 1, axis=1)[:, :n]
+            to.append(np.repeat(ids[low:high], n))
+            offered.append(ids[low:high][best].ravel())
+            sims.append(np.take_along_axis(x, best, 1).ravel())
+        to, offered, sims = np.concatenate(to), np.concatenate(offered), np.concatenate(sims)
+        return out + _send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
     return run
 
 
-def _take_offers(nodes: pa.Table, messages: pa.Table) -> pa.Table:
-    own = Bundle.read(nodes)
-    if own is None:
-        return _table([], _NODES)
-    a, b, x = _received(messages, OFFER, dtype=np.float32)
-    return _table([own.offered(a, b, x).row(int(nodes.column("bundle")[0].as_py()))], _NODES)
+def _take(bundles: int, d: int, salt: int):
+    """Lists take what is offered; every node tells its neighbours that it lists them, at most REVERSE of a bundle each."""
 
+    def run(inbox: Inbox) -> list[tuple]:
+        graph = inbox.graph(d)
+        if graph is None:
+            return []
+        graph, changed = graph.offered(inbox.of(OFFER, "a", np.int64), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
+        place, near, fresh = graph.edges()
+        by = graph.ids[place]
+        some = _at_most(REVERSE, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), near, fresh)
+        return [graph.row(inbox.bundle, changed), *_send(LISTED, bundle_of(near[some], bundles), near[some], by[some], fresh[some])]
 
-def _at_most(group: np.ndarray, by: np.ndarray, most: int) -> np.ndarray:
-    """Which rows are among the first most of their group in the order of by."""
-    order = np.lexsort((by, group))
-    rank = np.arange(len(order)) - np.searchsorted(group[order], group[order])
-    out = np.zeros(len(order), bool)
-    out[order[rank < most]] = True
-    return out
-
+    return run
 
-def _ask(bundles: int, salt: int):
-    """Every node asks its neighbours for their vectors and sends them its own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = Bundle.read(pa.Table.from_batches([batch.slice(i, 1)]))
-                at, b = own.edges()
-                a, dest = own.ids[at], bundle_of(b, bundles)
-                rows = _send(WANT, dest, b, a)
-                some = _at_most(b, tokens.mix(a.view(tokens.U64) + tokens.U64(salt)), REVERSE)
-                rows += _send(LISTS, dest[some], b[some], a[some], own.vecs[at[some]])
-                yield from _table(rows, _MESSAGE).to_batches()
+def _candidates(bundles: int, d: int, salt: int):
+    """Asks for the vectors of all candidates of nodes that have a new one."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        graph = inbox.graph(d)
+        if graph is None:
+            return []
+        place, near, fresh = graph.edges()
+        listed, by, new = inbox.of(LISTED, "a", np.int64), inbox.of(LISTED, "b", np.int64), inbox.of(LISTED, "c", bool)
+        some = _at_most(REVERSE, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), listed, new)
+        place, near, fresh = np.concatenate([place, graph.places(listed[some])]), np.concatenate([near, by[some]]), np.concatenate([fresh, new[some]])
+        order = np.lexsort((~fresh, near, place))
+        order = order[_first_of(place[order], near[order])]
+        place, near, fresh = place[order], near[order], fresh[order]
+        active = (np.bincount(place, fresh, len(graph.ids)) > 0)[place]
+        place, near, fresh = place[active], near[active], fresh[active]
+        graph.fresh = np.zeros_like(graph.fresh)
+        wanted = np.unique(near)
+        return [graph.row(inbox.bundle), _row(inbox.bundle, JOIN, place.astype(np.int32), near, fresh), *_send(WANT, bundle_of(wanted, bundles), wanted, source=inbox.bundle)]
 
     return run
 
 
-def _deliver(bundles: int, salt: int, d: int):
-    """A bundle answers with the vectors asked for, and passes on which nodes list its own."""
-
-    def run(nodes: pa.Table, messages: pa.Table) -> pa.Table:
-        own = Bundle.read(nodes)
-        if own is None:
-            return _table([], _MESSAGE)
-        here, asking, _ = _received(messages, WANT)
-        rows = _send(GIVEN, bundle_of(asking, bundles), asking, here, own.vecs[own.places(here)])
-        listed, by, vecs = _received(messages, LISTS, d)
-        some = _at_most(listed, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), REVERSE)
-        return _table(rows + _send(GIVEN, bundle_of(listed[some], bundles), listed[some], by[some], vecs[some]), _MESSAGE)
+def _give(d: int):
+    def run(inbox: Inbox) -> list[tuple]:
+        graph = inbox.graph(d)
+        if graph is None:
+            return []
+        out = inbox.kept(GRAPH, JOIN)
+        for r in inbox.rows.get(WANT, ()):
+            ids = np.frombuffer(r["a"], np.int64)
+            at = graph.places(ids)
+            out.append(_row(r["source"], GIVEN, ids, graph.dirs[at], graph.norms[at], graph.sims[at, -1]))
+        return out
 
     return run
 
 
-def _propose(bundles: int, d: int):
-    """Every node joins its neighbours pair by pair and offers to each the best of the others."""
+def _join(bundles: int, d: int):
+    """Joins the candidates of each node pair by pair and offers to each the best of the others."""
 
-    def run(messages: pa.Table) -> pa.Table:
-        a, b, vecs = _received(messages, GIVEN, d)
-        order = np.lexsort((b, a))
-        order = order[np.r_[np.ones(min(1, len(order)), bool), (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]]
-        a, b, vecs = a[order], b[order], vecs[order]
-        start = np.flatnonzero(np.r_[len(a) > 0, a[1:] != a[:-1]])
-        size = np.diff(np.r_[start, len(a)])
-        out_a, out_b, out_x = [], [], []
-        for low in range(0, len(start), 256):
-            s, n = start[low : low + 256], size[low : low + 256]
+    def run(inbox: Inbox) -> list[tuple]:
+        place, near, fresh = inbox.of(JOIN, "a", np.int32), inbox.of(JOIN, "b", np.int64), inbox.of(JOIN, "c", bool)
+        ids, dirs, norms, worst = inbox.of(GIVEN, "a", np.int64), inbox.of(GIVEN, "b", np.float16, d), inbox.of(GIVEN, "c", np.float32), inbox.of(GIVEN, "d", np.float32)
+        by_id = np.argsort(ids)
+        at = by_id[np.searchsorted(ids[by_id], near)]  # of each candidate, its vector
+        start = np.flatnonzero(_first_of(place))
+        size = np.diff(np.r_[start, len(place)])
+        to, offered, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for low in range(0, len(start), LISTS_AT_ONCE):
+            s, n = start[low : low + LISTS_AT_ONCE], size[low : low + LISTS_AT_ONCE]
             width = int(n.max())
-            at = np.minimum(s[:, None] + np.arange(width), len(a) - 1)
+            row = np.minimum(s[:, None] + np.arange(width), len(place) - 1)
             real = np.arange(width) < n[:, None]
-            x = np.where(real[:, :, None], vecs[at], 0).astype(np.float32)
-            sims = x @ x.transpose(0, 2, 1)
-            sims[~(real[:, :, None] & real[:, None, :])] = -np.inf
-            sims[:, np.arange(width), np.arange(width)] = -np.inf
-            m = min(PROPOSE, width)
-            best = np.argpartition(-sims, m - 1, axis=2)[:, :, :m]
-            value = np.take_along_axis(sims, best, 2)
-            to, which = np.broadcast_to(at[:, :, None], best.shape), np.take_along_axis(at, best.reshape(len(s), -1), 1).reshape(best.shape)
-            good = np.isfinite(value)
-            out_a.append(b[to[good]])
-            out_b.append(b[which[good]])
-            out_x.append(value[good])
-        if not out_a:
-            return _table([], _MESSAGE)
-        to, offered, value = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_x).astype(np.float32)
-        order = np.lexsort((offered, to))
-        order = order[np.r_[True, (to[order][1:] != to[order][:-1]) | (offered[order][1:] != offered[order][:-1])]]
-        to, offered, value = to[order], offered[order], value[order]
-        some = _at_most(to, -value, K)
-        return _table(_send(OFFER, bundle_of(to[some], bundles), to[some], offered[some], value[some]), _MESSAGE)
+            which = at[row]
+            own = dirs[which].astype(np.float32)
+            x = own @ own.transpose(0, 2, 1) * norms[which][:, None, :]
+            new = fresh[row] & real
+            good = (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :] & (x > worst[which][:, :, None])
+            good[:, np.arange(width), np.arange(width)] = False
+            if good.sum() <= PROPOSE * real.sum():
+                i, j, k = np.nonzero(good)
+            else:
+                x[~good] = -np.inf
+                m = min(PROPOSE, width)
+                best = np.argpartition(-x, m - 1, axis=2)[:, :, :m]
+                i, j, k = np.nonzero(np.isfinite(np.take_along_axis(x, best, 2)))
+                k = best[i, j, k]
+            to.append(which[i, j])
+            offered.append(which[i, k])
+            sims.append(x[i, j, k])
+        to, offered, sims = np.concatenate(to), np.concatenate(offered), np.concatenate(sims)
+        _, once = np.unique(to * len(ids) + offered, return_index=True)
+        to, offered, sims = to[once], offered[once], sims[once]
+        some = _at_most(K, -sims, to)
+        to, offered, sims = ids[to[some]], ids[offered[some]], sims[some]
+        return inbox.kept(GRAPH) + _send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
     return run
 
 
-def partitions_for(count: int) -> int:
-    """Starting partitions: two more for each doubling of the nodes, as cells hold a smaller share of them."""
-    return PARTITIONS + 2 * max(0, (count // BEAM_NODES).bit_length() - 1)
+def bundles_for(count: int, d: int) -> int:
+    return 1 << max(0, count // max(256, min(BUNDLE, BUNDLE_NUMBERS // d))).bit_length()
 
 
 def beam_for(count: int, k: int) -> int:
     return max(math.ceil(BEAM * max(1.0, count / BEAM_NODES) ** 0.5), 4 * k)
 
 
-def build(vectors: DataFrame, d: int, count: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """vectors: node, v (d floats). Returns the graph by bundle, and the number of bundles."""
-    bundles = 1 << max(0, (count // BUNDLE)).bit_length()
-    packed = vectors.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_pack(d), NODES)
-    nodes = scratch.write(packed, "nodes")
-    bits = max(0, (count // CELL)).bit_length()
-    offers = None
-    for p in range(partitions_for(count)):
-        dealt = nodes.mapInArrow(_cells(d, bits, p), "node long, side long, v binary")
-        sizes = dealt.groupBy("side").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-        dealt = dealt.join(sizes, "side").withColumn("part", F.pmod(F.xxhash64(F.lit(p), "node"), "parts")).withColumn("bundle", F.pmod(F.xxhash64("side", "part"), F.lit(bundles)))
-        near = dealt.select("bundle", "side", "part", "node", "v").groupBy("bundle").applyInArrow(_near_in_cells(bundles), MESSAGE)
-        offers = near if offers is None else offers.union(near)
-    graph = scratch.write(nodes.groupBy("bundle").cogroup(offers.groupBy("dest")).applyInArrow(_take_offers, NODES), "graph0")
+def build(nodes: DataFrame, d: int, count: int, largest: float, scratch: Scratch, rounds: int | None = None) -> DataFrame:
+    """The graph of nodes (node, v: d doubles of at most largest), one row for each bundle.
+
+    rounds: so many rounds of NN-descent, instead of until it settles.
+    """
+    bundles = bundles_for(count, d)
+    table = superstep(nodes.mapInArrow(_packed(bundles, d, largest), ROW), _scatter(bundles, d, (count // CELL).bit_length() - 1 if count >= 2 * CELL else 0))
+    table = scratch.write(superstep(superstep(table, _join_cells(bundles, d)), _take(bundles, d, 0)), "graph0")
     i, changed = 0, K * count
-    while changed > SETTLED * K * count:
-        asked = graph.mapInArrow(_ask(bundles, i), MESSAGE)
-        given = graph.groupBy("bundle").cogroup(asked.groupBy("dest")).applyInArrow(_deliver(bundles, i, d), MESSAGE)
-        offers = given.groupBy("dest").applyInArrow(_propose(bundles, d), MESSAGE)
-        graph = scratch.write(graph.groupBy("bundle").cogroup(offers.groupBy("dest")).applyInArrow(_take_offers, NODES), f"graph{i + 1}")
-        scratch.drop(f"graph{i}")
-        changed = graph.agg(F.sum("changed")).first()[0] or 0
+    while changed > SETTLED * K * count if rounds is None else i < rounds:
+        for step in (_candidates(bundles, d, i), _give(d), _join(bundles, d), _take(bundles, d, i + 1)):
+            table = superstep(table, step)
         i += 1
-    return graph, bundles
+        table = scratch.write(table, f"graph{i}")
+        scratch.drop(f"graph{i - 1}")
+        changed = table.agg(F.sum("count")).first()[0] or 0
+    return table.filter(F.col("kind") == GRAPH)
 
 
-def _with_bundle(bundles: int):
+def _asked(bundles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(bundle_of(ids, bundles), pa.int32()), batch.column("node"), batch.column("v")], ["bundle", "node", "v"])
+            yield from _table(_send(QUERY, bundle_of(ids, bundles), ids)).to_batches()
 
     return run
 
 
-BEAMS = "bundle int, n int, ids binary, vecs binary, beam binary, sims binary, done binary, waiting long"
-_BEAMS = pa.schema([("bundle", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("ids", "vecs", "beam", "sims", "done")), ("waiting", pa.int64())])
-
-
-def _start(d: int, width: int, entry_ids: np.ndarray, entry_vecs: np.ndarray):
-    """Beams of the queries of a bundle: each starts at its own node and the nearest of the entries."""
-
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("node").to_numpy()
-        vecs = np.frombuffer(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes(), np.float32).reshape(len(ids), d)
-        beam = np.full((len(ids), width), -1, np.int64)
-        sims = np.full((len(ids), width), -np.inf, np.float32)
-        most = min(width - 1, len(entry_ids))
-        near = vecs @ entry_vecs.T
-        near[ids[:, None] == entry_ids[None, :]] = -np.inf
-        best = np.argsort(-near, 1, kind="stable")[:, :most]
-        sims[:, 1 : most + 1] = np.take_along_axis(near, best, 1)
-        beam[:, 1 : most + 1] = np.where(np.isfinite(sims[:, 1 : most + 1]), entry_ids[best], -1)
-        beam[:, 0], sims[:, 0] = ids, np.inf
-        done = np.zeros((len(ids), width), bool)
-        return _table([(int(group.column("bundle")[0].as_py()), len(ids), ids.tobytes(), vecs.tobytes(), beam.tobytes(), sims.tobytes(), done.tobytes(), len(ids))], _BEAMS)
-
-    return run
+class Beams:
+    """Of the queries of a bundle, by key: the best nodes seen, best first (-1 where there is none), their similarities and whether they have been expanded."""
 
+    def __init__(self, ids: np.ndarray, nodes: np.ndarray, sims: np.ndarray, done: np.ndarray):
+        self.ids, self.nodes, self.sims, self.done = ids, nodes, sims, done
 
-def _read_beams(r: dict) -> tuple:
-    n = r["n"]
-    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(n, -1), np.frombuffer(r["beam"], np.int64).reshape(n, -1), np.frombuffer(r["sims"], np.float32).reshape(n, -1), np.frombuffer(r["done"], bool).reshape(n, -1)
-
+    @staticmethod
+    def started(ids: np.ndarray, graph: Graph, entries: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> Beams:
+        """With each query's own node, its neighbours and the entries."""
+        at = graph.places(ids)
+        beams = Beams(ids, np.full((len(ids), width), -1, np.int64), np.full((len(ids), width), -np.inf, np.float32), np.zeros((len(ids), width), bool))
+        entry_ids, dirs, norms = entries
+        near = graph.dirs[at].astype(np.float32) @ dirs.T * norms
+        q, k = np.nonzero(graph.nbrs[at] != ids[:, None])
+        every = np.arange(len(ids))
+        query = np.concatenate([every, q, np.repeat(every, len(entry_ids))])
+        node = np.concatenate([ids, graph.nbrs[at][q, k], np.tile(entry_ids, len(ids))])
+        return beams.taken(query, node, np.concatenate([graph.norms[at], graph.sims[at][q, k], near.ravel()]))
+
+    def open(self) -> np.ndarray:
+        """The best unexpanded places of each beam."""
+        ready = ~self.done & (self.nodes != -1)
+        return ready & (np.cumsum(ready, 1) <= max(1, self.nodes.shape[1] // 2))
+
+    def taken(self, query: np.ndarray, node: np.ndarray, sims: np.ndarray) -> Beams:
+        """With the scored nodes; query: places of queries. A query's own node counts as expanded."""
+        q, k = np.nonzero(self.nodes != -1)
+        query, node, sims = np.concatenate([q, query]), np.concatenate([self.nodes[q, k], node]), np.concatenate([self.sims[q, k], sims]).astype(np.float32)
+        done = np.concatenate([self.done[q, k], np.zeros(len(query) - len(q), bool)]) | (node == self.ids[query])
+        order = np.lexsort((~done, node, query))
+        order = order[_first_of(query[order], node[order])]
+        order = order[np.lexsort((node[order], -sims[order], query[order]))]
+        query, node, sims, done = query[order], node[order], sims[order], done[order]
+        rank = _rank(query)
+        some = rank < self.nodes.shape[1]
+        out = Beams(self.ids, np.full_like(self.nodes, -1), np.full_like(self.sims, -np.inf), np.zeros_like(self.done))
+        at = query[some], rank[some]
+        out.nodes[at], out.sims[at], out.done[at] = node[some], sims[some], done[some]
+        return out
+
+
+def _with_directions(kind: int, dest: np.ndarray, node: np.ndarray, query: np.ndarray, known: np.ndarray, dirs: np.ndarray) -> list[tuple]:
+    """Messages of nodes and queries; each also with the directions of its queries, once. known: sorted queries, whose directions are dirs."""
+    out = []
+    for bundle, of, n, _, a, b, *rest in _send(kind, dest, node, query):
+        own = np.unique(np.frombuffer(b, np.int64))
+        out.append((bundle, of, n, len(own), a, b, own.tobytes(), dirs[np.searchsorted(known, own)].tobytes(), *rest[2:]))
+    return out
 
-def _open(beam: np.ndarray, sims: np.ndarray, done: np.ndarray) -> np.ndarray:
-    """The best unexpanded places of each beam (beams are sorted)."""
-    ready = ~done & (beam != -1) | np.isposinf(sims)
-    return ready & (np.cumsum(ready, 1) <= max(1, beam.shape[1] // 4))
 
+def _advance(bundles: int, d: int, width: int, entries):
+    """Beams take what was scored, and ask for the neighbours of their best unexpanded nodes."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        graph = inbox.graph(d)
+        if graph is None:
+            return []
+        out = [graph.row(inbox.bundle)]
+        if QUERY in inbox.rows:
+            beams = Beams.started(np.unique(inbox.of(QUERY, "a", np.int64)), graph, entries, width)
+        elif BEAMS in inbox.rows:
+            beams = Beams(inbox.of(BEAMS, "a", np.int64), inbox.of(BEAMS, "b", np.int64, width), inbox.of(BEAMS, "c", np.float32, width), inbox.of(BEAMS, "d", bool, width))
+            beams = beams.taken(np.searchsorted(beams.ids, inbox.of(OFFER, "a", np.int64)), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
+        else:
+            return out
+        now = beams.open()
+        beams.done |= now
+        q, k = np.nonzero(now)
+        node = beams.nodes[q, k]
+        out.append(_row(inbox.bundle, BEAMS, beams.ids, beams.nodes, beams.sims, beams.done, count=now.any(1).sum()))
+        return out + _with_directions(ASK, bundle_of(node, bundles), node, beams.ids[q], beams.ids, graph.dirs[graph.places(beams.ids)])
 
-def _expand(bundles: int):
-    """Queries ask for the neighbours of their best unexpanded nodes; with their vectors, as those are scored elsewhere."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, vecs, beam, sims, done = _read_beams(r)
-                q, k = np.nonzero(_open(beam, sims, done))
-                node = beam[q, k]
-                yield from _table(_send(WANT, bundle_of(node, bundles), node, ids[q], vecs[q]), _MESSAGE).to_batches()
 
-    return run
+def _known_directions(inbox: Inbox, kind: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    known, first = np.unique(inbox.of(kind, "c", np.int64), return_index=True)
+    return known, inbox.of(kind, "d", np.float16, d)[first]
 
 
-def _lists(bundles: int, d: int):
+def _pass_on(bundles: int, d: int):
     """Passes a query on to the bundles of the neighbours of a node."""
 
-    def run(nodes: pa.Table, messages: pa.Table) -> pa.Table:
-        own = Bundle.read(nodes)
-        if own is None or not messages.num_rows:
-            return _table([], _MESSAGE)
-        node, query, vecs = _received(messages, WANT, d, np.float32)
-        nbrs = own.nbrs[own.places(node)]
+    def run(inbox: Inbox) -> list[tuple]:
+        out, graph = inbox.kept(GRAPH, BEAMS), inbox.graph(d)
+        if graph is None or ASK not in inbox.rows:
+            return out
+        node, query = inbox.of(ASK, "a", np.int64), inbox.of(ASK, "b", np.int64)
+        nbrs = graph.nbrs[graph.places(node)]
         q, k = np.nonzero(nbrs != node[:, None])
-        near, asked = nbrs[q, k], query[q]
-        order = np.lexsort((near, asked))
-        order = order[np.r_[np.ones(min(1, len(order)), bool), (asked[order][1:] != asked[order][:-1]) | (near[order][1:] != near[order][:-1])]]
-        q, near, asked = q[order], near[order], asked[order]
-        dest = bundle_of(near, bundles)
-        rows = _send(LISTS, dest, near, asked)
-        order = np.lexsort((asked, dest))
-        first = order[np.r_[np.ones(min(1, len(order)), bool), (asked[order][1:] != asked[order][:-1]) | (dest[order][1:] != dest[order][:-1])]]
-        return _table(rows + _send(GIVEN, dest[first], asked[first], asked[first], vecs[q[first]]), _MESSAGE)
+        near, query = nbrs[q, k], query[q]
+        order = np.lexsort((near, query))
+        order = order[_first_of(query[order], near[order])]
+        near, query = near[order], query[order]
+        return out + _with_directions(PASS, bundle_of(near, bundles), near, query, *_known_directions(inbox, ASK, d))
 
     return run
 
@@ -400,100 +499,90 @@ def _lists(bundles: int, d: int):
 def _rate(bundles: int, d: int):
     """Scores nodes of a bundle for the queries passed on to it."""
 
-    def run(nodes: pa.Table, messages: pa.Table) -> pa.Table:
-        own = Bundle.read(nodes)
-        if own is None or not messages.num_rows:
-            return _table([], _MESSAGE)
-        node, query, _ = _received(messages, LISTS)
-        known, _, vecs = _received(messages, GIVEN, d, np.float32)
-        order = np.argsort(known, kind="stable")
-        pair = np.lexsort((node, query))
-        pair = pair[np.r_[np.ones(min(1, len(pair)), bool), (query[pair][1:] != query[pair][:-1]) | (node[pair][1:] != node[pair][:-1])]]
-        node, query = node[pair], query[pair]
-        v = vecs[order[np.searchsorted(known[order], query)]]
-        sims = np.einsum("ij,ij->i", own.vecs[own.places(node)].astype(np.float32), v).astype(np.float32)
-        return _table(_send(OFFER, bundle_of(query, bundles), query, node, sims), _MESSAGE)
+    def run(inbox: Inbox) -> list[tuple]:
+        out, graph = inbox.kept(GRAPH, BEAMS), inbox.graph(d)
+        if graph is None or PASS not in inbox.rows:
+            return out
+        node, query = inbox.of(PASS, "a", np.int64), inbox.of(PASS, "b", np.int64)
+        order = np.lexsort((node, query))
+        order = order[_first_of(query[order], node[order])]
+        node, query = node[order], query[order]
+        known, dirs = _known_directions(inbox, PASS, d)
+        at, of = graph.places(node), np.searchsorted(known, query)
+        sims = np.zeros(len(node), np.float32)
+        for low in range(0, len(node), 1 << 16):
+            s = slice(low, low + (1 << 16))
+            sims[s] = np.einsum("ij,ij->i", graph.dirs[at[s]].astype(np.float32), dirs[of[s]].astype(np.float32)) * graph.norms[at[s]]
+        return out + _send(OFFER, bundle_of(query, bundles), query, node, sims)
 
     return run
 
 
-def _advance(beams: pa.Table, messages: pa.Table) -> pa.Table:
-    """Queries take the scored nodes into their beams."""
-    if not beams.num_rows:
-        return _table([], _BEAMS)
-    (r,) = beams.to_pylist()
-    ids, vecs, beam, sims, done = _read_beams(r)
-    done = done | _open(beam, sims, done)
-    q, node, value = _received(messages, OFFER, dtype=np.float32)
-    by_id = np.argsort(ids)
-    q = by_id[np.searchsorted(ids[by_id], q)]
-    had = (beam != -1) & np.isfinite(sims)
-    q0, k0 = np.nonzero(had)
-    # a query's own node has been expanded; it comes back as a neighbour's neighbour, and is then known as done
-    allq, alln, allv = np.concatenate([q0, q]), np.concatenate([beam[q0, k0], node]), np.concatenate([sims[q0, k0], value])
-    alld = np.concatenate([done[q0, k0], ids[q] == node])
-    order = np.lexsort((~alld, alln, allq))
-    order = order[np.r_[np.ones(min(1, len(order)), bool), (allq[order][1:] != allq[order][:-1]) | (alln[order][1:] != alln[order][:-1])]]
-    order = order[np.lexsort((alln[order], -allv[order], allq[order]))]
-    allq, alln, allv, alld = allq[order], alln[order], allv[order], alld[order]
-    rank = np.arange(len(allq)) - np.searchsorted(allq, allq)
-    keep = rank < beam.shape[1]
-    new, new_sims, new_done = np.full(beam.shape, -1, np.int64), np.full(beam.shape, -np.inf, np.float32), np.zeros(beam.shape, bool)
-    new[allq[keep], rank[keep]], new_sims[allq[keep], rank[keep]], new_done[allq[keep], rank[keep]] = alln[keep], allv[keep], alld[keep]
-    return _table([(r["bundle"], r["n"], r["ids"], r["vecs"], new.tobytes(), new_sims.tobytes(), new_done.tobytes(), int(_open(new, new_sims, new_done).any(1).sum()))], _BEAMS)
-
-
-def _found(most: int):
+def _found(most: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, _, beam, _, _ = _read_beams(r)
-                q, k = np.nonzero(beam[:, :most] != -1)
-                extra = np.arange(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[q], ids[extra]])), pa.array(np.concatenate([beam[q, k], ids[extra]]))], ["query_node", "node"])
+                ids, nodes = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64).reshape(-1, width)[:, :most]
+                q, k = np.nonzero(nodes != -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(nodes[q, k])], ["query_node", "node"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row (query_id, rank, vec_id, score) for each of the k nearest found of each row for which is_query holds."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "nn")
-    rows = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), "__query")
+def _nodes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with their node: a hash of the vector. Vectors that differ but share a hash, if any do, get another one."""
+    hashed = rows.withColumn("node", F.xxhash64("v"))
+    shared = hashed.groupBy("node", "v").agg(F.lit(1)).groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("shared"))
+    shared = scratch.write(shared, "shared")
+    if shared.isEmpty():
+        return hashed
+    return hashed.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64(F.lit(11), "node", "v")).otherwise(F.col("node"))).drop("shared")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int | None = None) -> DataFrame:
+    """One row (query_id, rank, vec_id, score) for each of the k nearest found of each row for which is_query holds.
+
+    rounds: so many rounds of NN-descent, instead of until it settles.
+    """
+    scratch = Scratch(vectors.sparkSession, "nn")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(finite & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = common["d"] if common else 1
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = rows.filter(F.size("v") == d).withColumn("node", F.xxhash64("v"))
+    shape = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
+    d, largest = shape["d"] or 1, shape["largest"] or 1.0
+    padded = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v"))))
+    rows = scratch.write(_nodes(padded, scratch), "rows")
     first = Window.partitionBy("node").orderBy("vec_id")
-    members = scratch.write(rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1).drop("__query"), "members")
-    queries = scratch.write(rows.filter("__query").select("vec_id", "node", "v"), "queries")
-    one = members.filter("place = 1").select("node", "v", square(F.col("v")).alias("sq"))
-    most = one.agg(F.max("sq").alias("m"), F.count("*").alias("n")).first()
-    top, count = most["m"] or 0.0, most["n"]
-    scale = 1.0 / max(top, 1e-300) ** 0.5
-    level = F.transform("v", lambda x: (x * F.lit(scale)).cast("float"))
-    nodes = scratch.write(one.select("node", level.alias("v")), "unit")
-    graph, bundles = build(nodes, d, count, scratch)
-    asked = queries.groupBy("node").agg(F.first("v").alias("v")).select("node", level.alias("v"))
-    longest, spread = one.orderBy(F.desc("sq"), "node").limit(ENTRIES), one.orderBy("node").limit(ENTRIES)
-    entries = longest.union(spread).select("node").distinct().join(nodes, "node").orderBy("node").collect()
-    entry_ids, entry_vecs = np.array([r["node"] for r in entries], np.int64), np.array([r["v"] for r in entries], np.float32).reshape(-1, d)
-    beams = scratch.write(asked.mapInArrow(_with_bundle(bundles), "bundle int, node long, v array<float>").groupBy("bundle").applyInArrow(_start(d, beam_for(count, k), entry_ids, entry_vecs), BEAMS), "beams0")
-    i, waiting = 0, 1
-    while waiting:
-        wanted = beams.mapInArrow(_expand(bundles), MESSAGE)
-        passed = graph.groupBy("bundle").cogroup(wanted.groupBy("dest")).applyInArrow(_lists(bundles, d), MESSAGE)
-        rated = graph.groupBy("bundle").cogroup(passed.groupBy("dest")).applyInArrow(_rate(bundles, d), MESSAGE)
-        beams = scratch.write(beams.groupBy("bundle").cogroup(rated.groupBy("dest")).applyInArrow(_advance, BEAMS), f"beams{i + 1}")
-        scratch.drop(f"beams{i}")
-        waiting = beams.agg(F.sum("waiting")).first()[0] or 0
+    members = rows.select("node", "vec_id", "v").dropDuplicates(["node", "vec_id"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
+    members = scratch.write(members.select("node", "vec_id", "place", F.when(F.col("place") == 1, F.col("v")).alias("v")), "members")
+    nodes = members.filter("place = 1").select("node", "v")
+    count = nodes.count()
+    bundles, width = bundles_for(count, d), beam_for(count, k)
+    graph = scratch.write(build(nodes, d, count, largest, scratch, rounds), "graph")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x / F.lit(largest) * (x / F.lit(largest)))
+    longest, spread = nodes.orderBy(F.desc(square), "node").limit(ENTRIES), nodes.orderBy(F.xxhash64("node")).limit(ENTRIES)
+    chosen = {r["node"]: r["v"] for r in longest.union(spread).collect()}
+    ids = np.array(sorted(chosen), np.int64)
+    dirs, norms = _directions(np.array([chosen[i] for i in ids.tolist()], np.float64).reshape(-1, d) / largest) if len(ids) else (np.zeros((0, d)), np.zeros(0))
+    advance = _advance(bundles, d, width, (ids, dirs.astype(np.float32), norms.astype(np.float32)))
+    queries = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
+    asked = queries.select(F.col("query_node").alias("node")).distinct()
+    table = scratch.write(superstep(graph.union(asked.mapInArrow(_asked(bundles), ROW)), advance), "beams0")
+    i = 0
+    while table.filter(F.col("kind") == BEAMS).agg(F.sum("count")).first()[0]:
+        table = superstep(superstep(superstep(table, _pass_on(bundles, d)), _rate(bundles, d)), advance)
         i += 1
-    pairs = beams.mapInArrow(_found(2 * k), "query_node long, node long").distinct()
-    candidates = pairs.join(members.select("node", "v", F.col("vec_id").alias("other")), "node").select("query_node", "other", F.col("v").alias("w"))
-    both = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"), "v").join(candidates, "query_node").filter("query_id <> other")
-    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = both.select("query_id", F.col("other").alias("vec_id"), score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        table = scratch.write(table, f"beams{i}")
+        scratch.drop(f"beams{i - 1}")
+    pairs = table.filter(F.col("kind") == BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
+    vector_of = nodes.withColumnRenamed("v", "w")
+    both = pairs.join(vector_of, "node").join(nodes.select(F.col("node").alias("query_node"), "v"), "query_node")
+    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = both.select("query_node", "node", score.alias("score")).join(members.select("node", "vec_id"), "node")
+    order = Window.partitionBy("query_node").orderBy(F.desc("score"), "vec_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * k)
+    lists = best.groupBy("query_node").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("x"), "vec_id", "score"))).alias("near"))
+    # One row for each query until its own id is out: a vector that very many queries share has its list found once.
+    near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = queries.join(lists, "query_node").select("query_id", F.posexplode(near).alias("at", "hit"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

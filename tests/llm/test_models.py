@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from measure_recall import recall
+
 from quirework.llm import folds, language, language_model, neighbours, toxicity
 
 DOCS = "doc_id long, text string, lang string, score string, label string"
@@ -164,7 +166,7 @@ VECTORS = "vec_id long, embedding array<float>, rank string, label string"
 
 
 def brute(rows, k, dim):
-    kept = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows if i is not None and v is not None and None not in v and len(v) == dim and np.isfinite(v).all() and np.any(v)]
+    kept = [(i, np.pad(np.array(v, float), (0, dim - len(v)))) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     out = {}
     for q, v in kept:
         if q % 20 == 0:
@@ -181,7 +183,7 @@ def test_neighbours(spark, norms):
     rows += [(5000 + i, rows[40][1], "r", "l") for i in range(900)]
     rows += [(8000, None, "r", "l"), (8020, [0.0] * 16, "r", "l"), (8040, [math.nan] * 16, "r", "l"), (8060, [1.0, None] * 8, "r", "l"), (8080, [1.0] * 3, None, "l"), (8100, [], "r", "l"), (8120, [math.inf] * 16, "r", "l"), (None, rows[3][1], "r", "l")]
     out = neighbours.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect()
-    got, vectors = {}, {i: np.array(v, float) for i, v, *_ in rows[:3900]}
+    got, vectors = {}, {i: np.pad(np.array(v, float), (0, 16 - len(v))) for i, v, *_ in rows if v and None not in v}
     for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
         assert abs(r["score"] - vectors[r["query_id"]] @ vectors[r["vec_id"]]) < 1e-9
@@ -209,6 +211,35 @@ def test_neighbours_of_very_unequal_norms(spark):
     assert hits >= 0.9 * 20 * 400
 
 
+def test_rounds_do_the_work(spark):
+    rng = np.random.default_rng(8)
+    rows = {i: v.tolist() for i, v in enumerate(rng.normal(size=(5000, 32)))}
+    frame = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    scratch = neighbours.Scratch(spark, "test")
+    nodes = frame.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    share = {}
+    for rounds in (0, 2, None):
+        found = {}
+        for r in neighbours.build(nodes, 32, 5000, 6.0, scratch, rounds).collect():
+            ids, nbrs = np.frombuffer(r["a"], np.int64), np.frombuffer(r["d"], np.int64).reshape(-1, neighbours.K)
+            found.update({int(i): set(n[:20].tolist()) for i, n in zip(ids, nbrs, strict=True) if i % 20 == 0})
+        share[rounds] = recall(rows, found)
+    assert share[0] < 0.5 < share[2] < share[None] and share[None] >= 0.9
+    got = {}
+    for r in neighbours.search(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall(rows, got) >= 0.97
+
+
+def test_neighbours_are_scored_in_double_precision(spark):
+    rows = [(i, [1e30 * (1 + i * 1e-12), 1e-30, float(i % 3)]) for i in range(50)] + [(7, [1.0, 1.0]), (7, [2.0, 1.0]), (20, [1e30 * (1 + 20 * 1e-12), 1e-30, 2.0])]
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    first = [r for r in out if r["query_id"] == 0]
+    assert [r["vec_id"] for r in sorted(first, key=lambda r: r["rank"])] == list(range(49, 29, -1))
+    assert all(r["score"] == 1e30 * (1e30 * (1 + r["vec_id"] * 1e-12)) for r in first)
+    assert len(out) == 20 * 4
+
+
 def test_few_or_no_neighbours(spark):
     few = spark.createDataFrame([(i, [1.0, float(i)], "r", "l") for i in range(21)], VECTORS)
     out = neighbours.search(few, F.col("vec_id") % 20 == 0).collect()
