@@ -2,8 +2,9 @@
 
 Each half round is one minimum per node and one join; nothing is gathered per
 node, so a hub with very many neighbours is only pre-aggregated. The rounds end
-when the edges are stars. Nulls take no part; an empty edge table gives an
-empty result.
+when one changes nothing, which is when the edges are stars; there is no other
+bound, as each round that changes an edge brings it to a smaller node. Nulls take
+no part; an empty edge table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +27,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: two long columns (a, b). Returns (a, b): each node but the least of its component, and that least node."""
     scratch = Scratch(edges.sparkSession, "components")
     now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round0")
-    seen = None
-    for i in range(max_rounds):
+    seen, i = None, 0
+    while True:
         stat = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if not stat["n"] or stat == seen:
-            break
-        seen = stat
-        now = scratch.write(_star(_star(now, True), False), f"round{i + 1}")
-        if i:
-            scratch.drop(f"round{i - 1}")
-    return now
+            return now
+        seen, i = stat, i + 1
+        now = scratch.write(_star(_star(now, True), False), f"round{i}")
+        if i > 1:
+            scratch.drop(f"round{i - 2}")

@@ -28,8 +28,8 @@ lines don't gather in one task. Hashes have 64 bits, signatures of sets 128.
 
 Defined results: null or blank texts have an empty set, link with nothing and
 are their own component. A row with a null id takes no part and gets a null
-component. Rows that share an id are separate documents. Equal rows are linked
-copies. Empty tables give empty results. Columns other than id and text are
+component. Rows that share an id are separate documents; those that share text
+as well are one row with that many copies. Equal rows are linked copies. Empty tables give empty results. Columns other than id and text are
 ignored.
 """
 
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -328,20 +328,28 @@ def _links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return shipped.groupBy("bundle").applyInArrow(_verify, "key long, root long, links long")
 
 
-def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: the id where no rows share one, else a hash of id and text; null where the id is."""
+    i = F.col(id_col).cast("long")
+    if docs.select(i.alias("i")).filter("i IS NOT NULL").groupBy("i").count().filter("count > 1").isEmpty():
+        return i
+    return F.when(i.isNotNull(), F.xxhash64(i, F.col(text_col)))
+
+
+def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, n_links) for each document.
 
     component_id is the smallest id reachable by links; n_links the number of
-    other documents that the document links to, copies included.
+    other documents that the document links to, copies included. key: row_key
+    of docs, if the result is to have it as a column key, and in is_first
+    whether it is the one key of the component to keep: the least of those with
+    the smallest id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = docs.filter("doc_id IS NOT NULL")
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        keyed = named.withColumn("key", F.col("doc_id"))
-    else:
-        keyed = named.withColumn("key", F.xxhash64("doc_id", "text"))
+    with_key = key is not None
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (key if with_key else row_key(docs, id_col, text_col)).alias("key"))
+    keyed = docs.filter("doc_id IS NOT NULL")
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(0, (bytes_ // BUCKET_BYTES).bit_length())
     chunks = max(1, buckets // 2)
@@ -350,16 +358,21 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     profiles = scratch.write(pieces.filter(F.col("kind") == PROFILE).mapInArrow(_profile_rows, "doc_id long, key long, n long, hi long, lo long"), "profiles")
     found = scratch.write(pieces.groupBy("bucket").applyInArrow(_sets, SET), "found")
     scratch.drop("pieces")
-    classes = scratch.write(profiles.filter("n > 0").groupBy("n", "hi", "lo").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("weight")), "classes")
+    classes = scratch.write(profiles.filter("n > 0").groupBy("n", "hi", "lo").agg(F.min("key").alias("key"), F.min(F.struct("doc_id", F.col("key").alias("row"))).alias("first"), F.count("*").alias("weight")), "classes")
     sets = scratch.write(found.join(classes.select("key", "weight"), "key"), "sets")
     scratch.drop("found")
     stars = scratch.write(_links(sets, scratch), "stars")
     roots = components(stars.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("key"), F.col("b").alias("root"))
     links = stars.groupBy("key").agg(F.sum("links").alias("links"))
     classes = classes.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = scratch.write(classes.join(least, "root").select("n", "hi", "lo", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
-    out = profiles.join(classes, ["n", "hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = scratch.write(classes, "rooted")
+    least = scratch.write(classes.groupBy("root").agg(F.min("first").alias("least")), "least")  # written, so that a join can split a large component
+    classes = scratch.write(classes.join(least, "root").select("n", "hi", "lo", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
+    out = profiles.join(classes, ["n", "hi", "lo"], "left")
+    result = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    if with_key:
+        return out.select(*result, "key", F.coalesce(F.col("least.row") == F.col("key"), F.lit(True)).alias("is_first"))
+    out = out.select(*result)
     nameless = docs.filter("doc_id IS NULL")
     if nameless.isEmpty():
         return out

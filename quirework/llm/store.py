@@ -18,9 +18,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (tests), a new local one."""
+    """The session's checkpoint folder; where none is set and all runs on this machine (tests), a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (master := spark.sparkContext.master).startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quirework-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -41,13 +43,30 @@ def shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(_CLEAN, before)
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def released():
+    """Folders that operators make within this block are deleted at its end. Their results must have been written or read by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.drop("")
+            atexit.unregister(scratch._end)
+
+
 class Scratch:
-    """A folder of tables of one run of an operator."""
+    """A folder of tables of one run of an operator. It goes at the end of a block of released(), or else of the program."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quirework-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._end)
+        if _open:
+            _open[-1].append(self)
 
     def _end(self) -> None:
         """Results may be read until the program ends; then the folder goes, if Spark is still there."""

@@ -81,6 +81,33 @@ def test_stages_take_effect(spark, planted):
     assert sorted(map(str, seen["mixing"])) == sorted(map(str, seen["pii"])) == sorted(map(str, seen["decontamination"]))
 
 
+SHARED = [
+    (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (2, "quite another text of its own here"), (3, "k l m n o p q r s t u v"), (3, "k l m n o p q r s t u w"),
+    (4, "same same row twice over there"), (4, "same same row twice over there"), (5, None), (5, None), (6, ""), (None, "a b c d e f g h i j"), (None, "a b c d e f g h i j"),
+]
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(i, t, "u", "v", "w") for i, t in SHARED], "doc_id long, text string, `__component` string, row_key string, Row_Key_ string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+    three = [r for r in rows if r[0] == 3]
+    assert len(three) == 1 and three[0] in SHARED
+    want = [SHARED[0], SHARED[2], SHARED[5], *SHARED[7:]]
+    assert sorted(map(str, [r for r in rows if r[0] != 3])) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_an_empty_table_and_odd_columns(spark, planted, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, `__toxicity` double, size string, taken string, copies int, spans string, n_email long, key string, component_id long"
+    docs = spark.createDataFrame([(1, "x y " * 200_000, "en", "s", 1, 0.9, 0.9, "a", "b", 3, "c", 4, "d", 5), (2, None, None, None, None, None, None, None, None, None, None, None, None, None)], odd)
+    out = stage(spark, docs, planted[0])
+    assert (name == "mixing" or out.columns == docs.columns) and out.count() == 2
+    assert stage(spark, docs.limit(0), planted[0]).count() == 0
+
+
 def test_run(spark, planted):
     out = corpus_pipeline.run(spark, planted[0])
     rows = out.collect()
