@@ -5,12 +5,18 @@ kept; all but the last return the columns of documents, whatever these are.
 
 * toxicity drops documents that the classifier rejects (probability of label 1
   of 0.5 or more). It is fitted on the labelled documents among docs.
-* near-duplicates keeps one document of each group of linked ones: the row of
-  the smallest id, or of rows that share it the first by text. Rows with a null
-  id belong to no group and stay.
+* near-duplicates keeps one row of each group of linked ones: of the smallest
+  id, and of rows that share it the one of the least hash. Rows that share an id
+  are documents of their own: each is kept or dropped with its own group. Rows
+  with a null id belong to no group and stay, as do rows without a word.
 * decontamination drops documents that contain a benchmark item.
 * pii replaces personal data in the texts by its kind in brackets.
 * mixing tells how often each document is taken to meet its source's target.
+
+Null and empty texts pass every stage. Texts are read whole, however long.
+Columns that docs has beside those of documents pass all stages but the last,
+whatever their names. An empty table stays empty; without labels or benchmark
+items nothing is dropped by them.
 """
 
 from __future__ import annotations
@@ -19,28 +25,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontamination, mixing, ngram_join, pii, toxicity
-from quirework.llm.store import Scratch
+from quirework.llm.store import Scratch, released
+
 
-_SCORE, _KEEP = "__toxicity", "__component"
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one if docs has such a column."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model, out_col=_SCORE).filter(F.col(_SCORE) < 0.5).drop(_SCORE)
+    score = _unused(docs, "toxicity")
+    return toxicity.score(docs, model, out_col=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.join(docs.select("doc_id", "text"))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(_KEEP)).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col(_KEEP), "left_anti")
-    shared = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select(F.col("doc_id").alias(_KEEP))
-    if shared.isEmpty():
-        return kept
-    # Rows that share an id: of equal sets only one may stay, which the id alone can't tell.
-    several = kept.join(shared, F.col("doc_id") == F.col(_KEEP), "left_semi")
-    single = kept.join(shared, F.col("doc_id") == F.col(_KEEP), "left_anti")
-    return single.union(several.dropDuplicates(["doc_id", "text"]))
+    key, other = _unused(docs, "row_key"), _unused(docs, "other_key")
+    of_row = ngram_join.row_key(docs)
+    groups = ngram_join.join(docs.select("doc_id", "text"), key=of_row)
+    gone = groups.filter("NOT is_first").select(F.col("key").alias(other)).distinct()
+    kept = docs.withColumn(key, of_row).join(gone, F.col(key) == F.col(other), "left_anti")
+    copies = groups.filter("is_first AND n_shingles > 0").groupBy("key").count().filter("count > 1").select(F.col("key").alias(other))
+    if copies.isEmpty():
+        return kept.drop(key)
+    # Rows equal in id and text share their key; of such a group one row stays.
+    alone = kept.join(copies, F.col(key) == F.col(other), "left_anti")
+    several = kept.join(copies, F.col(key) == F.col(other), "left_semi")
+    return alone.union(several.dropDuplicates([key])).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+        with released():
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
