@@ -1,37 +1,45 @@
 """A hierarchical Pitman-Yor language model and the log probabilities it gives to texts.
 
-Words (and the end of a text, the empty word) are served by one restaurant for
-each context. A context is the class of the last very frequent word before;
-these words, the TOP_WORDS most frequent of the corpus, are put in at most
-CLASSES classes by which of them share documents. The context restaurants share
-one parent, the root restaurant of words. Its base measure spells a word byte by byte: each context of up to ORDER preceding
-bytes is a restaurant whose parent is the restaurant of the context one byte
-shorter, shared by all contexts with that ending; the last parent is uniform.
-Every table of a restaurant is a customer of its parent.
-
-Seating is sampled by Gibbs: in a sweep a random customer of each dish leaves
-and is seated again by the Chinese restaurant rule, for all dishes at once
-against the table counts before the sweep. Word counts, and so the number of
-customers, come from all training documents. Words live in buckets by hash;
-each bucket seats its own words. The spelling restaurants are summed over all
-words and seated on the driver: their table has at most CELLS rows, as the order
-is lowered until it does. The probability of a word is averaged over SAMPLES
-seatings, and a text's score is the sum of the log10 of those averages.
-
-Documents are dealt out in chunks by the hash of their id. A chunk asks for its
-distinct words in context only and gets back one probability for each, so what
-is shuffled grows with the chunks' vocabularies, beside the texts. A word in
-context is a 58-bit hash of the word and 6 bits for the class.
-
-Defined results: a null or blank text is one end token. A null id is held out.
-Without training text no word is known and the model is the uniform spelling.
-Repeated rows are scored each, and train each. Empty tables give empty results.
-Columns other than id and text are ignored.
+The word before is the context of a word (the empty word, which ends a text,
+stands before its first one, too). Each context is a restaurant whose dishes are
+the words that follow it. All context restaurants share one parent, the root
+restaurant of words. Its base measure spells a word byte by byte: each context
+of up to ORDER preceding bytes is a restaurant whose parent is the one of the
+context one byte shorter; the last parent is uniform. Every table of a
+restaurant is a customer of its parent. The order of the spelling is fixed, so
+its dishes are at most 256 ** (ORDER + 1), whatever the corpus.
+
+Seating is sampled by Gibbs. In a sweep all customers of every dish leave and
+are seated again by the Chinese restaurant rule: the number of their tables is
+drawn from its distribution given all else, in which the ways to share so many
+tables are counted by generalised Stirling numbers; which customer sits where
+changes no probability. Beyond SMALL customers these numbers come from their
+saddle point. All dishes are drawn at once, against the tables of their
+restaurant before the sweep. Parents' probabilities are
+exchanged after ROUNDS of sweeps. The probability of a word in its context is
+averaged over SAMPLES seatings, and a text's score is the sum of the log10 of
+these averages.
+
+Documents are dealt out in chunks by the hash of id and text. A word has a
+number, by the bucket of its hash and, within that, by how frequent it is; words
+live in their buckets, where the root seats them. Contexts live in buckets by
+the hash of their number; those with HOT or more words after them are split by
+the next word, and their tables are summed over the parts. A chunk sends its
+distinct pairs of context and word with their training counts, and gets back a
+log probability for each, in the order in which it asked. What is shuffled
+grows with the chunks' distinct pairs, beside the texts.
+
+Defined results: a null or blank text is one end token. A null id is held out,
+if the train column says so for it. Without training text no word is known and
+the model is the uniform spelling. Repeated rows are scored each, and train
+each. Empty tables give empty results. Columns other than id and text are
+ignored. Ties don't occur; the seed fixes all draws.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,92 +48,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .packets import ROW, Inbox, row, superstep, table, write
 from .store import Scratch
 
-ORDER, SAMPLES, BURN_IN, APART, ROUNDS = 5, 3, 5, 2, 2
-CELLS = 1 << 21
-CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.4, 10.0
+ORDER, SAMPLES, BURN_IN, APART, ROUNDS = 2, 3, 3, 1, 1
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 10.0
 SPELL_DISCOUNT, SPELL_STRENGTH = 0.4, 1.0
-TOP_WORDS, CLASSES = 64, 8
-CHUNK_BYTES, BUCKET_BYTES, SLICE_BYTES = 16 << 20, 24 << 20, 4 << 20
+#: Customers of a dish up to which Stirling numbers are exact.
+SMALL = 1024
+#: Training tokens after a context from which it is split.
+HOT = 1 << 19
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+#: Dishes times tables drawn at once.
+DRAWN = 1 << 19
 U64 = tokens.U64
-WORDS = "bucket int, chunk int, n int, hashes binary, counts binary, sizes binary, spelled binary"
-_WORDS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("hashes", "counts", "sizes", "spelled"))])
+WORDS, LEXICON, NAMES, PAIRS, CONTEXTS, ASKED, TABLES, ROOT, CELLS, BASE, SEATED, HOT_SUM, LOGS = range(13)
+CELL_PARTS = 16
+
+
+@functools.cache
+def stirling_ratios(discount: float) -> np.ndarray:
+    """At c, t - 1: log of the ways of c customers to sit at t + 1 tables by those to sit at t (generalised Stirling numbers); -inf where there is none."""
+    ways, out = np.zeros(1), np.full((SMALL + 1, SMALL - 1), -np.inf, np.float32)
+    for c in range(1, SMALL):
+        with np.errstate(divide="ignore"):
+            ways = np.logaddexp(np.r_[-np.inf, ways], np.r_[ways, -np.inf] + np.log(np.maximum(c - discount * np.arange(1, c + 2), 1e-300)))
+        out[c + 1, :c] = np.diff(ways)
+    return out
+
+
+@functools.cache
+def asymptotic_ratios(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many customers, times t, as a function of log(c / t): pairs to interpolate between.
+
+    By the saddle point z of the generating function f(z) ** t / t!, f(z) = (1 - (1 - z) ** d) / d: the ratio
+    nears f(z) / t, where z f'(z) / f(z) = c / t.
+    """
+    s = -np.geomspace(1e-9, 700, 8192)  # log(1 - z)
+    f = np.log(-np.expm1(discount * s) / discount)
+    return np.log(-np.expm1(s)) + (discount - 1) * s - f, f
 
 
 class Seating:
-    """Customers of many dishes at tables: of each table its dish and size; dishes may be of one or many restaurants."""
+    """Customers of many dishes, and how many tables each dish has."""
 
-    def __init__(self, customers: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator):
+    def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator):
         self.discount, self.rng = discount, rng
-        self.customers = np.zeros(len(customers), np.int64)
-        self.dish, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.fill(customers, base)
-
-    @property
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.dish, minlength=len(self.customers))
-
-    def fill(self, customers: np.ndarray, base: np.ndarray) -> None:
-        """Brings each dish to so many customers; base: strength of a new table, by dish.
-
-        Those that come are seated in doubling groups, each with the new tables
-        expected of it; those that leave are drawn one a dish at a time, and where
-        very many leave the dish is seated anew.
-        """
-        gone = customers < self.customers
-        if gone.any():
-            stay = ~gone[self.dish]
-            self.dish, self.size = self.dish[stay], self.size[stay]
-            self.customers = np.where(gone, 0, self.customers)
-        here, want = self.customers.astype(np.float64), customers.astype(np.float64)
-        new = np.zeros(len(customers), np.int64)
-        old = self.tables
-        while (here < want).any():
-            step = np.minimum(np.maximum(1, np.floor(here)), want - here)
-            p = np.where(here == 0, 1.0, base / (base + np.maximum(here + step / 2 - self.discount * (old + new), 1e-9)))
-            new += self.rng.binomial(step.astype(np.int64), np.clip(p, 0, 1))
-            here += step
-        more = customers - self.customers
-        new = np.where(more > 0, np.where(old == 0, np.maximum(new, 1), new), 0)
-        new = np.minimum(new, more)
-        dish = np.repeat(np.arange(len(new)), new)
-        rank = np.arange(len(dish)) - np.repeat(np.cumsum(new) - new, new)
-        size = (more // np.maximum(new, 1))[dish] + (rank < (more % np.maximum(new, 1))[dish])
-        self.dish, self.size = np.concatenate([self.dish, dish]), np.concatenate([self.size, size])
-        order = np.argsort(self.dish, kind="stable")
-        self.dish, self.size = self.dish[order], self.size[order]
-        rest = np.flatnonzero((more > 0) & (new == 0))
-        if len(rest):
-            first = np.searchsorted(self.dish, rest)
-            self.size[first] += more[rest]
         self.customers = customers.astype(np.int64)
-
-    def sweep(self, base: np.ndarray) -> None:
-        """One customer of each dish of several leaves and is seated again."""
-        some = np.flatnonzero(self.customers > 1)
-        if not len(some):
-            return
-        ends = np.cumsum(self.size)
-        first = np.searchsorted(self.dish, some)
-        start = ends[first] - self.size[first]
-        left = np.searchsorted(ends, start + (self.rng.random(len(some)) * self.customers[some]).astype(np.int64), side="right")
-        self.size[left] -= 1
-        weight = np.where(self.size > 0, self.size - self.discount, 0.0)
-        ends = np.cumsum(weight)
-        last = np.searchsorted(self.dish, some, side="right") - 1
-        start, total = ends[first] - weight[first], ends[last] - ends[first] + weight[first]
-        drawn = self.rng.random(len(some)) * (total + base[some])
-        fresh = drawn >= total
-        at = np.clip(np.searchsorted(ends, start[~fresh] + drawn[~fresh], side="right"), first[~fresh], last[~fresh])
-        empty = self.size[at] == 0  # rounding met a table just left
-        np.add.at(self.size, at[~empty], 1)
-        dish = np.concatenate([self.dish, some[fresh], some[~fresh][empty]])
-        size = np.concatenate([self.size, np.ones(len(dish) - len(self.size), np.int64)])
-        order = np.argsort(dish, kind="stable")
-        order = order[size[order] > 0]
-        self.dish, self.size = dish[order], size[order]
+        self.tables = (self.customers > 0).astype(np.int64)
+        small = np.flatnonzero((self.customers > 1) & (self.customers <= SMALL))
+        self._small = small[np.argsort(self.customers[small], kind="stable")]
+        self._large = np.flatnonzero(self.customers > SMALL)
+
+    def sweep(self, strength: np.ndarray, p: np.ndarray) -> None:
+        """All customers are seated again. strength: of each dish, that of a new table in its restaurant without the dish's own tables; p: the parent's probability of the dish."""
+        ratios, low = stirling_ratios(self.discount), 0
+        size = self.customers[self._small]
+        while low < len(size):
+            high = min(low + max(1, DRAWN // int(size[low])), len(size))
+            high = min(low + max(1, DRAWN // int(size[high - 1])), len(size))
+            own, width = self._small[low:high], int(size[high - 1])
+            with np.errstate(divide="ignore"):
+                each = np.log(strength[own][:, None] + self.discount * np.arange(1, width)) + np.log(p[own])[:, None]
+            self._draw(own, np.ones(len(own), np.int64), ratios[size[low:high], : width - 1] + each)
+            low = high
+        if len(self._large):
+            self._sweep_large(strength[self._large], p[self._large])
+
+    def _draw(self, dishes: np.ndarray, least: np.ndarray, steps: np.ndarray) -> None:
+        """Draws tables from the least upwards; steps: log of the weight of one table more by that of so many."""
+        weight = np.cumsum(steps, axis=1)
+        top = np.maximum(0.0, weight.max(1, initial=0.0))
+        ends = np.exp(-top)[:, None] + np.concatenate([np.zeros((len(dishes), 1)), np.cumsum(np.exp(weight - top[:, None]), axis=1)], axis=1)
+        drawn = self.rng.random(len(dishes)) * ends[:, -1]
+        self.tables[dishes] = least + (ends[:, :-1] <= drawn[:, None]).sum(1)
+
+    def _sweep_large(self, strength: np.ndarray, p: np.ndarray) -> None:
+        """Large dishes: as in sweep, within a window around the likeliest number of tables, and by asymptotic ratios."""
+        customers = self.customers[self._large].astype(np.float64)
+        p = np.maximum(p, 1e-300)
+        known, logs = asymptotic_ratios(self.discount)
+
+        def step(c: np.ndarray, t: np.ndarray, s: np.ndarray, p: np.ndarray) -> np.ndarray:
+            t = np.minimum(t, c - 1)
+            return np.interp(np.log(c / t), known, logs) - np.log(t) + np.log((s + self.discount * t) * p)
+
+        low, high = np.ones(len(customers)), customers - 1
+        for _ in range(64):  # more tables get less and less likely
+            middle = np.sqrt(low * high)
+            up = step(customers, middle, strength, p) > 0
+            low, high = np.where(up, middle, low), np.where(up, high, middle)
+        mode = np.floor(low)
+        ahead = np.maximum(1.0, mode / 50)
+        bend = (step(customers, mode, strength, p) - step(customers, mode + ahead, strength, p)) / ahead
+        reach = np.ceil(8 / np.sqrt(np.maximum(bend, 1e-12))) + 8
+        reach = np.minimum(reach, customers).astype(np.int64)
+        order, at = np.argsort(reach, kind="stable"), 0
+        while at < len(order):
+            width = 2 * int(reach[order[at]])
+            own = order[at : at + max(1, DRAWN // width)]
+            width = 2 * int(reach[own[-1]])
+            own = own[: max(1, DRAWN // width)]
+            width = 2 * int(reach[own[-1]])
+            least = np.maximum(1, mode[own] - width // 2)
+            t = least[:, None] + np.arange(width)
+            steps = step(customers[own][:, None], t, strength[own][:, None], p[own][:, None])
+            self._draw(self._large[own], least.astype(np.int64), np.where(t < customers[own][:, None], steps, -np.inf))
+            at += len(own)
 
 
 @dataclass
@@ -138,13 +168,9 @@ class Spelling:
     total: list[np.ndarray]  # strength + customers
     spare: list[np.ndarray]  # strength + discount * tables
 
-    @property
-    def order(self) -> int:
-        return len(self.keys) - 1
-
     def probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Of each context and next byte (the last in the lowest byte), by sample."""
-        p = np.full((len(keys), self.seated[0].shape[1] if len(self.keys) else 1), 1 / 256)
+        p = np.full((len(keys), SAMPLES), 1 / 256)
         for k in range(len(self.keys)):
             own = keys & U64((1 << (8 * (k + 1))) - 1)
             at = np.minimum(np.searchsorted(self.contexts[k], own >> U64(8)), len(self.contexts[k]) - 1)
@@ -155,57 +181,56 @@ class Spelling:
             p[known] = (served + self.spare[k][at] * p[known]) / self.total[k][at]
         return p
 
+    def word_logs(self, spelled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log of what the base measure gives each word, by sample; long words have less than a float can hold."""
+        keys, word = spelling_keys(spelled, sizes)
+        distinct, number = np.unique(keys, return_inverse=True)
+        logs = np.log(self.probabilities(distinct))
+        return np.stack([np.bincount(word, logs[number, s], len(sizes)) for s in range(SAMPLES)], 1)
+
 
-def seat_spelling(keys: np.ndarray, counts: np.ndarray, order: int, samples: int, seed: int) -> Spelling:
-    """Gibbs samples of the spelling restaurants. keys: sorted contexts of order bytes and a next byte; counts: customers of each."""
+def seat_spelling(keys: np.ndarray, counts: np.ndarray, seed: int) -> Spelling:
+    """Gibbs samples of the spelling restaurants. keys: sorted contexts of ORDER bytes and a next byte; counts: customers of each."""
     rng = np.random.default_rng(seed)
     if not len(keys):
         return Spelling([], [], [], [], [])
-    levels = [None] * (order + 1)
-    levels[order] = keys
-    up, of_context, contexts = [None] * (order + 1), [None] * (order + 1), [None] * (order + 1)
-    for k in range(order, -1, -1):
+    levels, up, of_context, contexts = ([None] * (ORDER + 1) for _ in range(4))
+    levels[ORDER] = keys
+    for k in range(ORDER, -1, -1):
         contexts[k], of_context[k] = np.unique(levels[k] >> U64(8), return_inverse=True)
         if k:
             levels[k - 1], up[k] = np.unique(levels[k] & U64((1 << (8 * k)) - 1), return_inverse=True)
     d, strength = SPELL_DISCOUNT, SPELL_STRENGTH
-    seats: list[Seating | None] = [None] * (order + 1)
+    seats: list[Seating | None] = [None] * (ORDER + 1)
+    tables_of = lambda k: np.bincount(of_context[k], seats[k].tables, len(contexts[k]))
+    customers_of = lambda k: np.bincount(of_context[k], seats[k].customers, len(contexts[k]))
 
     def below(k: int) -> np.ndarray:
         """Parent probabilities of the dishes of order k."""
         p = np.full(len(levels[0]), 1 / 256)
         for j in range(k):
-            s = seats[j]
-            tables, n = s.tables, len(contexts[j])
-            spare = strength + d * np.bincount(of_context[j], tables, n)
-            total = strength + np.bincount(of_context[j], s.customers, n)
-            q = (s.customers - d * tables + spare[of_context[j]] * p) / total[of_context[j]]
-            p = q[up[j + 1]]
+            s, of = seats[j], of_context[j]
+            p = ((s.customers - d * s.tables + (strength + d * tables_of(j)[of]) * p) / (strength + customers_of(j))[of])[up[j + 1]]
         return p
 
-    def base(k: int, p: np.ndarray) -> np.ndarray:
-        tables = seats[k].tables if seats[k] else np.zeros(len(levels[k]))
-        return (strength + d * np.bincount(of_context[k], tables, len(contexts[k])))[of_context[k]] * p
-
-    customers = counts
-    for k in range(order, -1, -1):
-        share = np.bincount(of_context[k], customers, len(contexts[k]))
-        guess = (customers + 0.1) / (share[of_context[k]] + 0.1 * 256)
-        seats[k] = Seating(customers, base(k, guess), d, rng)
+    customers, kept = counts, [[], [], []]
+    for k in range(ORDER, -1, -1):
+        seats[k] = Seating(customers, d, rng)
         if k:
-            customers = np.bincount(up[k], seats[k].tables, len(levels[k - 1])).astype(np.int64)
-    kept = [[] for _ in range(3)]
-    for i in range(BURN_IN + APART * samples):
-        for k in range(order, -1, -1):
-            p = below(k)
-            if k < order:
-                seats[k].fill(np.bincount(up[k + 1], seats[k + 1].tables, len(levels[k])).astype(np.int64), base(k, p))
-            seats[k].sweep(base(k, p))
+            customers = np.bincount(up[k], seats[k].tables, len(levels[k - 1]))
+    for i in range(BURN_IN + APART * SAMPLES):
+        for k in range(ORDER, -1, -1):
+            if k < ORDER:
+                had = seats[k].tables
+                seats[k] = Seating(np.bincount(up[k + 1], seats[k + 1].tables, len(levels[k])), d, rng)
+                seats[k].tables = np.clip(had, seats[k].tables, seats[k].customers)
+            for _ in range(1 if k == ORDER else 2):
+                seats[k].sweep(strength + d * (tables_of(k)[of_context[k]] - seats[k].tables), below(k))
         if i >= BURN_IN and (i - BURN_IN) % APART == APART - 1:
-            kept[0].append([(s.customers - d * s.tables) for s in seats])
-            kept[1].append([strength + np.bincount(of_context[k], s.customers, len(contexts[k])) for k, s in enumerate(seats)])
-            kept[2].append([strength + d * np.bincount(of_context[k], s.tables, len(contexts[k])) for k, s in enumerate(seats)])
-    stacked = [[np.stack([one[k] for one in part], 1).astype(np.float32) for k in range(order + 1)] for part in kept]
+            kept[0].append([s.customers - d * s.tables for s in seats])
+            kept[1].append([strength + customers_of(k) for k in range(ORDER + 1)])
+            kept[2].append([strength + d * tables_of(k) for k in range(ORDER + 1)])
+    stacked = [[np.stack([one[k] for one in part], 1).astype(np.float32) for k in range(ORDER + 1)] for part in kept]
     return Spelling(levels, stacked[0], contexts, stacked[1], stacked[2])
 
 
@@ -223,387 +248,365 @@ def spelling_keys(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return key[own], word[own]
 
 
-@dataclass
-class Contexts:
-    """The hashes of the very frequent words, sorted, and the class of each (from 1)."""
-
-    hashes: np.ndarray
-    classes: np.ndarray
-
-    def of(self, words: tokens.Words, vocabulary: tokens.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """The class before each word, and at the end of each text; 0 where no frequent word came before."""
-        n = len(vocabulary.of)
-        own = np.zeros(len(vocabulary.hash), np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, vocabulary.hash), len(self.hashes) - 1)
-            own = np.where(self.hashes[at] == vocabulary.hash, self.classes[at], 0)
-        own = own[vocabulary.of]
-        last = np.concatenate([[-1], np.maximum.accumulate(np.where(own > 0, np.arange(n), -1))])
-        first = words.first[:-1]
-        known = np.concatenate([own, [0]])
-        before = np.where(last[:-1] >= np.repeat(first, words.count), known[last[:-1]], 0)
-        end = last[words.first[1:]]
-        return before, np.where(end >= first, known[end], 0)
-
-
-def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The uses of every word of each slice."""
-    for batch in batches:
-        for part in tokens.slices(batch, "text", SLICE_BYTES):
-            vocabulary = tokens.Vocabulary(tokens.cut(part.column("text"), lower=True))
-            uses = np.bincount(vocabulary.of, minlength=len(vocabulary.hash))
-            yield pa.RecordBatch.from_arrays([pa.array(vocabulary.hash.view(np.int64)), pa.array(uses.astype(np.int64))], ["a", "uses"])
-
-
-def _together(top: np.ndarray):
-    """Of each slice, the documents of each pair of the words of top, sorted hashes (a pair of one: of that word)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch, "text", SLICE_BYTES):
-                words = tokens.cut(part.column("text"), lower=True)
-                vocabulary = tokens.Vocabulary(words)
-                at = np.minimum(np.searchsorted(top, vocabulary.hash), len(top) - 1)
-                own = np.where(top[at] == vocabulary.hash, at, -1)[vocabulary.of]
-                held = np.zeros((part.num_rows, len(top)), np.float32)
-                held[words.doc[own >= 0], own[own >= 0]] = 1
-                both = (held.T @ held).astype(np.int64)
-                a, b = np.nonzero(np.triu(both))
-                h = top.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], h[b], both[a, b])], ["a", "b", "docs"])
-
-    return run
+def _bytes_of(spelled: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The bytes of some words of many."""
+    start, size = (np.cumsum(sizes) - sizes)[some], sizes[some]
+    return spelled[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def learn_contexts(docs: DataFrame) -> Contexts:
-    """Classes of the most frequent words of docs (text)."""
-    uses = docs.select("text").mapInArrow(_uses, "a long, uses long").groupBy("a").agg(F.sum("uses").alias("uses"))
-    top = uses.orderBy(F.desc("uses"), "a").limit(TOP_WORDS).collect()
-    n = docs.count()
-    rank = {r["a"]: i for i, r in enumerate(top)}
-    if not rank:
-        return Contexts(np.zeros(0, U64), np.zeros(0, np.int64))
-    hashes = np.array([r["a"] for r in top], np.int64).view(U64)
-    some = docs.select("text").mapInArrow(_together(np.sort(hashes)), "a long, b long, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs")).collect()
-    share = np.zeros((len(rank), len(rank)))
-    for r in some:
-        i, j = rank[r["a"]], rank[r["b"]]
-        share[i, j] = share[j, i] = max(share[i, j], r["docs"])
-    single = np.maximum(1, np.diag(share))
-    lift = share * max(n, 1) / np.outer(single, single)
-    leaders, classes = [], np.zeros(len(rank), np.int64)
-    for i in range(len(rank)):
-        best = max(range(len(leaders)), key=lambda c: lift[i, leaders[c]], default=None)
-        if best is None or (lift[i, leaders[best]] <= 1 and len(leaders) < CLASSES):
-            leaders.append(i)
-            best = len(leaders) - 1
-        classes[i] = best + 1
-    order = np.argsort(hashes)
-    return Contexts(hashes[order], classes[order])
-
-
-def _in_context(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return (hashes & ~U64(63)) | classes.astype(U64)
+def _ints(packed: bytes, n: int) -> np.ndarray:
+    return tokens.unpack(packed, n).astype(np.int64)
+
+
+class Chunk:
+    """The texts of a chunk as tokens, and its distinct words in the order of their hashes. The first of these is the empty word."""
+
+    def __init__(self, docs: pa.Table):
+        self.docs = docs.combine_chunks()
+        words = tokens.cut(self.docs.column("text"), lower=True)
+        hashed = tokens.hash_words(words)
+        self.n, self.count = len(words.count), words.count
+        self.train = self.docs.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        token = np.zeros(len(hashed) + self.n, U64)
+        token[np.arange(len(hashed)) + words.doc] = hashed
+        self.doc = np.repeat(np.arange(self.n), self.count + 1)
+        self.hashes, first, self.of = np.unique(np.r_[U64(0), token], return_index=True, return_inverse=True)
+        self.of = self.of[1:]
+        place = np.r_[-1, np.where(np.r_[self.doc[1:] != self.doc[:-1], True], -1, np.arange(len(token)) - self.doc)][first]
+        place[0] = -1
+        self.sizes = np.where(place >= 0, (words.stop - words.start)[np.maximum(place, 0)] if len(hashed) else 0, 0)
+        self._start = np.where(place >= 0, words.start[np.maximum(place, 0)] if len(hashed) else 0, 0)
+        self._data = words.data
+
+    def edges(self, buckets: int) -> np.ndarray:
+        """Where the words of each bucket start."""
+        return np.array([0, len(self.hashes)]) if buckets == 1 else np.searchsorted(self.hashes >> U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=U64))
+
+    def spelled(self, low: int, high: int) -> np.ndarray:
+        size = self.sizes[low:high]
+        return self._data[np.repeat(self._start[low:high] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def named(self, names: Inbox, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number and the training count of each distinct word."""
+        number, count = np.zeros(len(self.hashes), U64), np.zeros(len(self.hashes), np.int64)
+        edges = self.edges(buckets)
+        for r in names.rows.get(NAMES, ()):
+            own = slice(edges[r["source"]], edges[r["source"] + 1])
+            number[own] = tokens.unpack(r["a"], r["n"]) * U64(buckets) + U64(r["source"])
+            count[own] = _ints(r["b"], r["n"])
+        return number, count
+
+    def pairs(self, number: np.ndarray, count: np.ndarray, buckets: int) -> Pairs:
+        before = np.r_[0, self.of[:-1]]  # what stands before a text's first word is the end of another, the empty word
+        key, of = np.unique(number[before] << U64(32) | number[self.of], return_inverse=True)
+        uses = np.bincount(of, self.train[self.doc], len(key)).astype(np.int64)
+        after = np.zeros(len(key), np.int64)
+        after[of] = count[before]
+        context, word = key >> U64(32), key & U64(0xFFFFFFFF)
+        share = tokens.mix(word.copy()) % (after // HOT + 1).astype(U64)
+        bucket = (tokens.mix(context ^ share << U64(40)) & U64(buckets - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return Pairs(key[order], uses[order], after[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[of])
 
 
 @dataclass
-class Block:
-    """Words in context, sorted: their keys and customers; and of each distinct word its place in them, size and bytes."""
+class Pairs:
+    """Distinct pairs of context and word, by bucket: the context's number in the upper half of the key; training uses, those of the context; where buckets start; and the pair of each token."""
 
-    keys: np.ndarray
-    counts: np.ndarray
-    sizes: np.ndarray
-    spelled: np.ndarray
+    key: np.ndarray
+    uses: np.ndarray
+    after: np.ndarray
+    edges: np.ndarray
+    of: np.ndarray
 
-    @property
-    def word(self) -> np.ndarray:
-        """Of each key, the number of its word."""
-        own = self.keys >> U64(6)
-        return np.cumsum(np.r_[False, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
 
-    @property
-    def classes(self) -> np.ndarray:
-        return (self.keys & U64(63)).astype(np.int64)
+def _pack_pairs(key: np.ndarray, uses: np.ndarray, after: np.ndarray) -> tuple[bytes, ...]:
+    """Sorted pairs: contexts, how many words follow each, the words, their uses, and the contexts' uses."""
+    context = key >> U64(32)
+    start = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), context[1:] != context[:-1]])
+    return tokens.pack_sorted(context[start]), tokens.pack(np.diff(np.r_[start, len(key)])), tokens.pack(key & U64(0xFFFFFFFF)), tokens.pack(uses), tokens.pack(after[start])
 
-    def packed(self) -> tuple[int, bytes, bytes, bytes, bytes]:
-        return len(self.keys), tokens.pack_sorted(self.keys), tokens.pack(self.counts), np.asarray(self.sizes, "<u4").tobytes(), self.spelled.tobytes()
 
-    @staticmethod
-    def read(p: dict) -> Block:
-        n = p["n"]
-        return Block(tokens.unpack_sorted(p["hashes"], n), tokens.unpack(p["counts"], n).astype(np.int64), np.frombuffer(p["sizes"], "<u4").astype(np.int64), np.frombuffer(p["spelled"], np.uint8))
+@dataclass
+class Contexts:
+    """Sorted pairs of a bucket: keys and uses; contexts, the number of each pair's context among them, and all training uses of each."""
+
+    key: np.ndarray
+    uses: np.ndarray
+    context: np.ndarray
+    of: np.ndarray
+    after: np.ndarray
 
     @staticmethod
-    def merged(blocks: list[Block]) -> Block:
-        """The distinct words in context of several blocks, counts summed."""
-        keys, number = np.unique(np.concatenate([b.keys for b in blocks]), return_inverse=True)
-        counts = np.bincount(number, np.concatenate([b.counts for b in blocks]), len(keys)).astype(np.int64)
-        ids = np.concatenate([np.unique(b.keys >> U64(6)) for b in blocks])
-        sizes, spelled = np.concatenate([b.sizes for b in blocks]), np.concatenate([b.spelled for b in blocks])
-        _, first = np.unique(ids, return_index=True)
-        return Block(keys, counts, sizes[first], _bytes_of(spelled, sizes, first))
-
-    def part(self, low: int, high: int) -> Block:
-        """Keys low to high, which hold whole words."""
-        word, ends = self.word, np.concatenate([[0], np.cumsum(self.sizes)])
-        a, b = int(word[low]), int(word[high - 1]) + 1
-        return Block(self.keys[low:high], self.counts[low:high], self.sizes[a:b], self.spelled[ends[a] : ends[b]])
+    def read(r: dict) -> Contexts:
+        size = _ints(r["b"], r["count"])
+        context = tokens.unpack_sorted(r["a"], r["count"])
+        of = np.repeat(np.arange(len(context)), size)
+        return Contexts(context[of] << U64(32) | tokens.unpack(r["c"], r["n"]), _ints(r["d"], r["n"]), context, of, _ints(r["e"], r["count"]))
 
+    def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words, by bucket and place in it: these two, the number of each pair's word among them, and where buckets start."""
+        word = self.key & U64(0xFFFFFFFF)
+        distinct, of = np.unique((word % U64(buckets)) << U64(32) | word // U64(buckets), return_inverse=True)
+        bucket = (distinct >> U64(32)).astype(np.int64)
+        return bucket, distinct & U64(0xFFFFFFFF), of, np.searchsorted(bucket, np.arange(buckets + 1))
 
-def _bytes_of(spelled: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """The bytes of some words of a block."""
-    start, size = (np.cumsum(sizes) - sizes)[some], sizes[some]
-    return spelled[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
+def _words(buckets: int):
+    """The distinct words of a chunk with their training counts and bytes, to their buckets."""
 
-def _chunk_words(buckets: int, contexts: Contexts):
-    """The distinct words in context of a chunk of documents, with their training counts, packed by bucket."""
-
-    def run(group: pa.Table) -> pa.Table:
-        blocks = []
-        for batch in group.combine_chunks().to_batches():
-            for part in tokens.slices(batch, "text", SLICE_BYTES):
-                words = tokens.cut(part.column("text"), lower=True)
-                vocabulary = tokens.Vocabulary(words)
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-                before, end = contexts.of(words, vocabulary)
-                keys, number = np.unique(np.concatenate([_in_context(vocabulary.hash[vocabulary.of], before), _in_context(np.zeros(part.num_rows, U64), end)]), return_inverse=True)
-                counts = np.bincount(number, np.concatenate([np.repeat(train, words.count), train]), len(keys)).astype(np.int64)
-                ids = keys >> U64(6)
-                ids = ids[np.r_[True, ids[1:] != ids[:-1]]] if len(ids) else ids
-                size = vocabulary.stop - vocabulary.start
-                size_of = np.concatenate([[0], size])
-                start_of = np.concatenate([[0], vocabulary.start])
-                own, first = np.unique(np.concatenate([np.zeros(1, U64), vocabulary.hash >> U64(6)]), return_index=True)
-                first = first[np.searchsorted(own, ids)]
-                sizes = size_of[first]
-                at = np.repeat(start_of[first] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                blocks.append(Block(keys, counts, sizes, words.data[at]))
-        block = Block.merged(blocks)
-        edges = [0, len(block.keys)] if buckets == 1 else np.searchsorted(block.keys >> U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=U64))
-        chunk = int(group.column("chunk")[0].as_py())
-        rows = [(b, chunk, *block.part(edges[b], edges[b + 1]).packed()) for b in range(buckets) if edges[b + 1] > edges[b]]
-        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_WORDS, zip(*rows, strict=True), strict=True)}, schema=_WORDS)
+    def run(docs: pa.Table) -> pa.Table:
+        chunk, own = docs.column("chunk")[0].as_py(), Chunk(docs)
+        counts = np.bincount(own.of, own.train[own.doc], len(own.hashes)).astype(np.int64)
+        edges = own.edges(buckets)
+        return table([row(b, WORDS, high - low, tokens.pack_sorted(own.hashes[low:high]), tokens.pack(counts[low:high]), tokens.pack(own.sizes[low:high]), own.spelled(low, high), source=chunk) for b, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if high > low])
 
     return run
 
 
-def _merge_words(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    block = Block.merged([Block.read(p) for p in rows])
-    known = np.bincount(block.word, block.counts) > 0
-    values = (rows[0]["bucket"], *block.packed(), int(known.sum()), int(block.counts.sum()))
-    return pa.table({c: pa.array([v], t) for (c, t), v in zip(_MERGED.items(), values, strict=True)})
-
+def _number_words(inbox: Inbox) -> list[tuple]:
+    """Of a bucket, the words, frequent ones first; and to each chunk the places and counts of its words."""
+    rows = inbox.rows[WORDS]
+    hashes = [tokens.unpack_sorted(r["a"], r["n"]) for r in rows]
+    _, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    counts = np.bincount(of, np.concatenate([_ints(r["b"], r["n"]) for r in rows])).astype(np.int64)
+    sizes = np.concatenate([_ints(r["c"], r["n"]) for r in rows])
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    spelled = _bytes_of(inbox.of(WORDS, "d", np.uint8), sizes, first[order])
+    out = [row(inbox.bundle, LEXICON, len(order), tokens.pack(counts[order]), tokens.pack(sizes[first[order]]), spelled, source=(counts > 0).sum(), count=counts.sum())]
+    ends = np.cumsum([0, *map(len, hashes)])
+    for r, low, high in zip(rows, ends[:-1], ends[1:], strict=True):
+        own = of[low:high]
+        out.append(row(r["source"], NAMES, r["n"], tokens.pack(place[own]), tokens.pack(counts[own]), source=inbox.bundle))
+    return out
+
+
+def _pairs(buckets: int):
+    """The distinct pairs of a chunk, to the buckets of their contexts."""
+
+    def run(docs: pa.Table, names: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return table([])
+        chunk, own = docs.column("chunk")[0].as_py(), Chunk(docs)
+        pairs = own.pairs(*own.named(Inbox(names), buckets), buckets)
+        out = []
+        for b in np.flatnonzero(np.diff(pairs.edges)):
+            s = slice(pairs.edges[b], pairs.edges[b + 1])
+            packed = _pack_pairs(pairs.key[s], pairs.uses[s], pairs.after[s])
+            out.append(row(b, PAIRS, s.stop - s.start, *packed, source=chunk, count=len(np.unique(pairs.key[s] >> U64(32)))))
+        return table(out)
 
-_MERGED = {"bucket": pa.int32(), "n": pa.int32(), "hashes": pa.binary(), "counts": pa.binary(), "sizes": pa.binary(), "spelled": pa.binary(), "n_types": pa.int64(), "n_tokens": pa.int64()}
-MERGED = "bucket int, n int, hashes binary, counts binary, sizes binary, spelled binary, n_types long, n_tokens long"
-#: Of a bucket: its tables and customers by sample and class; for each, class 63 is the root restaurant.
-SUMS = "sums array<long>"
-SEATED = MERGED + ", in_context binary, in_root binary, " + SUMS
-ROOT = 63
+    return run
 
 
-def word_logs(spelling: Spelling, spelled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Log of what the base measure gives each word, by sample; long words have less than a float can hold."""
-    keys, word = spelling_keys(spelled, sizes)
-    distinct, number = np.unique(keys, return_inverse=True)
-    logs = np.log(spelling.probabilities(distinct))
-    return np.stack([np.bincount(word, logs[number, s], len(sizes)) for s in range(logs.shape[1])], 1)
+def _tables_up(bundle: int, contexts: Contexts, seated: np.ndarray, buckets: int) -> list[tuple]:
+    """The tables of each word, summed over a bucket's contexts, as customers of the root; seated: by sample."""
+    _, place, of, edges = contexts.words(buckets)
+    total = np.stack([np.bincount(of, seated[:, s], len(place)) for s in range(seated.shape[1])], 1).astype(np.int64)
+    return [row(b, TABLES, edges[b + 1] - edges[b], tokens.pack_sorted(place[edges[b] : edges[b + 1]]), tokens.pack(total[edges[b] : edges[b + 1]].ravel()), source=bundle) for b in np.flatnonzero(np.diff(edges))]
 
 
-def seat_words(block: Block, spelling: Spelling | None, sums: np.ndarray | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each word in context, and of each word in the root, by sample; before there is a spelling, one where there is a customer.
+def _gather(buckets: int):
+    """The distinct pairs of a bucket; which of them each chunk asks for; and as first seating one table for each."""
 
-    sums: tables and customers of all buckets by class (2 x 64) in the round before.
-    """
-    word, classes = block.word, block.classes
-    if spelling is None:
-        here = (block.counts > 0).astype(np.int64)
-        root = (np.bincount(word, here, len(block.sizes)) > 0).astype(np.int64)
-        return np.repeat(here[:, None], SAMPLES, 1), np.repeat(root[:, None], SAMPLES, 1)
-    rng = np.random.default_rng(seed)
-    tables, customers = sums
-    spelled = (WORD_STRENGTH + WORD_DISCOUNT * tables[ROOT]) * np.exp(word_logs(spelling, block.spelled, block.sizes)).mean(1)
-    spare = CONTEXT_STRENGTH + CONTEXT_DISCOUNT * tables
-
-    def served(customers_here: np.ndarray, tables_here: np.ndarray) -> np.ndarray:
-        """New-table strength of each word in context, from the root's probability of the word."""
-        p = (np.maximum(customers_here - WORD_DISCOUNT * tables_here, 0) + spelled) / (WORD_STRENGTH + customers[ROOT])
-        return spare[classes] * p[word]
-
-    start = np.bincount(word, block.counts > 0, len(block.sizes))
-    seats = Seating(block.counts, served(start, np.minimum(start, 1)), CONTEXT_DISCOUNT, rng)
-    root = Seating(np.bincount(word, seats.tables, len(block.sizes)).astype(np.int64), spelled, WORD_DISCOUNT, rng)
-    out = []
-    for i in range(BURN_IN + APART * SAMPLES):
-        seats.sweep(served(root.customers, root.tables))
-        root.fill(np.bincount(word, seats.tables, len(block.sizes)).astype(np.int64), spelled)
-        root.sweep(spelled)
-        if i >= BURN_IN and (i - BURN_IN) % APART == APART - 1:
-            out.append((seats.tables, root.tables))
-    return np.stack([a for a, _ in out], 1), np.stack([b for _, b in out], 1)
-
-
-def _seat(shared):
-    """Blocks of words with their tables, and the sums of these by sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, sums = shared.value
-        for batch in batches:
-            for p in batch.to_pylist():
-                block = Block.read(p)
-                in_context, in_root = seat_words(block, spelling, sums, p["bucket"])
-                total = np.zeros((SAMPLES, 2, 64), np.int64)
-                for s in range(SAMPLES):
-                    total[s, 0] = np.bincount(block.classes, in_context[:, s], 64)
-                    total[s, 1] = np.bincount(block.classes, block.counts, 64)
-                    total[s, :, ROOT] = in_root[:, s].sum(), in_context[:, s].sum()
-                values = (*(p[c] for c in _MERGED), tokens.pack(in_context.ravel()), tokens.pack(in_root.ravel()), total.ravel().tolist())
-                types = (*_MERGED.values(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [*_MERGED, "in_context", "in_root", "sums"])
+    def run(inbox: Inbox) -> list[tuple]:
+        read = [Contexts.read(r) for r in inbox.rows[PAIRS]]
+        key, of = np.unique(np.concatenate([c.key for c in read]), return_inverse=True)
+        uses = np.bincount(of, np.concatenate([c.uses for c in read]), len(key)).astype(np.int64)
+        after = np.zeros(len(key), np.int64)
+        after[of] = np.concatenate([c.after[c.of] for c in read])
+        packed = _pack_pairs(key, uses, after)
+        state = row(inbox.bundle, CONTEXTS, len(key), *packed, count=len(np.unique(key >> U64(32))))
+        ends = np.cumsum([0, *(len(c.key) for c in read)])
+        asked = [row(inbox.bundle, ASKED, high - low, tokens.pack(of[low:high]), source=r["source"]) for r, low, high in zip(inbox.rows[PAIRS], ends[:-1], ends[1:], strict=True)]
+        contexts = Contexts(key, uses, *np.unique(key >> U64(32), return_inverse=True), after)
+        return [state, *asked, *_tables_up(inbox.bundle, contexts, (uses > 0)[:, None], buckets)]
 
     return run
 
 
-def _tables(p: dict, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(tokens.unpack(p[c], n * SAMPLES).astype(np.int64).reshape(n, SAMPLES) for c, n in (("in_context", len(block.keys)), ("in_root", len(block.sizes))))
+@dataclass
+class Shared:
+    """What all buckets of words need: the spelling, and by sample all customers and tables of the root."""
 
+    spelling: Spelling
+    customers: np.ndarray
+    tables: np.ndarray
 
-def _spell(parts: int):
-    """Sends the root tables of a bucket's words, spelled out, as customers of the spelling restaurants."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.to_pylist():
-                block = Block.read(p)
-                keys, word = spelling_keys(block.spelled, block.sizes)
-                times = _tables(p, block)[1][word, -1]
-                keys, times = keys[times > 0], times[times > 0]
-                distinct, number = np.unique(keys, return_inverse=True)
-                yield from _cells(distinct, np.bincount(number, times, len(distinct)).astype(np.int64), parts)
+def _seat_root(shared, seed: int):
+    """Seats the tables of all contexts as customers of the root; before there is a spelling, each word at one table.
 
-    return run
+    Root tables are sent, spelled out, as customers of the spelling restaurants.
+    """
 
+    def run(inbox: Inbox) -> list[tuple]:
+        if LEXICON not in inbox.rows:
+            return []
+        (words,) = inbox.rows[LEXICON]
+        n, known = words["n"], shared.value
+        sizes, spelled = _ints(words["b"], n), np.frombuffer(words["c"], np.uint8)
+        messages = inbox.rows.get(TABLES, [])
+        width = 1 if known is None else SAMPLES
+        customers = np.zeros((n, width), np.int64)
+        for r in messages:
+            customers[tokens.unpack_sorted(r["a"], r["n"]).astype(np.int64)] += _ints(r["b"], r["n"] * width).reshape(-1, width)
+        tables = (customers > 0).astype(np.int64)
+        if known is not None:
+            rng = np.random.default_rng([seed, inbox.bundle])
+            logs = known.spelling.word_logs(spelled, sizes)
+            for s in range(SAMPLES):
+                seats = Seating(customers[:, s], WORD_DISCOUNT, rng)
+                others = known.tables[min(s, len(known.tables) - 1)]
+                for _ in range(BURN_IN):
+                    seats.sweep(WORD_STRENGTH + WORD_DISCOUNT * (others - seats.tables), np.exp(logs[:, s]))
+                tables[:, s] = seats.tables
+        out = inbox.kept(LEXICON)
+        out.append(row(inbox.bundle, ROOT, n, tokens.pack(customers.ravel()), tokens.pack(tables.ravel()), np.stack([customers.sum(0), tables.sum(0)]).astype(np.int64)))
+        out += [row(inbox.bundle, ASKED, r["n"], r["a"], source=r["source"]) for r in messages]
+        keys, word = spelling_keys(spelled, sizes)
+        times = tables[word, -1]
+        distinct, number = np.unique(keys[times > 0], return_inverse=True)
+        return out + _cells(distinct, np.bincount(number, times[times > 0], len(distinct)).astype(np.int64))
 
-def _cells(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    of = (tokens.mix(keys.copy()) % U64(parts)).astype(np.int64)
-    for c in np.unique(of):
-        own = of == c
-        yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), pa.array([int(own.sum())], pa.int32()), pa.array([tokens.pack_sorted(keys[own])], pa.binary()), pa.array([tokens.pack(counts[own])], pa.binary())], ["part", "n", "keys", "counts"])
+    return run
 
 
-CELL = "part int, n int, keys binary, counts binary"
+def _cells(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    part = (tokens.mix(keys.copy()) % U64(CELL_PARTS)).astype(np.int64)
+    return [row(p, CELLS, (part == p).sum(), tokens.pack_sorted(keys[part == p]), tokens.pack(counts[part == p])) for p in np.unique(part)]
 
 
-def _sum_cells(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    keys = np.concatenate([tokens.unpack_sorted(p["keys"], p["n"]) for p in rows])
-    counts = np.concatenate([tokens.unpack(p["counts"], p["n"]) for p in rows]).astype(np.int64)
+def _sum_cells(inbox: Inbox) -> list[tuple]:
+    keys = np.concatenate([tokens.unpack_sorted(r["a"], r["n"]) for r in inbox.rows[CELLS]])
+    counts = np.concatenate([_ints(r["b"], r["n"]) for r in inbox.rows[CELLS]])
     distinct, number = np.unique(keys, return_inverse=True)
     total = np.bincount(number, counts, len(distinct)).astype(np.int64)
-    return pa.table({"part": group.column("part")[:1], "n": pa.array([len(distinct)], pa.int32()), "keys": pa.array([tokens.pack_sorted(distinct)], pa.binary()), "counts": pa.array([tokens.pack(total)], pa.binary())})
+    return [row(inbox.bundle, CELLS, len(distinct), tokens.pack_sorted(distinct), tokens.pack(total))]
+
 
+def learn_shared(read: Callable[..., DataFrame], seed: int) -> Shared:
+    """The spelling restaurants of all root tables; there are at most 256 ** (ORDER + 1) dishes to collect."""
+    width = SAMPLES
+    rows = superstep(read(CELLS), _sum_cells).collect()
+    keys = np.concatenate([np.zeros(0, U64), *(tokens.unpack_sorted(r["a"], r["n"]) for r in rows)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(_ints(r["b"], r["n"]) for r in rows)])
+    by_key = np.argsort(keys)
+    totals = read(ROOT).select("c").mapInArrow(_add_totals, "at int, total long").groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").collect()
+    totals = np.array([r["total"] for r in totals] or [0] * 2 * width, np.float64).reshape(2, -1)
+    return Shared(seat_spelling(keys[by_key], counts[by_key], seed), totals[0], totals[1])
 
-def _shorten(order: int, parts: int):
-    """Cells of contexts one byte shorter than order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.to_pylist():
-                distinct, number = np.unique(tokens.unpack_sorted(p["keys"], p["n"]) & U64((1 << (8 * order)) - 1), return_inverse=True)
-                yield from _cells(distinct, np.bincount(number, tokens.unpack(p["counts"], p["n"]).astype(np.int64), len(distinct)).astype(np.int64), parts)
+def _add_totals(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            total = np.frombuffer(r["c"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["at", "total"])
+
+
+def _base(shared):
+    """To each bucket of contexts, the log of the root's probability of its words, by sample."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        known = shared.value
+        if LEXICON not in inbox.rows:
+            return []
+        (words,), (root,) = inbox.rows[LEXICON], inbox.rows[ROOT]
+        n = words["n"]
+        logs = known.spelling.word_logs(np.frombuffer(words["c"], np.uint8), _ints(words["b"], n))
+        width = len(known.tables)
+        customers, tables = (_ints(root[c], n * width).reshape(n, width) for c in ("a", "b"))
+        with np.errstate(divide="ignore"):
+            p = np.logaddexp(np.log(customers - WORD_DISCOUNT * tables), np.log(WORD_STRENGTH + WORD_DISCOUNT * known.tables) + logs[:, :width]) - np.log(WORD_STRENGTH + known.customers)
+        return [row(r["source"], BASE, r["n"], p[tokens.unpack_sorted(r["a"], r["n"]).astype(np.int64)].astype(np.float32), source=inbox.bundle) for r in inbox.rows.get(ASKED, ())]
 
     return run
 
 
-def learn_spelling(seated: DataFrame, scratch: Scratch, name: str, seed: int, cells: int = CELLS) -> Spelling:
-    """The spelling restaurants of all words, of the highest order up to ORDER that has at most so many cells."""
-    parts, order = 16, ORDER
-    table = scratch.write(seated.mapInArrow(_spell(parts), CELL).groupBy("part").applyInArrow(_sum_cells, CELL), name)
-    while (table.agg(F.sum("n")).first()[0] or 0) > cells:
-        table = scratch.write(table.mapInArrow(_shorten(order, parts), CELL).groupBy("part").applyInArrow(_sum_cells, CELL), f"{name}-{order}")
-        order -= 1
-    rows = table.collect()
-    if not rows:
-        return Spelling([], [], [], [], [])
-    keys = np.concatenate([tokens.unpack_sorted(r["keys"], r["n"]) for r in rows])
-    counts = np.concatenate([tokens.unpack(r["counts"], r["n"]) for r in rows]).astype(np.int64)
-    by_key = np.argsort(keys)
-    return seat_spelling(keys[by_key], counts[by_key], order, SAMPLES, seed)
-
-
-def _probabilities(shared):
-    """Of each word in context of a block, its count in all contexts and the log10 of its averaged probability."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, sums = shared.value
-        for batch in batches:
-            for p in batch.to_pylist():
-                block = Block.read(p)
-                in_context, in_root = _tables(p, block)
-                word, classes = block.word, block.classes
-                base = word_logs(spelling, block.spelled, block.sizes)
-                each = np.zeros((SAMPLES, len(block.keys)))
-                with np.errstate(divide="ignore"):
-                    for s in range(SAMPLES):
-                        tables, customers = sums[s]
-                        guests = np.bincount(word, in_context[:, s], len(block.sizes))
-                        root = np.logaddexp(np.log(guests - WORD_DISCOUNT * in_root[:, s]), np.log(WORD_STRENGTH + WORD_DISCOUNT * tables[ROOT]) + base[:, s]) - np.log(WORD_STRENGTH + customers[ROOT])
-                        own = np.logaddexp(np.log(block.counts - CONTEXT_DISCOUNT * in_context[:, s]), np.log(CONTEXT_STRENGTH + CONTEXT_DISCOUNT * tables)[classes] + root[word])
-                        each[s] = own - np.log(CONTEXT_STRENGTH + customers[classes])
-                logs = np.logaddexp.reduce(each, 0) - np.log(SAMPLES)
-                counts = np.bincount(word, block.counts, len(block.sizes)).astype(np.int64)[word]
-                yield pa.RecordBatch.from_arrays([pa.array([p["bucket"]], pa.int32()), pa.array([p["n"]], pa.int32()), pa.array([p["hashes"]], pa.binary()), pa.array([tokens.pack(counts)], pa.binary()), pa.array([(logs / np.log(10)).tobytes()], pa.binary())], ["bucket", "n", "hashes", "counts", "logs"])
+def _log_base(inbox: Inbox, contexts: Contexts, buckets: int, width: int) -> np.ndarray:
+    """Of each pair, the log of the root's probability of its word, by sample."""
+    return inbox.of(BASE, "a", np.float32, width)[contexts.words(buckets)[2]].astype(np.float64)
+
+
+def _seat_contexts(buckets: int, width: int, seed: int):
+    """Seats the customers of a bucket's contexts. Of a context that is split, the tables elsewhere are taken to be as many for each customer as here."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        (state,) = inbox.rows[CONTEXTS]
+        contexts = Contexts.read(state)
+        p = np.exp(_log_base(inbox, contexts, buckets, width)).mean(1)
+        n = len(contexts.context)
+        seats = Seating(contexts.uses, CONTEXT_DISCOUNT, np.random.default_rng([seed, inbox.bundle]))
+        split = contexts.after >= HOT
+        scale = np.where(split, contexts.after / np.maximum(1, np.bincount(contexts.of, contexts.uses, n)), 1.0)
+        kept = []
+        for i in range(BURN_IN + APART * SAMPLES):
+            total = np.bincount(contexts.of, seats.tables, n) * scale
+            seats.sweep(CONTEXT_STRENGTH + CONTEXT_DISCOUNT * (total[contexts.of] - seats.tables), p)
+            if i >= BURN_IN and (i - BURN_IN) % APART == APART - 1:
+                kept.append(seats.tables.copy())
+        tables = np.stack(kept, 1)
+        out = [row(inbox.bundle, SEATED, len(tables), tokens.pack(tables.ravel()))]
+        for at in np.flatnonzero(split):
+            context = contexts.context[at : at + 1]
+            here = tables[contexts.of == at].sum(0)
+            out.append(row(int((tokens.mix(context.copy()) & U64(buckets - 1))[0]), HOT_SUM, 1, context, here.astype(np.int64), source=inbox.bundle))
+        return out + _tables_up(inbox.bundle, contexts, tables, buckets)
 
     return run
 
 
-SCORED = "bucket int, n int, hashes binary, counts binary, logs binary"
-REPLY = "chunk int, n int, hashes binary, counts binary, logs binary"
-
-
-def _reply(asked: pa.Table, words: pa.Table) -> pa.Table:
-    """To each chunk that asks in this bucket: training counts and log probabilities of its words."""
-    out = {"chunk": [], "n": [], "hashes": [], "counts": [], "logs": []}
-    if asked.num_rows:
-        (block,) = words.to_pylist()
-        hashes, counts = tokens.unpack_sorted(block["hashes"], block["n"]), tokens.unpack(block["counts"], block["n"])
-        logs = np.frombuffer(block["logs"], np.float64)
-        for p in asked.to_pylist():
-            at = np.searchsorted(hashes, tokens.unpack_sorted(p["hashes"], p["n"]))
-            for c, v in zip(out, (p["chunk"], p["n"], p["hashes"], tokens.pack(counts[at]), logs[at].tobytes()), strict=True):
-                out[c].append(v)
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
-
-
-def _score(n_tokens: int, n_types: int, contexts: Contexts):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = replies.to_pylist()
-        hashes = np.concatenate([tokens.unpack_sorted(p["hashes"], p["n"]) for p in rows]) if docs.num_rows else np.zeros(0, U64)
-        counts = np.concatenate([tokens.unpack(p["counts"], p["n"]) for p in rows]).astype(np.int64) if docs.num_rows else np.zeros(0, np.int64)
-        logs = np.concatenate([np.frombuffer(p["logs"], np.float64) for p in rows]) if docs.num_rows else np.zeros(0)
-        order = np.argsort(hashes)
-        hashes, counts, logs = hashes[order], counts[order], logs[order]
-        out = [[] for _ in range(6)]
-        for batch in docs.combine_chunks().to_batches():
-            for part in tokens.slices(batch, "text", SLICE_BYTES):
-                words = tokens.cut(part.column("text"), lower=True)
-                vocabulary = tokens.Vocabulary(words)
-                before, end = contexts.of(words, vocabulary)
-                at = np.searchsorted(hashes, np.concatenate([_in_context(vocabulary.hash[vocabulary.of], before), _in_context(np.zeros(part.num_rows, U64), end)]))
-                n = part.num_rows
-                doc, c = np.concatenate([words.doc, np.arange(n)]), counts[at]
-                plain = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-                for k, values in enumerate((
-                    part.column("doc_id").to_pylist(), (~part.column("train").to_numpy(zero_copy_only=False)).tolist(), words.count + 1,
-                    np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, plain, n), np.bincount(doc, logs[at], n),
-                )):
-                    out[k].extend(values)
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, out, types, strict=True)})
+def _sum_hot(inbox: Inbox) -> list[tuple]:
+    """To each part of a split context, the tables of all parts."""
+    context, tables = inbox.of(HOT_SUM, "a", U64), inbox.of(HOT_SUM, "b", np.int64, SAMPLES)
+    _, of = np.unique(context, return_inverse=True)
+    total = np.stack([np.bincount(of, tables[:, s]) for s in range(SAMPLES)], 1)[of].astype(np.int64)
+    return [row(r["source"], HOT_SUM, 1, r["a"], total[i], source=inbox.bundle) for i, r in enumerate(inbox.rows[HOT_SUM])]
+
+
+def _answer(buckets: int):
+    """To each chunk, the log10 of the averaged probabilities of the pairs that it asked for."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        if CONTEXTS not in inbox.rows:
+            return []
+        (state,), (seated,) = inbox.rows[CONTEXTS], inbox.rows[SEATED]
+        contexts = Contexts.read(state)
+        tables = _ints(seated["a"], seated["n"] * SAMPLES).reshape(-1, SAMPLES)
+        base = _log_base(inbox, contexts, buckets, SAMPLES)
+        total = np.stack([np.bincount(contexts.of, tables[:, s], len(contexts.context)) for s in range(SAMPLES)], 1)
+        total[np.searchsorted(contexts.context, inbox.of(HOT_SUM, "a", U64))] = inbox.of(HOT_SUM, "b", np.int64, SAMPLES)
+        each = np.empty((SAMPLES, len(contexts.key)))
+        with np.errstate(divide="ignore"):
+            for s in range(SAMPLES):
+                spare = np.log(CONTEXT_STRENGTH + CONTEXT_DISCOUNT * total[:, s])
+                each[s] = np.logaddexp(np.log(contexts.uses - CONTEXT_DISCOUNT * tables[:, s]), spare[contexts.of] + base[:, s])
+        logs = np.logaddexp.reduce(each, 0) - np.log(SAMPLES) - np.log(CONTEXT_STRENGTH + contexts.after)[contexts.of]
+        logs = (logs / np.log(10)).astype(np.float32)
+        return [row(r["source"], LOGS, r["n"], logs[_ints(r["a"], r["n"])], source=inbox.bundle) for r in inbox.rows[ASKED]]
+
+    return run
+
+
+RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
+def _score(n_tokens: int, n_types: int, buckets: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in RESULT.items()})
+        own, inbox = Chunk(docs), Inbox(answers)
+        number, count = own.named(inbox, buckets)
+        pairs = own.pairs(number, count, buckets)
+        logs = inbox.of(LOGS, "a", np.float32).astype(np.float64)[pairs.of]
+        uses = count[own.of]
+        plain = np.log10((uses + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+        values = (own.docs.column("doc_id"), ~own.train, own.count + 1, np.bincount(own.doc, uses > 0, own.n).astype(np.int64), np.bincount(own.doc, plain, own.n), np.bincount(own.doc, logs, own.n))
+        return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, t), v in zip(RESULT.items(), values, strict=True)})
 
     return run
 
@@ -619,26 +622,25 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     bytes_ = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = int(bytes_ // CHUNK_BYTES) + 1
     buckets = 1 << int(bytes_ // BUCKET_BYTES).bit_length()
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    contexts = learn_contexts(dealt.filter("train"))
-    asked = scratch.write(dealt.groupBy("chunk").applyInArrow(_chunk_words(buckets, contexts), WORDS), "asked")
-    words = scratch.write(asked.groupBy("bucket").applyInArrow(_merge_words, MERGED), "words")
-    total = words.agg(F.sum("n_types").alias("types"), F.sum("n_tokens").alias("tokens")).first()
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    words = write(scratch, superstep(dealt.groupBy("chunk").applyInArrow(_words(buckets), ROW), _number_words), "words")
+    total = words(LEXICON).agg(F.sum("source").alias("types"), F.sum("count").alias("tokens")).first()
     n_types, n_tokens = int(total["types"] or 0), int(total["tokens"] or 0)
-    spelling = sums = None
-    for i in range(ROUNDS):
-        given = spark.sparkContext.broadcast((spelling, None if sums is None else sums[-1]))
-        seated = scratch.write(words.repartition(buckets).mapInArrow(_seat(given), SEATED), f"seated{i}")
-        by_place = seated.select(F.posexplode("sums").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
-        sums = np.array([r["n"] for r in by_place] or [0] * (SAMPLES * 128), dtype=np.float64).reshape(SAMPLES, 2, 64)
-        spelling = learn_spelling(seated, scratch, f"cells{i}", seed + i)
-    if not spelling.keys:
-        one = np.full((1, SAMPLES), SPELL_STRENGTH, np.float32)
-        spelling = Spelling([np.zeros(1, U64)], [one * 0], [np.zeros(1, U64)], [one], [one])
-    final = spark.sparkContext.broadcast((spelling, sums))
-    scored = scratch.write(seated.mapInArrow(_probabilities(final), SCORED), "scored")
-    replies = scratch.write(asked.select("bucket", "chunk", "n", "hashes").groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_reply, REPLY), "replies")
-    scratch.drop("asked", "words", "scored", *(f"seated{i}" for i in range(ROUNDS)))
-    out = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(n_tokens, n_types, contexts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = dealt.groupBy("chunk").cogroup(words(NAMES).groupBy("bundle")).applyInArrow(_pairs(buckets), ROW)
+    pairs = write(scratch, superstep(asked, _gather(buckets)), "pairs")
+    root = write(scratch, superstep(words(LEXICON).union(pairs(TABLES)), _seat_root(spark.sparkContext.broadcast(None), seed)), "root0")
+    shared, width = learn_shared(root, seed), 1
+    base = superstep(root(LEXICON, ROOT, ASKED), _base(spark.sparkContext.broadcast(shared)))
+    for i in range(1, ROUNDS + 1):
+        seated = write(scratch, superstep(pairs(CONTEXTS).union(base), _seat_contexts(buckets, width, seed + i)), f"seated{i}")
+        root = write(scratch, superstep(words(LEXICON).union(seated(TABLES)), _seat_root(spark.sparkContext.broadcast(shared), seed + i)), f"root{i}")
+        scratch.drop(f"root{i - 1}", f"seated{i - 1}")
+        shared, width = learn_shared(root, seed + i), SAMPLES
+        base = superstep(root(LEXICON, ROOT, ASKED), _base(spark.sparkContext.broadcast(shared)))
+    hot = superstep(seated(HOT_SUM), _sum_hot)
+    state = pairs(CONTEXTS, ASKED).union(seated(SEATED)).union(base).union(hot)
+    logs = write(scratch, superstep(state, _answer(buckets)), "logs")
+    scratch.drop("pairs", f"seated{ROUNDS}", f"root{ROUNDS}")
+    out = dealt.groupBy("chunk").cogroup(words(NAMES).union(logs(LOGS)).groupBy("bundle")).applyInArrow(_score(n_tokens, n_types, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

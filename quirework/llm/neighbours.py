@@ -6,10 +6,9 @@ graph, too, is by inner product, so that where norms differ, lists lead to the
 long vectors that are the answers; a long vector may be on very many lists.
 
 Nodes are dealt out in bundles by a hash of their key. All work is done in
-supersteps: a table of rows, each for one bundle, is grouped by bundle; a
-bundle gets its graph and its messages, and returns its graph and new messages.
-A superstep is one exchange. Messages are packed arrays; a bundle sends another
-a vector once, however many of its nodes asked for it.
+supersteps (packets.py), of one exchange each: a bundle gets its graph and its
+messages, and returns its graph and new messages. A bundle sends another a
+vector once, however many of its nodes asked for it.
 
 The graph starts from a few random partitions into cells of CELL nodes, a small
 multiple of K. In a round of NN-descent
@@ -47,7 +46,7 @@ than id and vector are ignored. Scores beyond a double are infinite.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +54,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .packets import ROW, Inbox, row, send, superstep, table
 from .store import Scratch
 
 K, REVERSE, PROPOSE = 40, 32, 8
@@ -70,9 +70,6 @@ ENTRIES = 64
 #: Lists joined at once.
 LISTS_AT_ONCE = 256
 GRAPH, CELLS, OFFER, LISTED, WANT, GIVEN, JOIN, QUERY, BEAMS, ASK, PASS = range(11)
-PARTS = ("a", "b", "c", "d", "e", "f")
-ROW = "bundle int, kind int, source int, n int, " + ", ".join(f"{p} binary" for p in PARTS) + ", count long"
-_ARROW = pa.schema([(c, pa.int32()) for c in ("bundle", "kind", "source", "n")] + [(p, pa.binary()) for p in PARTS] + [("count", pa.int64())])
 
 
 def bundle_of(ids: np.ndarray, bundles: int) -> np.ndarray:
@@ -80,23 +77,7 @@ def bundle_of(ids: np.ndarray, bundles: int) -> np.ndarray:
 
 
 def _row(bundle: int, kind: int, *parts: np.ndarray, source: int = 0, count: int = 0) -> tuple:
-    packed = [np.ascontiguousarray(p).tobytes() for p in parts]
-    return int(bundle), kind, int(source), len(parts[0]) if parts else 0, *packed, *[b""] * (len(PARTS) - len(parts)), int(count)
-
-
-def _send(kind: int, dest: np.ndarray, *parts: np.ndarray, source: int = 0) -> list[tuple]:
-    """One message for each destination, of the rows of parts that go there."""
-    if not len(dest):
-        return []
-    order = np.argsort(dest, kind="stable")
-    dest, parts = dest[order], [p[order] for p in parts]
-    start = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]])
-    return [_row(dest[low], kind, *(p[low:high] for p in parts), source=source) for low, high in zip(start, np.r_[start[1:], len(dest)], strict=True)]
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(_ARROW)
-    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_ARROW, columns, strict=True)}, schema=_ARROW)
+    return row(bundle, kind, len(parts[0]), *parts, source=source, count=count)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -124,33 +105,19 @@ def _at_most(most: int, by: np.ndarray, *group: np.ndarray) -> np.ndarray:
     return out
 
 
-class Inbox:
-    """The rows of one bundle."""
-
-    def __init__(self, table: pa.Table):
-        rows = table.to_pylist()
-        self.bundle = rows[0]["bundle"]
-        self.rows = {kind: [r for r in rows if r["kind"] == kind] for kind in {r["kind"] for r in rows}}
-
-    def of(self, kind: int, part: str, dtype: type, width: int = 0) -> np.ndarray:
-        out = np.frombuffer(b"".join(r[part] for r in self.rows.get(kind, ())), dtype)
-        return out.reshape(-1, width) if width else out
-
-    def kept(self, *kinds: int) -> list[tuple]:
-        return [tuple(r[f] for f in _ARROW.names) for k in kinds for r in self.rows.get(k, ())]
-
-    def graph(self, d: int) -> Graph | None:
-        if GRAPH not in self.rows:
-            return None
-        return Graph(self.of(GRAPH, "a", np.int64), self.of(GRAPH, "b", np.float16, d), self.of(GRAPH, "c", np.float32), self.of(GRAPH, "d", np.int64, K), self.of(GRAPH, "e", np.float32, K), self.of(GRAPH, "f", bool, K))
-
-
 class Graph:
     """The nodes of a bundle, sorted by key: directions and norms; neighbours, nearest first (their own key where there is none), with similarities and whether they are new."""
 
     def __init__(self, ids: np.ndarray, dirs: np.ndarray, norms: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray):
         self.ids, self.dirs, self.norms, self.nbrs, self.sims, self.fresh = ids, dirs, norms, nbrs, sims, fresh
 
+    @staticmethod
+    def of(inbox: Inbox, d: int) -> Graph | None:
+        """The graph of a bundle, if it has nodes."""
+        if GRAPH not in inbox.rows:
+            return None
+        return Graph(inbox.of(GRAPH, "a", np.int64), inbox.of(GRAPH, "b", np.float16, d), inbox.of(GRAPH, "c", np.float32), inbox.of(GRAPH, "d", np.int64, K), inbox.of(GRAPH, "e", np.float32, K), inbox.of(GRAPH, "f", bool, K))
+
     @staticmethod
     def empty(ids: np.ndarray, dirs: np.ndarray, norms: np.ndarray) -> Graph:
         return Graph(ids, dirs, norms, np.repeat(ids[:, None], K, 1), np.full((len(ids), K), -np.inf, np.float32), np.zeros((len(ids), K), bool))
@@ -187,10 +154,6 @@ class Graph:
         return out, int(come[best].sum())
 
 
-def superstep(table: DataFrame, work: Callable[[Inbox], list[tuple]]) -> DataFrame:
-    return table.groupBy("bundle").applyInArrow(lambda rows: _table(work(Inbox(rows))), ROW)
-
-
 def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, and norms."""
     top = np.abs(vectors).max(1, keepdims=True)
@@ -207,7 +170,7 @@ def _packed(bundles: int, d: int, largest: float):
             ids = batch.column("node").to_numpy()
             vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d)
             dirs, norms = _directions(vectors / largest)
-            yield from _table(_send(GRAPH, bundle_of(ids, bundles), ids, dirs.astype(np.float16), norms.astype(np.float32))).to_batches()
+            yield from table(send(GRAPH, bundle_of(ids, bundles), ids, dirs.astype(np.float16), norms.astype(np.float32))).to_batches()
 
     return run
 
@@ -231,7 +194,7 @@ def _scatter(bundles: int, d: int, bits: int):
             shares = np.where(size > 1, -(-size * bundles // BUNDLE), 1)[of]
             share = (tokens.mix(graph.ids.view(tokens.U64) + tokens.U64(p)) % shares.astype(tokens.U64)).astype(np.int64)
             cell = tokens.mix((side * PARTITIONS + p).view(tokens.U64) ^ (share.view(tokens.U64) << tokens.U64(48))).view(np.int64)
-            out += _send(CELLS, bundle_of(cell, bundles), graph.ids, graph.dirs, graph.norms, cell)
+            out += send(CELLS, bundle_of(cell, bundles), graph.ids, graph.dirs, graph.norms, cell)
         return out
 
     return run
@@ -259,7 +222,7 @@ def _join_cells(bundles: int, d: int):
             offered.append(ids[low:high][best].ravel())
             sims.append(np.take_along_axis(x, best, 1).ravel())
         to, offered, sims = np.concatenate(to), np.concatenate(offered), np.concatenate(sims)
-        return out + _send(OFFER, bundle_of(to, bundles), to, offered, sims)
+        return out + send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
     return run
 
@@ -268,14 +231,14 @@ def _take(bundles: int, d: int, salt: int):
     """Lists take what is offered; every node tells its neighbours that it lists them, at most REVERSE of a bundle each."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        graph = inbox.graph(d)
+        graph = Graph.of(inbox, d)
         if graph is None:
             return []
         graph, changed = graph.offered(inbox.of(OFFER, "a", np.int64), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
         place, near, fresh = graph.edges()
         by = graph.ids[place]
         some = _at_most(REVERSE, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), near, fresh)
-        return [graph.row(inbox.bundle, changed), *_send(LISTED, bundle_of(near[some], bundles), near[some], by[some], fresh[some])]
+        return [graph.row(inbox.bundle, changed), *send(LISTED, bundle_of(near[some], bundles), near[some], by[some], fresh[some])]
 
     return run
 
@@ -284,7 +247,7 @@ def _candidates(bundles: int, d: int, salt: int):
     """Asks for the vectors of all candidates of nodes that have a new one."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        graph = inbox.graph(d)
+        graph = Graph.of(inbox, d)
         if graph is None:
             return []
         place, near, fresh = graph.edges()
@@ -298,14 +261,14 @@ def _candidates(bundles: int, d: int, salt: int):
         place, near, fresh = place[active], near[active], fresh[active]
         graph.fresh = np.zeros_like(graph.fresh)
         wanted = np.unique(near)
-        return [graph.row(inbox.bundle), _row(inbox.bundle, JOIN, place.astype(np.int32), near, fresh), *_send(WANT, bundle_of(wanted, bundles), wanted, source=inbox.bundle)]
+        return [graph.row(inbox.bundle), _row(inbox.bundle, JOIN, place.astype(np.int32), near, fresh), *send(WANT, bundle_of(wanted, bundles), wanted, source=inbox.bundle)]
 
     return run
 
 
 def _give(d: int):
     def run(inbox: Inbox) -> list[tuple]:
-        graph = inbox.graph(d)
+        graph = Graph.of(inbox, d)
         if graph is None:
             return []
         out = inbox.kept(GRAPH, JOIN)
@@ -356,7 +319,7 @@ def _join(bundles: int, d: int):
         to, offered, sims = to[once], offered[once], sims[once]
         some = _at_most(K, -sims, to)
         to, offered, sims = ids[to[some]], ids[offered[some]], sims[some]
-        return inbox.kept(GRAPH) + _send(OFFER, bundle_of(to, bundles), to, offered, sims)
+        return inbox.kept(GRAPH) + send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
     return run
 
@@ -375,24 +338,24 @@ def build(nodes: DataFrame, d: int, count: int, largest: float, scratch: Scratch
     rounds: so many rounds of NN-descent, instead of until it settles.
     """
     bundles = bundles_for(count, d)
-    table = superstep(nodes.mapInArrow(_packed(bundles, d, largest), ROW), _scatter(bundles, d, (count // CELL).bit_length() - 1 if count >= 2 * CELL else 0))
-    table = scratch.write(superstep(superstep(table, _join_cells(bundles, d)), _take(bundles, d, 0)), "graph0")
+    state = superstep(nodes.mapInArrow(_packed(bundles, d, largest), ROW), _scatter(bundles, d, (count // CELL).bit_length() - 1 if count >= 2 * CELL else 0))
+    state = scratch.write(superstep(superstep(state, _join_cells(bundles, d)), _take(bundles, d, 0)), "graph0")
     i, changed = 0, K * count
     while changed > SETTLED * K * count if rounds is None else i < rounds:
         for step in (_candidates(bundles, d, i), _give(d), _join(bundles, d), _take(bundles, d, i + 1)):
-            table = superstep(table, step)
+            state = superstep(state, step)
         i += 1
-        table = scratch.write(table, f"graph{i}")
+        state = scratch.write(state, f"graph{i}")
         scratch.drop(f"graph{i - 1}")
-        changed = table.agg(F.sum("count")).first()[0] or 0
-    return table.filter(F.col("kind") == GRAPH)
+        changed = state.agg(F.sum("count")).first()[0] or 0
+    return state.filter(F.col("kind") == GRAPH)
 
 
 def _asked(bundles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("node").to_numpy()
-            yield from _table(_send(QUERY, bundle_of(ids, bundles), ids)).to_batches()
+            yield from table(send(QUERY, bundle_of(ids, bundles), ids)).to_batches()
 
     return run
 
@@ -441,7 +404,7 @@ class Beams:
 def _with_directions(kind: int, dest: np.ndarray, node: np.ndarray, query: np.ndarray, known: np.ndarray, dirs: np.ndarray) -> list[tuple]:
     """Messages of nodes and queries; each also with the directions of its queries, once. known: sorted queries, whose directions are dirs."""
     out = []
-    for bundle, of, n, _, a, b, *rest in _send(kind, dest, node, query):
+    for bundle, of, n, _, a, b, *rest in send(kind, dest, node, query):
         own = np.unique(np.frombuffer(b, np.int64))
         out.append((bundle, of, n, len(own), a, b, own.tobytes(), dirs[np.searchsorted(known, own)].tobytes(), *rest[2:]))
     return out
@@ -451,7 +414,7 @@ def _advance(bundles: int, d: int, width: int, entries):
     """Beams take what was scored, and ask for the neighbours of their best unexpanded nodes."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        graph = inbox.graph(d)
+        graph = Graph.of(inbox, d)
         if graph is None:
             return []
         out = [graph.row(inbox.bundle)]
@@ -481,7 +444,7 @@ def _pass_on(bundles: int, d: int):
     """Passes a query on to the bundles of the neighbours of a node."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        out, graph = inbox.kept(GRAPH, BEAMS), inbox.graph(d)
+        out, graph = inbox.kept(GRAPH, BEAMS), Graph.of(inbox, d)
         if graph is None or ASK not in inbox.rows:
             return out
         node, query = inbox.of(ASK, "a", np.int64), inbox.of(ASK, "b", np.int64)
@@ -500,7 +463,7 @@ def _rate(bundles: int, d: int):
     """Scores nodes of a bundle for the queries passed on to it."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        out, graph = inbox.kept(GRAPH, BEAMS), inbox.graph(d)
+        out, graph = inbox.kept(GRAPH, BEAMS), Graph.of(inbox, d)
         if graph is None or PASS not in inbox.rows:
             return out
         node, query = inbox.of(PASS, "a", np.int64), inbox.of(PASS, "b", np.int64)
@@ -513,7 +476,7 @@ def _rate(bundles: int, d: int):
         for low in range(0, len(node), 1 << 16):
             s = slice(low, low + (1 << 16))
             sims[s] = np.einsum("ij,ij->i", graph.dirs[at[s]].astype(np.float32), dirs[of[s]].astype(np.float32)) * graph.norms[at[s]]
-        return out + _send(OFFER, bundle_of(query, bundles), query, node, sims)
+        return out + send(OFFER, bundle_of(query, bundles), query, node, sims)
 
     return run
 
@@ -567,14 +530,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     advance = _advance(bundles, d, width, (ids, dirs.astype(np.float32), norms.astype(np.float32)))
     queries = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
     asked = queries.select(F.col("query_node").alias("node")).distinct()
-    table = scratch.write(superstep(graph.union(asked.mapInArrow(_asked(bundles), ROW)), advance), "beams0")
+    state = scratch.write(superstep(graph.union(asked.mapInArrow(_asked(bundles), ROW)), advance), "beams0")
     i = 0
-    while table.filter(F.col("kind") == BEAMS).agg(F.sum("count")).first()[0]:
-        table = superstep(superstep(superstep(table, _pass_on(bundles, d)), _rate(bundles, d)), advance)
+    while state.filter(F.col("kind") == BEAMS).agg(F.sum("count")).first()[0]:
+        state = superstep(superstep(superstep(state, _pass_on(bundles, d)), _rate(bundles, d)), advance)
         i += 1
-        table = scratch.write(table, f"beams{i}")
+        state = scratch.write(state, f"beams{i}")
         scratch.drop(f"beams{i - 1}")
-    pairs = table.filter(F.col("kind") == BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
+    pairs = state.filter(F.col("kind") == BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
     vector_of = nodes.withColumnRenamed("v", "w")
     both = pairs.join(vector_of, "node").join(nodes.select(F.col("node").alias("query_node"), "v"), "query_node")
     score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

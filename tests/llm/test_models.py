@@ -118,16 +118,100 @@ def test_language_model(spark, corpus):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
-def test_frequent_words_are_counted_over_all_slices(spark):
-    rows = [(i, " ".join(f"w{i}x{j} " * 3 for j in range(100)) + " shared" * 2, None, "", "") for i in range(4)]
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        contexts = language_model.learn_contexts(spark.createDataFrame(rows, DOCS))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    words = language_model.tokens.cut(language_model.pa.array(["shared"]), lower=True)
-    assert language_model.tokens.Vocabulary(words).hash[0] in contexts.hashes
+class Restaurants:
+    """The same hierarchy, sampled customer by customer."""
+
+    def __init__(self, rng):
+        self.rng, self.sizes, self.customers, self.tables = rng, {}, Counter(), Counter()
+
+    def settings(self, name):
+        m = language_model
+        return {"c": (m.CONTEXT_DISCOUNT, m.CONTEXT_STRENGTH), "r": (m.WORD_DISCOUNT, m.WORD_STRENGTH), "s": (m.SPELL_DISCOUNT, m.SPELL_STRENGTH)}[name[0]]
+
+    def parents(self, name, dish):
+        if name[0] == "c":
+            return [(("r",), dish)]
+        if name[0] == "r":
+            text = b" " * language_model.ORDER + dish + b" "
+            return [(("s", text[i - language_model.ORDER : i]), text[i]) for i in range(language_model.ORDER, len(text))]
+        return [(("s", name[1][1:]), dish)] if name[1] else []
+
+    def p(self, name, dish):
+        above = math.prod(self.p(*x) for x in self.parents(name, dish)) if name != ("s", b"") else 1 / 256
+        d, strength = self.settings(name)
+        own = self.sizes.get((name, dish), [])
+        return (sum(own) - d * len(own) + (strength + d * self.tables[name]) * above) / (strength + self.customers[name])
+
+    def add(self, name, dish):
+        own = self.sizes.setdefault((name, dish), [])
+        d, strength = self.settings(name)
+        above = math.prod(self.p(*x) for x in self.parents(name, dish)) if name != ("s", b"") else 1 / 256
+        weights = [s - d for s in own] + [(strength + d * self.tables[name]) * above]
+        at = self.rng.choices(range(len(weights)), weights)[0]
+        self.customers[name] += 1
+        if at < len(own):
+            own[at] += 1
+            return
+        own.append(1)
+        self.tables[name] += 1
+        for x in self.parents(name, dish):
+            self.add(*x)
+
+    def remove(self, name, dish):
+        own = self.sizes[name, dish]
+        at = self.rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        self.customers[name] -= 1
+        if not own[at]:
+            del own[at]
+            self.tables[name] -= 1
+            for x in self.parents(name, dish):
+                self.remove(*x)
+
+
+def test_language_model_against_a_sampler_of_single_customers(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    follow = {w: rng.choices(words, k=3) for w in words}
+    rows = []
+    for i in range(110):
+        text = [rng.choice(words)]
+        for _ in range(rng.randint(3, 25)):
+            text.append(rng.choice(follow[text[-1]]) if rng.random() < 0.6 else rng.choice(words[: rng.randint(1, 60)]))
+        rows.append((i, " ".join(text + ["so", "it", "ends"] * 2 + ["unheard" + str(i)] * (i % 7 == 0)), None, "x", "y"))
+    pairs = lambda t: list(zip([b"", *t.encode().split()], [*t.encode().split(), b""]))
+    customers = [(("c", u), w) for i, t, *_ in rows if crc(i, 4) for u, w in pairs(t)]
+    asked = [(i, ("c", u), w) for i, t, *_ in rows for u, w in pairs(t)]
+    brute, total, kept = Restaurants(rng), Counter(), 0
+    for x in customers:
+        brute.add(*x)
+    for sweep in range(24):
+        for x in customers:
+            brute.remove(*x)
+            brute.add(*x)
+        if sweep >= 8 and sweep % 2:
+            kept += 1
+            for x in set(a[1:] for a in asked):
+                total[x] += brute.p(*x)
+    want = Counter()
+    for i, *x in asked:
+        want[i] += math.log10(total[tuple(x)] / kept)
+    got = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, DOCS), folds.remainder("doc_id", 4) != 0).collect()}
+    for fold in (True, False):
+        some = [i for i, *_ in rows if (crc(i, 4) == 0) == fold]
+        ours, theirs = sum(got[i] for i in some), sum(want[i] for i in some)
+        assert abs(ours - theirs) < 0.015 * abs(theirs), (fold, ours, theirs)
+        assert all(abs(got[i] - want[i]) < 0.06 * abs(want[i]) for i in some)
+
+
+def test_split_contexts_and_many_buckets_change_little(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame(corpus[:-3], DOCS)
+    rows = lambda: {(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)): r["score"] for r in language_model.score(docs, folds.remainder("doc_id", 10) != 0).collect()}
+    plain = rows()
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 6000)
+    dealt = rows()
+    assert plain.keys() == dealt.keys() and abs(sum(plain.values()) - sum(dealt.values())) < 0.01 * abs(sum(plain.values()))
 
 
 def test_spelling_is_a_distribution():
@@ -136,30 +220,58 @@ def test_spelling_is_a_distribution():
     sizes = np.array([len(w) for w in words])
     keys, _ = language_model.spelling_keys(np.frombuffer(b"".join(words), np.uint8), sizes)
     distinct, counts = np.unique(keys, return_counts=True)
-    spelling = language_model.seat_spelling(distinct, counts, language_model.ORDER, 3, 0)
-    for context in (b"     ", b"   ab", b"abcda", b"zzzzz"):
+    spelling = language_model.seat_spelling(distinct, counts, 0)
+    for context in (b"  ", b" a", b"ab", b"zz"):
         base = int.from_bytes(context, "big") << 8
         total = spelling.probabilities(np.arange(base, base + 256, dtype=np.uint64)).sum(0)
         assert np.allclose(total, 1, atol=1e-4)
 
 
-def test_seating_keeps_its_customers():
-    rng = np.random.default_rng(1)
-    customers = rng.integers(0, 40, 500)
-    seats = language_model.Seating(customers, np.full(500, 2.0), 0.5, rng)
-    for want in (customers, customers + rng.integers(0, 5, 500), np.maximum(0, customers - 7)):
-        seats.fill(want, np.full(500, 2.0))
-        for _ in range(20):
-            seats.sweep(np.full(500, 2.0))
-        assert (np.bincount(seats.dish, seats.size, 500) == want).all() and seats.size.min() > 0
-        assert (seats.tables <= want).all() and ((seats.tables > 0) == (want > 0)).all()
-    single = language_model.Seating(np.array([200]), np.array([5.0]), 0.0, rng)
-    tables = []
-    for _ in range(30_000):
-        single.sweep(np.array([5.0]))
-        tables.append(single.tables[0])
-    expected = sum(5 / (5 + i) for i in range(200))
-    assert abs(np.mean(tables[2000:]) - expected) < 0.08 * expected
+def sequential_tables(rng, customers, strength, p, d, sweeps):
+    """Mean tables of one dish, sampled customer by customer; strength without the dish's own tables."""
+    sizes, seen = [], []
+    for _ in range(customers):
+        weights = [s - d for s in sizes] + [(strength + d * len(sizes)) * p]
+        at = rng.choices(range(len(weights)), weights)[0]
+        sizes = sizes + [1] if at == len(sizes) else [s + (k == at) for k, s in enumerate(sizes)]
+    for _ in range(sweeps):
+        for _ in range(customers):
+            at = rng.choices(range(len(sizes)), sizes)[0]
+            sizes = [s - (k == at) for k, s in enumerate(sizes) if s > (k == at)]
+            weights = [s - d for s in sizes] + [(strength + d * len(sizes)) * p]
+            at = rng.choices(range(len(weights)), weights)[0]
+            sizes = sizes + [1] if at == len(sizes) else [s + (k == at) for k, s in enumerate(sizes)]
+        seen.append(len(sizes))
+    return np.mean(seen[len(seen) // 5 :])
+
+
+def expected_tables(customers, strength, p, d):
+    """Mean tables of one dish: over t, ways to sit at t tables times the weight of opening them."""
+    ways = np.array([0.0])
+    with np.errstate(divide="ignore"):
+        for c in range(1, customers):
+            ways = np.logaddexp(np.r_[-np.inf, ways], np.r_[ways, -np.inf] + np.log(np.maximum(c - d * np.arange(1, c + 2), 1e-300)))
+    weight = ways + np.cumsum(np.log((strength + d * np.arange(customers)) * p))
+    weight = np.exp(weight - weight.max())
+    return (weight * np.arange(1, customers + 1)).sum() / weight.sum()
+
+
+CASES = [(2, 4.0, 0.2, 0.8), (7, 30.0, 0.05, 0.8), (40, 8.0, 0.3, 0.4), (64, 5.0, 0.1, 0.0), (150, 12.0, 0.2, 0.5), (400, 100.0, 0.05, 0.7), (1024, 30.0, 0.1, 0.8), (2500, 20.0, 0.2, 0.2), (1500, 1e5, 0.05, 0.8), (3000, 1e4, 0.4, 0.7), (2000, 50.0, 0.9, 0.8), (5000, 10.0, 0.2, 0.7), (5000, 5.0, 1e-9, 0.4)]
+
+
+@pytest.mark.parametrize(("customers", "strength", "p", "d"), CASES)
+def test_seating(customers, strength, p, d):
+    want = expected_tables(customers, strength, p, d)
+    if customers <= 64:
+        assert abs(sequential_tables(random.Random(3), customers, strength, p, d, 3000) - want) < 0.06 * want
+    many, seen = 400, []
+    seats = language_model.Seating(np.full(many, customers), d, np.random.default_rng(1))
+    for i in range(12):
+        seats.sweep(np.full(many, strength), np.full(many, p))
+        assert (seats.tables >= 1).all() and (seats.tables <= customers).all()
+        if i >= language_model.BURN_IN:
+            seen.append(seats.tables.mean())
+    assert abs(np.mean(seen) - want) < max(0.02, 0.03 * want), (np.mean(seen), want)
 
 
 VECTORS = "vec_id long, embedding array<float>, rank string, label string"
