@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -171,15 +172,18 @@ def test_decontamination_finds_edited_passages(spark):
         _, window, edits = decontamination.CLASSES[0]
         if any(within(p[a : a + window], t, edits) for a in range(len(p) - window + 1)):
             want.add((i, 1))
-    rows += [(100, "so: EXACTLY  forty five\ncharacters long   this one, yes"), (101, None), (102, ""), (103, "w" * 300_000), (104, "quick brown fox jumps over the lazy dog")]
-    bench = spark.createDataFrame([(1, ITEM, "x"), (2, SHORT, "x"), (3, None, None), (4, "too short", None)], BENCH)
+    rows += [(100, "so: EXACTLY  forty five\ncharacters long   this one, yes"), (101, None), (102, ""), (103, "w" * 300_000), (104, "quick brown fox jumps over the lazy dog"), (105, "This is: Too\nSHORT."), (106, "too shortly, hence not too sho rt")]
+    rows += [rows[3]]
+    bench = spark.createDataFrame([(1, ITEM, "x"), (2, SHORT, "x"), (3, None, None), (4, "too short", None), (5, "?!", None), (6, "", None)], BENCH)
     found = decontamination.matches(docs_of(spark, rows), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == want | {(100, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want | {(100, 2), (105, 4)}
+    copies = [(r["item_id"], r["start"], r["end"], r["edits"]) for r in found if r["doc_id"] == 3]
+    assert sorted(copies[::2]) == sorted(copies[1::2]) and len(copies) == 2 * len(set(copies))
     texts = dict(rows)
     (hit,) = [r for r in found if r["doc_id"] == 100]
     assert plain(texts[100][hit["start"] : hit["end"]]) == plain(SHORT)
     kept = decontamination.clean(docs_of(spark, rows), bench)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in want} - {100}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in want} - {100, 105}
     assert kept.columns == ["doc_id", "text", "n", "bucket", "kept"]
 
 
@@ -189,12 +193,47 @@ def test_a_benchmark_of_several_blocks(spark):
     bench = spark.createDataFrame([(i, t, None) for i, t in enumerate(items)] + [(99, items[0], None)], BENCH)
     docs = docs_of(spark, [(i, f"before {t} after") for i, t in enumerate(items)] + [(77, items[3])])
     assert len(list(decontamination.index_blocks(bench, block_bytes=900))) > 3
-    found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, bench).collect()}
-    assert found == {(i, i) for i in range(40)} | {(0, 99), (77, 3)}
+    for size in (decontamination.BLOCK_BYTES, 900):
+        rows = decontamination.matches(docs, bench, block_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == {(i, i) for i in range(40)} | {(0, 99), (77, 3)} and len(rows) == 42
+        assert all(r["edits"] == 0 and r["start"] == (0 if r["doc_id"] == 77 else 7) for r in rows)
+        assert decontamination.clean(docs.union(docs_of(spark, [(500, None), (501, "clean")])), bench, block_bytes=size).count() == 2
+    short = bench.union(spark.createDataFrame([(200, "tiny", None)], BENCH))
+    assert {r["item_id"] for r in decontamination.matches(docs_of(spark, [(1, "a tiny one"), (2, "tinyer")]), short, block_bytes=900).collect()} == {200}
     empty = spark.createDataFrame([], BENCH)
     assert decontamination.matches(docs, empty).count() == 0 and decontamination.clean(docs, empty).count() == 41
 
 
+def test_periodic_texts_cost_in_proportion():
+    items = ["lorem ipsum " * 40, "a" * 3000, "abab " * 30 + "then the end of it all comes"]
+    points = decontamination._plain_items(pa.array(items))
+    indexes = [decontamination.Index.of(60, 3, [0, 1, 2], points)]
+    took = []
+    for n in (3000, 12_000):
+        began = time.process_time()
+        found = decontamination.scan(pa.array(["x " + "lorem ipsum " * (n // 12), "a" * n, "b" * n, "abab " * (n // 5)]), indexes)
+        took.append(time.process_time() - began)
+        assert [(r, i, e) for r, i, _, _, e in found] == [(0, 0, 0), (1, 1, 0), (3, 2, 0)]
+        assert abs(found[1][3] - found[1][2] - n) <= 3 and abs(found[0][3] - found[0][2] - n) <= 6
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 20
+
+
+def test_parts_of_shared_qgrams_lose_nothing(monkeypatch):
+    rng = random.Random(6)
+    item = "".join(rng.choice("abcd ") for _ in range(300))
+    texts = []
+    for _ in range(30):
+        own = list(item[rng.randrange(100) : rng.randrange(150, 300)])
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(len(own))] = rng.choice("abcd")
+        texts.append("".join(rng.choice("abcd ") for _ in range(rng.randrange(200))) + "".join(own) + "".join(rng.choice("abcd ") for _ in range(50)))
+    indexes = [decontamination.Index.of(60, 3, [7], decontamination._plain_items(pa.array([item])))]
+    whole = decontamination.scan(pa.array(texts), indexes)
+    monkeypatch.setattr(decontamination, "TRIPLES", 50)
+    monkeypatch.setattr(decontamination, "ALIGNED", 3)
+    assert decontamination.scan(pa.array(texts), indexes) == whole and len(whole) > 10
+
+
 def test_words_are_cut_like_the_pattern():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r é漢") for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "", "x" * 100_000]
