@@ -68,6 +68,13 @@ class Scratch:
         if _open:
             _open[-1].append(self)
 
+    @staticmethod
+    def at(spark: SparkSession, path: str) -> Scratch:
+        """A folder of one's own choice, which stays."""
+        out = Scratch.__new__(Scratch)
+        out.spark, out.root = spark, path.rstrip("/")
+        return out
+
     def _end(self) -> None:
         """Results may be read until the program ends; then the folder goes, if Spark is still there."""
         if self.spark.sparkContext._jsc is not None:
@@ -83,6 +90,17 @@ class Scratch:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table), partitionBy=partition_by)
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def text(self, name: str, content: str) -> None:
+        """Writes a small file of text in place of what was there."""
+        jvm = self.spark._jvm
+        path, new = (jvm.org.apache.hadoop.fs.Path(self.path(x)) for x in (name, f"{name}.new"))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = files.create(new, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        files.delete(path, False)
+        files.rename(new, path)
+
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -4,12 +4,15 @@ A window is k consecutive words of one document. The index holds the windows
 of all earlier batches as sorted immutable runs, cut into buckets by the top
 bits of a 64-bit fingerprint. A new batch of documents (a range of ids, so all
 history has smaller ids) is fingerprinted, dealt out by bucket and there
-merge-joined with the runs of the bucket. A match of fingerprints is verified
-by a check word, 16 bits of an independent polynomial over the same words, and
-once more where it is applied: the positions found are compared with the check
-words of the document's own text before any word goes. The batch's new windows
-become a run; two runs of one level are compacted into one of the next, so an
-ingest meets at most log2(batches) + 1 runs.
+merge-joined with the runs of the bucket. Runs are stored bucket by bucket
+(bucketed tables), so ingesting shuffles the new batch alone; history is read
+where it is. A match of fingerprints is verified by a check word of 32 bits from
+other hashes of the same words' bytes, and the positions found are compared
+with the check words of the document's own text before any word goes. The
+batch's new windows become a run; two runs of one level are compacted into one
+of the next, bucket by bucket without a shuffle, so an ingest meets at most
+log2(batches) + 1 runs. The index lives in a folder and can be opened again by
+another session, to ingest further batches.
 
 Fingerprints travel as packed blocks, not rows: a sorted block is kept as byte
 planes of its differences. A map task sends a window only with its smallest
@@ -20,11 +23,14 @@ each block of text.
 Defined results: a null text has no words. A row with a null id is kept whole
 and takes nothing from others. Rows that share an id don't remove each other's
 words. Texts of fewer than k words have no window. Empty tables give empty
-results. Columns other than id and text are ignored.
+results. Columns other than id and text are ignored. Ids must ascend from batch
+to batch; a batch that repeats an earlier id is refused.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -34,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import Scratch
+from .store import Scratch, shuffle_files_dropped
 
-PIECE = "bucket int, kind int, n int, base long, h binary, tag binary, doc binary, pos binary"
+#: chunk: of positions to remove, the chunk of documents that they are for.
+PIECE = "bucket int, kind int, n int, chunk int, base long, h binary, tag binary, doc binary, pos binary"
 ENTRY, GONE, RUN = 0, 1, 2
-_CHECK_STEP = 0xA0761D6478BD642F
+_CHECK_STEP, _CHECK_SEED = 0xA0761D6478BD642F, 0x5851F42D4C957F2D
 #: Bytes of text fingerprinted at once, and bytes of text for each bucket of the index.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
-_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("base", pa.int64()), *((x, pa.binary()) for x in ("h", "tag", "doc", "pos"))])
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("chunk", pa.int32()), ("base", pa.int64()), *((x, pa.binary()) for x in ("h", "tag", "doc", "pos"))])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -54,8 +61,8 @@ def _fingerprints(texts: pa.Array, k: int) -> tuple[tokens.Words, np.ndarray, np
     words = tokens.cut(texts)
     hashed, doc = tokens.hash_words(words), words.doc
     h, at = tokens.windows(hashed, doc, k)
-    check, _ = tokens.windows(hashed, doc, k, _CHECK_STEP)
-    return words, h, (check >> tokens.U64(48)).astype(np.uint16), at
+    check, _ = tokens.windows(tokens.hash_words(words, _CHECK_SEED), doc, k, _CHECK_STEP)
+    return words, h, (check >> tokens.U64(32)).astype(np.uint32), at
 
 
 def _grouped(h: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +84,7 @@ def _bucket_edges(sorted_h: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(sorted_h >> shift, np.arange(buckets + 1, dtype=tokens.U64))
 
 
-def _gone_rows(doc: np.ndarray, pos: np.ndarray, tag: np.ndarray, chunks: int) -> list[tuple]:
+def _gone_rows(bucket: int, doc: np.ndarray, pos: np.ndarray, tag: np.ndarray, chunks: int) -> list[tuple]:
     """Positions to remove, packed by chunk of documents."""
     chunk = (tokens.mix(doc.view(tokens.U64).copy()) & tokens.U64(chunks - 1)).astype(np.int64)
     order = np.argsort(chunk, kind="stable")
@@ -87,14 +94,14 @@ def _gone_rows(doc: np.ndarray, pos: np.ndarray, tag: np.ndarray, chunks: int) -
     for c in np.flatnonzero(np.diff(edges)):
         part = slice(edges[c], edges[c + 1])
         base = int(doc[part].min())
-        out.append((int(c), GONE, edges[c + 1] - edges[c], base, b"", tokens.pack(tag[part]), tokens.pack((doc[part] - base).view(tokens.U64)), tokens.pack(pos[part])))
+        out.append((bucket, GONE, edges[c + 1] - edges[c], int(c), base, b"", tokens.pack(tag[part]), tokens.pack((doc[part] - base).view(tokens.U64)), tokens.pack(pos[part])))
     return out
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, pos and tag of a piece."""
     n = row["n"]
-    return tokens.unpack(row["doc"], n).view(np.int64) + row["base"], tokens.unpack(row["pos"], n), tokens.unpack(row["tag"], n).astype(np.uint16)
+    return tokens.unpack(row["doc"], n).view(np.int64) + row["base"], tokens.unpack(row["pos"], n), tokens.unpack(row["tag"], n).astype(np.uint32)
 
 
 def _pieces(k: int, buckets: int, chunks: int):
@@ -111,13 +118,13 @@ def _pieces(k: int, buckets: int, chunks: int):
                 h, tag, doc, pos = h[order], tag[order], doc[order], pos[order]
                 least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.r_[start, len(doc)]))
                 late = doc > least
-                rows = _gone_rows(doc[late], pos[late], tag[late], chunks)
+                rows = _gone_rows(int(h[0] % tokens.U64(buckets)), doc[late], pos[late], tag[late], chunks)
                 h, tag, doc, pos = h[~late], tag[~late], doc[~late], pos[~late]
                 edges = _bucket_edges(h, buckets)
                 base = int(doc.min())
                 for b in np.flatnonzero(np.diff(edges)):
                     s = slice(edges[b], edges[b + 1])
-                    rows.append((int(b), ENTRY, edges[b + 1] - edges[b], base, tokens.pack_sorted(h[s]), tokens.pack(tag[s]), tokens.pack((doc[s] - base).view(tokens.U64)), tokens.pack(pos[s])))
+                    rows.append((int(b), ENTRY, edges[b + 1] - edges[b], 0, base, tokens.pack_sorted(h[s]), tokens.pack(tag[s]), tokens.pack((doc[s] - base).view(tokens.U64)), tokens.pack(pos[s])))
                 yield _rows(rows)
 
     return cut
@@ -142,8 +149,8 @@ def _known(run_h: np.ndarray, run_tag: np.ndarray, h: np.ndarray, tag: np.ndarra
 
 
 def _merge(buckets: int, chunks: int):
-    def merge(group: pa.Table) -> pa.Table:
-        pieces = group.to_pylist()
+    def merge(batch: pa.Table, runs: pa.Table) -> pa.Table:
+        pieces = batch.to_pylist()
         out = [tuple(p[c] for c in _ARROW.names) for p in pieces if p["kind"] == GONE]
         entries = [p for p in pieces if p["kind"] == ENTRY]
         if entries:
@@ -153,14 +160,13 @@ def _merge(buckets: int, chunks: int):
             h, tag, doc, pos = h[order], tag[order], doc[order], pos[order]
             size = np.diff(np.r_[start, len(h)])
             known = np.zeros(len(start), dtype=bool)
-            for p in pieces:
-                if p["kind"] == RUN:
-                    known |= _known(tokens.unpack_sorted(p["h"], p["n"]), tokens.unpack(p["tag"], p["n"]).astype(np.uint16), h[start], tag[start])
+            for p in runs.to_pylist():
+                known |= _known(tokens.unpack_sorted(p["h"], p["n"]), tokens.unpack(p["tag"], p["n"]).astype(np.uint32), h[start], tag[start])
             gone = np.repeat(known, size) | (doc > np.repeat(np.minimum.reduceat(doc, start), size))
-            out += _gone_rows(doc[gone], pos[gone], tag[gone], chunks)
+            out += _gone_rows(entries[0]["bucket"], doc[gone], pos[gone], tag[gone], chunks)
             new = start[~known]
             if len(new):
-                out.append((entries[0]["bucket"], RUN, len(new), 0, tokens.pack_sorted(h[new]), tokens.pack(tag[new]), b"", b""))
+                out.append((entries[0]["bucket"], RUN, len(new), 0, 0, tokens.pack_sorted(h[new]), tokens.pack(tag[new]), b"", b""))
         return pa.Table.from_batches([_rows(out)])
 
     return merge
@@ -169,53 +175,92 @@ def _merge(buckets: int, chunks: int):
 def _compact(group: pa.Table) -> pa.Table:
     pieces = group.to_pylist()
     h = np.concatenate([tokens.unpack_sorted(p["h"], p["n"]) for p in pieces])
-    tag = np.concatenate([tokens.unpack(p["tag"], p["n"]) for p in pieces]).astype(np.uint16)
+    tag = np.concatenate([tokens.unpack(p["tag"], p["n"]) for p in pieces]).astype(np.uint32)
     order, start = _grouped(h, tag)
     new = order[start]
-    return pa.Table.from_batches([_rows([(pieces[0]["bucket"], RUN, len(new), 0, tokens.pack_sorted(h[new]), tokens.pack(tag[new]), b"", b"")])])
+    return pa.Table.from_batches([_rows([(pieces[0]["bucket"], RUN, len(new), 0, 0, tokens.pack_sorted(h[new]), tokens.pack(tag[new]), b"", b"")])])
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in the shared folder."""
+    """Sorted immutable runs of window fingerprints in a folder that driver and executors share."""
 
-    def __init__(self, spark, buckets: int, k: int = 13):
+    def __init__(self, spark, buckets: int, k: int = 13, path: str | None = None):
+        """A new index; path: its folder, which stays; without one, it goes with the program."""
         self.spark, self.k, self.buckets, self.chunks = spark, k, buckets, max(1, buckets // 8)
-        self.scratch = Scratch(spark, "index")
+        self.scratch = Scratch(spark, "index") if path is None else Scratch.at(spark, path)
         self.runs: list[tuple[int, str]] = []  # level, table
-        self.batches = 0
-
-    def _table(self, name: str, part: str = "run") -> DataFrame:
-        table = self.spark.read.schema(PIECE + ", part string").parquet(self.scratch.path(name))
-        return table.filter(F.col("part") == part).drop("part")
+        self.batches, self.last = 0, None
+        self._prefix = f"quirework_run_{uuid.uuid4().hex[:12]}_"
+
+    @staticmethod
+    def open(spark, path: str) -> FingerprintIndex:
+        """The index that a session left in a folder."""
+        (r,) = spark.read.json(f"{path}/state.json", multiLine=True).collect()
+        index = FingerprintIndex(spark, r["buckets"], r["k"], path)
+        index.runs, index.batches, index.last = [(x["level"], x["table"]) for x in r["runs"]], r["batches"], r["last"]
+        for _, name in index.runs:
+            spark.sql(f"CREATE TABLE {index._prefix}{_plain(name)} ({PIECE}, part string) USING parquet PARTITIONED BY (part) CLUSTERED BY (bucket) SORTED BY (bucket) INTO {index.buckets} BUCKETS LOCATION '{index.scratch.path(name)}'")
+            spark.sql(f"ALTER TABLE {index._prefix}{_plain(name)} RECOVER PARTITIONS")
+        return index
+
+    def save(self) -> None:
+        """Records the runs in the folder, so that it can be opened again; the file is replaced at once."""
+        state = {"buckets": self.buckets, "k": self.k, "batches": self.batches, "last": self.last, "runs": [{"level": n, "table": t} for n, t in self.runs]}
+        self.scratch.text("state.json", json.dumps(state))
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(self._prefix + _plain(name)).filter("part = 'run'").drop("part")
 
     def _write(self, pieces: DataFrame, name: str) -> None:
-        self.scratch.write(pieces.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("gone")), name, ["part"])
+        """Writes pieces in files by bucket, those of runs apart from the rest."""
+        pieces = pieces.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("gone"))
+        with shuffle_files_dropped(self.spark):
+            pieces.write.format("parquet").option("compression", "zstd").option("path", self.scratch.path(name)).partitionBy("part").bucketBy(self.buckets, "bucket").sortBy("bucket").mode("overwrite").saveAsTable(self._prefix + _plain(name))
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._prefix}{_plain(name)}")
 
     def compact(self) -> None:
         """Merges runs of equal level until there are none."""
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, a), (_, b) = self.runs[-2:]
             name = f"{a}-{b}"
-            self._write(self._table(a).union(self._table(b)).groupBy("bucket").applyInArrow(_compact, PIECE), name)
+            self._write(self._run(a).union(self._run(b)).groupBy("bucket").applyInArrow(_compact, PIECE), name)
             self.runs[-2:] = [(level + 1, name)]
-            self.scratch.drop(f"{a}/part=run", f"{b}/part=run")
+            self.save()
+            for old in (a, b):
+                self._forget(old)
+                self.scratch.drop(f"{old}/part=run")
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text). Returns its repeated windows, packed by chunk of documents: those in an earlier batch, or in a document of this batch with a smaller id."""
+        docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+        ids = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        if self.last is not None and ids["low"] is not None and ids["low"] <= self.last:
+            raise ValueError(f"ids must be above {self.last}, which an earlier batch had; {ids['low']} is not")
         self.compact()
         name = f"batch{self.batches}"
-        rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_pieces(self.k, self.buckets, self.chunks), PIECE)
-        for _, run in self.runs:
-            rows = rows.union(self._table(run))
-        self._write(rows.groupBy("bucket").applyInArrow(_merge(self.buckets, self.chunks), PIECE), name)
+        new = docs.mapInArrow(_pieces(self.k, self.buckets, self.chunks), PIECE)
+        runs = self.spark.createDataFrame([], PIECE)
+        for i, (_, run) in enumerate(self.runs):
+            runs = runs.union(self._run(run)) if i else self._run(run)
+        self._write(new.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_merge(self.buckets, self.chunks), PIECE), name)
         self.runs.append((0, name))
         self.batches += 1
-        return self._table(name, "gone")
+        self.last = ids["high"] if ids["high"] is not None else self.last
+        self.save()
+        return self.spark.read.schema(PIECE + ", part string").parquet(self.scratch.path(name)).filter("part = 'gone'").drop("part")
 
     def drop(self) -> None:
+        for _, name in self.runs:
+            self._forget(name)
         self.scratch.drop("")
 
 
+def _plain(name: str) -> str:
+    return name.replace("-", "_")
+
+
 def _by_document(group: pa.Table) -> pa.Table:
     doc, pos, tag = (np.concatenate(x) for x in zip(*map(_read, group.to_pylist()), strict=True))
     order = np.argsort(doc, kind="stable")
@@ -274,7 +319,7 @@ def deduplicate(docs: DataFrame, k: int = 13, batches: int = 4, id_col: str = "d
     pieces = found[0]
     for more in found[1:]:
         pieces = pieces.union(more)
-    by_doc = pieces.groupBy("bucket").applyInArrow(_by_document, "doc_id long, n int, pos binary, tag binary")
+    by_doc = pieces.groupBy("chunk").applyInArrow(_by_document, "doc_id long, n int, pos binary, tag binary")
     scratch = Scratch(spark, "gone")
     by_doc = scratch.write(by_doc, "by_doc")
     index.drop()

@@ -73,6 +73,33 @@ def test_many_buckets_and_small_blocks_change_nothing(spark, rows, monkeypatch):
     assert sorted(map(str, substring_dedup.deduplicate(docs_of(spark, rows), batches=7).collect())) == plain
 
 
+def test_an_index_is_opened_again(spark, tmp_path):
+    rng = random.Random(3)
+    shared = [" ".join(f"s{k}w{j}" for j in range(20)) for k in range(4)]
+    texts = [f"a{i} b{i} " + " ".join(rng.sample(shared, 2)) for i in range(40)]
+    path = str(tmp_path / "index")
+    batch = lambda low, high: docs_of(spark, [(i, texts[i]) for i in range(low, high)])
+    found = lambda frame: {(int(d), int(p)) for r in frame.collect() for d, p in zip(*substring_dedup._read(r.asDict())[:2], strict=True)}
+    index, got = substring_dedup.FingerprintIndex(spark, 4, 13, path), set()
+    for i, low in enumerate(range(0, 40, 8)):
+        if i in (2, 3):
+            index = substring_dedup.FingerprintIndex.open(spark, path)
+        plan = index._run(index.runs[-1][1]).groupBy("bucket").applyInArrow(substring_dedup._compact, substring_dedup.PIECE)._jdf.queryExecution().toString() if i else ""
+        assert "Exchange" not in plan
+        got |= found(index.ingest(batch(low, low + 8)))
+        assert len({level for level, _ in index.runs}) >= len(index.runs) - 1
+    first, want = {}, set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for p in range(len(w) - 12):
+            if first.setdefault(tuple(w[p : p + 13]), i) < i:
+                want.add((i, p))
+    assert got == want and len(want) > 100
+    with pytest.raises(ValueError, match="ids must be above"):
+        index.ingest(batch(30, 40))
+    index.drop()
+
+
 def brute_join(rows):
     nodes = [(i, shingle_set(t)) for i, t in rows if i is not None]
     links = {k: [] for k in range(len(nodes))}
