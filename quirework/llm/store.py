@@ -90,6 +90,11 @@ class Scratch:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table), partitionBy=partition_by)
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def make(self, table: str) -> None:
+        """An empty folder, if there is none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+
     def text(self, name: str, content: str) -> None:
         """Writes a small file of text in place of what was there."""
         jvm = self.spark._jvm

@@ -199,8 +199,7 @@ class FingerprintIndex:
         index = FingerprintIndex(spark, r["buckets"], r["k"], path)
         index.runs, index.batches, index.last = [(x["level"], x["table"]) for x in r["runs"]], r["batches"], r["last"]
         for _, name in index.runs:
-            spark.sql(f"CREATE TABLE {index._prefix}{_plain(name)} ({PIECE}, part string) USING parquet PARTITIONED BY (part) CLUSTERED BY (bucket) SORTED BY (bucket) INTO {index.buckets} BUCKETS LOCATION '{index.scratch.path(name)}'")
-            spark.sql(f"ALTER TABLE {index._prefix}{_plain(name)} RECOVER PARTITIONS")
+            index._register(name)
         return index
 
     def save(self) -> None:
@@ -209,13 +208,22 @@ class FingerprintIndex:
         self.scratch.text("state.json", json.dumps(state))
 
     def _run(self, name: str) -> DataFrame:
-        return self.spark.table(self._prefix + _plain(name)).filter("part = 'run'").drop("part")
+        # The filter lets all rows pass. It reads them row by row: Spark doesn't keep the buckets of a union of column batches.
+        return self.spark.table(self._prefix + _plain(name)).filter("n > 0")
+
+    def _register(self, name: str) -> None:
+        """Makes a table of the files of a run; Spark reads it bucket by bucket, alone or in a union with others."""
+        at = self.scratch.path(f"{name}/part=run")
+        self.scratch.make(f"{name}/part=run")
+        self.spark.sql(f"CREATE TABLE {self._prefix}{_plain(name)} ({PIECE}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{at}'")
 
     def _write(self, pieces: DataFrame, name: str) -> None:
         """Writes pieces in files by bucket, those of runs apart from the rest."""
-        pieces = pieces.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("gone"))
+        pieces, written = pieces.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("gone")), f"{self._prefix}written"
         with shuffle_files_dropped(self.spark):
-            pieces.write.format("parquet").option("compression", "zstd").option("path", self.scratch.path(name)).partitionBy("part").bucketBy(self.buckets, "bucket").sortBy("bucket").mode("overwrite").saveAsTable(self._prefix + _plain(name))
+            pieces.write.format("parquet").option("compression", "zstd").option("path", self.scratch.path(name)).partitionBy("part").bucketBy(self.buckets, "bucket").sortBy("bucket").mode("overwrite").saveAsTable(written)
+        self.spark.sql(f"DROP TABLE {written}")
+        self._register(name)
 
     def _forget(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._prefix}{_plain(name)}")

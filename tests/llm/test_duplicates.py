@@ -84,8 +84,11 @@ def test_an_index_is_opened_again(spark, tmp_path):
     for i, low in enumerate(range(0, 40, 8)):
         if i in (2, 3):
             index = substring_dedup.FingerprintIndex.open(spark, path)
-        plan = index._run(index.runs[-1][1]).groupBy("bucket").applyInArrow(substring_dedup._compact, substring_dedup.PIECE)._jdf.queryExecution().toString() if i else ""
-        assert "Exchange" not in plan
+        if len(index.runs) > 1:
+            both = index._run(index.runs[-1][1]).union(index._run(index.runs[-2][1])).groupBy("bucket")
+            assert "Exchange" not in both.applyInArrow(substring_dedup._compact, substring_dedup.PIECE)._jdf.queryExecution().toString()
+            plan = spark.createDataFrame([], substring_dedup.PIECE).groupBy("bucket").cogroup(both).applyInArrow(substring_dedup._merge(4, 1), substring_dedup.PIECE)
+            assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
         got |= found(index.ingest(batch(low, low + 8)))
         assert len({level for level, _ in index.runs}) >= len(index.runs) - 1
     first, want = {}, set()
