@@ -59,7 +59,7 @@ SPELL_DISCOUNT, SPELL_STRENGTH = 0.4, 1.0
 SMALL = 1024
 #: Training tokens after a context from which it is split.
 HOT = 1 << 19
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
 #: Dishes times tables drawn at once.
 DRAWN = 1 << 19
 U64 = tokens.U64
