@@ -3,13 +3,16 @@
 Base spans are emails, IP addresses, card and phone numbers as they stand. On
 top, transducers rewrite a text step by step, carrying for each character where
 it came from: look-alike characters become ASCII and invisible ones go,
-disguised at and dot signs become @ and ., spelled digits become digits. What
+disguised at and dot signs (in words, brackets, character references, percent
+codes or set apart by spaces) become @ and ., spelled digits become digits. What
 the same detectors find in the rewritten text is mapped back to the characters
 of the source and added, if a rewrite touched it and no base span of its kind
 already covers it.
 
-To leave clean prose alone, a bare word "at" only counts before a domain with a
-disguised dot, and the last part of a disguised domain must be letters.
+To leave clean prose alone, a bare word "at" or a sign set apart only counts
+before a domain with a disguised dot, and the last part of a disguised domain
+must be letters. A transducer is passed over where a text lacks a string that all
+its matches hold; this changes no result.
 Patterns run in linear time: no start is tried inside a run that failed.
 Texts are handled one by one, whole; nothing is gathered.
 
@@ -59,6 +62,9 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Character references and percent codes of the signs that identifiers need.
+REFERENCES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_", "lpar": "(", "rpar": ")", "num": "#", "nbsp": " "}
+PERCENT = {"40": "@", "2e": ".", "2b": "+", "2d": "-", "5f": "_", "20": " "}
 RAW, LOOKS, BRACKETED, BARE, SPELLED = range(5)
 
 
@@ -81,6 +87,11 @@ _AT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:at|@|arroba|ät)\s*\)|\[\s*(?:at|@
 _DOT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.|punkt|point|punto)\s*>)\s*", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:dot|punkt|point|punto)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:at|arroba)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
+_APART_DOT = re.compile(r"(?<=[A-Za-z0-9]) \. (?=[A-Za-z0-9])")
+_APART_AT = re.compile(r"(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9])")
+_REFERENCE = re.compile(rf"&(?:#(\d{{2,3}})|#[xX]([0-9A-Fa-f]{{2}})|({'|'.join(REFERENCES)}));")
+_PERCENT = re.compile(rf"%({'|'.join(PERCENT)})", re.I)
+_DOTS = ("dot", "punkt", "point", "punto")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS})(?![^\W_]))*+(?![^\W_])", re.I)
 _ONE_WORD = re.compile(_WORDS, re.I)
@@ -174,18 +185,43 @@ class Rewritten:
         return Rewritten("".join([*texts, self.text[low:]]), *(np.concatenate([*x, own[low:]]) for x, own in ((starts, self.start), (ends, self.end), (hows, self.how))))
 
 
-def deobfuscate(text: str) -> Rewritten:
-    out = Rewritten.of(text).replace(_UNSEEN, lambda m: "", RAW).fold()
-    out = out.replace(_AT, lambda m: "@", BRACKETED).replace(_DOT, lambda m: ".", BRACKETED)
+def _referred(m: re.Match) -> str:
+    """What a character reference stands for, if that is a printable ASCII character; else itself."""
+    if m[3]:
+        return REFERENCES[m[3]]
+    point = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(point) if 32 <= point < 127 else m[0]
+
+
+def deobfuscate(text: str, guarded: bool = True) -> Rewritten:
+    """guarded: transducers that can't match, or whose matches can't matter, aren't tried."""
+    out = Rewritten.of(text)
+    if not (guarded and text.isascii()):
+        out = out.replace(_UNSEEN, lambda m: "", RAW).fold()
+    if not guarded or "&" in out.text:
+        out = out.replace(_REFERENCE, _referred, BRACKETED)
+    if not guarded or "%" in out.text:
+        out = out.replace(_PERCENT, lambda m: PERCENT[m[1].lower()], BRACKETED)
+    if not guarded or any(c in out.text for c in "([{<"):
+        out = out.replace(_AT, lambda m: "@", BRACKETED).replace(_DOT, lambda m: ".", BRACKETED)
     out = out.replace(_SPELLED, lambda m: "".join(DIGIT_WORDS[w[0].lower()] for w in _ONE_WORD.finditer(m[0])), SPELLED)
-    out = out.replace(_BARE_DOT, lambda m: ".", BARE).replace(_BARE_AT, lambda m: "@", BARE)
-    out = out.replace(_PLUS, lambda m: "+", SPELLED)
+    low = out.text.lower()
+    if not guarded or any(w in low for w in _DOTS):
+        out = out.replace(_BARE_DOT, lambda m: ".", BARE)
+    if not guarded or " . " in out.text:
+        out = out.replace(_APART_DOT, lambda m: ".", BARE)
+    if not guarded or out.how.any():  # an at sign in words asks for a dot in disguise
+        out = out.replace(_BARE_AT, lambda m: "@", BARE)
+        if not guarded or " @ " in out.text:
+            out = out.replace(_APART_AT, lambda m: "@", BARE)
+    if not guarded or "plus" in low:
+        out = out.replace(_PLUS, lambda m: "+", SPELLED)
     return out.replace(_MISREAD, lambda m: "0" if m[0] in "Oo" else "1", LOOKS)
 
 
-def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def hidden(text: str, base: list[tuple[int, int, int]], guarded: bool = True) -> list[tuple[int, int, int]]:
     """Spans that only show once the text is deobfuscated, in code points of the text itself."""
-    clear = deobfuscate(text)
+    clear = deobfuscate(text, guarded)
     if clear.text == text:
         return []
     found = []

@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quirework.llm import pii
 
@@ -65,6 +67,11 @@ def test_disguises(text, kind, hidden):
     ("+49 151 two 345 six 789", 3, "+49 151 two 345 six 789"),
     ("card 4111 one 111 1111 1111", 2, "4111 one 111 1111 1111"),
     ("bob (at)  example (dot) (dot) com bob [at] a [dot] com", 0, "bob [at] a [dot] com"),
+    ("mail jane&#64;example.com please", 0, "jane&#64;example.com"),
+    ("mail jane&#x40;example&period;com please", 0, "jane&#x40;example&period;com"),
+    ("mail=jane%40example%2Ecom;", 0, "jane%40example%2Ecom"),
+    ("mail jane @ example . com please", 0, "jane @ example . com"),
+    ("call %2B49%20151%202345%206789 now", 3, "%2B49%20151%202345%206789"),
 ])
 def test_disguises_without_another_hint(text, kind, hidden):
     base, full = pii.spans(text)
@@ -78,7 +85,7 @@ def test_long_runs_of_spaces_take_linear_time():
 
 @pytest.mark.parametrize("text", [
     "look at the 42.144.35.254 at x dot", "see us at example.com", "one two three and four", "at home. The dot is at the end dot", "un un deux trois", "почта и Ελληνικά κείμενα", "",
-    "we met at noon. Dot said so", "rows at 10.20 and 30.40", "the (at) sign", "seven eight nine times",
+    "we met at noon. Dot said so", "rows at 10.20 and 30.40", "the (at) sign", "seven eight nine times", "coffee @ noon.thanks", "R&D; 50 %40 &#9; x", "a . b @ c",
 ])
 def test_clean_text_is_left_alone(text):
     base, full = pii.spans(text)
@@ -91,6 +98,16 @@ def test_long_texts_take_linear_time(text):
     assert set(base) <= set(full)
 
 
+PIECES = [" ", " ", ".", "@", "-", "at", "dot", " @ ", " . ", "(at)", "[dot]", "{ dot }", "&#64;", "&#46;", "&period;", "%40", "%2e", "plus", "PLUS ", "+", "one", "Two", "oh", "sieben", "1", "42", "O", "l", "jo", "example", "com", "é", "а", "\u200b", "\u2024", "\n", "_", "&", "%", "(", "<"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_guards_change_nothing(text):
+    base = pii.detect(text)
+    assert pii.hidden(text, base) == pii.hidden(text, base, guarded=False)
+
+
 def test_find(spark):
     rows = [(1, "a@b.co and 4111 1111 1111 1111", "q", "n"), (2, None, "q", None), (3, "", "q", "n"), (4, "é x (at) y (dot) org", None, "n"), (1, "a@b.co and 4111 1111 1111 1111", "q", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email string")
