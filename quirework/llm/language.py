@@ -7,14 +7,15 @@ word scores by the mean over its longest n-grams of which any is known. A text
 scores by the mean over its words; the best language wins.
 
 The tables are fitted on a bounded sample of labelled rows: about SAMPLE of each
-language, chosen by a hash of the id; of each table the TOP most frequent
-entries are kept. This bounds what is broadcast. Counting runs in Spark; only
-the bounded tables reach the driver. Words are runs of letters (cut at every
-ASCII byte but letters), A-Z as a-z.
+language, chosen by a hash of the id. This bounds what is broadcast; within the
+sample every word and n-gram is learned. Counting runs in Spark, split by parts
+of the hashes; only the sample's tables reach the driver. Words are runs of
+letters and their marks of any script, in lower case.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-so is every text when nothing was learned. Ties go to the language first by
-code point. Languages that are null are not learned. Empty tables give empty
+so is every text when nothing was learned. A text with letters of which nothing
+is known ties between all languages. Ties go to the language first by code
+point. Languages that are null are not learned. Empty tables give empty
 results; other columns pass through, save those named like the outputs, which
 are replaced.
 """
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +37,21 @@ from . import folds, tokens
 
 #: Labelled rows of each language that the tables are fitted on, about.
 SAMPLE = 3000
-#: Entries of each table that are kept.
-TOP = 1 << 17
+#: Parts, by the top bits of the hash, in which each table is counted.
+PARTS = 8
 LONGEST = 5
 #: Added to the largest cost of a table for a language that lacks the entry.
 PENALTY = 1.0
 #: How sharply the score tells languages apart.
 SHARPNESS = 8.0
 BLOCK_BYTES = 8 << 20
-_LETTER = regex.compile(r"\p{L}")
+
+
+def lettered(texts: pa.Array) -> tuple[np.ndarray, tokens.Words]:
+    """Which texts have a letter; and the words of all: runs of letters and marks, in lower case."""
+    texts = pc.fill_null(texts, "")
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=r"[^\p{L}\p{M}]+", replacement=" ")
+    return pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool), tokens.cut(plain)
 
 
 @dataclass
@@ -87,7 +95,7 @@ def _counts(langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch, "text", BLOCK_BYTES // 2):
-                words = tokens.cut(part.column("text"), lower=True, letters=True)
+                _, words = lettered(part.column("text"))
                 vocabulary = tokens.Vocabulary(words)
                 lang = np.array([langs.index(x) for x in part.column("lang").to_pylist()], dtype=np.int64)
                 pair, times = np.unique(vocabulary.of * len(langs) + lang[words.doc], return_counts=True)
@@ -99,37 +107,45 @@ def _counts(langs: list[str]):
                     h, at = (vocabulary.hash, np.arange(len(vocabulary.hash))) if n == 0 else tokens.char_ngrams(points, place, n)
                     distinct, number = np.unique(h, return_inverse=True)
                     total = np.stack([np.bincount(number, used[at, k], len(distinct)) for k in range(len(langs))], 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(distinct)], pa.int32()), pa.array([distinct.tobytes()], pa.binary()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "size", "hashes", "counts"])
+                    for p, (low, high) in enumerate(pairwise(np.searchsorted(distinct >> tokens.U64(64 - PARTS.bit_length() + 1), np.arange(PARTS + 1, dtype=tokens.U64)))):
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([p], pa.int32()), pa.array([distinct[low:high].tobytes()], pa.binary()), pa.array([total[low:high].astype(np.float32).tobytes()], pa.binary())], ["n", "part", "hashes", "counts"])
 
     return run
 
 
-def _table(langs: list[str], top: int):
+def _read(hashes: list[bytes], counts: list[bytes], langs: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(counts), np.float32).reshape(-1, langs)
+
+
+def _sum(langs: int):
     def run(group: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.float32).reshape(-1, len(langs)) for x in group.column("counts")]).astype(np.float64)
+        h, counts = _read(group.column("hashes").to_pylist(), group.column("counts").to_pylist(), langs)
         distinct, number = np.unique(h, return_inverse=True)
-        total = np.stack([np.bincount(number, counts[:, k], len(distinct)) for k in range(len(langs))], 1)
-        shares = total / np.maximum(1, total.sum(0))
-        keep = np.sort(np.lexsort((distinct, -shares.sum(1)))[:top])
-        distinct, shares = distinct[keep], shares[keep]
-        costs = -np.log10(np.where(shares > 0, shares, 1))
-        costs = np.where(shares > 0, costs, costs.max(initial=0) + PENALTY)
-        return pa.table({"n": group.column("n")[:1], "hashes": pa.array([distinct.tobytes()], pa.binary()), "costs": pa.array([costs.astype(np.float32).tobytes()], pa.binary())})
+        total = np.stack([np.bincount(number, counts[:, k], len(distinct)) for k in range(langs)], 1).astype(np.float32)
+        return pa.table({"n": group.column("n")[:1], "part": group.column("part")[:1], "hashes": pa.array([distinct.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     return run
 
 
+def costs(counts: np.ndarray) -> np.ndarray:
+    """-log10 of each entry's share of its language; a language without it pays PENALTY more than the largest of these."""
+    shares = counts / np.maximum(1, counts.sum(0, dtype=np.float64))
+    out = -np.log10(np.where(shares > 0, shares, 1))
+    return np.where(shares > 0, out, out.max(initial=0) + PENALTY).astype(np.float32)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits on about sample rows of each language of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     some, counts = folds.about(rows, "lang", "doc_id", sample)
     langs = sorted(counts)
-    parts = some.select("text", "lang").mapInArrow(_counts(langs), "n int, size int, hashes binary, counts binary")
-    tables = parts.groupBy("n").applyInArrow(_table(langs, TOP), "n int, hashes binary, costs binary").collect()
-    model = Model(langs, [(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))] * (LONGEST + 1))
-    for r in tables:
-        model.tables[r["n"]] = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["costs"], np.float32).reshape(-1, len(langs))
+    schema = "n int, part int, hashes binary, counts binary"
+    tables = some.select("text", "lang").mapInArrow(_counts(langs), schema).groupBy("n", "part").applyInArrow(_sum(len(langs)), schema).collect()
+    model = Model(langs, [])
+    for n in range(LONGEST + 1):
+        own = sorted((r for r in tables if r["n"] == n), key=lambda r: r["part"])
+        hashes, counts = _read([bytes(r["hashes"]) for r in own], [bytes(r["counts"]) for r in own], len(langs)) if langs else (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+        model.tables.append((hashes, costs(counts)))
     return model
 
 
@@ -143,17 +159,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         names = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
             for part in tokens.slices(batch, text_col, BLOCK_BYTES):
-                lettered = np.array([bool(x and _LETTER.search(x)) for x in part.column(text_col).to_pylist()], dtype=bool)
+                has_letter, words = lettered(part.column(text_col))
                 if not model.langs:
                     best, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 else:
-                    words = tokens.cut(part.column(text_col), lower=True, letters=True)
                     vocabulary = tokens.Vocabulary(words)
                     costs = model.word_costs(vocabulary)
                     each = np.stack([tokens.doc_sums(costs[vocabulary.of, k], words) for k in range(len(model.langs))], 1) / np.maximum(1, words.count)[:, None]
                     best = each.argmin(1)
                     score = 1 / np.exp(-SHARPNESS * (each - each.min(1, keepdims=True))).sum(1)
-                    score[~lettered], best[~lettered] = 0.0, len(model.langs)
+                    score[~has_letter], best[~has_letter] = 0.0, len(model.langs)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

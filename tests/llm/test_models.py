@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -56,6 +57,53 @@ def test_language(spark, corpus):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def brute_language(rows, texts):
+    """lang and score of texts, from counts of words and n-grams of rows (text, lang)."""
+    cut = lambda t: "".join(c.lower() if unicodedata.category(c)[0] in "LM" else " " for c in t or "").split()
+    grams = lambda w, n: [w] if n == 0 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, lang in rows if lang is not None})
+    counts = [{lang: Counter(g for t, own in rows if own == lang for w in cut(t) for g in grams(w, n)) for lang in langs} for n in range(6)]
+    worst = [max((-math.log10(c / sum(t.values())) for t in table.values() for c in t.values()), default=0) + 1 for table in counts]
+
+    def cost(g, n, lang):
+        table = counts[n][lang]
+        return -math.log10(table[g] / sum(table.values())) if table[g] else worst[n]
+
+    out = []
+    for t in texts:
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        total = dict.fromkeys(langs, 0.0)
+        words = cut(t)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                known = [g for g in grams(w, n) if any(counts[n][lang][g] for lang in langs)]
+                if known:
+                    for lang in langs:
+                        total[lang] += sum(cost(g, n, lang) for g in known) / len(known)
+                    break
+        mean = {lang: total[lang] / len(words) for lang in langs}
+        best = min(langs, key=lambda lang: (mean[lang], lang))
+        out.append((best, 1 / sum(math.exp(-8.0 * (mean[lang] - mean[best])) for lang in langs)))
+    return out
+
+
+def test_language_against_counting(spark, corpus):
+    rows = [(t, lang) for _, t, lang, *_ in corpus[:60]] + [("Über ÉTÉ\u2014naïve", "bb"), ("e\u0301t\u00e9, l'eau!", "cc")]
+    texts = [t for _, t, *_ in corpus[60:120]] + ["über", "ÜBER \u2014 x", "漢字", "\u0301 1", None, "", "\u201cno\u201d wa2ga", "qqqq", "ka ka"]
+    model = language.train(spark.createDataFrame([(i, t, lang, "", "") for i, (t, lang) in enumerate(rows)], DOCS))
+    out = language.predict(spark.createDataFrame([(i, t, None, "", "") for i, t in enumerate(texts)], DOCS), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(out, brute_language(rows, texts), strict=True):
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, (texts[r["doc_id"]], r, lang, score)
+
+
+def test_ties_between_languages(spark):
+    model = language.train(spark.createDataFrame([(1, "same words", "zz", "", ""), (2, "same words", "yy", "", "")], DOCS))
+    (r,) = language.predict(spark.createDataFrame([(1, "same", None, "", "")], DOCS), model).collect()
+    assert (r["lang_pred"], r["score"]) == ("yy", 0.5)
+
+
 def test_language_of_unseen_words_and_without_training(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     model = language.train(docs)
@@ -101,6 +149,41 @@ def test_toxicity(spark, monkeypatch):
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_toxicity_against_plain_sums(spark):
+    """Scores follow from the model's vectors by the definition, word by word; at a probability of one half the text is rejected."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), rng.normal(size=(toxicity.DIM, 2)).astype(np.float32), np.array([0.3, -0.2]))
+    texts = ["Some words, some MORE words", "éa b", "x", None, "", "w" * 3000 + " ok"]
+    rows = [(i, t, None, "x", "y") for i, t in enumerate(texts)] + [(0, texts[0], None, "x", "y")]
+    got = toxicity.score(spark.createDataFrame(rows, DOCS), model).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 0}) == 1
+
+    def buckets(word):
+        marked = f"<{word}>"
+        lists = [[word], *([marked[i : i + n] for i in range(len(marked) - n + 1)] for n in toxicity.NGRAMS)]
+        out = []
+        for n, own in zip((0, *toxicity.NGRAMS), lists, strict=True):
+            for g in own:
+                if n == 0:
+                    h = int(toxicity.tokens.hash_words(toxicity.tokens.cut(toxicity.pa.array([g])))[0])
+                else:
+                    h = n << 32
+                    h = ord(g[0]) + h
+                    for c in g[1:]:
+                        h = (h * 0xD1B54A32D192ED03 + ord(c)) % 2**64
+                    h = int(toxicity.tokens.mix(np.array([h], np.uint64))[0])
+                out.append(h % toxicity.BUCKETS)
+        return out
+
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in r["text"] or ""))
+        hidden = sum((model.vectors[buckets(w)].astype(float).mean(0) for w in words), np.zeros(toxicity.DIM)) / (len(words) + toxicity.PSEUDO)
+        logits = hidden @ model.weights + model.bias
+        assert abs(r["score"] - 1 / (1 + math.exp(logits[0] - logits[1]))) < 1e-5
+    even = toxicity.Model(model.vectors * 0, model.weights, np.zeros(2))
+    assert {r["score"] for r in toxicity.score(spark.createDataFrame(rows, DOCS), even).collect()} == {0.5}
+
+
 def test_language_model(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     out = language_model.score(docs, folds.remainder("doc_id", 10) != 0).collect()
