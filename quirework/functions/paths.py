@@ -15,6 +15,11 @@ def command(kind: str, x: Column, y: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def stored(path: Column) -> Column:
+    """A path as the tables of documents have it, whose commands hold control points, too."""
+    return F.transform(path, lambda c: F.struct(c["type"].alias("type"), c["x1"].alias("x"), c["y1"].alias("y")))
+
+
 def rectangle(r: Column) -> Column:
     """A rectangle's outline in absolute coordinates."""
     zero = F.lit(0.0)

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+from . import layout
+
 
 def insert_place(index: Column, count: Column) -> Column:
     """An index that is null or at the end or beyond appends."""
@@ -58,6 +61,18 @@ def move_to(bounds: Column, x: Column, y: Column) -> Column:
     return F.struct(F.coalesce(x, bounds["x"]).alias("x"), F.coalesce(y, bounds["y"]).alias("y"), bounds["width"].alias("width"), bounds["height"].alias("height"))
 
 
+def resize_to(bounds: Column, new: Column) -> Column:
+    """The new bounds in place of the old, place and size alike; null keeps these."""
+    return F.coalesce(new, bounds)
+
+
+def new_tables(wanted: DataFrame) -> DataFrame:
+    """wanted: table_id, rows, cols (clamped to 1..100). The table elements: their size and bounds, which hold all cells."""
+    size = lambda c: F.least(F.greatest(F.col(c), F.lit(1)), F.lit(layout.MOST_CELLS)).cast("int")
+    sized = wanted.withColumns({"rows": size("rows"), "cols": size("cols")})
+    return sized.withColumn("bounds", geometry.rect(F.lit(layout.TABLE_X), F.lit(layout.TABLE_Y), layout.COL_WIDTH * F.col("cols"), layout.ROW_HEIGHT * F.col("rows")))
+
+
 def modify_text(kind: Column, text: Column, new: Column) -> Column:
     """Only text elements take a new text."""
     return F.when((kind == "text") & new.isNotNull(), new).otherwise(text)

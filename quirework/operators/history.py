@@ -1,14 +1,16 @@
-"""Edit history: coalescing, and what is live after undo and redo.
+"""Edit history: coalescing, what is live after undo and redo, and the elements that follow from it.
 
-The undo stack is a fold over one document's log in order of seq. It is one
-array per document, held by one task; nothing else in it is larger than the
-number of edits of that document. Where logs outgrow a task, the stream in
-quirework.streaming folds them piece by piece with the same result.
+The undo stack is a fold over one document's log in order of seq, one step a
+command: a pointer into the list of commands, which undo and redo move and a new
+command cuts off behind itself. A document's log is folded by one task, in
+Arrow batches, as each step needs the one before; it holds two numbers a command.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,21 +26,57 @@ def coalesced(log: DataFrame) -> DataFrame:
     )
 
 
+def _fold(group: pa.Table) -> pa.Table:
+    order = np.argsort(group.column("seq").to_numpy(), kind="stable")
+    seqs, ops = group.column("seq").to_numpy()[order].tolist(), group.column("op").take(order).to_pylist()
+    stack, done = [], 0  # commands, the first done of which are live
+    for seq, op in zip(seqs, ops, strict=True):
+        if op == "undo":
+            done = max(0, done - 1)
+        elif op == "redo":
+            done = min(len(stack), done + 1)
+        else:
+            del stack[done:]
+            stack.append(seq)
+            done += 1
+    long = pa.list_(pa.int64())
+    return pa.table({"doc_id": group.column("doc_id")[:1], "done": pa.array([stack[:done]], long), "undone": pa.array([stack[done:][::-1]], long)})
+
+
 def live(log: DataFrame) -> DataFrame:
-    """Of each document, the seqs still done, those that can be redone, after its whole log.
+    """Of each document, the seqs still done, those that can be redone (the next one last), after its whole log.
 
     A command after undos discards what could be redone; undo and redo without
     anything to act on do nothing.
     """
-    empty = F.struct(F.array().cast("array<bigint>").alias("done"), F.array().cast("array<bigint>").alias("undone"))
-
-    def step(s, c):
-        done, undone = s["done"], s["undone"]
-        undo = F.struct(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))).alias("done"), F.when(F.size(done) > 0, F.array_append(undone, F.element_at(done, -1))).otherwise(undone).alias("undone"))
-        redo = F.struct(F.when(F.size(undone) > 0, F.array_append(done, F.element_at(undone, -1))).otherwise(done).alias("done"), F.slice(undone, 1, F.greatest(F.size(undone) - 1, F.lit(0))).alias("undone"))
-        push = F.struct(F.array_append(done, c["seq"]).alias("done"), F.array().cast("array<bigint>").alias("undone"))
-        return F.when((c["op"] == "undo") & (F.size(done) > 0), undo).when((c["op"] == "redo") & (F.size(undone) > 0), redo).when(c["op"].isin("undo", "redo"), s).otherwise(push)
-
-    ordered = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("log"))
-    folded = ordered.select("doc_id", F.aggregate("log", empty, step).alias("s"))
-    return folded.select("doc_id", F.col("s.done").alias("done"), F.col("s.undone").alias("undone"))
+    return log.select("doc_id", "seq", "op").groupBy("doc_id").applyInArrow(_fold, "doc_id long, done array<long>, undone array<long>")
+
+
+def replayed(elements: DataFrame, log: DataFrame) -> DataFrame:
+    """The elements after a log with its undos and redos: each command that is live in the end takes effect, in order.
+
+    elements: doc_id, element_id, bounds, text (null unless a text element). log:
+    doc_id, seq, op, element_id and, as the op asks, x and y (move), bounds
+    (resize), text; insert and delete of an element. Undone commands leave what
+    was there before; whatever was ever done to an element marks it as modified.
+    Commands on elements that aren't there do nothing; an inserted one without
+    bounds and text of its own gets those of its commands.
+    """
+    done = live(log).select("doc_id", F.explode("done").alias("seq"))
+    act = log.filter(~F.col("op").isin("undo", "redo"))
+    kept = act.join(done.withColumn("live", F.lit(True)), ["doc_id", "seq"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+
+    def last(value: str | Column, *ops: str) -> Column:
+        return F.max_by(F.when(F.col("op").isin(*ops), F.struct(F.lit(1).alias("set"), (F.col(value) if isinstance(value, str) else value).alias("v"))), F.when(F.col("op").isin(*ops) & F.col("live"), F.col("seq")))["v"]
+
+    moved = lambda c: F.when(F.col("op") == "resize", F.col(f"bounds.{c}")).otherwise(F.col(c))
+    state = kept.groupBy("doc_id", "element_id").agg(
+        last(moved("x"), "move", "resize").alias("nx"), last(moved("y"), "move", "resize").alias("ny"),
+        last("bounds.width", "resize").alias("nw"), last("bounds.height", "resize").alias("nh"), last("text", "text").alias("nt"),
+        last(F.col("op") == "insert", "insert", "delete").alias("inserted"),
+    )
+    both = elements.withColumn("was", F.lit(True)).join(state.withColumn("touched", F.lit(True)), ["doc_id", "element_id"], "full")
+    there = F.coalesce("inserted", "was", F.lit(False))
+    b = F.struct(F.coalesce("nx", "bounds.x").alias("x"), F.coalesce("ny", "bounds.y").alias("y"), F.coalesce("nw", "bounds.width").alias("width"), F.coalesce("nh", "bounds.height").alias("height"))
+    text = F.when(F.col("text").isNotNull() | F.col("was").isNull(), F.coalesce("nt", "text"))
+    return both.filter(there).select("doc_id", "element_id", b.alias("bounds"), text.alias("text"), F.coalesce("touched", F.lit(False)).alias("modified"))

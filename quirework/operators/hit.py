@@ -2,8 +2,11 @@
 
 By default an element's own space is tested from (0, 0) to its width and
 height, without the place of its bounds; ``anchor="bounds"`` tests the bounds
-themselves. Probes and elements always join on the page, so the plan is an
-equi-join with the geometry as its condition, never a product.
+themselves. Probes and elements always join on the page and a cell of a grid on
+it, so the plan is an equi-join with the geometry as its condition, and a page
+that holds very many elements is spread over its cells. An element is dealt to
+each cell that its box touches; one that touches more than MOST_CELLS stands
+in all cells and joins on the page alone.
 """
 
 from __future__ import annotations
@@ -14,6 +17,29 @@ from pyspark.sql import functions as F
 from ..functions import geometry, paths
 
 
+#: Side of a cell, and cells of an element, at most.
+CELL, MOST_CELLS = 256.0, 64
+#: Boxes are this much larger on each side, relative to their place, as mapping there and back is rounded.
+SLACK = 1e-9
+
+
+def _range(low: Column, high: Column) -> tuple[Column, Column]:
+    """The first and last cell of a range of one coordinate."""
+    room = SLACK * (1 + F.greatest(F.abs(low), F.abs(high)))
+    return F.floor((low - room) / CELL), F.floor((high + room) / CELL)
+
+
+def in_cells(rows: DataFrame, box: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with cx and cy for each cell that their box touches; and those of too large a box. Rows without a box are left out."""
+    b = rows.withColumn("__box", box).filter("__box.x IS NOT NULL AND __box.y IS NOT NULL AND __box.width IS NOT NULL AND __box.height IS NOT NULL")
+    x, y = F.col("__box.x"), F.col("__box.y")
+    (x0, x1), (y0, y1) = _range(F.least(x, x + F.col("__box.width")), F.greatest(x, x + F.col("__box.width"))), _range(F.least(y, y + F.col("__box.height")), F.greatest(y, y + F.col("__box.height")))
+    b = b.select(*rows.columns, x0.alias("__x0"), x1.alias("__x1"), y0.alias("__y0"), y1.alias("__y1"))
+    small = (F.col("__x1") - F.col("__x0") + 1.0) * (F.col("__y1") - F.col("__y0") + 1.0) <= MOST_CELLS
+    dealt = b.filter(small).withColumn("cx", F.explode(F.sequence("__x0", "__x1"))).withColumn("cy", F.explode(F.sequence("__y0", "__y1")))
+    return dealt.select(*rows.columns, "cx", "cy"), b.filter(~small).select(*rows.columns)
+
+
 def hits(x: Column, y: Column, bounds: Column, transform: Column, clip: Column | None = None, anchor: str = "local") -> Column:
     """Whether an element is hit; never through a singular matrix, nor outside a clip path."""
     local = geometry.unmap_point(transform, x, y)
@@ -27,10 +53,20 @@ def hits(x: Column, y: Column, bounds: Column, transform: Column, clip: Column |
 def topmost(probes: DataFrame, elements: DataFrame, anchor: str = "local") -> DataFrame:
     """probes: probe_id, page_id, x, y. Adds the visible element hit that stands last in its page's order, or null.
 
-    One maximum per probe; only its key and the element's order are shuffled.
+    Where elements have a clip_path, points outside it don't hit. One maximum
+    per probe; only its key and the element's order are shuffled.
     """
-    candidates = elements.filter("visible").select("page_id", "element_id", "ord", "bounds", "transform")
-    met = probes.join(candidates, "page_id").filter(hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), anchor=anchor))
+    clip = [c for c in ("clip_path",) if c in elements.columns]
+    candidates = elements.filter("visible").select("page_id", "element_id", "ord", "bounds", "transform", *clip)
+    own = F.col("bounds") if anchor == "bounds" else geometry.rect(F.lit(0), F.lit(0), F.col("bounds.width"), F.col("bounds.height"))
+    dealt, large = in_cells(candidates, geometry.map_rect(F.col("transform"), own))
+    asked = probes.select("probe_id", "page_id", "x", "y", F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy"))
+    path = None
+    if clip:
+        path = paths.stored(F.col("clip_path")) if "x1" in elements.schema["clip_path"].dataType.elementType.names else F.col("clip_path")
+    near = hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), path, anchor)
+    met = asked.join(dealt, ["page_id", "cx", "cy"]).filter(near).select("probe_id", "element_id", "ord")
+    met = met.union(asked.join(large, "page_id").filter(near).select("probe_id", "element_id", "ord"))
     best = met.groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("element_id"))
     return probes.join(best, "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
 
@@ -48,7 +84,18 @@ def element_at(points: DataFrame, pages: DataFrame, elements: DataFrame) -> Data
 
 
 def overlaps(elements: DataFrame) -> DataFrame:
-    """Pairs of elements of one page whose bounds touch, the smaller id first."""
-    a = elements.select("page_id", F.col("element_id").alias("a"), F.col("bounds").alias("p"))
-    b = elements.select("page_id", F.col("element_id").alias("b"), F.col("bounds").alias("q"))
-    return a.join(b, "page_id").filter((F.col("a") < F.col("b")) & geometry.intersects(F.col("p"), F.col("q"))).select("page_id", "a", "b")
+    """Pairs of elements of one page whose bounds touch, the smaller id first.
+
+    Two that touch share a cell; the one that holds the low corner of what they
+    share reports the pair, so each comes once.
+    """
+    rows = elements.select("page_id", "element_id", "bounds")
+    dealt, large = in_cells(rows, F.col("bounds"))
+    named = lambda df, i, r, *more: df.select("page_id", F.col("element_id").alias(i), F.col("bounds").alias(r), *more)
+    touch = geometry.intersects(F.col("p"), F.col("q"))
+    corner = lambda c: F.floor(F.greatest(F.col(f"p.{c}"), F.col(f"q.{c}")) / CELL)
+    near = named(dealt, "a", "p", "cx", "cy").join(named(dealt, "b", "q", "cx", "cy"), ["page_id", "cx", "cy"])
+    near = near.filter((F.col("a") < F.col("b")) & touch & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))).select("page_id", "a", "b")
+    sized = rows.join(large.select("page_id", "element_id", F.lit(True).alias("large")), ["page_id", "element_id"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    far = named(large, "i", "p").join(named(sized, "j", "q", "large"), "page_id").filter((F.col("i") != F.col("j")) & touch & (~F.col("large") | (F.col("i") < F.col("j"))))
+    return near.union(far.select("page_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))

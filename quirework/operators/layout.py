@@ -56,6 +56,24 @@ def table_cells(tables: DataFrame) -> DataFrame:
     return cells.withColumn("bounds", geometry.rect(TABLE_X + F.col("col") * COL_WIDTH, TABLE_Y + F.col("row") * ROW_HEIGHT, F.lit(COL_WIDTH), F.lit(ROW_HEIGHT)))
 
 
-def cell_offsets(widths: Column, start: float = TABLE_X) -> Column:
-    """Offset of each column of any widths: the sum of those before, folded inside the row."""
-    return F.transform(widths, lambda _, i: F.aggregate(F.slice(widths, 1, i), F.lit(start), lambda s, w: s + w))
+def column_offsets(columns: DataFrame, table: str, order: list[str], width: str, start: float = TABLE_X) -> DataFrame:
+    """Adds col, the place of each column in its table, and x, its offset: the widths of those before it."""
+    w = Window.partitionBy(table).orderBy(*order)
+    before = F.sum(width).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return columns.withColumns({"col": (F.row_number().over(w) - 1).cast("long"), "x": F.coalesce(before, F.lit(0.0)) + F.lit(start)})
+
+
+def numbered(rows: DataFrame, by: str, start: int = 0, parts: int | None = None) -> DataFrame:
+    """Adds number, the place of each row in the order of by (a number), from start, over the whole table.
+
+    Rows are dealt out to parts by quantiles and numbered in each; only the
+    parts' counts are summed in one task. Ties are numbered in any order.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(by)))
+    rows = rows.withColumn("__part", part)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by))
+    return rows.withColumn("__place", place).join(before, "__part").withColumn("number", F.lit(start) + F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.geometry import image_size, page_at, rect
 from ..operators import edits, history, layout
-from ..sources import adapters, images
+from ..sources import adapters, images, store
 from .registry import query
 
 APPLICATION = "Editor"
@@ -74,11 +74,11 @@ def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.variant_get("metadata", "$.k", "bigint").alias("k"), (F.col("event_type") == "view").alias("is_view"), F.when(F.col("event_type") == "view", F.col("value")).alias("view_value"))
 
 
-@query("SELECT o_custkey AS page_id, o_orderkey AS element_id, 100000000 + row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders WHERE o_orderkey % 100 = 3")
+@query("SELECT o_custkey AS page_id, o_orderkey AS element_id, 100000000 + row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders")
 def doc_generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids go on from a counter in the order of the requests; one number for each new element."""
-    rows = adapters.elements(spark, sf_dir).filter(F.col("element_id") % 100 == 3)
-    return rows.select("page_id", "element_id", (F.lit(100_000_000) + F.row_number().over(Window.orderBy("element_id"))).alias("new_id"))
+    rows = adapters.elements(spark, sf_dir).select("page_id", "element_id")
+    return layout.numbered(rows, "element_id", 100_000_000).withColumnRenamed("number", "new_id")
 
 
 @query("SELECT page_id, element_id, row_number() OVER (PARTITION BY page_id ORDER BY z_index, ord) - 1 AS draw FROM doc_element WHERE visible")
@@ -86,15 +86,14 @@ def doc_draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.draw_order(adapters.elements(spark, sf_dir)).select("page_id", "element_id", F.col("draw").cast("long").alias("draw"))
 
 
-@query("SELECT element_id, kind, page_id, page_idx, doc_id FROM doc_element JOIN doc_page USING (page_id) WHERE element_id % 20 = 1")
+@query("SELECT element_id, kind, page_id, page_idx, doc_id FROM doc_element JOIN doc_page USING (page_id)")
 def doc_find_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are unique, so the first match is the only one; the chain of owners is one join long."""
-    wanted = adapters.elements(spark, sf_dir).filter(F.col("element_id") % 20 == 1)
-    return wanted.join(adapters.pages(spark, sf_dir), "page_id").select("element_id", "kind", "page_id", "page_idx", "doc_id")
+    return adapters.elements(spark, sf_dir).join(adapters.pages(spark, sf_dir), "page_id").select("element_id", "kind", "page_id", "page_idx", "doc_id")
 
 
 @query("""
-SELECT wanted.id, objects.kind FROM (SELECT DISTINCT l_orderkey % 3000 AS id FROM lineitem) wanted LEFT JOIN (
+SELECT wanted.id, objects.kind FROM (SELECT DISTINCT l_orderkey + 1000000 * k AS id FROM lineitem, range(3) t(k)) wanted LEFT JOIN (
   SELECT 0 AS id, 'document' AS kind UNION ALL SELECT page_id, 'page' FROM doc_page UNION ALL SELECT 1000000 + element_id, 'element' FROM doc_element
 ) objects ON objects.id = wanted.id
 """)
@@ -103,14 +102,15 @@ def doc_find_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = spark.range(1).select(F.col("id"), F.lit("document").alias("kind"))
     pages = adapters.pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.lit("page").alias("kind"))
     found = document.union(pages).union(adapters.elements(spark, sf_dir).select((1_000_000 + F.col("element_id")).alias("id"), F.lit("element").alias("kind")))
-    wanted = adapters.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3000).alias("id")).distinct()
+    wanted = adapters.table(spark, sf_dir, "lineitem").select(F.explode(F.array(*[F.col("l_orderkey") + 1_000_000 * i for i in range(3)])).alias("id")).distinct()
     return wanted.join(found, "id", "left").select("id", "kind")
 
 
-@query("SELECT w.doc_id, w.page_idx, p.page_id FROM (SELECT doc_id, unnest(range(0, 400, 9)) AS page_idx FROM viewport) w LEFT JOIN doc_page p ON p.doc_id = w.doc_id AND p.page_idx = w.page_idx")
+@query("SELECT w.doc_id, w.page_idx, p.page_id FROM (SELECT doc_id, page_idx FROM doc_page UNION SELECT doc_id, page_idx + 1 FROM doc_page UNION SELECT doc_id, -1 FROM viewport) w LEFT JOIN doc_page p ON p.doc_id = w.doc_id AND p.page_idx = w.page_idx")
 def doc_page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexes out of range find nothing."""
-    wanted = adapters.viewports(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399), F.lit(9))).alias("page_idx"))
+    """All indexes, one before the first and one behind the last; those out of range find nothing."""
+    pages = adapters.pages(spark, sf_dir)
+    wanted = pages.select("doc_id", F.explode(F.array("page_idx", F.col("page_idx") + 1)).alias("page_idx")).union(adapters.viewports(spark, sf_dir).select("doc_id", F.lit(-1).cast("long"))).distinct()
     return wanted.join(adapters.pages(spark, sf_dir).select("doc_id", "page_idx", "page_id"), ["doc_id", "page_idx"], "left")
 
 
@@ -141,10 +141,9 @@ WITH cols AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PA
 SELECT l_orderkey, col - 1 AS col, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 AS DOUBLE) AS x FROM cols
 """)
 def doc_column_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running offsets of columns of any width, folded inside each table's row."""
-    cols = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey")))
-    rows = adapters.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(cols, lambda c: c["l_quantity"]).alias("widths"))
-    return rows.select("l_orderkey", F.posexplode(layout.cell_offsets(F.col("widths"))).alias("col", "x")).select("l_orderkey", F.col("col").cast("long").alias("col"), "x")
+    """Running offsets of columns of any width."""
+    rows = adapters.table(spark, sf_dir, "lineitem")
+    return layout.column_offsets(rows, "l_orderkey", ["l_linenumber", "l_quantity", "l_partkey"], "l_quantity").select("l_orderkey", "col", "x")
 
 
 @query("""
@@ -255,7 +254,7 @@ def doc_coalesced_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coalesced(adapters.commands(spark, sf_dir)).drop("run")
 
 
-@query("""
+_FOLD = """
 WITH RECURSIVE fold AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone FROM (SELECT DISTINCT doc_id FROM command_log)
   UNION ALL
@@ -263,15 +262,57 @@ WITH RECURSIVE fold AS (
     CASE WHEN c.op = 'undo' THEN f.done[1:len(f.done) - 1] WHEN c.op = 'redo' THEN CASE WHEN len(f.undone) > 0 THEN list_append(f.done, f.undone[len(f.undone)]) ELSE f.done END ELSE list_append(f.done, c.seq) END,
     CASE WHEN c.op = 'undo' THEN CASE WHEN len(f.done) > 0 THEN list_append(f.undone, f.done[len(f.done)]) ELSE f.undone END WHEN c.op = 'redo' THEN f.undone[1:len(f.undone) - 1] ELSE [] END
   FROM fold f JOIN command_log c ON c.doc_id = f.doc_id AND c.seq = f.seq + 1
-)
-SELECT doc_id, len(done) AS n_done, len(undone) AS n_undone, CAST(list_sum(done) AS BIGINT) AS done_sum FROM (SELECT doc_id, arg_max(done, seq) AS done, arg_max(undone, seq) AS undone FROM fold GROUP BY doc_id)
-""")
+), stacks AS (SELECT doc_id, arg_max(done, seq) AS done, arg_max(undone, seq) AS undone FROM fold GROUP BY doc_id)"""
+
+
+@query(_FOLD + "SELECT doc_id, len(done) AS n_done, len(undone) AS n_undone, CAST(list_sum(done) AS BIGINT) AS done_sum FROM stacks")
 def doc_undo_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = history.live(adapters.commands(spark, sf_dir))
     total = F.aggregate("done", F.lit(0).cast("long"), lambda s, x: s + x)
     return live.select("doc_id", F.size("done").cast("long").alias("n_done"), F.size("undone").cast("long").alias("n_undone"), F.when(F.size("done") > 0, total).alias("done_sum"))
 
 
+@query(_FOLD + """
+, alive AS (SELECT doc_id, unnest(done) AS seq FROM stacks), acts AS (SELECT c.*, a.seq IS NOT NULL AS live FROM command_log c LEFT JOIN alive a ON a.doc_id = c.doc_id AND a.seq = c.seq WHERE op NOT IN ('undo', 'redo')),
+ends AS (SELECT doc_id, element_id, arg_max(x, seq) FILTER (WHERE live AND op IN ('move', 'insert')) AS nx, arg_max(y, seq) FILTER (WHERE live AND op IN ('move', 'insert')) AS ny,
+  arg_max(x / 4 + 1, seq) FILTER (WHERE live AND op = 'insert') AS nw, arg_max(y / 4 + 1, seq) FILTER (WHERE live AND op = 'insert') AS nh, max(seq) FILTER (WHERE live AND op = 'text') AS nt FROM acts GROUP BY ALL),
+first AS (SELECT doc_id, k AS element_id FROM (SELECT DISTINCT doc_id FROM command_log), range(9) t(k))
+SELECT first.doc_id, first.element_id, coalesce(nx, first.element_id * 10.0::DOUBLE) AS x, coalesce(ny, first.element_id * 20.0::DOUBLE) AS y, coalesce(nw, 30.0::DOUBLE) AS width, coalesce(nh, 40.0::DOUBLE) AS height,
+  CASE WHEN first.element_id % 2 = 0 THEN coalesce('edit ' || nt, 'as it was') END AS text, ends.doc_id IS NOT NULL AS modified
+FROM first LEFT JOIN ends ON ends.doc_id = first.doc_id AND ends.element_id = first.element_id
+""")
+def doc_replayed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine elements of each document after its log of moves, resizes and text edits, with undos and redos."""
+    log = adapters.commands(spark, sf_dir)
+    k = F.col("element_id")
+    first = log.select("doc_id").distinct().withColumn("element_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
+    first = first.withColumns({"bounds": rect(k * 10, k * 20, F.lit(30), F.lit(40)), "text": F.when(k % 2 == 0, F.lit("as it was"))})
+    log = log.withColumns({"op": F.when(F.col("op") == "insert", "resize").otherwise(F.col("op")), "bounds": rect(F.col("x"), F.col("y"), F.col("x") / 4 + 1, F.col("y") / 4 + 1), "text": F.concat(F.lit("edit "), F.col("seq").cast("string"))})
+    return history.replayed(first, log).select("doc_id", "element_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height", "text", "modified")
+
+
+@query("SELECT element_id, CASE WHEN element_id % 3 = 0 THEN y ELSE x END AS x, CASE WHEN element_id % 3 = 0 THEN x ELSE y END AS y, CASE WHEN element_id % 3 = 0 THEN h * 2 ELSE w END AS width, CASE WHEN element_id % 3 = 0 THEN w / 2 ELSE h END AS height FROM doc_element")
+def doc_resize_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third element gets new bounds: place and size turned about."""
+    old = F.col("bounds")
+    new = F.when(F.col("element_id") % 3 == 0, rect(old["y"], old["x"], old["height"] * 2, old["width"] / 2))
+    return adapters.elements(spark, sf_dir).select("element_id", edits.resize_to(old, new).alias("b")).select("element_id", "b.x", "b.y", "b.width", "b.height")
+
+
+@query("SELECT n_nationkey AS table_id, 100.0::DOUBLE AS x, 100.0::DOUBLE AS y, CAST(100 * greatest(least(n_nationkey - 2, 100), 1) AS DOUBLE) AS width, CAST(30 * greatest(least(n_nationkey * 6, 100), 1) AS DOUBLE) AS height FROM nation")
+def doc_new_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    wanted = adapters.table(spark, sf_dir, "nation").select(k.alias("table_id"), (k * 6).alias("rows"), (k - 2).alias("cols"))
+    return edits.new_tables(wanted).select("table_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS page_id, CAST(7 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS page_idx, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 72.0::DOUBLE AS margin_top, 1.0::DOUBLE AS red, false AS modified")
+def doc_new_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new document has one default page."""
+    page = store.new_document(spark, 7)["page"]
+    return page.select("page_id", "doc_id", "page_idx", "width", "height", "margin_top", F.col("background.r").alias("red"), "modified")
+
+
 @query("""
 WITH step AS (SELECT doc_id, seq, op, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lag(op) OVER w AS before FROM command_log WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
 SELECT doc_id, count(*) AS moves, CAST(sum(dx) AS DOUBLE) AS dx, CAST(sum(dy) AS DOUBLE) AS dy FROM step WHERE op = 'move' AND before = 'move' GROUP BY doc_id
@@ -327,7 +368,7 @@ def doc_event_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "kind", effect.alias("effect"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 7 + 1 AS INTEGER) END AS width, CASE WHEN p_partkey % 5 <> 0 THEN 2 END AS height, CASE WHEN p_partkey % 5 <> 0 THEN '89504E470D0A1A0A0000000D49484452' || printf('%08X', p_partkey % 7 + 1) || '00000002' END AS png_head FROM part")
 def doc_image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitmaps built from parts (every fifth is broken) are decoded and written as PNG."""
     k = F.col("p_partkey")
@@ -337,7 +378,7 @@ def doc_image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.unhex(F.lit("424D")), word(zero), word(zero), word(F.lit(54)), word(F.lit(40)), word(size), word(F.lit(2)), F.unhex(F.lit("01001800")), *[word(zero)] * 6)
     pixels = F.expr("substring(unhex(repeat('80C0FF', 32)), 1, cast(ceil((p_partkey % 7 + 1) * 3 / 4) * 8 as int))")
     rows = adapters.table(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 != 0, F.concat(head, pixels)).otherwise(F.unhex(F.lit("00FF"))).alias("content"))
-    return images.decode(rows).select("p_partkey", "width", "height", F.length("png").alias("png_bytes"))
+    return images.decode(rows).select("p_partkey", "width", "height", F.hex(F.substring("png", 1, 24)).alias("png_head"))
 
 
 @query("""
@@ -365,7 +406,7 @@ def doc_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabs = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_name").alias("name"), F.array(*[F.lit(i).cast("long") for i in range(3)]).alias("page_indices"))
     region = adapters.table(spark, sf_dir, "region")
     tabs = edits.add_tabs(tabs, region.select((1000 + F.col("r_regionkey")).cast("long").alias("id"), F.col("r_regionkey").cast("long").alias("doc_id"), F.col("r_name").alias("name")))
-    gone = spark.range(3000).filter("id % 4 = 1")
+    gone = tabs.filter("id % 4 = 1")
     return edits.remove_tabs(tabs, gone).select(F.col("id").cast("int").alias("id"), "doc_id", "name", F.size("page_indices").alias("pages"))
 
 

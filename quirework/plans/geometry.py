@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import colour, geometry
+from ..functions import colour, geometry, paths
 from ..operators import hit, layout
 from ..sources import adapters
 from .registry import query
@@ -101,11 +101,10 @@ def doc_centre_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BOX + """, box AS (SELECT element_id, page_id, least(x1, x2, x3, x4) AS bx, least(y1, y2, y3, y4) AS by_ FROM corners)
 SELECT element_id, page_idx, by_ * zoom - screen_height // 2 AS scroll_y, bx * zoom - screen_width // 2 AS scroll_x
-FROM box JOIN doc_page USING (page_id) JOIN viewport USING (doc_id) WHERE element_id % 50 = 7
+FROM box JOIN doc_page USING (page_id) JOIN viewport USING (doc_id)
 """)
 def doc_scroll_to_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = adapters.elements(spark, sf_dir).filter(F.col("element_id") % 50 == 7)
-    rows = wanted.join(adapters.pages(spark, sf_dir), "page_id").join(adapters.viewports(spark, sf_dir), "doc_id")
+    rows = adapters.elements(spark, sf_dir).join(adapters.pages(spark, sf_dir), "page_id").join(adapters.viewports(spark, sf_dir), "doc_id")
     r = geometry.map_rect(F.col("transform"), F.col("bounds"))
     half = lambda c: F.floor(F.col(c) / 2).cast("double")
     return rows.select("element_id", "page_idx", (r["y"] * F.col("zoom") - half("screen_height")).alias("scroll_y"), (r["x"] * F.col("zoom") - half("screen_width")).alias("scroll_x"))
@@ -179,6 +178,17 @@ def doc_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.overlaps(adapters.elements(spark, sf_dir))
 
 
+_CLIPPED = "CASE WHEN element_id % 4 = 0 THEN {x} >= 10 AND {x} < 10 + w / 2 AND {y} >= 5 AND {y} < 5 + h / 2 ELSE true END".format(x="(d * (px - e) - c * (py - f)) / (a * d - b * c)", y="(a * (py - f) - b * (px - e)) / (a * d - b * c)")
+
+
+@query(_TOPMOST.format(local=_LOCAL.format(x0="0", x1="w", y0="0", y1="h") + " AND " + _CLIPPED))
+def doc_topmost_hit_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth element has a clip path, a quarter of its size; points outside it don't hit."""
+    own = F.col("bounds")
+    clip = F.when(F.col("element_id") % 4 == 0, paths.rectangle(geometry.rect(F.lit(10.0), F.lit(5.0), own["width"] / 2, own["height"] / 2)))
+    return hit.topmost(_probes(spark, sf_dir), adapters.elements(spark, sf_dir).withColumn("clip_path", clip))
+
+
 @query("""
 SELECT page_id, page_idx * (height + 20 / zoom) AS page_top FROM doc_page JOIN viewport USING (doc_id)
 WHERE page_idx * (height + 20 / zoom) + height >= (0 + scroll_y) / zoom AND page_idx * (height + 20 / zoom) <= (screen_height + scroll_y) / zoom

@@ -103,3 +103,49 @@ def test_coalescing(spark):
     rows = [(1, 1, "move", 5, 1.0, 0.0), (1, 2, "move", 5, 2.0, 0.0), (1, 3, "move", 6, 3.0, 0.0), (1, 4, "text", 6, 0.0, 0.0), (1, 5, "move", 6, 4.0, 0.0)]
     runs = history.coalesced(spark.createDataFrame(rows, "doc_id long, seq long, op string, element_id long, x double, y double")).orderBy("run").collect()
     assert [(r["first_seq"], r["last_seq"], r["old_x"], r["new_x"]) for r in runs] == [(1, 2, 1, 2), (3, 3, 3, 3), (4, 4, 0, 0), (5, 5, 4, 4)]
+
+
+def test_replay_restores_what_was_undone(spark):
+    rng = random.Random(7)
+    docs, rows, want = 40, [], {}
+    for d in range(docs):
+        state = {i: ((float(i), 0.0, 10.0, 10.0), f"t{i}" if i % 2 == 0 else None) for i in range(4)}
+        stack, done, touched = [dict(state)], 0, set()
+        for seq in range(1, rng.randint(2, 60)):
+            op = rng.choice(["move", "move", "resize", "text", "delete", "insert", "undo", "undo", "redo"])
+            i, x = rng.randrange(6), float(seq)
+            rows.append((d, seq, op, i, x, x + 1, (x, x, x + 2, x + 3), f"new{seq}"))
+            if op == "undo":
+                done = max(0, done - 1)
+                continue
+            if op == "redo":
+                done = min(len(stack) - 1, done + 1)
+                continue
+            touched.add(i)
+            now = dict(stack[done])
+            if op == "delete":
+                now.pop(i, None)
+            elif op == "insert" and i not in now:
+                now[i] = None
+            stack[done + 1 :] = [now]
+            done += 1
+        alive = stack[done]
+        want[d] = (set(alive), touched)
+    log = spark.createDataFrame(rows, "doc_id long, seq long, op string, element_id long, x double, y double, bounds struct<x:double,y:double,width:double,height:double>, text string")
+    first = spark.createDataFrame([(d, i, (float(i), 0.0, 10.0, 10.0), f"t{i}" if i % 2 == 0 else None) for d in range(docs) for i in range(4)], "doc_id long, element_id long, bounds struct<x:double,y:double,width:double,height:double>, text string")
+    out = history.replayed(first, log).collect()
+    live = {r["doc_id"]: set(r["done"]) for r in history.live(log).collect()}
+    got = defaultdict(set)
+    for r in out:
+        d, i = r["doc_id"], r["element_id"]
+        got[d].add(i)
+        own = [x for x in rows if x[0] == d and x[3] == i and x[1] in live[d]]
+        placed = [x for x in own if x[2] in ("move", "resize")]
+        sized = [x for x in own if x[2] == "resize"]
+        start = (float(i), 0.0) if i < 4 else (None, None)
+        assert (r["bounds"]["x"], r["bounds"]["y"]) == ((placed[-1][6][:2] if placed[-1][2] == "resize" else placed[-1][4:6]) if placed else start)
+        assert r["bounds"]["width"] == (sized[-1][6][2] if sized else 10.0 if i < 4 else None)
+        said = [x[7] for x in own if x[2] == "text"]
+        assert r["text"] == ((said[-1] if said else f"t{i}" if i < 4 else None) if i % 2 == 0 or i > 3 else None)
+        assert r["modified"] == (i in want[d][1])
+    assert {d: got[d] for d in want} == {d: w[0] for d, w in want.items()}

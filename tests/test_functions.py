@@ -1,9 +1,12 @@
 """Vectors worked out by hand, one row each."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import colour, geometry, paths, text
+from quirework.sources import schema
 from quirework.operators import hit, layout
 
 
@@ -93,4 +96,30 @@ def test_colour_round_trip(spark):
 
 
 def test_column_offsets(spark):
-    assert one(spark, layout.cell_offsets(F.array(*[F.lit(100.0)] * 3))) == [100, 200, 300]
+    rows = spark.createDataFrame([(1, i, 100.0) for i in range(3)] + [(2, 0, 5.0)], "t long, i long, w double")
+    assert sorted((r["t"], r["col"], r["x"]) for r in layout.column_offsets(rows, "t", ["i"], "w").collect()) == [(1, 0, 100), (1, 1, 200), (1, 2, 300), (2, 0, 100)]
+
+
+def test_numbers_over_parts(spark):
+    rows = spark.createDataFrame([(i * 7919 % 5003 - 2000,) for i in range(5003)], "k long")
+    got = sorted((r["number"], r["k"]) for r in layout.numbered(rows, "k", 10, parts=7).collect())
+    assert got == [(11 + i, i - 2000) for i in range(5003)]
+    assert layout.numbered(rows.limit(0), "k").count() == 0 and layout.numbered(spark.createDataFrame([(5,)] * 9, "k long"), "k", parts=3).agg(F.max("number"), F.min("number")).first() == (9, 1)
+
+
+def test_grids_lose_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    matrices = [tuple(map(float, m)) for m in [(1, 0, 0, 1, 0, 0), (0, 1, -1, 0, 50, 50), (2, 0.5, -0.25, 1, 10, -700), (0, 0, 0, 0, 0, 0)]]
+    boxes = [tuple(float(rng.choice([rng.randint(-900, 900), rng.randint(-3, 3) * 256])) for _ in range(2)) + (float(rng.choice([0, 1, 256, 40, 9000, 1e9])), float(rng.randint(0, 600))) for _ in range(60)]
+    rows = [(i % 2, i, i, i % 9 != 0, b, rng.choice(matrices), [("MoveTo", 0.0, 0.0, *[0.0] * 4), ("LineTo", 30.0, 0.0, *[0.0] * 4), ("LineTo", 0.0, 500.0, *[0.0] * 4)] if i % 7 == 0 else None) for i, b in enumerate(boxes)] + [(0, 99, 99, True, None, matrices[0], None), (0, 98, 98, True, (None, 1.0, 1.0, 1.0), matrices[0], None)]
+    elements = spark.createDataFrame(rows, f"page_id long, element_id long, ord long, visible boolean, bounds {schema.RECT}, transform {schema.MATRIX}, clip_path {schema.COMMANDS}")
+    touch = lambda p, q: p[0] <= q[0] + q[2] and q[0] <= p[0] + p[2] and p[1] <= q[1] + q[3] and q[1] <= p[1] + p[3]
+    want = sorted((a % 2, a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and touch(boxes[a], boxes[b]))
+    assert sorted(tuple(r) for r in hit.overlaps(elements).collect()) == want
+    probes = spark.createDataFrame([(i, i % 3, float(rng.randint(-4, 4) * 256 // rng.choice([1, 2])), float(rng.randint(-600, 900))) for i in range(200)], "probe_id long, page_id long, x double, y double")
+    for anchor in ("local", "bounds"):
+        near = hit.hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), paths.stored(F.col("clip_path")), anchor)
+        plain = probes.join(elements.filter("visible"), "page_id").filter(near).groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("e"))
+        want = {r["probe_id"]: r["e"] for r in plain.collect()}
+        got = {r["probe_id"]: r["element_id"] for r in hit.topmost(probes, elements, anchor).collect()}
+        assert len(got) == 200 and {k: v for k, v in got.items() if v is not None} == want and len(want) > 20
