@@ -92,17 +92,36 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 def _rank(group: np.ndarray) -> np.ndarray:
     """Place of each row in its group; rows are sorted by group."""
-    return np.arange(len(group)) - np.searchsorted(group, group)
+    start = np.flatnonzero(_first_of(group))
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
 
 
-def _at_most(most: int, by: np.ndarray, *group: np.ndarray) -> np.ndarray:
-    """Which rows are among the first most of their group in the order of by."""
-    order = np.lexsort((by, *group))
-    start = np.flatnonzero(_first_of(*(g[order] for g in group)))
+def _pairs(place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One number for each place (of at most 2 ** 20) and key; they sort by place."""
+    return place.astype(tokens.U64) << tokens.U64(44) | tokens.mix(ids.view(tokens.U64).copy()) >> tokens.U64(20)
+
+
+def _best_first(place: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """One number for each place and similarity; they sort by place, then best first."""
+    bits = (sims.astype(np.float32) + np.float32(0)).view(np.uint32)
+    falling = np.where(bits >> 31 == 1, bits, ~bits & np.uint32(0x7FFFFFFF))
+    return place.astype(tokens.U64) << tokens.U64(32) | falling.astype(tokens.U64)
+
+
+def _once(place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of rows equal in place and key the first, in the order of places."""
+    key = _pairs(place, ids)
+    order = np.argsort(key, kind="stable")
+    return order[_first_of(key[order])]
+
+
+def _sampled(most: int, salt: int, by: np.ndarray, listed: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """At most so many rows of each listed key, new and old ones apart, chosen by a hash."""
+    group = tokens.mix(listed.view(tokens.U64) + fresh.astype(tokens.U64)) >> tokens.U64(24)
+    order = np.argsort(group << tokens.U64(24) | tokens.mix(by.view(tokens.U64) + tokens.U64(salt)) >> tokens.U64(40))
+    start = np.flatnonzero(_first_of(group[order]))
     rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-    out = np.zeros(len(order), bool)
-    out[order[rank < most]] = True
-    return out
+    return order[rank < most]
 
 
 class Graph:
@@ -142,9 +161,8 @@ class Graph:
         fresh, come = np.concatenate([old, np.ones(len(to), bool)]), np.arange(len(a)) >= n
         keep = b != self.ids[a]
         a, b, x, fresh, come = a[keep], b[keep], x[keep], fresh[keep], come[keep]
-        order = np.lexsort((come, b, a))
-        order = order[_first_of(a[order], b[order])]
-        order = order[np.lexsort((b[order], -x[order], a[order]))]
+        order = _once(a, b)  # those that are there come first
+        order = order[np.argsort(_best_first(a[order], x[order]), kind="stable")]
         a, b, x, fresh, come = a[order], b[order], x[order], fresh[order], come[order]
         rank = _rank(a)
         best = rank < K
@@ -237,7 +255,7 @@ def _take(bundles: int, d: int, salt: int):
         graph, changed = graph.offered(inbox.of(OFFER, "a", np.int64), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
         place, near, fresh = graph.edges()
         by = graph.ids[place]
-        some = _at_most(REVERSE, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), near, fresh)
+        some = _sampled(REVERSE, salt, by, near, fresh)
         return [graph.row(inbox.bundle, changed), *send(LISTED, bundle_of(near[some], bundles), near[some], by[some], fresh[some])]
 
     return run
@@ -252,10 +270,10 @@ def _candidates(bundles: int, d: int, salt: int):
             return []
         place, near, fresh = graph.edges()
         listed, by, new = inbox.of(LISTED, "a", np.int64), inbox.of(LISTED, "b", np.int64), inbox.of(LISTED, "c", bool)
-        some = _at_most(REVERSE, tokens.mix(by.view(tokens.U64) + tokens.U64(salt)), listed, new)
+        some = _sampled(REVERSE, salt, by, listed, new)
         place, near, fresh = np.concatenate([place, graph.places(listed[some])]), np.concatenate([near, by[some]]), np.concatenate([fresh, new[some]])
-        order = np.lexsort((~fresh, near, place))
-        order = order[_first_of(place[order], near[order])]
+        order = np.argsort(~fresh, kind="stable")
+        order = order[_once(place[order], near[order])]
         place, near, fresh = place[order], near[order], fresh[order]
         active = (np.bincount(place, fresh, len(graph.ids)) > 0)[place]
         place, near, fresh = place[active], near[active], fresh[active]
@@ -317,7 +335,8 @@ def _join(bundles: int, d: int):
         to, offered, sims = np.concatenate(to), np.concatenate(offered), np.concatenate(sims)
         _, once = np.unique(to * len(ids) + offered, return_index=True)
         to, offered, sims = to[once], offered[once], sims[once]
-        some = _at_most(K, -sims, to)
+        some = np.argsort(_best_first(to, sims), kind="stable")
+        some = some[_rank(to[some]) < K]
         to, offered, sims = ids[to[some]], ids[offered[some]], sims[some]
         return inbox.kept(GRAPH) + send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
@@ -389,9 +408,9 @@ class Beams:
         q, k = np.nonzero(self.nodes != -1)
         query, node, sims = np.concatenate([q, query]), np.concatenate([self.nodes[q, k], node]), np.concatenate([self.sims[q, k], sims]).astype(np.float32)
         done = np.concatenate([self.done[q, k], np.zeros(len(query) - len(q), bool)]) | (node == self.ids[query])
-        order = np.lexsort((~done, node, query))
-        order = order[_first_of(query[order], node[order])]
-        order = order[np.lexsort((node[order], -sims[order], query[order]))]
+        order = np.argsort(~done, kind="stable")
+        order = order[_once(query[order], node[order])]
+        order = order[np.argsort(_best_first(query[order], sims[order]), kind="stable")]
         query, node, sims, done = query[order], node[order], sims[order], done[order]
         rank = _rank(query)
         some = rank < self.nodes.shape[1]
