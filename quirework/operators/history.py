@@ -80,3 +80,24 @@ def replayed(elements: DataFrame, log: DataFrame) -> DataFrame:
     b = F.struct(F.coalesce("nx", "bounds.x").alias("x"), F.coalesce("ny", "bounds.y").alias("y"), F.coalesce("nw", "bounds.width").alias("width"), F.coalesce("nh", "bounds.height").alias("height"))
     text = F.when(F.col("text").isNotNull() | F.col("was").isNull(), F.coalesce("nt", "text"))
     return both.filter(there).select("doc_id", "element_id", b.alias("bounds"), text.alias("text"), F.coalesce("touched", F.lit(False)).alias("modified"))
+
+
+def drags(events: DataFrame) -> DataFrame:
+    """events: doc_id, seq, kind (press, move, release; others are passed over), element_id (of a press: what it hit, or null), x, y. One move command for each release that ends a drag.
+
+    The last element pressed since the release before is dragged, by the steps
+    of all moves after that press; a press beside it sets a new start but doesn't
+    let go. A release pushes its command even where nothing moved.
+    """
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.filter(F.col("kind").isin("press", "move", "release"))
+    rows = rows.withColumn("stretch", F.coalesce(F.count(F.when(F.col("kind") == "release", 1)).over(before), F.lit(0)))
+    inside = Window.partitionBy("doc_id", "stretch")
+    held = F.max(F.when((F.col("kind") == "press") & F.col("element_id").isNotNull(), F.struct("seq", "element_id"))).over(inside)
+    rows = rows.withColumn("held", held).filter(F.col("held").isNotNull() & (F.col("seq") >= F.col("held.seq")))
+    steps = Window.partitionBy("doc_id", "stretch").orderBy("seq")
+    step = lambda c: F.sum(F.when(F.col("kind") == "move", F.col(c) - F.col(f"last_{c}")).otherwise(0.0))
+    rows = rows.withColumns({f"last_{c}": F.lag(c).over(steps) for c in "xy"})
+    ended = rows.groupBy("doc_id", "stretch").agg(F.first("held.element_id").alias("element_id"), F.min("seq").alias("press_seq"), F.max(F.when(F.col("kind") == "release", F.col("seq"))).alias("release_seq"), step("x").alias("dx"), step("y").alias("dy"))
+    return ended.filter("release_seq IS NOT NULL").drop("stretch")

@@ -166,10 +166,11 @@ def doc_tab_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.select("tab_id", "doc_id", F.explode("page_indices").alias("page_idx")).join(adapters.pages(spark, sf_dir).withColumn("page_idx", F.col("page_idx").cast("int")), ["doc_id", "page_idx"]).select("tab_id", "page_idx", "page_id")
 
 
-@query("SELECT DISTINCT user_id AS doc_id, event_id % 40 AS page_idx FROM events")
+@query("SELECT doc_id, page_idx, row_number() OVER (PARTITION BY doc_id ORDER BY asked) AS place FROM (SELECT user_id AS doc_id, event_id % 40 AS page_idx, min(event_id) AS asked FROM events GROUP BY ALL)")
 def doc_render_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for pages, each pending once."""
-    return adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 40).alias("page_idx")).distinct()
+    """Requests for pages, each pending once, in the order of their first arrival."""
+    rows = adapters.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id"), (F.col("event_id") % 40).alias("page_idx")).agg(F.min("event_id").alias("asked"))
+    return rows.select("doc_id", "page_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("asked")).cast("long").alias("place"))
 
 
 @query("""
@@ -324,6 +325,24 @@ def doc_drag_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("op = 'move' AND before = 'move'").groupBy("doc_id").agg(F.count("*").alias("moves"), F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
 
 
+@query("""
+WITH e AS (SELECT user_id AS doc_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'move' WHEN 'signup' THEN 'move' WHEN 'purchase' THEN 'release' END AS kind,
+  CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN event_id % 7 END AS element_id, CAST(event_id % 640 AS DOUBLE) AS x, CAST(event_id % 480 AS DOUBLE) AS y FROM events WHERE event_type <> 'error'),
+s AS (SELECT *, coalesce(count(*) FILTER (WHERE kind = 'release') OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM e),
+h AS (SELECT doc_id, stretch, max(seq) AS pressed, arg_max(element_id, seq) AS element_id FROM s WHERE kind = 'press' AND element_id IS NOT NULL GROUP BY ALL),
+d AS (SELECT s.doc_id, s.stretch, s.seq, s.kind, h.element_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM s JOIN h ON h.doc_id = s.doc_id AND h.stretch = s.stretch AND s.seq >= h.pressed WINDOW w AS (PARTITION BY s.doc_id, s.stretch ORDER BY s.seq))
+SELECT doc_id, element_id, min(seq) AS press_seq, max(seq) FILTER (WHERE kind = 'release') AS release_seq, CAST(sum(CASE WHEN kind = 'move' THEN dx ELSE 0 END) AS DOUBLE) AS dx, CAST(sum(CASE WHEN kind = 'move' THEN dy ELSE 0 END) AS DOUBLE) AS dy
+FROM d GROUP BY doc_id, stretch, element_id HAVING max(seq) FILTER (WHERE kind = 'release') IS NOT NULL
+""")
+def doc_drags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presses, moves and releases of the pointer become one move command for each drag."""
+    k = F.col("event_id")
+    kind = F.create_map(*[F.lit(x) for kv in {"click": "press", "view": "move", "signup": "move", "purchase": "release", "error": "key"}.items() for x in kv])[F.col("event_type")]
+    hit = F.when((F.col("event_type") == "click") & (k % 3 != 0), k % 7)
+    rows = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), k.alias("seq"), kind.alias("kind"), hit.alias("element_id"), (k % 640).cast("double").alias("x"), (k % 480).cast("double").alias("y"))
+    return history.drags(rows)
+
+
 @query("""
 WITH s AS (SELECT doc_id, seq, op, CASE WHEN op IN ('insert', 'text') THEN seq END AS started FROM command_log),
 t AS (SELECT *, max(started) OVER (PARTITION BY doc_id ORDER BY seq) AS since, lag(op) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM s)

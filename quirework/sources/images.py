@@ -1,7 +1,8 @@
 """Image files: scan, decode and re-encode as PNG, without an imaging library.
 
-PNG (8-bit, not interlaced) and BMP (24- and 32-bit, uncompressed) are decoded
-to pixels; of GIF and JPEG only the size is read. What can't be read is null,
+PNG (all depths, of 16 bits the upper 8; interlaced or not) and BMP (24- and
+32-bit, uncompressed) are decoded to pixels; of GIF and JPEG only the size is
+read. What can't be read is null,
 and nothing is drawn for it.
 """
 
@@ -20,6 +21,8 @@ from ..functions.text import suffix
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+# First column and row and steps of the seven passes of an interlaced image.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def _png_pixels(data: bytes) -> np.ndarray | None:
@@ -35,32 +38,58 @@ def _png_pixels(data: bytes) -> np.ndarray | None:
         return None
     width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head[:13])
     channels = 1 if colour == 3 else _CHANNELS.get(colour)
-    if depth != 8 or interlaced or not channels:
+    if depth not in (1, 2, 4, 8, 16) or not channels:
         return None
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height + 1, width * channels + channels), np.uint8)
+    data, at = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8), 0
+    out = np.zeros((height, width, channels), np.uint8)
+    for x0, y0, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w > 0 and h > 0:
+            stride = -(-w * channels * depth // 8)
+            lines = _unfiltered(data[at : at + h * (1 + stride)].reshape(h, 1 + stride), max(1, channels * depth // 8))
+            at += h * (1 + stride)
+            out[y0::dy, x0::dx] = _samples(lines, w * channels, depth, colour == 3).reshape(h, w, channels)
+    if colour == 3:
+        out = palette[out[:, :, 0]]
+    return _rgba(out)
+
+
+def _unfiltered(rows: np.ndarray, unit: int) -> np.ndarray:
+    """The bytes of lines whose first byte tells how the rest was predicted; unit: bytes of a pixel."""
+    height, width = rows.shape[0], rows.shape[1] - 1
+    out, up = np.zeros((height, width), np.uint8), np.zeros(width, np.uint8)
     for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:]
-        up, own = out[y], out[y + 1]
-        if kind == 0:
-            own[channels:] = line
+        kind, line = int(rows[y, 0]), rows[y, 1:]
+        if kind == 1:
+            padded = np.zeros(-(-width // unit) * unit, np.uint8)
+            padded[:width] = line
+            line = np.cumsum(padded.reshape(-1, unit), axis=0, dtype=np.uint8).ravel()[:width]
         elif kind == 2:
-            own[channels:] = line + up[channels:]
-        else:
-            for x in range(len(line)):
-                a, b, c = int(own[x]), int(up[x + channels]), int(up[x])
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + b) // 2
+            line = line + up
+        elif kind in (3, 4):
+            own, above = line.tolist(), up.tolist()
+            for x in range(width):
+                a, b = own[x - unit] if x >= unit else 0, above[x]
+                if kind == 3:
+                    own[x] = own[x] + (a + b) // 2 & 255
                 else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                own[x + channels] = (int(line[x]) + guess) & 255
-    pixels = out[1:, channels:].reshape(height, width, channels)
-    if colour == 3:
-        pixels = palette[pixels[:, :, 0]]
-    return _rgba(pixels)
+                    c = above[x - unit] if x >= unit else 0
+                    near, over, corner = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    own[x] = own[x] + (a if near <= over and near <= corner else b if over <= corner else c) & 255
+            line = np.array(own, np.uint8)
+        out[y] = up = line
+    return out
+
+
+def _samples(lines: np.ndarray, count: int, depth: int, indexed: bool) -> np.ndarray:
+    """So many samples of each line, as bytes; those of few bits are spread over the range unless they are places in a palette."""
+    if depth == 16:
+        return lines[:, : 2 * count : 2]
+    if depth == 8:
+        return lines[:, :count]
+    bits = np.unpackbits(lines, axis=1)[:, : count * depth].reshape(len(lines), count, depth)
+    value = bits @ (1 << np.arange(depth - 1, -1, -1))
+    return (value if indexed else value * 255 // ((1 << depth) - 1)).astype(np.uint8)
 
 
 def _rgba(pixels: np.ndarray) -> np.ndarray:
