@@ -23,21 +23,20 @@ CELL, MOST_CELLS = 256.0, 64
 SLACK = 1e-9
 
 
-def _range(low: Column, high: Column) -> tuple[Column, Column]:
-    """The first and last cell of a range of one coordinate."""
-    room = SLACK * (1 + F.greatest(F.abs(low), F.abs(high)))
-    return F.floor((low - room) / CELL), F.floor((high + room) / CELL)
-
-
-def in_cells(rows: DataFrame, box: Column) -> tuple[DataFrame, DataFrame]:
-    """rows with cx and cy for each cell that their box touches; and those of too large a box. Rows without a box are left out."""
-    b = rows.withColumn("__box", box).filter("__box.x IS NOT NULL AND __box.y IS NOT NULL AND __box.width IS NOT NULL AND __box.height IS NOT NULL")
-    x, y = F.col("__box.x"), F.col("__box.y")
-    (x0, x1), (y0, y1) = _range(F.least(x, x + F.col("__box.width")), F.greatest(x, x + F.col("__box.width"))), _range(F.least(y, y + F.col("__box.height")), F.greatest(y, y + F.col("__box.height")))
-    b = b.select(*rows.columns, x0.alias("__x0"), x1.alias("__x1"), y0.alias("__y0"), y1.alias("__y1"))
+#: The cell of elements that stand in all cells.
+EVERYWHERE = -(1 << 40)
+
+
+def in_cells(rows: DataFrame, low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> DataFrame:
+    """rows with cx and cy for each cell that their box touches, or EVERYWHERE for too large a box. Rows without a box are left out."""
+    first = lambda c: F.floor((c - (F.abs(c) * SLACK + SLACK)) / CELL)
+    last = lambda c: F.floor((c + (F.abs(c) * SLACK + SLACK)) / CELL)
+    b = rows.select("*", first(low_x).alias("__x0"), last(high_x).alias("__x1"), first(low_y).alias("__y0"), last(high_y).alias("__y1"))
     small = (F.col("__x1") - F.col("__x0") + 1.0) * (F.col("__y1") - F.col("__y0") + 1.0) <= MOST_CELLS
-    dealt = b.filter(small).withColumn("cx", F.explode(F.sequence("__x0", "__x1"))).withColumn("cy", F.explode(F.sequence("__y0", "__y1")))
-    return dealt.select(*rows.columns, "cx", "cy"), b.filter(~small).select(*rows.columns)
+    all_ = F.array(F.lit(EVERYWHERE).cast("long"))
+    b = b.withColumn("cx", F.explode(F.when(small, F.sequence("__x0", "__x1")).when(~small, all_)))
+    b = b.withColumn("cy", F.explode(F.when(F.col("cx") == EVERYWHERE, all_).otherwise(F.sequence("__y0", "__y1"))))
+    return b.drop("__x0", "__x1", "__y0", "__y1")
 
 
 def hits(x: Column, y: Column, bounds: Column, transform: Column, clip: Column | None = None, anchor: str = "local") -> Column:
@@ -59,14 +58,16 @@ def topmost(probes: DataFrame, elements: DataFrame, anchor: str = "local") -> Da
     clip = [c for c in ("clip_path",) if c in elements.columns]
     candidates = elements.filter("visible").select("page_id", "element_id", "ord", "bounds", "transform", *clip)
     own = F.col("bounds") if anchor == "bounds" else geometry.rect(F.lit(0), F.lit(0), F.col("bounds.width"), F.col("bounds.height"))
-    dealt, large = in_cells(candidates, geometry.map_rect(F.col("transform"), own))
-    asked = probes.select("probe_id", "page_id", "x", "y", F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy"))
+    box = geometry.map_rect(F.col("transform"), own)
+    dealt = in_cells(candidates, box["x"], geometry.right(box), box["y"], geometry.top(box))
+    cell = lambda c: F.floor(F.col(c) / CELL).alias(f"c{c}")
+    cells = F.array(F.struct(cell("x"), cell("y")), F.struct(*[F.lit(EVERYWHERE).cast("long").alias(c) for c in ("cx", "cy")]))
+    asked = probes.select("probe_id", "page_id", "x", "y", F.inline(cells))
     path = None
     if clip:
         path = paths.stored(F.col("clip_path")) if "x1" in elements.schema["clip_path"].dataType.elementType.names else F.col("clip_path")
     near = hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), path, anchor)
-    met = asked.join(dealt, ["page_id", "cx", "cy"]).filter(near).select("probe_id", "element_id", "ord")
-    met = met.union(asked.join(large, "page_id").filter(near).select("probe_id", "element_id", "ord"))
+    met = asked.join(dealt, ["page_id", "cx", "cy"]).filter(near)
     best = met.groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("element_id"))
     return probes.join(best, "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
 
@@ -90,7 +91,9 @@ def overlaps(elements: DataFrame) -> DataFrame:
     share reports the pair, so each comes once.
     """
     rows = elements.select("page_id", "element_id", "bounds")
-    dealt, large = in_cells(rows, F.col("bounds"))
+    x, y, right, top = F.col("bounds.x"), F.col("bounds.y"), geometry.right(F.col("bounds")), geometry.top(F.col("bounds"))
+    cells = in_cells(rows, F.least(x, right), F.greatest(x, right), F.least(y, top), F.greatest(y, top))
+    dealt, large = cells.filter(F.col("cx") != EVERYWHERE), cells.filter(F.col("cx") == EVERYWHERE).select(*rows.columns)
     named = lambda df, i, r, *more: df.select("page_id", F.col("element_id").alias(i), F.col("bounds").alias(r), *more)
     touch = geometry.intersects(F.col("p"), F.col("q"))
     corner = lambda c: F.floor(F.greatest(F.col(f"p.{c}"), F.col(f"q.{c}")) / CELL)
