@@ -556,6 +556,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         i += 1
         state = scratch.write(state, f"beams{i}")
         scratch.drop(f"beams{i - 1}")
+    scratch.drop("graph", "shared")
     pairs = state.filter(F.col("kind") == BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
     vector_of = nodes.withColumnRenamed("v", "w")
     both = pairs.join(vector_of, "node").join(nodes.select(F.col("node").alias("query_node"), "v"), "query_node")

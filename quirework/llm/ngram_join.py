@@ -368,6 +368,7 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     classes = scratch.write(classes, "rooted")
     least = scratch.write(classes.groupBy("root").agg(F.min("first").alias("least")), "least")  # written, so that a join can split a large component
     classes = scratch.write(classes.join(least, "root").select("n", "hi", "lo", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
+    scratch.drop("sets", "classes", "postings", "shared", "votes", "blocks", "pairs", "stars", "rooted", "least")
     out = profiles.join(classes, ["n", "hi", "lo"], "left")
     result = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     if with_key:
