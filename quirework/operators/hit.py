@@ -27,11 +27,15 @@ SLACK = 1e-9
 EVERYWHERE = -(1 << 40)
 
 
-def in_cells(rows: DataFrame, low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> DataFrame:
+def in_cells(rows: DataFrame, box: Column) -> DataFrame:
     """rows with cx and cy for each cell that their box touches, or EVERYWHERE for too large a box. Rows without a box are left out."""
-    first = lambda c: F.floor((c - (F.abs(c) * SLACK + SLACK)) / CELL)
-    last = lambda c: F.floor((c + (F.abs(c) * SLACK + SLACK)) / CELL)
-    b = rows.select("*", first(low_x).alias("__x0"), last(high_x).alias("__x1"), first(low_y).alias("__y0"), last(high_y).alias("__y1"))
+    first = lambda c: F.floor((F.col(c) - (F.abs(F.col(c)) * SLACK + SLACK)) / CELL)
+    last = lambda c: F.floor((F.col(c) + (F.abs(F.col(c)) * SLACK + SLACK)) / CELL)
+    # Step by step: each step names what the next one uses several times, so that no expression is repeated.
+    b = rows.withColumn("__box", box).select(*rows.columns, *[F.col(f"__box.{c}").alias(f"__{c}") for c in ("x", "y", "width", "height")])
+    b = b.withColumns({"__right": F.col("__x") + F.col("__width"), "__top": F.col("__y") + F.col("__height")})
+    b = b.select(*rows.columns, *[f(x, y).alias(n) for n, f, x, y in (("__lx", F.least, "__x", "__right"), ("__hx", F.greatest, "__x", "__right"), ("__ly", F.least, "__y", "__top"), ("__hy", F.greatest, "__y", "__top"))])
+    b = b.select(*rows.columns, first("__lx").alias("__x0"), last("__hx").alias("__x1"), first("__ly").alias("__y0"), last("__hy").alias("__y1"))
     small = (F.col("__x1") - F.col("__x0") + 1.0) * (F.col("__y1") - F.col("__y0") + 1.0) <= MOST_CELLS
     all_ = F.array(F.lit(EVERYWHERE).cast("long"))
     b = b.withColumn("cx", F.explode(F.when(small, F.sequence("__x0", "__x1")).when(~small, all_)))
@@ -58,8 +62,7 @@ def topmost(probes: DataFrame, elements: DataFrame, anchor: str = "local") -> Da
     clip = [c for c in ("clip_path",) if c in elements.columns]
     candidates = elements.filter("visible").select("page_id", "element_id", "ord", "bounds", "transform", *clip)
     own = F.col("bounds") if anchor == "bounds" else geometry.rect(F.lit(0), F.lit(0), F.col("bounds.width"), F.col("bounds.height"))
-    box = geometry.map_rect(F.col("transform"), own)
-    dealt = in_cells(candidates, box["x"], geometry.right(box), box["y"], geometry.top(box))
+    dealt = in_cells(candidates, geometry.map_rect(F.col("transform"), own))
     cell = lambda c: F.floor(F.col(c) / CELL).alias(f"c{c}")
     cells = F.array(F.struct(cell("x"), cell("y")), F.struct(*[F.lit(EVERYWHERE).cast("long").alias(c) for c in ("cx", "cy")]))
     asked = probes.select("probe_id", "page_id", "x", "y", F.inline(cells))
@@ -91,8 +94,7 @@ def overlaps(elements: DataFrame) -> DataFrame:
     share reports the pair, so each comes once.
     """
     rows = elements.select("page_id", "element_id", "bounds")
-    x, y, right, top = F.col("bounds.x"), F.col("bounds.y"), geometry.right(F.col("bounds")), geometry.top(F.col("bounds"))
-    cells = in_cells(rows, F.least(x, right), F.greatest(x, right), F.least(y, top), F.greatest(y, top))
+    cells = in_cells(rows, F.col("bounds"))
     dealt, large = cells.filter(F.col("cx") != EVERYWHERE), cells.filter(F.col("cx") == EVERYWHERE).select(*rows.columns)
     named = lambda df, i, r, *more: df.select("page_id", F.col("element_id").alias(i), F.col("bounds").alias(r), *more)
     touch = geometry.intersects(F.col("p"), F.col("q"))
