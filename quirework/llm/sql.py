@@ -127,6 +127,42 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * start + size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
 """
 
+OP11_PREFIX_TRIE = r"""
+WITH ids AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+), said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(CAST(strlen(r) AS VARCHAR) || ':' || r || t)) - 1 AS pos, r, t FROM said
+), rebuilt AS (
+  SELECT i.c, 0 AS own, pos, r, t FROM ids i JOIN turns ON turns.c = i.base WHERE pos < h
+  UNION ALL SELECT i.c, 1, pos, r, t FROM ids i JOIN turns ON turns.c = i.c WHERE pos >= h
+), prefixes AS (
+  SELECT c, row_number() OVER w AS d, list({'r': r, 't': t}) OVER w AS key, strlen(t) AS bytes FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, pos)
+), lengths AS (
+  SELECT c, count(d) AS len FROM ids LEFT JOIN prefixes USING (c) GROUP BY c
+), members AS (
+  SELECT c, d, key, bytes FROM prefixes UNION ALL SELECT c, 0, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]), 0 FROM ids
+), nodes AS (
+  SELECT d, key, min(c) AS rep, count(*) AS n, max(bytes) AS bytes, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = len) AS ends FROM members JOIN lengths USING (c) GROUP BY d, key
+), places AS (
+  SELECT c, m.d, rep FROM members m JOIN nodes n ON m.d = n.d AND m.key = n.key
+), parents AS (
+  SELECT n.rep, n.d, p.rep AS parent FROM nodes n LEFT JOIN places p ON p.c = n.rep AND p.d = n.d - 1
+), children AS (
+  SELECT parent AS rep, d - 1 AS d, count(*) AS n_children FROM parents WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT p.rep, p.d, sum((n.n - 1) * n.bytes) AS saved, count(*) FILTER (WHERE c.rep IS NULL) AS leaves
+  FROM nodes n JOIN places p ON p.c = n.rep AND p.d <= n.d LEFT JOIN children c ON c.rep = n.rep AND c.d = n.d GROUP BY p.rep, p.d
+)
+SELECT rep AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN parents USING (rep, d) JOIN below USING (rep, d) LEFT JOIN children USING (rep, d)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op3_quote_linking": OP3_QUOTE_LINKING, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING}
+    return {
+        "op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op3_quote_linking": OP3_QUOTE_LINKING, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING, "op11_prefix_trie": OP11_PREFIX_TRIE,
+    }
