@@ -161,8 +161,33 @@ SELECT rep AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, coale
 FROM nodes JOIN parents USING (rep, d) JOIN below USING (rep, d) LEFT JOIN children USING (rep, d)
 """
 
+OP12_SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS m, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), counted AS (
+  SELECT m, lang, source, term, count(*) AS n FROM (SELECT m, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM counted GROUP BY lang, term HAVING count(*) >= 30
+), grouped AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(sum(n), 0) AS c FROM grouped g JOIN kept k ON k.lang = g.lang LEFT JOIN counted d ON d.lang = g.lang AND d.source = g.source AND d.term = k.term GROUP BY ALL
+), own AS (
+  SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w) AS p FROM dense WINDOW w AS (PARTITION BY lang, source)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w) AS q FROM (SELECT lang, term, sum(c) AS c FROM dense GROUP BY ALL) WINDOW w AS (PARTITION BY lang)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM own JOIN whole USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank FROM found
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op3_quote_linking": OP3_QUOTE_LINKING, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING, "op11_prefix_trie": OP11_PREFIX_TRIE,
+        "op12_source_divergence": OP12_SOURCE_DIVERGENCE,
     }
