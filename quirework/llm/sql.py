@@ -185,9 +185,18 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 50
 """
 
+OP13_WARC = r"""
+WITH numbered AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER w AS place, first(page_id) OVER w AS first_id FROM numbered WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 100 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to FROM ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op3_quote_linking": OP3_QUOTE_LINKING, "op9_ngram_join": OP9_NGRAM_JOIN, "op10_mixing": OP10_MIXING, "op11_prefix_trie": OP11_PREFIX_TRIE,
-        "op12_source_divergence": OP12_SOURCE_DIVERGENCE,
+        "op12_source_divergence": OP12_SOURCE_DIVERGENCE, "op13_warc": OP13_WARC,
     }
