@@ -65,6 +65,25 @@ ELEMENTS_SQL = """doc_element AS (
   FROM orders
 )"""
 
+
+def nested_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements in one another: each but every 16th of a page is held by one of the three before it, in a cell of it if that is a table."""
+    place = Window.partitionBy("page_id").orderBy("ord")
+    held = lambda c: F.when(F.col("ord") % 16 != 0, F.coalesce(*[F.when(F.col("element_id") % 3 == i, F.lag(c, i + 1).over(place)) for i in range(3)]))
+    k = F.col("element_id")
+    rows = elements(spark, sf_dir).withColumns({"parent_id": held("element_id"), "parent_kind": held("kind")})
+    cell = F.when(F.col("parent_kind") == "table", F.struct((100.0 + k % 3 * 100).alias("x"), (100.0 + k % 4 * 30).alias("y")))
+    return rows.withColumn("cell", cell).drop("parent_kind")
+
+
+NESTED_SQL = """nested_el AS (
+  SELECT *, CASE WHEN parent_kind = 'table' THEN 100.0 + element_id % 3 * 100 ELSE 0 END::DOUBLE AS cell_x, CASE WHEN parent_kind = 'table' THEN 100.0 + element_id % 4 * 30 ELSE 0 END::DOUBLE AS cell_y FROM (
+    SELECT *, CASE WHEN ord % 16 <> 0 THEN CASE element_id % 3 WHEN 0 THEN lag(element_id, 1) OVER w WHEN 1 THEN lag(element_id, 2) OVER w ELSE lag(element_id, 3) OVER w END END AS parent_id,
+      CASE WHEN ord % 16 <> 0 THEN CASE element_id % 3 WHEN 0 THEN lag(kind, 1) OVER w WHEN 1 THEN lag(kind, 2) OVER w ELSE lag(kind, 3) OVER w END END AS parent_kind
+    FROM doc_element WINDOW w AS (PARTITION BY page_id ORDER BY ord)
+  )
+)"""
+
 #: What an event does to its user's document.
 OPS = {"view": "move", "click": "move", "signup": "insert", "purchase": "text", "error": "undo"}
 
