@@ -49,7 +49,7 @@ from . import tokens
 from .store import Scratch
 
 #: Bytes of text counted at once, bytes of terms in one automaton, sources of a tile, postings compared in one task (about).
-SLICE, BLOCK, TILE, TASK = 4 << 20, 4 << 20, 256, 250_000
+SLICE, BLOCK, TILE, TASK = 4 << 20, 16 << 20, 256, 250_000
 UNIT, PRIOR = 1_000_000_000, 5
 _FREQUENCY = "lang string, term string, docs long"
 _COUNT = "lang string, source string, term string, count long"
