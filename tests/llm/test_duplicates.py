@@ -73,6 +73,33 @@ def test_many_buckets_and_small_blocks_change_nothing(spark, rows, monkeypatch):
     assert sorted(map(str, substring_dedup.deduplicate(docs_of(spark, rows), batches=7).collect())) == plain
 
 
+def test_more_buckets_than_a_table_of_spark_may_have(spark, rows, monkeypatch):
+    """131,072 buckets, on 8 shelves, and blocks cut into 64 pieces: the removed windows are the same, and history isn't shuffled."""
+    monkeypatch.setattr(substring_dedup, "FAN", 64)
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string").dropDuplicates(["doc_id"])
+    found = []
+    for buckets in (1, 1 << 17):
+        index = substring_dedup.FingerprintIndex(spark, buckets, shelves=8)
+        gone = [index.by_document(index.ingest(docs.filter(f"doc_id {x} 1000")), 1 << 20).collect() for x in ("<", ">=")]
+        one = [(r["doc_id"], sorted(tokens.unpack(r["pos"], r["n"]).tolist())) for rows in gone for r in rows]
+        found.append(sorted(one))
+        if buckets > 1:
+            index.compact()
+            plan = index._run(index.runs[0][1]).groupBy("shelf", "bucket").applyInArrow(substring_dedup._compact, substring_dedup.PIECE)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and index.shelves == 8
+        index.drop()
+    assert found[0] == found[1] and found[0]
+
+
+def test_rows_sent_do_not_grow_with_buckets(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN", 16)
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string").coalesce(1)
+    n = [docs.mapInArrow(substring_dedup._pieces(13, min(b, 16), min(b, 16), 2), substring_dedup.PIECE).filter("kind = 0").count() for b in (16, 1 << 18)]
+    assert n[0] == n[1] <= 16
+    packed = [substring_dedup.FingerprintIndex(spark, b, shelves=4).fingerprinted(docs, 1).filter("kind = 0").agg({"n": "sum"}).first()[0] for b in (1, 1 << 10)]
+    assert packed[0] == packed[1]
+
+
 def test_an_index_is_opened_again(spark, tmp_path):
     rng = random.Random(3)
     shared = [" ".join(f"s{k}w{j}" for j in range(20)) for k in range(4)]
@@ -85,10 +112,11 @@ def test_an_index_is_opened_again(spark, tmp_path):
         if i in (2, 3):
             index = substring_dedup.FingerprintIndex.open(spark, path)
         if len(index.runs) > 1:
-            both = index._run(index.runs[-1][1]).union(index._run(index.runs[-2][1])).groupBy("bucket")
+            both = index._run(index.runs[-1][1]).union(index._run(index.runs[-2][1])).groupBy("shelf", "bucket")
             assert "Exchange" not in both.applyInArrow(substring_dedup._compact, substring_dedup.PIECE)._jdf.queryExecution().toString()
-            plan = spark.createDataFrame([], substring_dedup.PIECE).groupBy("bucket").cogroup(both).applyInArrow(substring_dedup._merge(4, 1), substring_dedup.PIECE)
-            assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+            with substring_dedup._by_shelf(spark):
+                plan = spark.createDataFrame([], substring_dedup.PIECE).groupBy("shelf", "bucket").cogroup(both).applyInArrow(substring_dedup._merge(1), substring_dedup.PIECE)
+                assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
         got |= found(index.ingest(batch(low, low + 8)))
         assert len({level for level, _ in index.runs}) >= len(index.runs) - 1
     first, want = {}, set()
