@@ -3,7 +3,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from quirework.plans import document, geometry, scene  # noqa: F401
+from quirework.plans import document, geometry, lines, scene  # noqa: F401
 from quirework.plans.registry import QUERIES, SQL
 
 
