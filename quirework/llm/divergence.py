@@ -17,8 +17,9 @@ place among the other's constants, for a term in both pair by pair of one
 term's postings. The work for it is dealt out by a hash of the term and by
 tiles of 256 sources.
 
-Texts are read in slices of about 4 MB, and counts are summed in each slice, so a
-hot source or a very common term is one row a slice. The kept terms are cut into
+Texts are read in slices of about 4 MB, and counts are summed within a task, so a
+hot source or a very common term is one number a task; occurrences travel as packed
+arrays of up to 4096 terms of a group. The kept terms are cut into
 blocks of at most BLOCK bytes by a hash (a block with a single longer term is
 larger); one block at a time is collected and sent to all tasks, which then scan
 all texts. All else stays distributed.
@@ -32,7 +33,6 @@ share an id are documents of their own.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import itemgetter
@@ -50,9 +50,11 @@ from .store import Scratch
 
 #: Bytes of text counted at once, bytes of terms in one automaton, sources of a tile, postings compared in one task (about).
 SLICE, BLOCK, TILE, TASK = 4 << 20, 16 << 20, 256, 250_000
+#: Bytes of counts that a task holds before it sends them, terms whose counts travel together, and tasks whose counts of these are added up first.
+HELD, PART, FIRST = 8 << 20, 4096, 4096
 UNIT, PRIOR = 1_000_000_000, 5
 _FREQUENCY = "lang string, term string, docs long"
-_COUNT = "lang string, source string, term string, count long"
+_PACKED = "lang string, source string, part int, n int, ids binary, counts binary"
 _SHARE = "lang string, a int, b int, value long"
 #: A-Z as a-z, every other ASCII byte but letters as a space.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -75,22 +77,36 @@ def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found.dictionary, words.doc, found.indices.to_numpy()
 
 
-def _document_frequencies(size: int):
+def _document_frequencies(size: int, held: int):
+    def one(part: pa.RecordBatch) -> pa.Table:
+        distinct, doc, term = _terms(part.column("text"))
+        langs = part.column("lang").dictionary_encode()
+        n = max(1, len(distinct))
+        pairs = np.unique(doc * n + term)
+        found, docs = np.unique(langs.indices.to_numpy()[pairs // n].astype(np.int64) * n + pairs % n, return_counts=True)
+        return pa.table({"lang": langs.dictionary.take(pa.array(found // n)), "term": pc.cast(distinct.take(pa.array(found % n)), pa.string()), "docs": pa.array(docs, pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[pa.Table] = []
         for part in (part for batch in batches for part in tokens.slices(batch, "text", size)):
-            distinct, doc, term = _terms(part.column("text"))
-            langs = part.column("lang").dictionary_encode()
-            n = max(1, len(distinct))
-            pairs = np.unique(doc * n + term)
-            held, docs = np.unique(langs.indices.to_numpy()[pairs // n].astype(np.int64) * n + pairs % n, return_counts=True)
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(held // n)), pc.cast(distinct.take(pa.array(held % n)), pa.string()), pa.array(docs, pa.int64())], ["lang", "term", "docs"])
+            now.append(one(part))
+            if sum(t.nbytes for t in now) > held:
+                now = [_summed(now)]
+                if now[0].nbytes > held // 2:
+                    yield from now.pop().to_batches()
+        if now:
+            yield from _summed(now).to_batches()
 
     return count
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "term"]).aggregate([("docs", "sum")]).rename_columns({"docs_sum": "docs"}).select(["lang", "term", "docs"])
+
+
 def kept_terms(texts: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term) of at least min_docs documents of the language."""
-    return texts.select("text", "lang").mapInArrow(_document_frequencies(SLICE), _FREQUENCY).groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
+    return texts.select("text", "lang").mapInArrow(_document_frequencies(SLICE, HELD), _FREQUENCY).groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
 
 
 @lru_cache(maxsize=1)
@@ -106,28 +122,77 @@ def _automata(block: Broadcast) -> dict[str, tuple[ahocorasick.Automaton, list[s
     return out
 
 
-def _occurrences(block: Broadcast, size: int):
+def _totals(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and the sums of their counts."""
+    i, n = np.concatenate(ids), np.concatenate(counts)
+    order = np.argsort(i, kind="stable")
+    i, n = i[order], n[order]
+    start = np.flatnonzero(np.r_[len(i) > 0, i[1:] != i[:-1]])
+    return i[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def _packed(groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+    """Counts of each group as packed arrays of the terms of one part."""
+    rows = []
+    for (lang, source), found in groups.items():
+        ids, counts = _totals(*map(list, zip(*found, strict=True)))
+        edges = np.r_[np.flatnonzero(np.r_[True, ids[1:] // PART != ids[:-1] // PART]), len(ids)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows.append((lang, source, int(ids[low]) // PART, high - low, tokens.pack_sorted(ids[low:high]), tokens.pack(counts[low:high])))
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "source", "part", "n", "ids", "counts"])
+
+
+def _occurrences(block: Broadcast, size: int, held: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(block)
-        for batch in batches:
-            for part in tokens.slices(batch, "text", size):
-                data, at = tokens.raw(part.column("text"))
-                plain = data.tobytes().translate(_PLAIN)
-                groups: dict[tuple[str, str], list[bytes]] = {}
-                for lang, source, low, high in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if lang in automata and low < high:
-                        groups.setdefault((lang, source), []).append(plain[low:high])
-                rows = []
-                for (lang, source), own in groups.items():
-                    automaton, terms = automata[lang]
-                    found = Counter(map(itemgetter(1), automaton.iter(f" {b' '.join(own).decode('latin-1')} ")))
-                    rows += [(lang, source, terms[i], n) for i, n in found.items()]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "source", "term", "count"])
+        automata, groups, waiting = _automata(block), {}, 0
+        for part in (part for batch in batches for part in tokens.slices(batch, "text", size)):
+            data, at = tokens.raw(part.column("text"))
+            plain = data.tobytes().translate(_PLAIN)
+            texts: dict[tuple[str, str], list[bytes]] = {}
+            for lang, source, low, high in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if lang in automata and low < high:
+                    texts.setdefault((lang, source), []).append(plain[low:high])
+            for (lang, source), own in texts.items():
+                found = np.fromiter(map(itemgetter(1), automata[lang][0].iter(f" {b' '.join(own).decode('latin-1')} ")), np.int32)
+                if len(found):
+                    ids, counts = np.unique(found, return_counts=True)
+                    groups.setdefault((lang, source), []).append((ids, counts.astype(np.int32)))
+                    waiting += 8 * len(ids) + 200
+            if waiting > held:
+                yield _packed(groups)
+                groups, waiting = {}, 0
+        if groups:
+            yield _packed(groups)
 
     return count
 
 
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts of one group and part, summed one by one."""
+    total = np.zeros(PART, np.int64)
+    lang, source, part = (k.as_py() for k in key[:3])
+    for batch in batches:
+        for n, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "counts")), strict=True):
+            total[tokens.unpack_sorted(ids, n).astype(np.int64) - part * PART] += tokens.unpack(counts, n).astype(np.int64)
+    ids = np.flatnonzero(total)
+    one = [(lang, source, part, len(ids), tokens.pack_sorted(ids + part * PART), tokens.pack(total[ids]))]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*one, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "source", "part", "n", "ids", "counts"])
+
+
+def _unpacked(block: Broadcast):
+    """Packed counts as one row a term."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = {lang: pa.array(t, pa.string()) for lang, t in block.value.items()}
+        for batch in batches:
+            for lang, source, n, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n", "ids", "counts")), strict=True):
+                at = pa.array(tokens.unpack_sorted(ids, n).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms[lang].take(at), pa.array(tokens.unpack(counts, n).astype(np.int64))], ["lang", "source", "term", "count"])
+
+    return unpack
+
+
 def _blocks(kept: DataFrame) -> tuple[Column, int]:
     """A block for each term, such that no block has more than BLOCK bytes, and how many there are."""
     size = F.octet_length("term") + F.octet_length("lang") + 16
@@ -153,8 +218,10 @@ def postings(texts: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
             terms.setdefault(lang, []).append(term)
         sent = spark.sparkContext.broadcast(terms)
         found = texts.filter(F.col("lang").isin(*terms)) if terms else texts.limit(0)
-        counted = found.mapInArrow(_occurrences(sent, SLICE), _COUNT).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-        parts.append(scratch.write(counted, f"postings{b}"))
+        # In two steps, so that no task adds up all of a hot source.
+        packed = found.mapInArrow(_occurrences(sent, SLICE, HELD), _PACKED).withColumn("salt", F.floor(F.spark_partition_id() / FIRST))
+        packed = packed.groupBy("lang", "source", "part", "salt").applyInArrow(_added, _PACKED).groupBy("lang", "source", "part").applyInArrow(_added, _PACKED)
+        parts.append(scratch.write(packed.mapInArrow(_unpacked(sent), "lang string, source string, term string, count long"), f"postings{b}"))
         sent.unpersist()
     return reduce(DataFrame.union, parts)
 
