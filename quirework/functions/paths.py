@@ -1,4 +1,10 @@
-"""Vector paths: arrays of commands (type, x, y), folded inside each row."""
+"""Vector paths: arrays of commands (type, x, y, and with curves their control points cx1, cy1, cx2, cy2), taken apart inside each row.
+
+A path is cut into runs at its moves; within a run, each command's edge starts
+where the command before it ends, so edges need no fold and cost what the path
+is long. After ClosePath the run goes on from its start. Commands before the
+first move start at the origin.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +16,24 @@ from .geometry import right, top
 # Fill and line of a new rectangle.
 FILL, LINE, LINE_WIDTH = (0.8, 0.8, 0.9, 1), (0.2, 0.2, 0.6, 1), 1.0
 
+#: Curves whose cubic part is below this turn where their quadratic part does; halvings of a crossing's place.
+FLAT, HALVINGS = 1e-12, 48
+
 
 def command(kind: str, x: Column, y: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
 def stored(path: Column) -> Column:
-    """A path as the tables of documents have it, whose commands hold control points, too."""
-    return F.transform(path, lambda c: F.struct(c["type"].alias("type"), c["x1"].alias("x"), c["y1"].alias("y")))
+    """A path as the tables of documents have it, with its curves."""
+    return F.transform(path, lambda c: F.struct(c["type"].alias("type"), c["x1"].alias("x"), c["y1"].alias("y"), *[c[k].alias(k) for k in ("cx1", "cy1", "cx2", "cy2")]))
+
+
+def curve(kind: str, x: Column, y: Column, cx1: Column, cy1: Column, cx2: Column | None = None, cy2: Column | None = None) -> Column:
+    """A command with control points: MoveTo, LineTo and ClosePath have none, QuadTo the first, CubicTo both."""
+    none = F.lit(None).cast("double")
+    points = [none if c is None else c.cast("double") for c in (cx1, cy1, cx2, cy2)]
+    return F.struct(F.lit(kind).alias("type"), x.cast("double").alias("x"), y.cast("double").alias("y"), *[c.alias(k) for c, k in zip(points, ("cx1", "cy1", "cx2", "cy2"), strict=True)])
 
 
 def rectangle(r: Column) -> Column:
@@ -34,8 +50,9 @@ def new_rectangle(r: Column) -> Column:
 
 
 def replay(path: Column) -> Column:
-    """The path as drawn: a first line without a start is a move; the state after each command is kept."""
-    return F.transform(path, lambda c, i: F.struct(F.when((i == 0) & (c["type"] == "LineTo"), F.lit("MoveTo")).otherwise(c["type"]).alias("type"), c["x"].alias("x"), c["y"].alias("y")))
+    """The path as drawn: a line is a move if neither a line nor a move came before it."""
+    first = F.array_position(F.transform(path, lambda c: c["type"].isin("MoveTo", "LineTo")), True)
+    return F.transform(path, lambda c, i: F.when((i + 1 == first) & (c["type"] == "LineTo"), c.withField("type", F.lit("MoveTo"))).otherwise(c))
 
 
 def points(path: Column) -> Column:
@@ -49,19 +66,127 @@ def bounds(path: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def segments(path: Column) -> Column:
-    """Edges of the filled outline: every subpath is closed to its start."""
+def _runs(path: Column) -> Column:
+    """The path cut before each move."""
     n = F.size(path)
-    starts = F.transform(path, lambda c, i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda s, j: F.when((F.get(path, j)["type"] == "MoveTo") | (j == 0), j).otherwise(s)))
-    def edge(c: Column, i: Column) -> Column:  # noqa: E306
-        start = F.get(path, F.get(starts, i))
-        following = F.get(path, i + 1)
-        ends = (i + 1 >= n) | following["type"].isin("MoveTo", "ClosePath")
-        return F.struct(c["x"].alias("x0"), c["y"].alias("y0"), F.when(ends, start["x"]).otherwise(following["x"]).alias("x1"), F.when(ends, start["y"]).otherwise(following["y"]).alias("y1"))
-    return F.filter(F.transform(path, lambda c, i: F.when(c["type"].isin("MoveTo", "LineTo"), edge(c, i))), lambda e: e.isNotNull())  # noqa: E305
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(path, i - 1)["type"] == "MoveTo")))
+    return F.transform(starts, lambda s, k: F.slice(path, s, F.coalesce(F.get(starts, k + 1), n + 1) - s))
+
+
+def edges(path: Column, curves: bool = True) -> Column:
+    """Edges of the filled outline as cubic pieces (kind, x0, y0 .. x3, y3), a line's control points being its ends; every run is closed to its start. kind: LineTo, QuadTo or CubicTo.
+
+    curves: whether commands have control points; without, curves are passed over.
+    """
+    kinds = ("MoveTo", "LineTo", "ClosePath", *(("QuadTo", "CubicTo") if curves else ()))
+    known = F.filter(path, lambda c: c["type"].isin(*kinds))
+
+    def of_run(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        moved = first["type"] == "MoveTo"
+        origin = F.struct(*[F.when(moved, first[k]).otherwise(F.lit(0.0)).alias(k) for k in "xy"])
+        end = lambda c: F.struct(*[F.when(c["type"] == "ClosePath", origin[k]).otherwise(c[k]).alias(k) for k in "xy"])
+
+        def edge(c: Column, i: Column) -> Column:
+            before = F.get(run, i - 1)
+            p, q = F.struct(*[F.when(i == 0, origin[k]).otherwise(end(before)[k]).alias(k) for k in "xy"]), end(c)
+            return _edge(c, p, q, curves)
+
+        last = F.get(run, F.size(run) - 1)
+        closing = F.filter(F.array(last), lambda c: c["type"] != "ClosePath")
+        lines = F.filter(F.transform(run, edge), lambda e: e["kind"] != "MoveTo")
+        return F.concat(lines, F.transform(closing, lambda c: _edge(c.withField("type", F.lit("LineTo")), end(c), origin, False)))
+
+    return F.flatten(F.transform(_runs(known), of_run))
+
+
+def _edge(c: Column, p: Column, q: Column, curves: bool) -> Column:
+    """The edge of a command from p to q. A quadratic one is raised to a cubic."""
+    kind = F.when(c["type"] == "ClosePath", F.lit("LineTo")).otherwise(c["type"])
+    out = [kind.alias("kind")]
+    control = {}
+    for k in "xy":
+        one, two = p[k], q[k]
+        if curves:
+            quad = c["type"] == "QuadTo"
+            one = F.when(quad, (p[k] + 2 * c[f"c{k}1"]) / 3).when(c["type"] == "CubicTo", c[f"c{k}1"]).otherwise(one)
+            two = F.when(quad, (q[k] + 2 * c[f"c{k}1"]) / 3).when(c["type"] == "CubicTo", c[f"c{k}2"]).otherwise(two)
+        control |= {f"{k}0": p[k], f"{k}1": one, f"{k}2": two, f"{k}3": q[k]}
+    return F.struct(*out, *[control[f"{k}{i}"].alias(f"{k}{i}") for i in range(4) for k in "xy"])
+
+
+def at(e: Column, k: str, t: Column) -> Column:
+    """A coordinate of a cubic piece."""
+    u = 1 - t
+    return u * u * u * e[f"{k}0"] + 3 * u * u * t * e[f"{k}1"] + 3 * u * t * t * e[f"{k}2"] + t * t * t * e[f"{k}3"]
+
+
+def turns(e: Column, k: str) -> Column:
+    """Where within (0, 1) a coordinate of a piece turns: the roots of its derivative, ascending."""
+    a, b, c = e[f"{k}3"] - 3 * e[f"{k}2"] + 3 * e[f"{k}1"] - e[f"{k}0"], 2 * (e[f"{k}0"] - 2 * e[f"{k}1"] + e[f"{k}2"]), e[f"{k}1"] - e[f"{k}0"]
+    root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
+    flat = F.abs(a) < FLAT
+    first = F.when(flat, F.try_divide(-c, b)).when(b * b - 4 * a * c >= 0, F.try_divide(-b - root, 2 * a))
+    second = F.when(~flat & (b * b - 4 * a * c >= 0), F.try_divide(-b + root, 2 * a))
+    found = F.filter(F.array(first, second), lambda t: t.isNotNull() & (t > 0) & (t < 1))
+    return F.when(e["kind"] == "LineTo", F.array().cast("array<double>")).otherwise(F.array_sort(found))
+
+
+def curve_bounds(path: Column) -> Column:
+    """(x0, y0, x1, y1) of the drawn path: of all ends, and of curves where they turn. Nulls for a path that draws nothing."""
+    pieces = edges(path)
+    found = {}
+    for k in "xy":
+        values = F.flatten(F.transform(pieces, lambda e, k=k: F.concat(F.array(e[f"{k}0"], e[f"{k}3"]), F.transform(turns(e, k), lambda t: at(e, k, t)))))
+        found |= {f"{k}0": F.array_min(values), f"{k}1": F.array_max(values)}
+    return F.struct(*[found[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _crossed(pieces: Column, x: Column, y: Column) -> Column:
+    """+1 for each upward and -1 for each downward crossing of the ray to the right of a point. Curves are cut where they turn in y, and each part's crossing is found by halving."""
+
+    def of(e: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(0.0)), turns(e, "y"), F.array(F.lit(1.0)))
+        value = lambda t: F.when(t == 0, e["y0"]).when(t == 1, e["y3"]).otherwise(at(e, "y", t))
+
+        def part(low: Column, i: Column) -> Column:
+            high = F.get(cuts, i + 1)
+            y0, y1 = value(low), value(high)
+            up = y1 > y0
+            halved = F.aggregate(
+                F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(low.alias("l"), high.alias("h")),
+                lambda s, _: F.when((at(e, "y", (s["l"] + s["h"]) / 2) <= y) == up, F.struct(((s["l"] + s["h"]) / 2).alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), ((s["l"] + s["h"]) / 2).alias("h"))),
+                lambda s: (s["l"] + s["h"]) / 2,
+            )
+            right_of = F.when(e["kind"] == "LineTo", x < e["x0"] + F.try_divide((y - e["y0"]) * (e["x3"] - e["x0"]), e["y3"] - e["y0"])).otherwise(x < at(e, "x", halved))
+            return F.when(((y0 <= y) != (y1 <= y)) & right_of, F.when(up, 1).otherwise(-1)).otherwise(0)
+
+        return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), part)
+
+    return F.filter(F.flatten(F.transform(pieces, of)), lambda n: n != 0)
+
+
+def winding(path: Column, x: Column, y: Column) -> Column:
+    """How often the outline goes around a point; 0 outside."""
+    return F.aggregate(_crossed(edges(path), x, y), F.lit(0), lambda s, n: s + n)
+
+
+def filled(path: Column, x: Column, y: Column, rule: Column) -> Column:
+    """Whether a point is inside by a path's rule, EvenOdd or NonZero. A point on a lower or left edge is inside, on an upper or right one outside."""
+    crossed = _crossed(edges(path), x, y)
+    return F.when(rule == "EvenOdd", F.size(crossed) % 2 == 1).otherwise(F.aggregate(crossed, F.lit(0), lambda s, n: s + n) != 0)
+
+
+def segments(path: Column) -> Column:
+    """Straight edges (x0, y0, x1, y1) of the filled outline of a path without curves."""
+    return F.transform(edges(path, curves=False), lambda e: F.struct(e["x0"].alias("x0"), e["y0"].alias("y0"), e["x3"].alias("x1"), e["y3"].alias("y1")))
+
+
+def inside(path: Column, x: Column, y: Column, curves: bool = False) -> Column:
+    """Odd-even rule: edges crossed by the ray to the right. A point on a lower or left edge is inside, on an upper or right one outside. curves: whether commands have control points; without, curves are passed over."""
+    return F.size(_crossed(edges(path), x, y) if curves else _straight(segments(path), x, y)) % 2 == 1
 
 
-def inside(path: Column, x: Column, y: Column) -> Column:
-    """Odd-even rule: edges crossed by the ray to the right. A point on a lower or left edge is inside, on an upper or right one outside. Curves are ignored."""
+def _straight(lines: Column, x: Column, y: Column) -> Column:
     crossed = lambda e: ((e["y0"] <= y) != (e["y1"] <= y)) & (x < e["x0"] + F.try_divide((y - e["y0"]) * (e["x1"] - e["x0"]), e["y1"] - e["y0"]))
-    return F.size(F.filter(segments(path), lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1
+    return F.filter(lines, lambda e: F.coalesce(crossed(e), F.lit(False)))

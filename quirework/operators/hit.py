@@ -43,13 +43,13 @@ def in_cells(rows: DataFrame, box: Column) -> DataFrame:
     return b.drop("__x0", "__x1", "__y0", "__y1")
 
 
-def hits(x: Column, y: Column, bounds: Column, transform: Column, clip: Column | None = None, anchor: str = "local") -> Column:
-    """Whether an element is hit; never through a singular matrix, nor outside a clip path."""
+def hits(x: Column, y: Column, bounds: Column, transform: Column, clip: Column | None = None, anchor: str = "local", curves: bool = False) -> Column:
+    """Whether an element is hit; never through a singular matrix, nor outside a clip path. curves: whether the clip's commands have control points."""
     local = geometry.unmap_point(transform, x, y)
     box = bounds if anchor == "bounds" else geometry.rect(F.lit(0), F.lit(0), bounds["width"], bounds["height"])
     hit = geometry.contains(box, local["x"], local["y"])
     if clip is not None:
-        hit = hit & (clip.isNull() | paths.inside(clip, local["x"], local["y"]))
+        hit = hit & (clip.isNull() | paths.inside(clip, local["x"], local["y"], curves))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -66,10 +66,11 @@ def topmost(probes: DataFrame, elements: DataFrame, anchor: str = "local") -> Da
     cell = lambda c: F.floor(F.col(c) / CELL).alias(f"c{c}")
     cells = F.array(F.struct(cell("x"), cell("y")), F.struct(*[F.lit(EVERYWHERE).cast("long").alias(c) for c in ("cx", "cy")]))
     asked = probes.select("probe_id", "page_id", "x", "y", F.inline(cells))
-    path = None
+    path, curves = None, False
     if clip:
-        path = paths.stored(F.col("clip_path")) if "x1" in elements.schema["clip_path"].dataType.elementType.names else F.col("clip_path")
-    near = hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), path, anchor)
+        curves = "x1" in elements.schema["clip_path"].dataType.elementType.names
+        path = paths.stored(F.col("clip_path")) if curves else F.col("clip_path")
+    near = hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), path, anchor, curves)
     met = asked.join(dealt, ["page_id", "cx", "cy"]).filter(near)
     best = met.groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("element_id"))
     return probes.join(best, "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")

@@ -151,6 +151,18 @@ def _lines(columns: list[str], text_col: str, most: int, indent: int, size: floa
     return run
 
 
+def of_text(text: str | None, width: float, size: float, line_height: float = 1.2) -> Iterator[tuple]:
+    """The lines of one text, set to the left, in LINES' columns."""
+    plain = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    number = 0
+    for pieces in _pieces([plain], SLICE):
+        for _, paragraphs, chars, words in pieces:
+            points = np.array([*map(ord, words), 10], np.int64)
+            for paragraph, first, n, wide in zip(*(a.tolist() for a in broken(points, np.zeros(len(points), np.int64), round(width / size * 1000), 0)[1:5]), strict=True):
+                yield number, paragraphs + paragraph, chars + first, n, wide, 0.0, number * (line_height * size)
+                number += 1
+
+
 def laid_out(texts: DataFrame, width: float, text_col: str = "text", size: float = 12.0, line_height: float = 1.2, first_line_indent: float = 0.0, left_indent: float = 0.0, right_indent: float = 0.0, alignment: int = 0) -> DataFrame:
     """One row for each line of each text: its other columns, then those of LINES.
 

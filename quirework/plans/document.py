@@ -268,9 +268,10 @@ WITH RECURSIVE fold AS (
 
 @query(_FOLD + "SELECT doc_id, len(done) AS n_done, len(undone) AS n_undone, CAST(list_sum(done) AS BIGINT) AS done_sum FROM stacks")
 def doc_undo_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = history.live(adapters.commands(spark, sf_dir))
-    total = F.aggregate("done", F.lit(0).cast("long"), lambda s, x: s + x)
-    return live.select("doc_id", F.size("done").cast("long").alias("n_done"), F.size("undone").cast("long").alias("n_undone"), F.when(F.size("done") > 0, total).alias("done_sum"))
+    log = adapters.commands(spark, sf_dir)
+    stack = history.on_stack(log).groupBy("doc_id").agg(F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_undone"), F.sum(F.when(F.col("done"), F.col("seq"))).alias("done_sum"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return log.select("doc_id").distinct().join(stack, "doc_id", "left").select("doc_id", zero("n_done"), zero("n_undone"), "done_sum")
 
 
 @query(_FOLD + """

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, geometry, paths
-from ..operators import hit, layout
+from ..operators import hit, layout, spatial
 from ..sources import adapters
+from ..sources.scratch import new_folder
 from .registry import query
 
 
@@ -160,6 +161,14 @@ def doc_topmost_hit_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.topmost(_probes(spark, sf_dir), adapters.elements(spark, sf_dir), anchor="bounds")
 
 
+@query(_TOPMOST.format(local=_LOCAL.format(x0="0", x1="w", y0="0", y1="h")))
+def doc_indexed_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element under each probe, by a spatial index that is written first."""
+    index = new_folder(spark, "spatial")
+    spatial.write(adapters.elements(spark, sf_dir), index)
+    return spatial.topmost(spark, index, _probes(spark, sf_dir))
+
+
 @query("""
 WITH point AS (SELECT doc_id * 40 + k AS probe_id, doc_id, zoom, CAST(k * 16 AS DOUBLE) AS px, CAST(k * 137 AS DOUBLE) AS py0, CAST(trunc(k * 137 / 792.0) AS BIGINT) AS page_idx FROM viewport, range(40) t(k)),
 placed AS (SELECT point.*, page_id, py0 - page_idx * (height + 20 / zoom) AS py FROM point LEFT JOIN doc_page USING (doc_id, page_idx)),
