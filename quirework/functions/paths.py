@@ -8,6 +8,8 @@ first move start at the origin.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,11 +68,15 @@ def bounds(path: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _runs(path: Column) -> Column:
     """The path cut before each move."""
-    n = F.size(path)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(path, i - 1)["type"] == "MoveTo")))
-    return F.transform(starts, lambda s, k: F.slice(path, s, F.coalesce(F.get(starts, k + 1), n + 1) - s))
+    starts = F.filter(F.transform(path, lambda c, i: F.when((i == 0) | (c["type"] == "MoveTo"), i + 1)), lambda i: i.isNotNull())
+    return named(starts, lambda s: F.transform(s, lambda a, k: F.slice(path, a, F.coalesce(F.get(s, k + 1), F.size(path) + 1) - a)))
 
 
 def edges(path: Column, curves: bool = True) -> Column:
@@ -81,23 +87,22 @@ def edges(path: Column, curves: bool = True) -> Column:
     kinds = ("MoveTo", "LineTo", "ClosePath", *(("QuadTo", "CubicTo") if curves else ()))
     known = F.filter(path, lambda c: c["type"].isin(*kinds))
 
+    ended = lambda c, origin: F.when(c["type"] == "ClosePath", origin).otherwise(F.struct(c["x"].alias("x"), c["y"].alias("y")))
+
     def of_run(run: Column) -> Column:
         first = F.get(run, F.lit(0))
         moved = first["type"] == "MoveTo"
-        origin = F.struct(*[F.when(moved, first[k]).otherwise(F.lit(0.0)).alias(k) for k in "xy"])
-        end = lambda c: F.struct(*[F.when(c["type"] == "ClosePath", origin[k]).otherwise(c[k]).alias(k) for k in "xy"])
+        return named(F.struct(*[F.when(moved, first[k]).otherwise(F.lit(0.0)).alias(k) for k in "xy"]), lambda origin: from_origin(run, origin))
 
-        def edge(c: Column, i: Column) -> Column:
-            before = F.get(run, i - 1)
-            p, q = F.struct(*[F.when(i == 0, origin[k]).otherwise(end(before)[k]).alias(k) for k in "xy"]), end(c)
-            return _edge(c, p, q, curves)
+    def from_origin(run: Column, origin: Column) -> Column:
+        ends = F.concat(F.array(origin), F.transform(run, lambda c: ended(c, origin)))
+        return named(ends, lambda at: F.filter(F.concat(F.transform(run, lambda c, i: _edge(c, F.get(at, i), F.get(at, i + 1), curves)), closing(run, at, origin)), lambda e: e["kind"] != "MoveTo"))
 
-        last = F.get(run, F.size(run) - 1)
-        closing = F.filter(F.array(last), lambda c: c["type"] != "ClosePath")
-        lines = F.filter(F.transform(run, edge), lambda e: e["kind"] != "MoveTo")
-        return F.concat(lines, F.transform(closing, lambda c: _edge(c.withField("type", F.lit("LineTo")), end(c), origin, False)))
+    def closing(run: Column, at: Column, origin: Column) -> Column:
+        last = F.filter(F.slice(run, -1, 1), lambda c: c["type"] != "ClosePath")
+        return F.transform(last, lambda c: _edge(c.withField("type", F.lit("LineTo")), F.get(at, F.size(at) - 1), origin, False))
 
-    return F.flatten(F.transform(_runs(known), of_run))
+    return F.flatten(named(known, lambda p: F.transform(_runs(p), of_run)))
 
 
 def _edge(c: Column, p: Column, q: Column, curves: bool) -> Column:
@@ -124,44 +129,49 @@ def at(e: Column, k: str, t: Column) -> Column:
 def turns(e: Column, k: str) -> Column:
     """Where within (0, 1) a coordinate of a piece turns: the roots of its derivative, ascending."""
     a, b, c = e[f"{k}3"] - 3 * e[f"{k}2"] + 3 * e[f"{k}1"] - e[f"{k}0"], 2 * (e[f"{k}0"] - 2 * e[f"{k}1"] + e[f"{k}2"]), e[f"{k}1"] - e[f"{k}0"]
-    root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
-    flat = F.abs(a) < FLAT
-    first = F.when(flat, F.try_divide(-c, b)).when(b * b - 4 * a * c >= 0, F.try_divide(-b - root, 2 * a))
-    second = F.when(~flat & (b * b - 4 * a * c >= 0), F.try_divide(-b + root, 2 * a))
-    found = F.filter(F.array(first, second), lambda t: t.isNotNull() & (t > 0) & (t < 1))
-    return F.when(e["kind"] == "LineTo", F.array().cast("array<double>")).otherwise(F.array_sort(found))
+
+    def roots(s: Column) -> Column:
+        flat, root = F.abs(s["a"]) < FLAT, F.sqrt(F.greatest(s["d"], F.lit(0.0)))
+        first = F.when(flat, F.try_divide(-s["c"], s["b"])).when(s["d"] >= 0, F.try_divide(-s["b"] - root, 2 * s["a"]))
+        second = F.when(~flat & (s["d"] >= 0), F.try_divide(-s["b"] + root, 2 * s["a"]))
+        return F.array_sort(F.filter(F.array(first, second), lambda t: t.isNotNull() & (t > 0) & (t < 1)))
+
+    found = named(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), (b * b - 4 * a * c).alias("d")), roots)
+    return F.when(e["kind"] == "LineTo", F.array().cast("array<double>")).otherwise(found)
 
 
 def curve_bounds(path: Column) -> Column:
     """(x0, y0, x1, y1) of the drawn path: of all ends, and of curves where they turn. Nulls for a path that draws nothing."""
-    pieces = edges(path)
-    found = {}
-    for k in "xy":
-        values = F.flatten(F.transform(pieces, lambda e, k=k: F.concat(F.array(e[f"{k}0"], e[f"{k}3"]), F.transform(turns(e, k), lambda t: at(e, k, t)))))
-        found |= {f"{k}0": F.array_min(values), f"{k}1": F.array_max(values)}
-    return F.struct(*[found[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+    def values(pieces: Column, k: str) -> Column:
+        return F.flatten(F.transform(pieces, lambda e: F.concat(F.array(e[f"{k}0"], e[f"{k}3"]), F.transform(turns(e, k), lambda t: at(e, k, t)))))
+
+    def box(pieces: Column) -> Column:
+        return named(F.struct(*[values(pieces, k).alias(k) for k in "xy"]), lambda v: F.struct(*[f(v[k]).alias(f"{k}{i}") for i, f in enumerate((F.array_min, F.array_max)) for k in "xy"]))
+
+    return named(edges(path), box)
 
 
 def _crossed(pieces: Column, x: Column, y: Column) -> Column:
     """+1 for each upward and -1 for each downward crossing of the ray to the right of a point. Curves are cut where they turn in y, and each part's crossing is found by halving."""
 
     def of(e: Column) -> Column:
-        cuts = F.concat(F.array(F.lit(0.0)), turns(e, "y"), F.array(F.lit(1.0)))
+        return named(F.concat(F.array(F.lit(0.0)), turns(e, "y"), F.array(F.lit(1.0))), lambda cuts: F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda low, i: part(e, low, F.get(cuts, i + 1))))
+
+    def part(e: Column, low: Column, high: Column) -> Column:
         value = lambda t: F.when(t == 0, e["y0"]).when(t == 1, e["y3"]).otherwise(at(e, "y", t))
+        bounds = F.struct(low.alias("l"), high.alias("h"), value(low).alias("y0"), value(high).alias("y1"))
+        return named(bounds, lambda b: F.when(((b["y0"] <= y) != (b["y1"] <= y)) & right_of(e, b), F.when(b["y1"] > b["y0"], 1).otherwise(-1)).otherwise(0))
+
+    def right_of(e: Column, b: Column) -> Column:
+        straight = x < e["x0"] + F.try_divide((y - e["y0"]) * (e["x3"] - e["x0"]), e["y3"] - e["y0"])
+        half = lambda s: (s["l"] + s["h"]) / 2
+        start = F.struct(b["l"].alias("l"), b["h"].alias("h"))
 
-        def part(low: Column, i: Column) -> Column:
-            high = F.get(cuts, i + 1)
-            y0, y1 = value(low), value(high)
-            up = y1 > y0
-            halved = F.aggregate(
-                F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(low.alias("l"), high.alias("h")),
-                lambda s, _: F.when((at(e, "y", (s["l"] + s["h"]) / 2) <= y) == up, F.struct(((s["l"] + s["h"]) / 2).alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), ((s["l"] + s["h"]) / 2).alias("h"))),
-                lambda s: (s["l"] + s["h"]) / 2,
-            )
-            right_of = F.when(e["kind"] == "LineTo", x < e["x0"] + F.try_divide((y - e["y0"]) * (e["x3"] - e["x0"]), e["y3"] - e["y0"])).otherwise(x < at(e, "x", halved))
-            return F.when(((y0 <= y) != (y1 <= y)) & right_of, F.when(up, 1).otherwise(-1)).otherwise(0)
+        def step(s: Column, _: Column) -> Column:
+            return named(half(s), lambda t: F.when((at(e, "y", t) <= y) == (b["y1"] > b["y0"]), F.struct(t.alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), t.alias("h"))))
 
-        return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), part)
+        halved = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, half)
+        return F.when(e["kind"] == "LineTo", straight).otherwise(named(halved, lambda t: x < at(e, "x", t)))
 
     return F.filter(F.flatten(F.transform(pieces, of)), lambda n: n != 0)
 
@@ -173,8 +183,8 @@ def winding(path: Column, x: Column, y: Column) -> Column:
 
 def filled(path: Column, x: Column, y: Column, rule: Column) -> Column:
     """Whether a point is inside by a path's rule, EvenOdd or NonZero. A point on a lower or left edge is inside, on an upper or right one outside."""
-    crossed = _crossed(edges(path), x, y)
-    return F.when(rule == "EvenOdd", F.size(crossed) % 2 == 1).otherwise(F.aggregate(crossed, F.lit(0), lambda s, n: s + n) != 0)
+    total = lambda crossed: F.aggregate(crossed, F.lit(0), lambda s, n: s + n)
+    return named(_crossed(edges(path), x, y), lambda crossed: F.when(rule == "EvenOdd", F.size(crossed) % 2 == 1).otherwise(total(crossed) != 0))
 
 
 def segments(path: Column) -> Column:
