@@ -9,9 +9,13 @@ the same detectors find in the rewritten text is mapped back to the characters
 of the source and added, if a rewrite touched it and no base span of its kind
 already covers it.
 
-To leave clean prose alone, a bare word "at" or a sign set apart only counts
-before a domain with a disguised dot, and the last part of a disguised domain
-must be letters. A transducer is passed over where a text lacks a string that all
+To leave clean prose alone, a bare word "at", a sign set apart or a letter in
+brackets only counts before a domain with a disguised dot; where none of that
+domain's dots is in brackets, the domain must end in a well-known top-level label
+and the name before must not be a function word, a verb of being or one of
+meeting ("see us at", "we met at"). A domain whose last dot is a bare word must end
+in such a label in any case, and the last part of every disguised domain must be
+letters. A transducer is passed over where a text lacks a string that all
 its matches hold; this changes no result.
 Patterns run in linear time: no start is tried inside a run that failed.
 Texts are handled one by one, whole; nothing is gathered.
@@ -65,6 +69,16 @@ DIGIT_WORDS = {
 # Character references and percent codes of the signs that identifiers need.
 REFERENCES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_", "lpar": "(", "rpar": ")", "num": "#", "nbsp": " "}
 PERCENT = {"40": "@", "2e": ".", "2b": "+", "2d": "-", "5f": "_", "20": " "}
+# Top-level labels that a domain in plain words may end in; none is a word of English.
+TOP = frozenset("com org net edu gov mil info biz io uk de fr es eu ch nl pl dk fi cz ru jp cn br au ca nz mx ar cl pt gr tr kr tw hk sg za il ie hu ro ua".split())
+# Words that stand before "at" in prose and are nobody's name.
+NO_NAME = frozenset(
+    "i you he she it we they me him her us them myself yourself himself herself itself ourselves themselves who whom which that this these those one ones someone anyone everyone all both each any some none "
+    "a an the and or but if so as not no yes only just even still also again then now there here when where while is am are was were be been being has have had do does did done "
+    "arrive arrived arrives look looked looks looking meet meets met meeting see sees saw seen visit visited stay stayed stays live lives lived work works worked working start starts started stop stopped "
+    "sit sits sat stand stands stood wait waits waited stare stared shout shouted laugh laughed good best better bad home up down in on off out over back "
+    "er sie es wir ihr mich mir uns euch ihn ihm ist war sind waren il elle nous vous ils elles moi lui est sont yo el ella nosotros ellos me te nos es son".split()
+)
 RAW, LOOKS, BRACKETED, BARE, SPELLED = range(5)
 
 
@@ -87,6 +101,9 @@ _AT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:at|@|arroba|ät)\s*\)|\[\s*(?:at|@
 _DOT = re.compile(r"(?:(?<!\s)\s++)?(?:\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.|punkt|point|punto)\s*>)\s*", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:dot|punkt|point|punto)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+|_)(?:at|arroba)(?:\s+|_)(?=[A-Za-z0-9])", re.I)
+_LETTER_AT = re.compile(r"(?<=[A-Za-z0-9])\s*+(?:\(a\)|\[a\]|\{a\})\s*+(?=[A-Za-z0-9])", re.I)
+_LETTER_DOT = re.compile(r"(?<=[A-Za-z0-9])\s*+(?:\(d\)|\[d\]|\{d\})\s*+(?=[A-Za-z0-9])", re.I)
+_DOTTED = re.compile(r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){2,3}\.[0-9]{1,7}(?![0-9.])")
 _APART_DOT = re.compile(r"(?<=[A-Za-z0-9]) \. (?=[A-Za-z0-9])")
 _APART_AT = re.compile(r"(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9])")
 _REFERENCE = re.compile(rf"&(?:#(\d{{2,3}})|#[xX]([0-9A-Fa-f]{{2}})|({'|'.join(REFERENCES)}));")
@@ -204,6 +221,7 @@ def deobfuscate(text: str, guarded: bool = True) -> Rewritten:
         out = out.replace(_PERCENT, lambda m: PERCENT[m[1].lower()], BRACKETED)
     if not guarded or any(c in out.text for c in "([{<"):
         out = out.replace(_AT, lambda m: "@", BRACKETED).replace(_DOT, lambda m: ".", BRACKETED)
+        out = out.replace(_LETTER_DOT, lambda m: ".", BARE).replace(_LETTER_AT, lambda m: "@", BARE)
     out = out.replace(_SPELLED, lambda m: "".join(DIGIT_WORDS[w[0].lower()] for w in _ONE_WORD.finditer(m[0])), SPELLED)
     low = out.text.lower()
     if not guarded or any(w in low for w in _DOTS):
@@ -216,6 +234,8 @@ def deobfuscate(text: str, guarded: bool = True) -> Rewritten:
             out = out.replace(_APART_AT, lambda m: "@", BARE)
     if not guarded or "plus" in low:
         out = out.replace(_PLUS, lambda m: "+", SPELLED)
+    if not guarded or "." in out.text:
+        out = out.replace(_DOTTED, lambda m: m[0].replace(".", "-"), LOOKS)
     return out.replace(_MISREAD, lambda m: "0" if m[0] in "Oo" else "1", LOOKS)
 
 
@@ -232,10 +252,14 @@ def hidden(text: str, base: list[tuple[int, int, int]], guarded: bool = True) ->
             continue
         if kind == 0:
             at = clear.text.index("@", s, e)
-            if not re.fullmatch("[A-Za-z]{2,}", clear.text[s:e].rpartition(".")[2]):
-                continue
-            if clear.how[at] == BARE and not any(clear.how[i] in (BRACKETED, BARE) for i in range(at, e) if clear.text[i] == "."):
+            dots = [i for i in range(at, e) if clear.text[i] == "."]
+            top = clear.text[dots[-1] + 1 : e]
+            if not re.fullmatch("[A-Za-z]{2,}", top) or clear.how[dots[-1]] == BARE and top.lower() not in TOP:
                 continue
+            if clear.how[at] == BARE:
+                ways = {int(clear.how[i]) for i in dots}
+                if not ways & {BRACKETED, BARE} or BRACKETED not in ways and (top.lower() not in TOP or text[source[0] : int(clear.start[at])].strip().lower() in NO_NAME):
+                    continue
         if not any(k == kind and a <= source[0] and source[2] <= b for a, k, b in base):
             found.append(source)
     return found
