@@ -18,8 +18,8 @@ parts of TRIPLES, whatever they are.
 
 Items are indexed in blocks of BLOCK_BYTES of benchmark text, of which one at a
 time is collected, broadcast, applied and let go. Where there are several, the
-documents are read once, against a table of bits of all items' q-grams (BITS,
-whatever the benchmark's size); only those with a stretch of enough of them are
+documents are read once, against a table of bits of all items' q-grams (of 4 to
+32 Mbit; tables of the tasks are united part by part); only those with a stretch of enough of them are
 written, and each block is applied to these. Documents are handled one by one,
 whole, and nothing of them is gathered.
 
@@ -49,7 +49,9 @@ Q = 8
 CLASSES = ((60, 60, 3), (40, 40, 2), (24, 24, 1))
 BLOCK_BYTES, SLICE_BYTES = 1 << 20, 3 << 20
 #: Size of a table of q-grams, as a power of two; shared q-grams handled at once; windows aligned at once.
-BITS, TRIPLES, ALIGNED = 22, 1 << 20, 1 << 14
+#: Bits of the table of all items' q-grams: at least and at most, as powers of two; between, eight for each byte of the benchmark. It travels to the driver in PARTS parts.
+BITS, MOST_BITS, PARTS = 22, 25, 64
+TRIPLES, ALIGNED = 1 << 20, 1 << 14
 _STEP = tokens.U64(0xD1B54A32D192ED03)
 _PLAIN = np.array([ord(c.lower()) if (c := chr(i)).isalnum() and len(c.lower()) == 1 else i if c.isalnum() else 32 for i in range(1 << 16)], dtype=np.uint32)
 _PLAIN[0xD800:0xE000] = 32
@@ -166,7 +168,7 @@ class Index:
         h = qgrams(data)[place]
         order = np.argsort(h, kind="stable")
         hashes, start = np.unique(h[order], return_index=True)
-        return Index(window, edits, np.array(ids, np.int64), data, first, kept, hashes, np.r_[start, len(h)], place[order].astype(np.int32), bit_table(hashes))
+        return Index(window, edits, np.array(ids, np.int64), data, first, kept, hashes, np.r_[start, len(h)], place[order].astype(np.int32), bit_table(hashes, np.zeros(1 << BITS, bool)))
 
     def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shared q-grams (place in the text, number of the q-gram) in stretches that hold enough of them."""
@@ -241,9 +243,9 @@ class Index:
         return np.stack([row[hit], item, base[hit] + s[own], np.minimum(base[hit] + e[own], high[hit]), edits[own]], 1)
 
 
-def bit_table(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << BITS, bool)
-    out[(hashes >> tokens.U64(64 - BITS)).astype(np.int64)] = True
+def bit_table(hashes: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The table out with the places of some hashes set."""
+    out[(hashes >> tokens.U64(65 - len(out).bit_length())).astype(np.int64)] = True
     return out
 
 
@@ -251,7 +253,7 @@ def dense(h: np.ndarray, bits: np.ndarray, window: int, edits: int) -> np.ndarra
     """Places of q-grams that the table has, in stretches of a window that hold enough of them."""
     if not len(h):
         return np.zeros(0, np.int64)
-    member = bits[(h >> tokens.U64(64 - BITS)).astype(np.int64)]
+    member = bits[(h >> tokens.U64(65 - len(bits).bit_length())).astype(np.int64)]
     total = np.concatenate([[0], np.cumsum(member, dtype=np.int32)])
     ends = np.minimum(np.arange(len(h)) + window - Q + 1 + edits, len(h))
     full = np.flatnonzero(total[ends] - total[:-1] >= window - Q + 1 - Q * edits)
@@ -332,12 +334,20 @@ def _plain_items(texts: pa.Array) -> list[np.ndarray]:
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[Index | Short]]:
-    """Indexes of all items, block by block of about block_bytes of text; an item longer than that is a block of its own."""
+    """Indexes of all items, block by block of about block_bytes of text; an item longer than that is a block of its own.
+
+    Items of more than one block are written out by block first, so each block reads its own alone.
+    """
     items = _items(benchmark, id_col, text_col)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    scratch = Scratch(benchmark.sparkSession, "items") if blocks > 1 else None
+    if scratch:
+        dealt = items.distinct().withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+        scratch.write(dealt.repartition("block"), "items", ["block"])
+        items = benchmark.sparkSession.read.schema("id long, text string, block long").parquet(scratch.path("items"))
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).distinct().orderBy("id", "text").collect()
+        rows = (items.filter(F.col("block") == b).select("id", "text") if scratch else items.distinct()).orderBy("id", "text").collect()
         each = _plain_items(pa.array([r["text"] for r in rows], pa.string()))
         out, above = [], np.inf
         for shortest, window, edits in CLASSES:
@@ -349,24 +359,41 @@ def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         yield out + Short.of([rows[i]["id"] for i in some], [each[i] for i in some])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in the table of all items' q-grams, and whether some item is a short one."""
+def _bits(power: int):
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The packed table of a task's items' q-grams, in parts, and whether some item is a short one."""
+        bits, short = np.zeros(1 << power, bool), False
+        for batch in batches:
+            for p in _plain_items(batch.column("text")):
+                if len(p) >= CLASSES[-1][0]:
+                    bit_table(qgrams(p), bits)
+                else:
+                    short |= len(p) > 0
+        packed = np.packbits(bits).reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([short] * PARTS)], ["part", "bits", "short"])
+
+    return table
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of one part of many tables."""
+    total, short, part = None, False, None
     for batch in batches:
-        each = _plain_items(batch.column("text"))
-        own = [np.flatnonzero(bit_table(qgrams(p))) for p in each if len(p) >= CLASSES[-1][0]]
-        if any(0 < len(p) < CLASSES[-1][0] for p in each):
-            own.append(np.array([-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *own])), pa.int64())], ["bit"])
+        for own, bits, some in zip(*(batch.column(c).to_pylist() for c in ("part", "bits", "short")), strict=True):
+            one = np.frombuffer(bits, np.uint8)
+            total, short, part = one.copy() if total is None else total | one, short or some, own
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([short])], ["part", "bits", "short"])
 
 
-def _suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _suspects(docs: DataFrame, items: DataFrame, text_bytes: int) -> DataFrame:
     """docs (doc_id, text) that have a stretch of q-grams as any class asks for; all, if some item is a short one."""
     spark = docs.sparkSession
-    found = np.array([r["bit"] for r in items.select("text").mapInArrow(_bits, "bit long").distinct().collect()], np.int64)
-    if (found < 0).any():
+    power = min(MOST_BITS, max(BITS, (8 * text_bytes).bit_length()))
+    ddl = "part int, bits binary, short boolean"
+    found = items.select("text").mapInArrow(_bits(power), ddl).groupBy("part").applyInArrow(_either, ddl).toArrow().sort_by("part")
+    if not found.num_rows or any(found.column("short").to_pylist()):
         return docs
-    bits = np.zeros(1 << BITS, bool)
-    bits[found] = True
+    bits = np.unpackbits(np.frombuffer(b"".join(found.column("bits").to_pylist()), np.uint8)).astype(bool)
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,11 +429,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = _items(benchmark, "item_id", "text")
     context = docs.sparkSession.sparkContext
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
+    text_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if text_bytes <= block_bytes:
         (indexes,) = index_blocks(benchmark, block_bytes=block_bytes)
         return _scanned(docs, context.broadcast(indexes))
     scratch = Scratch(docs.sparkSession, "leaks")
-    suspects, out = scratch.write(_suspects(docs, items), "suspects"), None
+    suspects, out = scratch.write(_suspects(docs, items, text_bytes), "suspects"), None
     for b, indexes in enumerate(index_blocks(benchmark, block_bytes=block_bytes)):
         shared = context.broadcast(indexes)
         part = scratch.write(_scanned(suspects, shared), f"block{b}")

@@ -294,6 +294,8 @@ class Chunk:
             own = slice(edges[r["source"]], edges[r["source"] + 1])
             number[own] = tokens.unpack(r["a"], r["n"]) * U64(buckets) + U64(r["source"])
             count[own] = _ints(r["b"], r["n"])
+        if len(number) and int(number.max()) >> 32:
+            raise OverflowError("words have numbers beyond 2 ** 32, so a pair of them no longer fits into 64 bits")
         return number, count
 
     def pairs(self, number: np.ndarray, count: np.ndarray, buckets: int) -> Pairs:

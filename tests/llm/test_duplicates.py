@@ -303,3 +303,12 @@ def test_words_are_cut_like_the_pattern():
     assert len(set(hashed.tolist())) == len(set(got))
     a = np.sort(np.random.default_rng(0).integers(0, 2**64, 999, dtype=np.uint64))
     assert (tokens.unpack_sorted(tokens.pack_sorted(a), 999) == a).all() and (tokens.unpack(tokens.pack(a), 999) == a).all()
+
+
+def test_tables_of_bits_are_united_in_parts(spark):
+    """Of many tasks, each with its own items, the union is that of one task with all; what reaches the driver is the table's size, whatever the items are."""
+    texts = [f"item {i} of the benchmark, with words of its own like {i * 7919} and {i * 104729}" for i in range(200)]
+    rows = lambda n: spark.createDataFrame([(t,) for t in texts], "text string").repartition(n).mapInArrow(decontamination._bits(22), "part int, bits binary, short boolean")
+    united = lambda df: sorted((r["part"], bytes(r["bits"]), r["short"]) for r in df.groupBy("part").applyInArrow(decontamination._either, "part int, bits binary, short boolean").collect())
+    one, many = united(rows(1)), united(rows(9))
+    assert one == many and len(one) == decontamination.PARTS and sum(len(b) for _, b, _ in one) == 1 << 19 and any(any(b) for _, b, _ in one)
