@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 
+#: Pages that a viewport meets together, and what rounding may cost, in pages.
+BIN, SLACK = 16, 1e-6
 # Fixed values.
 #: Largest difference of zoom for which a rendered page is used again.
 ZOOM_TOLERANCE = 0.001
@@ -17,14 +19,25 @@ MOST_CELLS = 100
 def visible_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
     """Pages that a document's viewport shows; the test is vertical and touching counts.
 
-    An equi-join on the document. Its size picks the strategy: viewports are
-    broadcast only if Spark finds them small.
+    An equi-join on the document and a bin of BIN pages. Where pages can be
+    visible at all follows from the least and greatest height of the document's
+    pages, so a viewport meets the bins that it shows and those at their edges,
+    not the whole document.
     """
-    met = pages.join(viewports, "doc_id")
+    sizes = pages.groupBy("doc_id").agg(F.max("page_idx").alias("__last"), F.min("height").alias("__low"), F.max("height").alias("__high"))
     v = {c: F.col(c) for c in ("scroll_x", "scroll_y", "zoom")}
     low, high = geometry.screen_to_doc(v, F.lit(0), F.lit(0)), geometry.screen_to_doc(v, F.col("screen_width"), F.col("screen_height"))
+    views = viewports.join(sizes, "doc_id").withColumns({"__from": low["y"], "__to": high["y"], "__step": F.try_divide(F.col("page_spacing"), F.col("zoom"))})
+    regular = F.col("__low") + F.col("__step") > 0
+    at = lambda top, h: F.try_divide(top, F.col(h) + F.col("__step"))
+    first = F.least(*[at(F.col("__from") - F.col(h), h) for h in ("__low", "__high")])
+    last = F.greatest(*[at(F.col("__to"), h) for h in ("__low", "__high")])
+    bins = [F.greatest(F.when(regular, F.floor((first - SLACK) / BIN)).otherwise(0), F.lit(0)), F.least(F.when(regular, F.floor((last + SLACK) / BIN)).otherwise(F.col("__last")), F.floor(F.col("__last") / BIN))]
+    views = views.withColumns({"__a": bins[0].cast("long"), "__b": bins[1].cast("long")}).filter("__a <= __b").withColumn("__bin", F.explode(F.sequence("__a", "__b")))
+    met = pages.withColumn("__bin", F.floor(F.col("page_idx") / BIN)).join(views, ["doc_id", "__bin"])
     top = geometry.page_top(F.col("page_idx"), F.col("height"), F.col("page_spacing"), F.col("zoom"))
-    return met.withColumn("page_top", top).filter((F.col("page_top") + F.col("height") >= low["y"]) & (F.col("page_top") <= high["y"]))
+    shown = met.withColumn("page_top", top).filter((F.col("page_top") + F.col("height") >= F.col("__from")) & (F.col("page_top") <= F.col("__to")))
+    return shown.drop("__last", "__low", "__high", "__from", "__to", "__step", "__a", "__b", "__bin")
 
 
 def needs_render(valid: Column, cached_zoom: Column, zoom: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.geometry import image_size, page_at, rect
 from ..operators import edits, history, layout
-from ..sources import adapters, images, store
+from ..sources import adapters, datasource, images, store
+from ..sources.scratch import new_folder
 from .registry import query
 
 APPLICATION = "Editor"
@@ -308,13 +309,22 @@ def doc_new_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.new_tables(wanted).select("table_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS page_id, CAST(7 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS page_idx, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 72.0::DOUBLE AS margin_top, 1.0::DOUBLE AS red, false AS modified")
+@query("SELECT CAST(1 AS BIGINT) AS page_id, c_custkey AS doc_id, CAST(0 AS BIGINT) AS page_idx, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 72.0::DOUBLE AS margin_top, 1.0::DOUBLE AS red, false AS modified FROM customer")
 def doc_new_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new document has one default page."""
-    page = store.new_document(spark, 7)["page"]
+    """A new document for each customer; it has one default page."""
+    page = store.new_pages(adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")))
     return page.select("page_id", "doc_id", "page_idx", "width", "height", "margin_top", F.col("background.r").alias("red"), "modified")
 
 
+@query("SELECT element_id, page_id, ord, z_index, visible, opacity, kind, x, y, w AS width, h AS height FROM doc_element WHERE page_id % 3 = 0 OR page_id < 40")
+def doc_saved_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements saved as a document table and opened again. Of the rows, those of every third page and of the first ones; the latter are opened by their range of pages, which reads few files."""
+    folder = new_folder(spark, "saved")
+    back = datasource.saved(adapters.elements(spark, sf_dir), folder)
+    rows = datasource.opened(spark, folder, high=39).unionByName(back.filter("page_id >= 40 AND page_id % 3 = 0"))
+    return rows.select("element_id", "page_id", "ord", "z_index", "visible", "opacity", "kind", "bounds.x", "bounds.y", "bounds.width", "bounds.height")
+
+
 @query("""
 WITH step AS (SELECT doc_id, seq, op, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lag(op) OVER w AS before FROM command_log WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
 SELECT doc_id, count(*) AS moves, CAST(sum(dx) AS DOUBLE) AS dx, CAST(sum(dy) AS DOUBLE) AS dy FROM step WHERE op = 'move' AND before = 'move' GROUP BY doc_id

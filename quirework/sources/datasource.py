@@ -3,8 +3,11 @@
 A table is a folder: Parquet files, each with a range of keys (``page_id``
 unless the option ``key`` names another), and a list of the files that are
 current, with the least and the greatest key of each. Opening reads the list;
-filters on the key leave out files before a task is made for them, and are then
-applied to rows. Saving writes new files beside the old ones and puts a new list
+a range of keys leaves out files before a task is made for them, and is then
+applied to rows: by the options ``low`` and ``high``, or, with ``push_filters``, by
+filters that Spark pushes down. Use a table that was opened with that once in a
+plan: Spark 4.1 keeps what it pushed last for all scans of one DataFrame, so two
+different filters of it would read wrong rows. Without, any plan is right. Saving writes new files beside the old ones and puts a new list
 in place of the old at its end, so a table is the old or the new one at any
 time; a failed save leaves the old, and takes its own files away.
 
@@ -108,14 +111,6 @@ class _Reader(DataSourceReader):
         self.path, self.key, self.entries, self.names = path, key, entries, schema.fieldNames()
         self.filters: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            plain = isinstance(f, EqualTo | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual)
-            if plain and f.attribute == (self.key,) and (not isinstance(f, In) or None not in f.value):
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[Files]:
         held = [e for e in self.entries if all(_holds(e, f) for f in self.filters)]
         return [Files(e["file"]) for e in held] or [Files("")]
@@ -131,6 +126,16 @@ class _Reader(DataSourceReader):
         yield from table.to_batches(columns=self.names, filter=condition, batch_size=GROUP)
 
 
+class _PushingReader(_Reader):
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            plain = isinstance(f, EqualTo | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual)
+            if plain and f.attribute == (self.key,) and (not isinstance(f, In) or None not in f.value):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, key: str, schema: StructType, overwrite: bool):
         self.path, self.key, self.schema, self.overwrite = path, key, schema.json(), overwrite
@@ -184,7 +189,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class DocumentSource(DataSource):
-    """Options: path, and key when saving (page_id)."""
+    """Options: path; when saving key (page_id); when opening low and high, the least and greatest key wanted, and push_filters (false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +205,12 @@ class DocumentSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         found = self._list()
-        return _Reader(self.options["path"], found["key"], found["files"], schema)
+        kind = _PushingReader if self.options.get("push_filters") == "true" else _Reader
+        reader = kind(self.options["path"], found["key"], found["files"], schema)
+        stored = next(f["type"] for f in found["schema"]["fields"] if f["name"] == found["key"])
+        told = (float if stored in ("float", "double") else int) if stored in ("byte", "short", "integer", "long", "float", "double") else str
+        reader.filters = [f((found["key"],), told(self.options[o])) for o, f in (("low", GreaterThanOrEqual), ("high", LessThanOrEqual)) if o in self.options]
+        return reader
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         key = self.options.get("key", "page_id")
@@ -212,8 +222,7 @@ class DocumentSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the source known to the session, and has Spark push filters down to it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the source known to the session."""
     spark.dataSource.register(DocumentSource)
 
 
@@ -224,6 +233,11 @@ def saved(rows: DataFrame, path: str, key: str = "page_id", mode: str = "overwri
     return opened(rows.sparkSession, path)
 
 
-def opened(spark: SparkSession, path: str) -> DataFrame:
+def opened(spark: SparkSession, path: str, low: object = None, high: object = None, push_filters: bool = False) -> DataFrame:
+    """The table in a folder, or its rows with keys from low to high, both included. push_filters: see above; turns Spark's setting for it on."""
     register(spark)
-    return spark.read.format("quirework").load(path)
+    options = {k: str(v) for k, v in (("low", low), ("high", high)) if v is not None}
+    if push_filters:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        options["push_filters"] = "true"
+    return spark.read.format("quirework").options(**options).load(path)

@@ -33,12 +33,22 @@ def test_filters_on_the_key_read_fewer_files(spark, elements, tmp_path):
     back = datasource.saved(elements, str(tmp_path / "doc"))
     entries = datasource.current(str(tmp_path / "doc"))["files"]
     assert len(entries) == 4 and back.rdd.getNumPartitions() == 4
+    back = datasource.opened(spark, str(tmp_path / "doc"), push_filters=True)
     for condition in ("page_id = 7", "page_id IN (1, 2)", "page_id < 9", "page_id <= 9", "page_id > 140", "page_id >= 140 AND page_id < 145", "page_id = 100000", "page_id IN (1, NULL)"):
         some = back.filter(condition)
         assert rows_of(some) == rows_of(elements.filter(condition)), condition
         assert some.rdd.getNumPartitions() < 4 or "NULL" in condition, condition
 
 
+def test_ranges_read_fewer_files_and_a_table_may_be_used_twice(spark, elements, tmp_path):
+    path = str(tmp_path / "doc")
+    back = datasource.saved(elements, path)
+    low, high = datasource.opened(spark, path, high=20), datasource.opened(spark, path, low=130)
+    assert low.rdd.getNumPartitions() < 4 and high.rdd.getNumPartitions() < 4
+    assert rows_of(low.union(high)) == rows_of(elements.filter("page_id <= 20 OR page_id >= 130"))
+    assert rows_of(back.filter("page_id <= 20").union(back.filter("page_id >= 130"))) == rows_of(low.union(high))
+
+
 def test_a_failed_save_leaves_the_old_table(spark, elements, tmp_path):
     path = str(tmp_path / "doc")
     datasource.saved(elements, path)
