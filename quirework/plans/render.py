@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, layout
 from ..sources import adapters
+from ..streaming import queue
 from .registry import query
 
 
@@ -43,3 +44,23 @@ def doc_stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = F.col("render").isNotNull() & ~F.coalesce(F.col("change.ts") > F.col("render.ts"), F.lit(False)) & (F.col("generation") <= F.col("render.generation"))
     stale = F.coalesce(layout.needs_render(valid, F.col("render.zoom"), F.col("zoom")), F.lit(True))
     return met.select("event_id", "doc_id", "page", "render.render_id", "change.changed_id", "generation", stale.alias("stale"))
+
+
+@query("""
+WITH RECURSIVE log AS (
+  SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type IN ('purchase', 'error') AS pop, event_id % 40 AS page FROM events
+), fold AS (
+  SELECT doc_id, 0::BIGINT AS seq, CAST([] AS BIGINT[]) AS pending, NULL::BIGINT AS page_idx FROM (SELECT DISTINCT doc_id FROM log)
+  UNION ALL
+  SELECT f.doc_id, l.seq, CASE WHEN l.pop THEN f.pending[2:] WHEN list_contains(f.pending, l.page) THEN f.pending ELSE list_append(f.pending, l.page) END, CASE WHEN l.pop AND len(f.pending) > 0 THEN f.pending[1] END
+  FROM fold f JOIN log l ON l.doc_id = f.doc_id AND l.seq = f.seq + 1
+)
+SELECT doc_id, seq, page_idx, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM fold WHERE page_idx IS NOT NULL
+""")
+def doc_pages_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the order in which they are taken from the queue: views, clicks and signups ask for a page, purchases and errors take one."""
+    rows = adapters.table(spark, sf_dir, "events")
+    place = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    op = F.when(F.col("event_type").isin("purchase", "error"), "pop").otherwise("ask")
+    log = rows.select(F.col("user_id").alias("doc_id"), F.row_number().over(place).cast("long").alias("seq"), op.alias("op"), (F.col("event_id") % 40).alias("page_idx"))
+    return queue.taken(log)
