@@ -3,7 +3,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from quirework.plans import curves, document, functions, geometry, lines, render, scene  # noqa: F401
+from quirework.plans import curves, document, functions, geometry, lines, render, scene, tools  # noqa: F401
 from quirework.plans.registry import QUERIES, SQL
 
 
