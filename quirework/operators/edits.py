@@ -89,11 +89,11 @@ def latest_positions(log: DataFrame) -> DataFrame:
     return moves.groupBy("doc_id", "element_id").agg(F.max_by("x", "seq").alias("x"), F.max_by("y", "seq").alias("y"), F.count("*").alias("moves"))
 
 
-def mark_modified(rows: DataFrame, changed: Column) -> DataFrame:
-    """Sets modified, and modification_date to now, where changed; the rest keep theirs (none: not modified, no date)."""
+def mark_modified(rows: DataFrame, changed: Column, now: Column | None = None) -> DataFrame:
+    """Sets modified, and modification_date to now (the time of the query, unless given), where changed; the rest keep theirs (none: not modified, no date)."""
     old = F.col("modified") if "modified" in rows.columns else F.lit(False)
     date = F.col("modification_date") if "modification_date" in rows.columns else F.lit(None).cast("timestamp")
-    return rows.withColumns({"modified": old | changed, "modification_date": F.when(changed, F.current_timestamp()).otherwise(date)})
+    return rows.withColumns({"modified": old | changed, "modification_date": F.when(changed, F.current_timestamp() if now is None else now).otherwise(date)})
 
 
 def add_tabs(tabs: DataFrame, new: DataFrame) -> DataFrame:

@@ -462,3 +462,17 @@ def doc_new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     s = image_size((F.col("p_size") * 20).cast("double"), (k % 400).cast("double"))
     return adapters.table(spark, sf_dir, "part").filter("p_size > 0").select("p_partkey", s["width"].alias("width"), s["height"].alias("height"), page_at((k % 900).cast("double")).alias("page_idx"))
+
+
+@query("""
+WITH touched AS (SELECT DISTINCT doc_id FROM command_log WHERE op NOT IN ('undo', 'redo'))
+SELECT p.page_id, p.doc_id, p.page_idx % 5 = 0 OR t.doc_id IS NOT NULL AS modified, CASE WHEN t.doc_id IS NOT NULL THEN TIMESTAMP '2024-05-06 07:08:09' WHEN p.page_idx % 5 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' END AS modification_date
+FROM doc_page p LEFT JOIN touched t ON t.doc_id = p.doc_id
+""")
+def doc_modified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents with edits are marked as modified, at a given time; others keep their mark and date."""
+    touched = adapters.commands(spark, sf_dir).filter("op NOT IN ('undo', 'redo')").select("doc_id").distinct().withColumn("touched", F.lit(True))
+    fifth = F.col("page_idx") % 5 == 0
+    when = lambda t: F.lit(t).cast("timestamp_ntz")
+    pages = adapters.pages(spark, sf_dir).withColumns({"modified": fifth, "modification_date": F.when(fifth, when("2020-01-01 00:00:00"))}).join(touched, "doc_id", "left")
+    return edits.mark_modified(pages, F.col("touched").isNotNull(), when("2024-05-06 07:08:09")).select("page_id", "doc_id", "modified", "modification_date")
