@@ -40,6 +40,12 @@ def visible_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
     return shown.drop("__last", "__low", "__high", "__from", "__to", "__step", "__a", "__b", "__bin")
 
 
+def rendered(pages: DataFrame) -> DataFrame:
+    """pages: width, height, zoom. Adds pixels, the size of the picture; pages of which a side has no pixel are left out."""
+    sized = pages.withColumn("pixels", geometry.pixel_size(F.col("width"), F.col("height"), F.col("zoom")))
+    return sized.filter("pixels.width > 0 AND pixels.height > 0")
+
+
 def needs_render(valid: Column, cached_zoom: Column, zoom: Column) -> Column:
     return ~valid | (F.abs(cached_zoom - zoom) > ZOOM_TOLERANCE)
 

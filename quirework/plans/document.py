@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import paths, payloads, text
 from ..functions.geometry import image_size, page_at, rect
 from ..operators import edits, history, layout
 from ..sources import adapters, datasource, images, store
@@ -476,3 +476,33 @@ def doc_modified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = lambda t: F.lit(t).cast("timestamp_ntz")
     pages = adapters.pages(spark, sf_dir).withColumns({"modified": fifth, "modification_date": F.when(fifth, when("2020-01-01 00:00:00"))}).join(touched, "doc_id", "left")
     return edits.mark_modified(pages, F.col("touched").isNotNull(), when("2024-05-06 07:08:09")).select("page_id", "doc_id", "modified", "modification_date")
+
+
+@query("""
+SELECT element_id, CASE WHEN kind = 'text' THEN element_id % 3 END AS alignment, CASE WHEN kind = 'image' THEN least(300.0, w * 4) END AS display_width, CASE WHEN kind = 'vector' THEN 5 END AS commands,
+  CASE WHEN kind = 'table' THEN (element_id % 4 + 1) * (element_id % 3 + 1) END AS cells, CASE WHEN kind = 'media' THEN CASE WHEN element_id % 2 = 0 THEN 'Video' ELSE 'Audio' END END AS media_type, CASE WHEN kind = 'group' THEN element_id % 5 END AS children FROM doc_element
+""")
+def doc_typed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each element's content is one of six structs; asked for as another kind it is null."""
+    k, b = F.col("element_id"), F.col("bounds")
+    size = image_size(b["width"] * 4, b["height"] * 4)
+    content = {
+        "text": F.struct(F.lit(text.DEFAULT_TEXT).alias("text"), (k % 3).alias("alignment")), "image": F.struct(size["width"].alias("display_width"), size["height"].alias("display_height")), "vector": paths.new_rectangle(b),
+        "table": F.struct((k % 4 + 1).alias("rows"), (k % 3 + 1).alias("cols")), "media": F.struct(F.when(k % 2 == 0, "Video").otherwise("Audio").alias("type")), "group": F.struct(F.slice(F.sequence(F.lit(0).cast("long"), k % 5), 1, (k % 5).cast("int")).alias("child_element_indices")),
+    }
+    rows = adapters.elements(spark, sf_dir).withColumn("content", payloads.stored(F.col("kind"), content))
+    of = lambda kind: payloads.accessor(F.col("content"), kind)
+    return rows.select(
+        "element_id", of("text")["alignment"].alias("alignment"), of("image")["display_width"].alias("display_width"), F.when(of("vector").isNotNull(), F.size(of("vector")["commands"])).alias("commands"),
+        (of("table")["rows"] * of("table")["cols"]).alias("cells"), of("media")["type"].alias("media_type"), F.when(of("group").isNotNull(), F.size(of("group")["child_element_indices"]).cast("long")).alias("children"),
+    )
+
+
+@query("""
+SELECT p_partkey, CAST(trunc((p_partkey % 9) * 7.5::DOUBLE * (0.05::DOUBLE * (p_size % 4))) AS INTEGER) AS width, CAST(trunc((p_size % 11) * 20.0::DOUBLE * (0.05::DOUBLE * (p_size % 4))) AS INTEGER) AS height FROM part
+WHERE trunc((p_partkey % 9) * 7.5::DOUBLE * (0.05::DOUBLE * (p_size % 4))) > 0 AND trunc((p_size % 11) * 20.0::DOUBLE * (0.05::DOUBLE * (p_size % 4))) > 0
+""")
+def doc_rendered_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the sizes of parts, in pixels; those without a pixel aren't rendered."""
+    rows = adapters.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") % 9) * 7.5).alias("width"), ((F.col("p_size") % 11) * 20.0).alias("height"), (0.05 * (F.col("p_size") % 4)).alias("zoom"))
+    return layout.rendered(rows).select("p_partkey", "pixels.width", "pixels.height")
