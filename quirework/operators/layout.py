@@ -16,8 +16,8 @@ TABLE_X, TABLE_Y, ROW_HEIGHT, COL_WIDTH = 100.0, 100.0, 30.0, 100.0
 MOST_CELLS = 100
 
 
-def visible_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
-    """Pages that a document's viewport shows; the test is vertical and touching counts.
+def near_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
+    """Pages that a document's viewport may show: those of the bins that it reaches.
 
     An equi-join on the document and a bin of BIN pages. Where pages can be
     visible at all follows from the least and greatest height of the document's
@@ -35,9 +35,14 @@ def visible_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
     bins = [F.greatest(F.when(regular, F.floor((first - SLACK) / BIN)).otherwise(0), F.lit(0)), F.least(F.when(regular, F.floor((last + SLACK) / BIN)).otherwise(F.col("__last")), F.floor(F.col("__last") / BIN))]
     views = views.withColumns({"__a": bins[0].cast("long"), "__b": bins[1].cast("long")}).filter("__a <= __b").withColumn("__bin", F.explode(F.sequence("__a", "__b")))
     met = pages.withColumn("__bin", F.floor(F.col("page_idx") / BIN)).join(views, ["doc_id", "__bin"])
+    return met.drop("__last", "__low", "__high", "__step", "__a", "__b", "__bin")
+
+
+def visible_pages(pages: DataFrame, viewports: DataFrame) -> DataFrame:
+    """Pages that a document's viewport shows, with page_top; the test is vertical and touching counts."""
     top = geometry.page_top(F.col("page_idx"), F.col("height"), F.col("page_spacing"), F.col("zoom"))
-    shown = met.withColumn("page_top", top).filter((F.col("page_top") + F.col("height") >= F.col("__from")) & (F.col("page_top") <= F.col("__to")))
-    return shown.drop("__last", "__low", "__high", "__from", "__to", "__step", "__a", "__b", "__bin")
+    shown = near_pages(pages, viewports).withColumn("page_top", top)
+    return shown.filter((F.col("page_top") + F.col("height") >= F.col("__from")) & (F.col("page_top") <= F.col("__to"))).drop("__from", "__to")
 
 
 def rendered(pages: DataFrame) -> DataFrame:

@@ -401,14 +401,25 @@ def doc_event_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 7 + 1 AS INTEGER) END AS width, CASE WHEN p_partkey % 5 <> 0 THEN 2 END AS height, CASE WHEN p_partkey % 5 <> 0 THEN '89504E470D0A1A0A0000000D49484452' || printf('%08X', p_partkey % 7 + 1) || '00000002' END AS png_head FROM part")
 def doc_image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitmaps built from parts (every fifth is broken) are decoded and written as PNG."""
+    return images.decode(_bitmaps(spark, sf_dir)).select("p_partkey", "width", "height", F.hex(F.substring("png", 1, 24)).alias("png_head"))
+
+
+def _bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     size = (k % 7 + 1).cast("int")
     word = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
     zero = F.lit(0)
     head = F.concat(F.unhex(F.lit("424D")), word(zero), word(zero), word(F.lit(54)), word(F.lit(40)), word(size), word(F.lit(2)), F.unhex(F.lit("01001800")), *[word(zero)] * 6)
     pixels = F.expr("substring(unhex(repeat('80C0FF', 32)), 1, cast(ceil((p_partkey % 7 + 1) * 3 / 4) * 8 as int))")
-    rows = adapters.table(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 != 0, F.concat(head, pixels)).otherwise(F.unhex(F.lit("00FF"))).alias("content"))
-    return images.decode(rows).select("p_partkey", "width", "height", F.hex(F.substring("png", 1, 24)).alias("png_head"))
+    return adapters.table(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 != 0, F.concat(head, pixels)).otherwise(F.unhex(F.lit("00FF"))).alias("content"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 7 + 1 AS INTEGER) AS width, 2 AS height, 'bmp' AS format FROM part WHERE p_partkey % 5 <> 0")
+def doc_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bitmaps as files of a folder, which is scanned; broken ones are left out."""
+    folder = new_folder(spark, "images")
+    images.write(_bitmaps(spark, sf_dir).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".bmp")).alias("name"), "content"), folder)
+    return images.scan(spark, folder).select(F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long").alias("p_partkey"), "width", "height", "format")
 
 
 @query("""

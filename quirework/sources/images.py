@@ -169,3 +169,22 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     """Image files under path: path, format (the suffix as given), content, width, height, png. What is no image is left out."""
     files = spark.read.format("binaryFile").load(path).select("path", suffix(F.col("path")).alias("format"), "content")
     return decode(files).filter("width IS NOT NULL")
+
+
+def write(files: DataFrame, path: str) -> int:
+    """files: name, content. Writes each as a file of a folder (a URI that pyarrow knows and all executors share) and returns how many. A name that comes again is written again."""
+    import pyarrow as pa
+    import pyarrow.fs as fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("name", "content").filter("name IS NOT NULL AND content IS NOT NULL").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
