@@ -171,20 +171,34 @@ def _crossed(pieces: Column, x: Column, y: Column) -> Column:
             return named(half(s), lambda t: F.when((at(e, "y", t) <= y) == (b["y1"] > b["y0"]), F.struct(t.alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), t.alias("h"))))
 
         halved = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, half)
-        return F.when(e["kind"] == "LineTo", straight).otherwise(named(halved, lambda t: x < at(e, "x", t)))
+        # A curve stays between its control points, so only points among these ask where it is.
+        ends = [e[f"x{i}"] for i in range(4)]
+        return F.when(e["kind"] == "LineTo", straight).when(x < F.least(*ends), True).when(x >= F.greatest(*ends), False).otherwise(named(halved, lambda t: x < at(e, "x", t)))
 
     return F.filter(F.flatten(F.transform(pieces, of)), lambda n: n != 0)
 
 
+def crossings(path: Column, x: Column, y: Column) -> Column:
+    """+1 for each upward and -1 for each downward crossing of the ray to the right of a point. From these follow winding_of() and filled_of(); name them where both are asked for."""
+    return _crossed(edges(path), x, y)
+
+
+def winding_of(crossed: Column) -> Column:
+    return F.aggregate(crossed, F.lit(0), lambda s, n: s + n)
+
+
+def filled_of(crossed: Column, rule: Column) -> Column:
+    return F.when(rule == "EvenOdd", F.size(crossed) % 2 == 1).otherwise(winding_of(crossed) != 0)
+
+
 def winding(path: Column, x: Column, y: Column) -> Column:
     """How often the outline goes around a point; 0 outside."""
-    return F.aggregate(_crossed(edges(path), x, y), F.lit(0), lambda s, n: s + n)
+    return winding_of(crossings(path, x, y))
 
 
 def filled(path: Column, x: Column, y: Column, rule: Column) -> Column:
     """Whether a point is inside by a path's rule, EvenOdd or NonZero. A point on a lower or left edge is inside, on an upper or right one outside."""
-    total = lambda crossed: F.aggregate(crossed, F.lit(0), lambda s, n: s + n)
-    return named(_crossed(edges(path), x, y), lambda crossed: F.when(rule == "EvenOdd", F.size(crossed) % 2 == 1).otherwise(total(crossed) != 0))
+    return named(crossings(path, x, y), lambda crossed: filled_of(crossed, rule))
 
 
 def segments(path: Column) -> Column:

@@ -80,5 +80,6 @@ def doc_winding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each outline goes around a point within its element, and whether that is filled by either rule."""
     rows = _outlines(spark, sf_dir)
     x, y = F.col("bounds.x") + F.col("bounds.width") / 2 + F.col("element_id") % 9, F.col("bounds.y") + F.col("bounds.height") / 3
-    rule = lambda name: paths.filled(F.col("path"), x, y, F.lit(name))
-    return rows.select("element_id", paths.winding(F.col("path"), x, y).alias("winding"), rule("NonZero").alias("non_zero"), rule("EvenOdd").alias("even_odd"))
+    crossed = F.col("crossed")
+    rows = rows.select("element_id", paths.crossings(F.col("path"), x, y).alias("crossed"))
+    return rows.select("element_id", paths.winding_of(crossed).alias("winding"), paths.filled_of(crossed, F.lit("NonZero")).alias("non_zero"), paths.filled_of(crossed, F.lit("EvenOdd")).alias("even_odd"))
