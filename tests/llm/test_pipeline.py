@@ -15,7 +15,7 @@ def test_equals_sql(spark, data, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
 
 
 def prose(rng, n):
