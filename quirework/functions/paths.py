@@ -167,10 +167,16 @@ def _crossed(pieces: Column, x: Column, y: Column) -> Column:
         half = lambda s: (s["l"] + s["h"]) / 2
         start = F.struct(b["l"].alias("l"), b["h"].alias("h"))
 
-        def step(s: Column, _: Column) -> Column:
-            return named(half(s), lambda t: F.when((at(e, "y", t) <= y) == (b["y1"] > b["y0"]), F.struct(t.alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), t.alias("h"))))
+        def halvings(p: Column) -> Column:
+            def step(s: Column, _: Column) -> Column:
+                below = lambda t: (((p["a"] * t + p["b"]) * t + p["c"]) * t + p["d"] <= y) == p["up"]
+                return named(half(s), lambda t: F.when(below(t), F.struct(t.alias("l"), s["h"].alias("h"))).otherwise(F.struct(s["l"].alias("l"), t.alias("h"))))
 
-        halved = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, half)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, half)
+
+        y0, y1, y2, y3 = (e[f"y{i}"] for i in range(4))
+        powers = {"a": y3 - 3 * y2 + 3 * y1 - y0, "b": 3 * (y0 - 2 * y1 + y2), "c": 3 * (y1 - y0), "d": y0, "up": b["y1"] > b["y0"]}
+        halved = named(F.struct(*[v.alias(k) for k, v in powers.items()]), halvings)
         # A curve stays between its control points, so only points among these ask where it is.
         ends = [e[f"x{i}"] for i in range(4)]
         return F.when(e["kind"] == "LineTo", straight).when(x < F.least(*ends), True).when(x >= F.greatest(*ends), False).otherwise(named(halved, lambda t: x < at(e, "x", t)))
