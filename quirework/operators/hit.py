@@ -71,9 +71,10 @@ def topmost(probes: DataFrame, elements: DataFrame, anchor: str = "local") -> Da
         curves = "x1" in elements.schema["clip_path"].dataType.elementType.names
         path = paths.stored(F.col("clip_path")) if curves else F.col("clip_path")
     near = hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), path, anchor, curves)
-    met = asked.join(dealt, ["page_id", "cx", "cy"]).filter(near)
+    # Spark takes probes for as small as what they are made of; a sorted join needs no side in the driver's memory or a task's.
+    met = asked.join(dealt.hint("merge"), ["page_id", "cx", "cy"]).filter(near)
     best = met.groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("element_id"))
-    return probes.join(best, "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
+    return probes.join(best.hint("merge"), "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
 
 
 def element_at(points: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
