@@ -23,11 +23,11 @@ def doc_sql_topmost_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
         WITH asked AS (
           SELECT *, inline(array(named_struct('cx', floor(x / {cell}), 'cy', floor(y / {cell})), named_struct('cx', {everywhere}, 'cy', {everywhere}))) FROM {probes}
         ), met AS (
-          SELECT probe_id, element_id, ord FROM asked JOIN {dealt} d USING (page_id, cx, cy) WHERE qw_hit(d.bounds, d.transform, asked.x, asked.y)
+          SELECT /*+ MERGE(d) */ probe_id, element_id, ord FROM asked JOIN {dealt} d USING (page_id, cx, cy) WHERE qw_hit(d.bounds, d.transform, asked.x, asked.y)
         ), best AS (
           SELECT probe_id, max_by(element_id, ord) AS element_id FROM met GROUP BY probe_id
         )
-        SELECT probe_id, page_id, x, y, element_id FROM {probes} LEFT JOIN best USING (probe_id)
+        SELECT /*+ MERGE(best) */ probe_id, page_id, x, y, element_id FROM {probes} LEFT JOIN best USING (probe_id)
         """,
         probes=_probes(spark, sf_dir), dealt=hit.in_cells(shown, F.col("box")), cell=hit.CELL, everywhere=hit.EVERYWHERE,
     )
