@@ -123,7 +123,9 @@ class _Reader(DataSourceReader):
         for f in self.filters:
             condition = _condition(f) if condition is None else condition & _condition(f)
         table = ds.dataset(f"{root}/{partition.file}", filesystem=files, format="parquet")
-        yield from table.to_batches(columns=self.names, filter=condition, batch_size=GROUP)
+        # One row group after the other: read ahead, a file would stand in memory whole.
+        plain = ds.ParquetFragmentScanOptions(pre_buffer=False, use_buffered_stream=True)
+        yield from table.to_batches(columns=self.names, filter=condition, batch_size=GROUP, batch_readahead=1, fragment_readahead=0, fragment_scan_options=plain, use_threads=False)
 
 
 class _PushingReader(_Reader):

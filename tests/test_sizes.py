@@ -1,9 +1,16 @@
 """Plans that must not depend on Spark's guess of a table's size, which misses rows that expressions make."""
 
+import time
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quirework.functions import paths
 from quirework.plans import curves, functions, geometry
+from quirework.sources import datasource
 
 
 def plan(df):
@@ -35,3 +42,17 @@ def test_boxes_with_missing_places(spark):
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(paths_)], f"id int, path {kind}").coalesce(1)
     found = {r["id"]: tuple(r["b"]) for r in df.select("id", paths.curve_bounds(F.col("path")).alias("b")).collect()}
     assert [str(found[i]) for i in range(len(paths_))] == [str(want) for _, want in paths_]
+
+
+def test_reading_a_saved_file_holds_a_few_row_groups(tmp_path):
+    rows = 60 * datasource.GROUP
+    table = pa.table({"page_id": np.arange(rows), **{c: np.random.default_rng(1).random(rows) for c in "abc"}})
+    pq.write_table(table, tmp_path / "one.parquet", row_group_size=datasource.GROUP)
+    schema = StructType.fromJson({"type": "struct", "fields": [{"name": c, "type": "long" if c == "page_id" else "double", "nullable": True, "metadata": {}} for c in ("page_id", *"abc")]})
+    size, before, most, seen = table.nbytes, None, 0, 0
+    del table
+    before = pa.total_allocated_bytes()
+    for batch in datasource._Reader(str(tmp_path), "page_id", [], schema).read(datasource.Files("one.parquet")):
+        time.sleep(0.01)
+        most, seen = max(most, pa.total_allocated_bytes() - before), seen + batch.num_rows
+    assert seen == rows and most < size / 4
