@@ -80,6 +80,6 @@ def topmost(spark: SparkSession, path: str, probes: DataFrame, anchor: str = "lo
     """As hit.topmost(), by the index in a folder."""
     places = asked(probes)
     near = hit.hits(F.col("x"), F.col("y"), F.col("bounds"), F.col("transform"), anchor=anchor)
-    met = places.join(scan(spark, path, ranges(places)).drop("page_id"), "place").filter(near)
+    met = places.join(scan(spark, path, ranges(places)).drop("page_id").hint("merge"), "place").filter(near)
     best = met.groupBy("probe_id").agg(F.max_by("element_id", "ord").alias("element_id"))
-    return probes.join(best, "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
+    return probes.join(best.hint("merge"), "probe_id", "left").select("probe_id", "page_id", "x", "y", "element_id")
