@@ -7,8 +7,9 @@ trained together in numpy with Adam. A misspelling that was never seen shares
 most n-gram vectors with the word it hides.
 
 The training sample is bounded: about SAMPLE rows of each label, chosen by a
-hash of the id; class shares over all labelled rows correct the bias. Only the
-sample's bags of n-grams reach the driver. As the softmax is linear, scoring
+hash of the id; class shares over all labelled rows correct the bias. One task
+fits the sample's bags of n-grams; only the model, some 4 MB, reaches the
+driver. As the softmax is linear, scoring
 needs one number for each n-gram bucket; distinct words of a block are scored
 once.
 
@@ -141,14 +142,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     some, counts = folds.about(labels, "label", "doc_id", sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")  # some has about 2 * sample rows, whatever the tables' sizes
-    return fit(_collected(rows.select("label", "text")), counts)
+    bags = rows.select("label", "text").mapInArrow(_bags, "label int, buckets binary, shares binary").repartition(1)
+    found = bags.mapInArrow(_fitted(counts), "vectors binary, weights binary, bias binary").first()
+    if found is None:  # no task runs for an empty sample
+        return fit([], counts)
+    vectors, weights = (np.frombuffer(found[c], np.float32) for c in ("vectors", "weights"))
+    return Model(vectors.reshape(BUCKETS, DIM), weights.reshape(DIM, 2), np.frombuffer(found["bias"], np.float64))
 
 
-def _collected(rows: DataFrame) -> list[tuple]:
-    """(label, buckets, shares) of the sample's texts. The list alone keeps them in memory; fit empties it."""
-    bags = rows.mapInArrow(_bags, "label int, buckets binary, shares binary").toArrow()
-    views = [(label, b.as_buffer(), s.as_buffer()) for label, b, s in zip(bags.column("label").to_pylist(), bags.column("buckets"), bags.column("shares"), strict=True)]
-    return sorted(views, key=_order)
+def _fitted(counts: dict):
+    """Fits all bags of its task; these are a sample's, whose size doesn't grow with the tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = []
+        for batch in batches:
+            bags += zip(*(batch.column(c).to_pylist() for c in ("label", "buckets", "shares")), strict=True)
+        bags.sort(key=_order)
+        model = fit(bags, counts)
+        parts = model.vectors.astype(np.float32), model.weights.astype(np.float32), model.bias.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["vectors", "weights", "bias"])
+
+    return run
 
 
 def _order(bag: tuple) -> tuple:

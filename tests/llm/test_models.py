@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, exact parts against brute force, and edge cases."""
 
 import math
+import os
 import random
 import re
 import unicodedata
@@ -149,6 +150,21 @@ def test_toxicity(spark, monkeypatch):
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's bags of n-grams, some 45 MB, took up the driver's memory."""
+    fit, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(bags, counts):
+        assert os.getpid() != driver
+        return fit(bags, counts)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    docs = spark.createDataFrame([(i, "und der idiot" if i % 2 else "und der ist", None, "x", "y") for i in range(40)], DOCS)
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert model.vectors.shape == (toxicity.BUCKETS, toxicity.DIM) and model.weights.shape == (toxicity.DIM, 2)
+    assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in toxicity.score(docs, model).collect())
+
+
 def test_toxicity_against_plain_sums(spark):
     """Scores follow from the model's vectors by the definition, word by word; at a probability of one half the text is rejected."""
     rng = np.random.default_rng(4)
