@@ -52,8 +52,8 @@ PIECE = "shelf int, bucket int, kind int, n int, chunk int, base long, h binary,
 ENTRY, GONE, RUN = 0, 1, 2
 _ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 _CHECK_STEP, _CHECK_SEED = 0xA0761D6478BD642F, 0x5851F42D4C957F2D
-#: Bytes of text fingerprinted at once, and bytes of text for each bucket of the index.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Bytes of text fingerprinted at once, bytes of text that words are removed from at once, and bytes of text for each bucket of the index.
+BLOCK_BYTES, REMOVE_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 12 << 20
 #: Files that a run's table is dealt out to, at most (Spark allows 100,000), pieces that one block of text is cut into, at most, and bytes of text behind what is cut anew at once.
 SHELVES, FAN, CUT_BYTES = 1 << 15, 1 << 11, 16 << 20
 _ARROW = pa.schema([("shelf", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("chunk", pa.int32()), ("base", pa.int64()), *((x, pa.binary()) for x in ("h", "tag", "doc", "pos"))])
@@ -363,7 +363,7 @@ def _remove(k: int):
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text", BLOCK_BYTES):
+            for part in tokens.slices(batch, "text", REMOVE_BYTES):
                 words, _, check, at = _fingerprints(part.column("text"), k)
                 count, first = words.count, words.first
                 change = np.zeros(first[-1] + 1, np.int32)

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,21 @@ def test_substring_dedup(spark, rows):
     assert substring_dedup.deduplicate(docs_of(spark, [])).count() == 0
 
 
+def test_fingerprinting_holds_a_small_block(monkeypatch):
+    """Blocks of 8 MB took some 254 MB of numpy arrays each; an executor has several workers beside its heap."""
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 4000)]) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in substring_dedup._pieces(13, 64, 64, 8)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n and most < 192 << 20
+
+
 def test_many_buckets_and_small_blocks_change_nothing(spark, rows, monkeypatch):
     plain = sorted(map(str, substring_dedup.deduplicate(docs_of(spark, rows)).collect()))
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 3000)
