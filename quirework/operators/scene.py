@@ -5,7 +5,8 @@ corner on. Its place on the page is the product of the matrices down its chain,
 its opacity the product of theirs, and it is visible where all of them are. The
 chains are followed by a recursive query from the outside in, one equi-join of
 the elements a level, so that each element is placed once from its parent's
-place.
+place. The elements are written once, in buckets by parent; a level reads them
+where they are and shuffles only what the level before placed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import map_point
+from ..sources.scratch import new_folder
 
 #: Levels below an outermost element, at most, unless told otherwise. Beyond it Spark raises.
 MOST_LEVELS = 100
@@ -47,7 +49,8 @@ def placed(elements: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     shifted = {c: F.col(f"transform.{c}") + F.coalesce(corner[k], F.lit(0.0)) for c, k in (("e", "x"), ("f", "y"))}
     own = elements.select("element_id", "parent_id", *[F.col(f"transform.{c}").alias(c) for c in "abcd"], *[v.alias(c) for c, v in shifted.items()], "opacity", "visible")
     parents = elements.select(F.col("element_id").alias("parent_id"), F.lit(True).alias("held"))
-    scene = own.join(parents, "parent_id", "left").withColumn("outermost", F.col("held").isNull()).drop("held")
+    inner = own.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left").withColumn("outermost", F.col("held").isNull()).drop("held")
+    scene = _by_parent(own.filter("parent_id IS NULL").withColumn("outermost", F.lit(True)).unionByName(inner))
     found = spark.sql(_PLACED.replace("{levels}", str(int(levels))), scene=scene)
     matrix = F.struct(*[(F.col(c) + F.lit(0.0)).alias(c) for c in "abcdef"])  # no negative zeros
     out = elements.select("element_id").join(found, "element_id", "left")
@@ -58,6 +61,17 @@ def placed(elements: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     )
 
 
+def _by_parent(scene: DataFrame) -> DataFrame:
+    """scene, written in buckets by parent_id, as many as a shuffle has partitions, and read back. The files go when the program ends."""
+    spark, path = scene.sparkSession, new_folder(scene.sparkSession, "scene")
+    name = f"quirework_scene_{path[-12:]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scene.write.format("parquet").option("path", path).bucketBy(buckets, "parent_id").sortBy("parent_id").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog; the files stay
+    return written
+
+
 def on_page(place: Column, bounds: Column) -> Column:
     """Where an element's own corner comes to stand."""
     return map_point(place, bounds["x"], bounds["y"])

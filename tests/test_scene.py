@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.operators import scene
 from quirework.sources import adapters
@@ -55,3 +56,13 @@ def test_too_deep_raises(spark):
 
 def test_nested_elements_are_deep(spark, data):
     assert scene.placed(adapters.nested_elements(spark, data)).agg({"depth": "max"}).first()[0] > 5
+
+
+def test_levels_read_the_elements_where_they_are(spark, data):
+    """Each level computed the elements' windows anew and shuffled all elements."""
+    left, right = (scene._by_parent(adapters.nested_elements(spark, data).select("element_id", "parent_id")) for _ in range(2))
+    with_parents = left.withColumnRenamed("parent_id", "held_by").hint("merge").join(right.select("parent_id"), F.col("element_id") == F.col("parent_id"))
+    found = with_parents._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in found and found.count("Exchange hashpartitioning") == 1
+    whole = scene.placed(adapters.nested_elements(spark, data))._jdf.queryExecution()
+    assert "Window" not in whole.optimizedPlan().toString()
