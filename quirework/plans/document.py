@@ -418,8 +418,10 @@ def _bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bitmaps as files of a folder, which is scanned; broken ones are left out."""
     folder = new_folder(spark, "images")
-    images.write(_bitmaps(spark, sf_dir).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".bmp")).alias("name"), "content"), folder)
-    return images.scan(spark, folder).select(F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long").alias("p_partkey"), "width", "height", "format")
+    files = _bitmaps(spark, sf_dir).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".bmp")).alias("name"), "content")
+    parts = images.parts_for(files)
+    images.write(files, folder, parts)
+    return images.scan(spark, folder, parts).select(F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long").alias("p_partkey"), "width", "height", "format")
 
 
 @query("""

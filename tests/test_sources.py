@@ -41,6 +41,20 @@ def test_scan_keeps_the_suffix_and_skips_what_is_no_image(spark, tmp_path):
     assert found == {"bmp": (3, 2, b"\x89PNG"), "gif": (4, 9, b"GIF8")}
 
 
+def test_many_files_are_read_by_folders(spark, tmp_path):
+    """Spark's reader of binary files made a task of every 32 or so."""
+    rows = [(f"{i}.bmp", bitmap(np.zeros((2, 1 + i % 5, 3), np.uint8)) if i % 7 else b"none") for i in range(500)]
+    files = spark.createDataFrame([*rows, ("3.bmp", bitmap(np.zeros((9, 9, 3), np.uint8))), ("x.bmp", None), (None, b"")], "name string, content binary")
+    folder = f"file://{tmp_path}/many"
+    assert images.write(files.filter("name <> '3.bmp'").union(files.filter("name = '3.bmp'").limit(1)), folder, 4) == 500
+    found = images.scan(spark, folder, 4)
+    assert found.rdd.getNumPartitions() == 4
+    got = sorted((r["path"].rsplit("/", 1)[1], r["format"], r["width"], r["height"]) for r in found.collect())
+    assert got == sorted((f"{i}.bmp", "bmp", 1 + i % 5, 2) for i in range(500) if i % 7)
+    assert images.write(files.filter("name = '3.bmp'"), folder, 4) == 2 and images.scan(spark, folder, 4).count() == len(got)
+    assert images.scan(spark, f"file://{tmp_path}/none", 3).count() == 0 and images.parts_for(files.limit(0)) == 1
+
+
 def encoded(samples, depth, colour, filters, interlaced, palette=b""):
     """A PNG file of samples (height x width x channels), written line by line as the format says."""
     height, width, channels = samples.shape
