@@ -6,9 +6,9 @@ graph, too, is by inner product, so that where norms differ, lists lead to the
 long vectors that are the answers; a long vector may be on very many lists.
 
 Nodes are dealt out in bundles by a hash of their key. All work is done in
-supersteps (packets.py), of one exchange each: a bundle gets its graph and its
-messages, and returns its graph and new messages. A bundle sends another a
-vector once, however many of its nodes asked for it.
+supersteps (packets.py), of one exchange each: a bundle gets its messages and
+the parts of its graph that the step needs, and returns new messages. A bundle
+sends another a vector once, however many of its nodes asked for it.
 
 The graph starts from a few random partitions into cells of CELL nodes, a small
 multiple of K. In a round of NN-descent
@@ -25,11 +25,16 @@ multiple of K. In a round of NN-descent
 Rounds go on until one changes hardly any entry (SETTLED).
 
 A query keeps a beam of the best nodes seen, at first its own neighbours and the
-best of 2 * ENTRIES entries that all queries share. A round expands its best
-unexpanded ones: the bundles that hold these pass the query on to the bundles of
-their neighbours, which score them. The search ends when no beam holds an
-unexpanded node. Scores that are returned are computed again from the original
-vectors in double precision.
+best of 2 * ENTRIES entries that all queries share. In a round
+
+1. it expands its best unexpanded ones: their lists are asked for (ASK), each
+   once a bundle of queries, and given (LISTS);
+2. the nodes on them go to be scored (SCORE), each once for each query, and with
+   the query's direction once for each bundle;
+3. those better than the worst of its beam come back (OFFER).
+
+The search ends when no beam holds an unexpanded node. Scores that are returned
+are computed again from the original vectors in double precision.
 
 Nothing is gathered per node or query beyond the bounded beam and lists.
 
@@ -54,7 +59,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .packets import ROW, Inbox, row, send, superstep, table
+from .packets import PARTS, ROW, Inbox, row, send, superstep, table, write
 from .store import Scratch
 
 K, REVERSE, PROPOSE = 40, 32, 8
@@ -69,7 +74,9 @@ BEAM, BEAM_NODES = 160, 1 << 15
 ENTRIES = 64
 #: Lists joined at once.
 LISTS_AT_ONCE = 256
-GRAPH, CELLS, OFFER, LISTED, WANT, GIVEN, JOIN, QUERY, BEAMS, ASK, PASS = range(11)
+#: Pairs scored at once, whose vectors a core's cache holds.
+PAIRS_AT_ONCE = 1 << 11
+GRAPH, CELLS, OFFER, LISTED, WANT, GIVEN, JOIN, QUERY, BEAMS, OPEN, ASK, LISTS, SCORE = range(13)
 
 
 def bundle_of(ids: np.ndarray, bundles: int) -> np.ndarray:
@@ -125,7 +132,10 @@ def _sampled(most: int, salt: int, by: np.ndarray, listed: np.ndarray, fresh: np
 
 
 class Graph:
-    """The nodes of a bundle, sorted by key: directions and norms; neighbours, nearest first (their own key where there is none), with similarities and whether they are new."""
+    """The nodes of a bundle, sorted by key: directions and norms; neighbours, nearest first (their own key where there is none), with similarities and whether they are new.
+
+    A step is sent the parts that it needs; the others are empty.
+    """
 
     def __init__(self, ids: np.ndarray, dirs: np.ndarray, norms: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray):
         self.ids, self.dirs, self.norms, self.nbrs, self.sims, self.fresh = ids, dirs, norms, nbrs, sims, fresh
@@ -252,6 +262,7 @@ def _take(bundles: int, d: int, salt: int):
         graph = Graph.of(inbox, d)
         if graph is None:
             return []
+        graph.fresh = np.zeros(graph.nbrs.shape, bool)
         graph, changed = graph.offered(inbox.of(OFFER, "a", np.int64), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
         place, near, fresh = graph.edges()
         by = graph.ids[place]
@@ -277,9 +288,8 @@ def _candidates(bundles: int, d: int, salt: int):
         place, near, fresh = place[order], near[order], fresh[order]
         active = (np.bincount(place, fresh, len(graph.ids)) > 0)[place]
         place, near, fresh = place[active], near[active], fresh[active]
-        graph.fresh = np.zeros_like(graph.fresh)
         wanted = np.unique(near)
-        return [graph.row(inbox.bundle), _row(inbox.bundle, JOIN, place.astype(np.int32), near, fresh), *send(WANT, bundle_of(wanted, bundles), wanted, source=inbox.bundle)]
+        return [_row(inbox.bundle, JOIN, place.astype(np.int32), near, fresh), *send(WANT, bundle_of(wanted, bundles), wanted, source=inbox.bundle)]
 
     return run
 
@@ -289,7 +299,7 @@ def _give(d: int):
         graph = Graph.of(inbox, d)
         if graph is None:
             return []
-        out = inbox.kept(GRAPH, JOIN)
+        out = inbox.kept(JOIN)
         for r in inbox.rows.get(WANT, ()):
             ids = np.frombuffer(r["a"], np.int64)
             at = graph.places(ids)
@@ -303,6 +313,8 @@ def _join(bundles: int, d: int):
     """Joins the candidates of each node pair by pair and offers to each the best of the others."""
 
     def run(inbox: Inbox) -> list[tuple]:
+        if GIVEN not in inbox.rows:
+            return []
         place, near, fresh = inbox.of(JOIN, "a", np.int32), inbox.of(JOIN, "b", np.int64), inbox.of(JOIN, "c", bool)
         ids, dirs, norms, worst = inbox.of(GIVEN, "a", np.int64), inbox.of(GIVEN, "b", np.float16, d), inbox.of(GIVEN, "c", np.float32), inbox.of(GIVEN, "d", np.float32)
         by_id = np.argsort(ids)
@@ -338,11 +350,16 @@ def _join(bundles: int, d: int):
         some = np.argsort(_best_first(to, sims), kind="stable")
         some = some[_rank(to[some]) < K]
         to, offered, sims = ids[to[some]], ids[offered[some]], sims[some]
-        return inbox.kept(GRAPH) + send(OFFER, bundle_of(to, bundles), to, offered, sims)
+        return send(OFFER, bundle_of(to, bundles), to, offered, sims)
 
     return run
 
 
+def _only(graph: DataFrame, *parts: str) -> DataFrame:
+    """Rows with some of their parts; the others aren't read."""
+    return graph.withColumns({p: F.lit(b"") for p in PARTS if p not in parts})
+
+
 def bundles_for(count: int, d: int) -> int:
     return 1 << max(0, count // max(256, min(BUNDLE, BUNDLE_NUMBERS // d))).bit_length()
 
@@ -352,22 +369,26 @@ def beam_for(count: int, k: int) -> int:
 
 
 def build(nodes: DataFrame, d: int, count: int, largest: float, scratch: Scratch, rounds: int | None = None) -> DataFrame:
-    """The graph of nodes (node, v: d doubles of at most largest), one row for each bundle.
+    """The graph of nodes (node, v: d doubles of at most largest), of each bundle one row with directions and norms and one with the rest.
 
     rounds: so many rounds of NN-descent, instead of until it settles.
     """
     bundles = bundles_for(count, d)
     state = superstep(nodes.mapInArrow(_packed(bundles, d, largest), ROW), _scatter(bundles, d, (count // CELL).bit_length() - 1 if count >= 2 * CELL else 0))
-    state = scratch.write(superstep(superstep(state, _join_cells(bundles, d)), _take(bundles, d, 0)), "graph0")
+    state = write(scratch, superstep(superstep(state, _join_cells(bundles, d)), _take(bundles, d, 0)), "graph/0")
+    directions = _only(state(GRAPH), "b", "c")
     i, changed = 0, K * count
     while changed > SETTLED * K * count if rounds is None else i < rounds:
-        for step in (_candidates(bundles, d, i), _give(d), _join(bundles, d), _take(bundles, d, i + 1)):
-            state = superstep(state, step)
+        # What a step doesn't need of the graph isn't sent to it; directions are written once.
+        wants = superstep(_only(state(GRAPH), "a", "d", "f").union(state(LISTED)), _candidates(bundles, d, i))
+        given = superstep(wants.union(directions).union(_only(state(GRAPH), "a", "e")), _give(d))
+        offers = superstep(given, _join(bundles, d))
         i += 1
-        state = scratch.write(state, f"graph{i}")
-        scratch.drop(f"graph{i - 1}")
-        changed = state.agg(F.sum("count")).first()[0] or 0
-    return state.filter(F.col("kind") == GRAPH)
+        state = write(scratch, superstep(offers.union(_only(state(GRAPH), "a", "d", "e")), _take(bundles, d, i)), f"graph/{i}")
+        if i > 1:
+            scratch.drop(f"graph/{i - 1}")
+        changed = state(GRAPH).agg(F.sum("count")).first()[0] or 0
+    return directions.union(_only(state(GRAPH), "a", "d", "e", "f"))
 
 
 def _asked(bundles: int):
@@ -380,18 +401,22 @@ def _asked(bundles: int):
 
 
 class Beams:
-    """Of the queries of a bundle, by key: the best nodes seen, best first (-1 where there is none), their similarities and whether they have been expanded."""
+    """Of the queries of a bundle, by key: their directions; the best nodes seen, best first (-1 where there is none), their similarities and whether they have been expanded."""
 
-    def __init__(self, ids: np.ndarray, nodes: np.ndarray, sims: np.ndarray, done: np.ndarray):
-        self.ids, self.nodes, self.sims, self.done = ids, nodes, sims, done
+    def __init__(self, ids: np.ndarray, dirs: np.ndarray, nodes: np.ndarray, sims: np.ndarray, done: np.ndarray):
+        self.ids, self.dirs, self.nodes, self.sims, self.done = ids, dirs, nodes, sims, done
+
+    @staticmethod
+    def of(inbox: Inbox, d: int, width: int) -> Beams:
+        return Beams(inbox.of(BEAMS, "a", np.int64), inbox.of(BEAMS, "b", np.float16, d), inbox.of(BEAMS, "c", np.int64, width), inbox.of(BEAMS, "d", np.float32, width), inbox.of(BEAMS, "e", bool, width))
 
     @staticmethod
     def started(ids: np.ndarray, graph: Graph, entries: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> Beams:
         """With each query's own node, its neighbours and the entries."""
         at = graph.places(ids)
-        beams = Beams(ids, np.full((len(ids), width), -1, np.int64), np.full((len(ids), width), -np.inf, np.float32), np.zeros((len(ids), width), bool))
+        beams = Beams(ids, graph.dirs[at], np.full((len(ids), width), -1, np.int64), np.full((len(ids), width), -np.inf, np.float32), np.zeros((len(ids), width), bool))
         entry_ids, dirs, norms = entries
-        near = graph.dirs[at].astype(np.float32) @ dirs.T * norms
+        near = beams.dirs.astype(np.float32) @ dirs.T * norms
         q, k = np.nonzero(graph.nbrs[at] != ids[:, None])
         every = np.arange(len(ids))
         query = np.concatenate([every, q, np.repeat(every, len(entry_ids))])
@@ -414,88 +439,114 @@ class Beams:
         query, node, sims, done = query[order], node[order], sims[order], done[order]
         rank = _rank(query)
         some = rank < self.nodes.shape[1]
-        out = Beams(self.ids, np.full_like(self.nodes, -1), np.full_like(self.sims, -np.inf), np.zeros_like(self.done))
+        out = Beams(self.ids, self.dirs, np.full_like(self.nodes, -1), np.full_like(self.sims, -np.inf), np.zeros_like(self.done))
         at = query[some], rank[some]
         out.nodes[at], out.sims[at], out.done[at] = node[some], sims[some], done[some]
         return out
 
 
-def _with_directions(kind: int, dest: np.ndarray, node: np.ndarray, query: np.ndarray, known: np.ndarray, dirs: np.ndarray) -> list[tuple]:
-    """Messages of nodes and queries; each also with the directions of its queries, once. known: sorted queries, whose directions are dirs."""
-    out = []
-    for bundle, of, n, _, a, b, *rest in send(kind, dest, node, query):
-        own = np.unique(np.frombuffer(b, np.int64))
-        out.append((bundle, of, n, len(own), a, b, own.tobytes(), dirs[np.searchsorted(known, own)].tobytes(), *rest[2:]))
-    return out
-
+def _opened(beams: Beams, bundle: int, bundles: int) -> list[tuple]:
+    """Beams, whose best unexpanded nodes are now expanded: their lists are asked for, each once a bundle."""
+    now = beams.open()
+    beams.done |= now
+    q, k = np.nonzero(now)
+    node = beams.nodes[q, k]
+    wanted = np.unique(node)
+    return [
+        _row(bundle, BEAMS, beams.ids, beams.dirs, beams.nodes, beams.sims, beams.done, count=len(node)),
+        _row(bundle, OPEN, beams.ids, beams.dirs, beams.sims[:, -1], q.astype(np.int32), node),
+        *send(ASK, bundle_of(wanted, bundles), wanted, source=bundle),
+    ]
 
-def _advance(bundles: int, d: int, width: int, entries):
-    """Beams take what was scored, and ask for the neighbours of their best unexpanded nodes."""
 
+def _start(bundles: int, d: int, width: int, entries):
     def run(inbox: Inbox) -> list[tuple]:
-        graph = Graph.of(inbox, d)
-        if graph is None:
+        if QUERY not in inbox.rows:
             return []
-        out = [graph.row(inbox.bundle)]
-        if QUERY in inbox.rows:
-            beams = Beams.started(np.unique(inbox.of(QUERY, "a", np.int64)), graph, entries, width)
-        elif BEAMS in inbox.rows:
-            beams = Beams(inbox.of(BEAMS, "a", np.int64), inbox.of(BEAMS, "b", np.int64, width), inbox.of(BEAMS, "c", np.float32, width), inbox.of(BEAMS, "d", bool, width))
-            beams = beams.taken(np.searchsorted(beams.ids, inbox.of(OFFER, "a", np.int64)), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32))
-        else:
-            return out
-        now = beams.open()
-        beams.done |= now
-        q, k = np.nonzero(now)
-        node = beams.nodes[q, k]
-        out.append(_row(inbox.bundle, BEAMS, beams.ids, beams.nodes, beams.sims, beams.done, count=now.any(1).sum()))
-        return out + _with_directions(ASK, bundle_of(node, bundles), node, beams.ids[q], beams.ids, graph.dirs[graph.places(beams.ids)])
+        return _opened(Beams.started(np.unique(inbox.of(QUERY, "a", np.int64)), Graph.of(inbox, d), entries, width), inbox.bundle, bundles)
+
+    return run
+
+
+def _advance(bundles: int, d: int, width: int):
+    """Beams take what was scored."""
+
+    def run(inbox: Inbox) -> list[tuple]:
+        beams = Beams.of(inbox, d, width)
+        return _opened(beams.taken(np.searchsorted(beams.ids, inbox.of(OFFER, "a", np.int64)), inbox.of(OFFER, "b", np.int64), inbox.of(OFFER, "c", np.float32)), inbox.bundle, bundles)
 
     return run
 
 
-def _known_directions(inbox: Inbox, kind: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    known, first = np.unique(inbox.of(kind, "c", np.int64), return_index=True)
-    return known, inbox.of(kind, "d", np.float16, d)[first]
+def _list(inbox: Inbox) -> list[tuple]:
+    """Returns the lists of nodes that are asked for."""
+    out, own = [], inbox.of(GRAPH, "a", np.int64)
+    nbrs = inbox.of(GRAPH, "d", np.int64, K)
+    for r in inbox.rows.get(ASK, ()):
+        ids = np.frombuffer(r["a"], np.int64)
+        out.append(_row(r["source"], LISTS, ids, nbrs[np.searchsorted(own, ids)]))
+    return out
 
 
-def _pass_on(bundles: int, d: int):
-    """Passes a query on to the bundles of the neighbours of a node."""
+def _spread(bundles: int, d: int):
+    """Sends a query, once to each bundle, the nodes on the lists of those it has opened: each node of a message with the queries that it is to be scored for, as places in the message."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        out, graph = inbox.kept(GRAPH, BEAMS), Graph.of(inbox, d)
-        if graph is None or ASK not in inbox.rows:
-            return out
-        node, query = inbox.of(ASK, "a", np.int64), inbox.of(ASK, "b", np.int64)
-        nbrs = graph.nbrs[graph.places(node)]
-        q, k = np.nonzero(nbrs != node[:, None])
-        near, query = nbrs[q, k], query[q]
-        order = np.lexsort((near, query))
-        order = order[_first_of(query[order], near[order])]
-        near, query = near[order], query[order]
-        return out + _with_directions(PASS, bundle_of(near, bundles), near, query, *_known_directions(inbox, ASK, d))
+        if LISTS not in inbox.rows:
+            return []
+        out = []
+        queries, dirs, worst = inbox.of(OPEN, "a", np.int64), inbox.of(OPEN, "b", np.float16, d), inbox.of(OPEN, "c", np.float32)
+        query, node = inbox.of(OPEN, "d", np.int32), inbox.of(OPEN, "e", np.int64)
+        listed, lists = inbox.of(LISTS, "a", np.int64), inbox.of(LISTS, "b", np.int64, K)
+        near, place = np.unique(lists, return_inverse=True)
+        dest = bundle_of(near, bundles)
+        order = np.argsort(dest, kind="stable")
+        near, dest = near[order], dest[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lists = rank[place].reshape(-1, K)
+        by_id = np.argsort(listed)
+        # One number for each pair of a node, in the order of its bundle, and a query; plain numbers sort fast.
+        pair = lists[by_id[np.searchsorted(listed[by_id], node)]] << 32 | query[:, None]
+        pair = np.sort(pair, axis=None)
+        pair = pair[_first_of(pair)]
+        node, query = pair >> 32, pair & 0xFFFFFFFF
+        start = np.flatnonzero(_first_of(dest))
+        cut = np.searchsorted(node, np.r_[start, len(near)])
+        place = np.zeros(len(queries), np.int32)
+        for bundle, low, high in zip(dest[start], cut[:-1], cut[1:], strict=True):
+            own = np.zeros(len(queries), bool)
+            own[query[low:high]] = True
+            own = np.flatnonzero(own)
+            place[own] = np.arange(len(own))
+            first = np.flatnonzero(_first_of(node[low:high]))
+            size = np.diff(np.r_[first, high - low]).astype(np.int32)
+            out.append(_row(bundle, SCORE, near[node[low:high][first]], size, place[query[low:high]], queries[own], dirs[own], worst[own], source=inbox.bundle))
+        return out
 
     return run
 
 
-def _rate(bundles: int, d: int):
-    """Scores nodes of a bundle for the queries passed on to it."""
+def _rate(d: int):
+    """Scores nodes of a bundle for queries; returns those that are better than what the beams hold."""
 
     def run(inbox: Inbox) -> list[tuple]:
-        out, graph = inbox.kept(GRAPH, BEAMS), Graph.of(inbox, d)
-        if graph is None or PASS not in inbox.rows:
-            return out
-        node, query = inbox.of(PASS, "a", np.int64), inbox.of(PASS, "b", np.int64)
-        order = np.lexsort((node, query))
-        order = order[_first_of(query[order], node[order])]
-        node, query = node[order], query[order]
-        known, dirs = _known_directions(inbox, PASS, d)
-        at, of = graph.places(node), np.searchsorted(known, query)
-        sims = np.zeros(len(node), np.float32)
-        for low in range(0, len(node), 1 << 16):
-            s = slice(low, low + (1 << 16))
-            sims[s] = np.einsum("ij,ij->i", graph.dirs[at[s]].astype(np.float32), dirs[of[s]].astype(np.float32)) * graph.norms[at[s]]
-        return out + send(OFFER, bundle_of(query, bundles), query, node, sims)
+        if SCORE not in inbox.rows:
+            return []
+        out, nodes = [], inbox.of(GRAPH, "a", np.int64)
+        own = inbox.of(GRAPH, "b", np.float16, d).astype(np.float32) * inbox.of(GRAPH, "c", np.float32)[:, None]
+        for r in inbox.rows[SCORE]:
+            ids, size, of = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int32), np.frombuffer(r["c"], np.int32)
+            queries, dirs, worst = np.frombuffer(r["d"], np.int64), np.frombuffer(r["e"], np.float16).reshape(-1, d).astype(np.float32), np.frombuffer(r["f"], np.float32)
+            at = np.repeat(np.searchsorted(nodes, ids), size)
+            sims = np.empty(len(of), np.float32)
+            for low in range(0, len(of), PAIRS_AT_ONCE):
+                s = slice(low, low + PAIRS_AT_ONCE)
+                np.einsum("ij,ij->i", own[at[s]], dirs[of[s]], out=sims[s])
+            good = np.flatnonzero(sims > worst[of])
+            if len(good):
+                out.append(_row(r["source"], OFFER, queries[of[good]], nodes[at[good]], sims[good]))
+        return out
 
     return run
 
@@ -504,7 +555,7 @@ def _found(most: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, nodes = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64).reshape(-1, width)[:, :most]
+                ids, nodes = np.frombuffer(r["a"], np.int64), np.frombuffer(r["c"], np.int64).reshape(-1, width)[:, :most]
                 q, k = np.nonzero(nodes != -1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(nodes[q, k])], ["query_node", "node"])
 
@@ -540,24 +591,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     nodes = members.filter("place = 1").select("node", "v")
     count = nodes.count()
     bundles, width = bundles_for(count, d), beam_for(count, k)
-    graph = scratch.write(build(nodes, d, count, largest, scratch, rounds), "graph")
+    graph = build(nodes, d, count, largest, scratch, rounds)
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x / F.lit(largest) * (x / F.lit(largest)))
     longest, spread = nodes.orderBy(F.desc(square), "node").limit(ENTRIES), nodes.orderBy(F.xxhash64("node")).limit(ENTRIES)
     chosen = {r["node"]: r["v"] for r in longest.union(spread).collect()}
     ids = np.array(sorted(chosen), np.int64)
     dirs, norms = _directions(np.array([chosen[i] for i in ids.tolist()], np.float64).reshape(-1, d) / largest) if len(ids) else (np.zeros((0, d)), np.zeros(0))
-    advance = _advance(bundles, d, width, (ids, dirs.astype(np.float32), norms.astype(np.float32)))
+    entries = ids, dirs.astype(np.float32), norms.astype(np.float32)
     queries = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
     asked = queries.select(F.col("query_node").alias("node")).distinct()
-    state = scratch.write(superstep(graph.union(asked.mapInArrow(_asked(bundles), ROW)), advance), "beams0")
+    state = write(scratch, superstep(graph.union(asked.mapInArrow(_asked(bundles), ROW)), _start(bundles, d, width, entries)), "beams0")
+    lists, directions = _only(graph, "a", "d"), _only(graph, "a", "b", "c")
     i = 0
-    while state.filter(F.col("kind") == BEAMS).agg(F.sum("count")).first()[0]:
-        state = superstep(superstep(superstep(state, _pass_on(bundles, d)), _rate(bundles, d)), advance)
+    while state(BEAMS).agg(F.sum("count")).first()[0]:
+        listed = superstep(state(ASK).union(lists), _list)
+        scored = superstep(superstep(listed.union(state(OPEN)), _spread(bundles, d)).union(directions), _rate(d))
         i += 1
-        state = scratch.write(state, f"beams{i}")
+        state = write(scratch, superstep(scored.union(state(BEAMS)), _advance(bundles, d, width)), f"beams{i}")
         scratch.drop(f"beams{i - 1}")
     scratch.drop("graph", "shared")
-    pairs = state.filter(F.col("kind") == BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
+    pairs = state(BEAMS).mapInArrow(_found(3 * k, width), "query_node long, node long")
     vector_of = nodes.withColumnRenamed("v", "w")
     both = pairs.join(vector_of, "node").join(nodes.select(F.col("node").alias("query_node"), "v"), "query_node")
     score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

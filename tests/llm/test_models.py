@@ -442,6 +442,29 @@ def test_rounds_do_the_work(spark):
     assert recall(rows, got) >= 0.97
 
 
+def test_search_sends_messages_and_not_the_graph(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    steps, superstep = [], neighbours.superstep
+
+    def counted(rows, work):
+        out = superstep(rows, work)
+        steps.append({r["kind"]: r["bytes"] for r in out.groupBy("kind").agg(F.sum(sum(F.length(p) for p in "abcdef")).alias("bytes")).collect()})
+        return out
+
+    monkeypatch.setattr(neighbours, "superstep", counted)
+    monkeypatch.setattr(neighbours, "BEAM", 80)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(vectors, F.col("vec_id") % 20 == 0, rounds=1).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall(dict(enumerate(x)), got) >= 0.97
+    # Three steps start the graph, four are its round: only those that make or change lists return them.
+    assert [neighbours.GRAPH in s for s in steps[:7]] == [True, True, True, False, False, False, True]
+    search = steps[7:]
+    assert len(search) > 4 and not any(neighbours.GRAPH in s for s in search)
+
+
 def test_neighbours_are_scored_in_double_precision(spark):
     rows = [(i, [1e30 * (1 + i * 1e-12), 1e-30, float(i % 3)]) for i in range(50)] + [(7, [1.0, 1.0]), (7, [2.0, 1.0]), (20, [1e30 * (1 + 20 * 1e-12), 1e-30, 2.0])]
     out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
